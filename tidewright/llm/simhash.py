@@ -124,19 +124,19 @@ def hamming_links(distinct: DataFrame, budget: int = BUDGET, node_size: int = 20
     Complete for every depth: node_size and most_depth only balance the tasks.
     """
     n = distinct.count()
-    depth = min(most_depth, max(0, int(np.ceil(np.log2(max(1, n / node_size))))))
-    while depth < most_depth:
-        top = distinct.groupBy(F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0)).count().agg(F.max("count")).first()[0]
-        if (top or 0) <= 4 * node_size:
+    depth = min(most_depth, max(1, int(np.ceil(np.log2(max(1, n / node_size))))))
+    while True:
+        homes = distinct.select("fp", F.shiftrightunsigned("fp", BITS - depth).alias("own"))
+        nodes = homes.groupBy("own").count()
+        if depth >= most_depth or (nodes.agg(F.max("count")).first()[0] or 0) <= 4 * node_size:
             break
         depth += 2
     masks = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(depth), k)]
-    node = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
     # A fingerprint is at home in its own node and a guest in lower nodes within the budget: each node pair meets once.
-    homes = distinct.select("fp", node.alias("own"))
     dealt = homes.select("fp", "own", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-    dealt = dealt.select("fp", (F.col("own").bitwiseXOR(F.col("mask"))).alias("node"), (F.col("mask") == 0).alias("home")).where(F.col("node") <= F.col("own"))
-    dealt = dealt.select("fp", "node", "home").join(F.broadcast(homes.groupBy(F.col("own").alias("node")).count().select("node")), "node", "left_semi") if depth else dealt.select("fp", F.lit(0).cast("long").alias("node"), "home")
+    dealt = dealt.select("fp", F.col("own").bitwiseXOR(F.col("mask")).alias("node"), (F.col("mask") == 0).alias("home"), "own").where("node <= own")
+    # There are 2^most_depth nodes at most, so their list can go to every task.
+    dealt = dealt.join(F.broadcast(nodes.select(F.col("own").alias("node"))), "node", "left_semi").select("fp", "node", "home")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = pdf["fp"].to_numpy().view(np.uint64)
