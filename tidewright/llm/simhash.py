@@ -46,15 +46,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple | list = ()) -> DataFrame:
+    """(doc_id, the columns in keep, fp) with fp as a signed long."""
+    names = ["doc_id", *keep]
 
     def work(batches):
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+            yield batch[names].assign(fp=fps.view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, fp long")
+    return docs.select(*names, "text").mapInPandas(work, docs.select(*names).schema.add("fp", "long"))
 
 
 def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int = BUDGET, leaf: int = 48) -> np.ndarray:
@@ -175,21 +176,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def simhash_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fp, root, component_id), one row for each row of docs.
+def simhash_groups(docs: DataFrame, budget: int = BUDGET, keep: tuple | list = ()) -> DataFrame:
+    """(doc_id, the columns in keep, fp, root, component_id), one row for each row of docs.
 
     fp is the fingerprint as a signed long and root the component's smallest fingerprint. component_id is the smallest
     doc_id whose fingerprint is reachable by links of at most `budget` bits, itself included. Texts without words, null
     or empty, have fingerprint 0 and are linked as any other. Rows that repeat a doc_id or a text are linked by their
     fingerprints. A row without doc_id takes part; its component_id is null only if no row of the component has an id.
     """
-    prints = written(fingerprints(docs), "fingerprints")
+    prints = written(fingerprints(docs, keep), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fps")
     roots = components(hamming_links(distinct.select("fp"), budget))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     table = written(rooted.select("fp", "root").join(lowest, "root"), "components")
-    return prints.join(table, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(table, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ mean of its n-grams' numbers. Only that table of one number for each n-gram buck
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold
 
-BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5)
+BUCKETS, DIM, NGRAMS = 1 << 20, 4, (3, 4, 5)
 WINDOW, STEP = 24, 12
 WORD = re.compile(r"\w+")
 #: Very long texts are read in pieces of so many characters, cut at white space.
@@ -29,6 +30,10 @@ PIECE = 1 << 20
 #: Bounds of the training sample: documents of each label, and characters of a document.
 SAMPLE, SAMPLE_CHARS = 1500, 6000
 THRESHOLD = 0.5
+#: Windows of a clean document that later rounds learn from, and the weight decay of the embeddings.
+HARD, DECAY = 2, 1e-4
+#: A window is averaged over WINDOW places, those past a short text's end being empty; the gain keeps embeddings small.
+GAIN = np.float32(WINDOW)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,7 +62,9 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of a text, one for each run of equal words."""
+    words = WORD.findall(text.lower())
+    return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,87 +73,92 @@ def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(starts + WINDOW, n)
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: tuple = (30, 25, 25), rate: float = 0.08, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(number for each bucket, bias), trained by full-batch Adam on softmax cross-entropy.
+def train(texts: list[str], labels: np.ndarray, rounds: int = 8, steps: int = 20, rate: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(number for each bucket, bias), trained by Adam on softmax cross-entropy.
 
-    The first round takes all windows with their document's label. Later rounds take, of a toxic document, only the
-    window that scores highest so far, as the others need not be toxic.
+    The first round takes all windows with their document's label, over the words that several documents hold. Later
+    rounds take the window of each toxic document that scores highest so far, as the others need not be toxic, and the
+    `HARD` highest of each clean one.
     """
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     tokens, doc_of, spans, base = [], [], [], 0
+    frequency: Counter = Counter()
     for d, text in enumerate(texts):
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
         if not ids:
             continue
         starts, ends = windows(len(ids))
         tokens += ids
+        frequency.update(set(ids))
         spans.append(np.stack([starts, ends], axis=1) + base)
         doc_of.append(np.full(len(starts), d))
         base += len(ids)
     if not spans:
         return np.zeros(BUCKETS, np.float32), 0.0
     tokens, spans, doc_of = np.array(tokens), np.concatenate(spans), np.concatenate(doc_of)
+    common = np.fromiter((frequency[i] > 1 for i in range(len(vocabulary))), bool, len(vocabulary))
     grams, n_grams = ngram_buckets(list(vocabulary))
-    used, grams = np.unique(grams, return_inverse=True)
-    gram_word, gram_starts = np.repeat(np.arange(len(n_grams)), n_grams), np.concatenate([[0], np.cumsum(n_grams)[:-1]])
-    params = {"E": rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), "W": rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
+    gram_starts = np.cumsum(n_grams) - n_grams
+    E = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    E[np.bincount(grams, minlength=BUCKETS) == 0] = 0
+    W, b = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     y = labels[doc_of]
 
     def scores() -> np.ndarray:
-        number = params["E"] @ (params["W"][:, 1] - params["W"][:, 0])
-        word = np.add.reduceat(number[grams], gram_starts) / n_grams
+        word = np.add.reduceat((E @ (W[:, 1] - W[:, 0]))[grams], gram_starts) / n_grams
         total = np.concatenate([[0.0], np.cumsum(word[tokens], dtype=np.float64)])
-        return (total[spans[:, 1]] - total[spans[:, 0]]) / (spans[:, 1] - spans[:, 0])
+        return (total[spans[:, 1]] - total[spans[:, 0]]) * GAIN / WINDOW
 
-    for r, steps in enumerate(rounds):
-        chosen = np.arange(len(y))
+    for r in range(rounds):
         if r:
-            s = scores()
-            order = np.lexsort((-s, doc_of))
-            first = np.concatenate([[True], doc_of[order][1:] != doc_of[order][:-1]])
-            chosen = np.concatenate([order[first & (y[order] == 1)], np.flatnonzero(y == 0)])
+            order = np.lexsort((-scores(), doc_of))
+            first = np.flatnonzero(np.concatenate([[True], doc_of[order][1:] != doc_of[order][:-1]]))
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            chosen = order[place < np.where(y[order] == 1, 1, HARD)]
+        else:
+            chosen = np.flatnonzero((spans[:, 0] - spans[np.searchsorted(doc_of, doc_of), 0]) % WINDOW == 0)
         lengths = spans[chosen, 1] - spans[chosen, 0]
         owner = np.repeat(np.arange(len(chosen)), lengths)
         word = tokens[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(spans[chosen, 0], lengths)]
-        # Windows as sparse rows over words: (window, word, share).
-        cell, count = np.unique(owner * len(n_grams) + word, return_counts=True)
-        win, word = cell // len(n_grams), cell % len(n_grams)
-        share = (count / lengths[win]).astype(np.float32)
-        win_starts = np.searchsorted(win, np.arange(len(chosen)))
-        by_word = np.argsort(word, kind="stable")
-        there, word_starts = np.unique(word[by_word], return_index=True)
-        by_gram = np.argsort(grams, kind="stable")
-        gram_first = np.searchsorted(grams[by_gram], np.arange(len(used)))
+        if not r:
+            owner, word = owner[common[word]], word[common[word]]
+        # Windows as sparse rows of (window, word, share), words as sparse rows of n-grams.
+        cell, count = np.unique(owner * len(vocabulary) + word, return_counts=True)
+        win, word = cell // len(vocabulary), cell % len(vocabulary)
+        there, word = np.unique(word, return_inverse=True)
+        share = (count / WINDOW).astype(np.float32)[:, None]
+        n = n_grams[there]
+        mine = grams[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(gram_starts[there], n)]
+        used, mine = np.unique(mine, return_inverse=True)
+        part = (1 / n).astype(np.float32)[:, None]
+        in_window, in_word = _sums(win, len(chosen)), _sums(np.repeat(np.arange(len(there)), n), len(there))
+        to_word, to_gram = _sums(word, len(there)), _sums(mine, len(used))
         target = np.eye(2, dtype=np.float32)[y[chosen]]
-        weight = np.where(y[chosen] == 1, 0.5 / max(1, (y[chosen] == 1).sum()), 0.5 / max(1, (y[chosen] == 0).sum())).astype(np.float32)[:, None]
-        moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in params.items()}
+        weight = (0.5 / np.maximum(1, np.bincount(y[chosen], minlength=2)))[y[chosen]].astype(np.float32)[:, None]
+        params = [E[used], W, b]
+        moments = [[np.zeros_like(v), np.zeros_like(v)] for v in params]
         for step in range(1, steps + 1):
-            words = np.add.reduceat(params["E"][grams], gram_starts) / n_grams[:, None].astype(np.float32)
-            mean = np.add.reduceat(words[word] * share[:, None], win_starts)
-            out = mean @ params["W"] + params["b"]
+            mean = in_window((in_word(params[0][mine]) * part)[word] * share) * GAIN
+            out = mean @ params[1] + params[2]
             p = np.exp(out - out.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             d_out = (p - target) * weight
-            d_mean = d_out @ params["W"].T
-            d_word = np.zeros_like(words)
-            d_word[there] = np.add.reduceat((d_mean[win] * share[:, None])[by_word], word_starts)
-            d_gram = (d_word / n_grams[:, None].astype(np.float32))[gram_word]
-            grads = {"E": np.add.reduceat(d_gram[by_gram], gram_first), "W": mean.T @ d_out, "b": d_out.sum(axis=0)}
-            for k, g in grads.items():
-                m, v = moment[k]
+            d_word = to_word((d_out @ params[1].T)[win] * share) * part * GAIN
+            grads = to_gram(np.repeat(d_word, n, axis=0)) + DECAY / len(used) * params[0], mean.T @ d_out, d_out.sum(axis=0)
+            for k, (g, (m, v)) in enumerate(zip(grads, moments, strict=True)):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                params[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)).astype(np.float32)
-    table = np.zeros(BUCKETS, np.float32)
-    table[used] = params["E"] @ (params["W"][:, 1] - params["W"][:, 0])
+                params[k] = params[k] - (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)).astype(np.float32)
+        E[used], W, b = params
+    table = E @ (W[:, 1] - W[:, 0])
     # The bias stands midway between what clean and toxic documents reach, each document by its highest window.
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, doc_of, scores())
     seen = np.isfinite(top)
     clean, toxic = top[seen & (labels == 0)], top[seen & (labels == 1)]
     if not len(clean) or not len(toxic):
-        return table, float(params["b"][1] - params["b"][0])
+        return table, float(b[1] - b[0])
     cuts = np.sort(np.concatenate([clean, toxic]))
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     errors = (len(clean) - np.searchsorted(np.sort(clean), cuts)) / len(clean) + np.searchsorted(np.sort(toxic), cuts) / len(toxic)
@@ -154,6 +166,20 @@ def train(texts: list[str], labels: np.ndarray, rounds: tuple = (30, 25, 25), ra
     return table, float(-(best.min() + best.max()) / 2)
 
 
+def _sums(index: np.ndarray, n: int) -> Callable:
+    """A function that adds up rows by index, to n rows."""
+    order = None if (np.diff(index) >= 0).all() else np.argsort(index, kind="stable")
+    there, first = np.unique(index if order is None else index[order], return_index=True)
+
+    def add(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, rows.shape[1]), np.float32)
+        if len(first):
+            out[there] = np.add.reduceat(rows if order is None else rows[order], first)
+        return out
+
+    return add
+
+
 class Scorer:
     """Scores texts with a trained table; remembers the numbers of words it has met, up to a bound."""
 
@@ -183,7 +209,7 @@ class Scorer:
             if words:
                 total = np.concatenate([[0.0], np.cumsum(self.numbers(words))])
                 starts, ends = windows(len(words))
-                best = max(best, float(((total[ends] - total[starts]) / (ends - starts)).max()))
+                best = max(best, float((total[ends] - total[starts]).max()) * GAIN / WINDOW)
             at = end
         return float(1 / (1 + np.exp(-np.clip(best + self.bias, -30, 30)))) if np.isfinite(best) else 0.0
 
