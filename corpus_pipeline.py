@@ -26,9 +26,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that three documents or more hold but for the last one; a document left with nothing but lost lines goes."""
+    """Drops lines that three documents or more hold but for the last one. Every document stays, with the text it has left."""
     kept = dedup_lines(docs.select(*COLUMNS))
-    return kept.where("n_dropped < n_lines").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -58,3 +60,19 @@ def alnum_words(text: Column) -> Column:
 def crc_fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; rows of fold 0 are held out of training. A null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def nullable(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The schema of df's columns `names`, all nullable, and the columns that the text `more` describes."""
+    kept = [T.StructField(f.name, f.dataType, True) for f in df.select(*names).schema.fields]
+    return T.StructType(kept + T._parse_datatype_string(more).fields)
+
+
+def arrow_batch(kept: pa.RecordBatch | None, n: int, types: list[pa.DataType], **columns) -> pa.RecordBatch:
+    """A batch of kept's columns and then the given ones; without values a column is null. Ids stay as they are: pandas would turn those beside nulls into floats."""
+    arrays = list(kept.columns) if kept is not None else []
+    names = list(kept.schema.names) if kept is not None else []
+    for (name, values), kind in zip(columns.items(), types, strict=True):
+        arrays.append(pa.nulls(n, kind) if values is None else pa.array(values, kind))
+        names.append(name)
+    return pa.RecordBatch.from_arrays(arrays, names=names)

@@ -16,12 +16,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, written
+from .common import LOWER, UPPER, arrow_batch, nullable, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -140,9 +141,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     def match(batches):
         # One row for each document and one for each match, with the words around it that a window could cover.
         hashes, (table, bits), rid = WordHashes(), sent_prefix.value, TaskContext.get().partitionId() << 40
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             ids, totals, rows = [], [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 words, rid = words_of(text), rid + 1
                 prints = hashes(words)
                 ids.append(rid)
@@ -153,16 +155,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                         low = max(0, at - reach)
                         around = b" ".join(words[low : at + k + reach]).decode()
                         rows.append((rid, int(own[at].astype(np.int64)), at, at - low, around))
-            out = batch[names].assign(rid=ids, n_words=totals) if names else pd.DataFrame({"rid": ids, "n_words": totals})
-            for c in ("hash", "pos", "lead", "around"):
-                out[c] = None
-            yield out
+            kept = batch.select(names)
+            yield arrow_batch(kept, len(ids), types, rid=ids, n_words=totals, hash=None, pos=None, lead=None, around=None)
             if rows:
-                hits = pd.DataFrame(rows, columns=["rid", "hash", "pos", "lead", "around"]).assign(n_words=None, **dict.fromkeys(names))
-                yield hits[[*names, "rid", "n_words", "hash", "pos", "lead", "around"]]
+                rids, prints, places, leads, around = zip(*rows, strict=True)
+                none = pa.RecordBatch.from_arrays([pa.nulls(len(rows), c.type) for c in kept.columns], names=names)
+                yield arrow_batch(none, len(rows), types, rid=rids, n_words=None, hash=prints, pos=places, lead=leads, around=around)
 
-    schema = docs.select(*names).schema.add("rid", "long").add("n_words", "long").add("hash", "long").add("pos", "long").add("lead", "long").add("around", "string")
-    probed = written(docs.select(*names, "text").mapInPandas(match, schema), "matches")
+    schema = nullable(docs, names, "rid long, n_words long, hash long, pos long, lead long, around string")
+    probed = written(docs.select(*names, "text").mapInArrow(match, schema), "matches")
     hits = probed.where("hash is not null").select("rid", "hash", "pos", "lead", "around").join(prefixes, "hash")
     # Length and position: the window starts off words before the match and must lie within the words around it.
     hits = hits.where("lead >= off")

@@ -13,10 +13,11 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, written
+from .common import LOWER, UPPER, arrow_batch, nullable, written
 
 BITS, SHINGLE, SEED, BUDGET = 64, 3, 42, 2
 #: Words of a long text are hashed in blocks of so many shingles, so memory is bounded by the text itself.
@@ -52,10 +53,10 @@ def fingerprints(docs: DataFrame, keep: tuple | list = ()) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
-            yield batch[names].assign(fp=fps.view(np.int64))
+            fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
+            yield arrow_batch(batch.select(names), len(fps), [pa.int64()], fp=fps.view(np.int64))
 
-    return docs.select(*names, "text").mapInPandas(work, docs.select(*names).schema.add("fp", "long"))
+    return docs.select(*names, "text").mapInArrow(work, nullable(docs, names, "fp long"))
 
 
 def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int = BUDGET, leaf: int = 48) -> np.ndarray:

@@ -12,10 +12,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import arrow_batch, nullable
 
 # Fixed values of the file format: tags, field types' sizes and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -220,38 +221,39 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
     Adds page (from 0), width, height, bits, samples, compression, predictor, pixels and error. A null, empty or
     unreadable file gives one row with page null and the reason in error (null for null); pages read before a fault stay.
     """
-    others = [f for f in df.schema.fields if f.name != column]
-    taken = {f.name for f in others} & {part.split()[0] for part in PAGE_SCHEMA.split(", ")}
-    if taken:
+    names = [c for c in df.columns if c != column]
+    parts = PAGE_SCHEMA.split(", ")
+    if taken := set(names) & {part.split()[0] for part in parts}:
         raise ValueError(f"columns of the pages' names: {sorted(taken)}")
-    schema = T.StructType(others + T._parse_datatype_string(PAGE_SCHEMA).fields)
-    names = [f.name for f in others]
+    types = [*[pa.int32()] * 7, pa.binary(), pa.string()]
 
     def read(batches):
         for batch in batches:
-            rows, size = [], 0
-            for kept, media in zip(batch[names].itertuples(index=False, name=None), batch[column], strict=True):
-                n = 0
+            kept, at, rows, size = batch.select(names), [], [], 0
+
+            def flush():
+                values = zip(*rows, strict=True)
+                return arrow_batch(kept.take(pa.array(at, pa.int64())), len(rows), types, **{part.split()[0]: v for part, v in zip(parts, values, strict=True)})
+
+            for i, media in enumerate(batch.column(column)):
+                media, error, n = media.as_py(), None, 0
                 try:
-                    for n, page in enumerate(iter_pages(media) if media is not None else (), 1):
-                        rows.append((*kept, n - 1, *page.values(), None))
-                        size += len(page["pixels"])
-                    if media is None:
-                        rows.append((*kept, *[None] * 9))
+                    for page in iter_pages(media) if media is not None else ():
+                        rows.append((n, *page.values(), None))
+                        at.append(i)
+                        n, size = n + 1, size + len(page["pixels"])
                 except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows.append((*kept, *[None] * 8, str(e)[:200]))
+                    error = str(e)[:200]
+                if error is not None or not n:
+                    rows.append((*[None] * 8, error))
+                    at.append(i)
                 if size > 8 << 20:
-                    yield _frame(rows, schema)
-                    rows, size = [], 0
+                    yield flush()
+                    at, rows, size = [], [], 0
             if rows:
-                yield _frame(rows, schema)
-
-    return df.mapInPandas(read, schema)
-
+                yield flush()
 
-def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=schema.names).astype(object)
-    return out.where(out.notna(), None)
+    return df.select(*names, column).mapInArrow(read, nullable(df, names, PAGE_SCHEMA))
 
 
 #: How op9 lays a payload out: rows of 64 bytes; an LZW page, a PackBits page, then deflate pages, the first of them in tiles.
@@ -275,10 +277,11 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def store(batches):
         for batch in batches:
-            raw = [(t or "").encode() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(r) for r in raw], "media": [payload_file(r + bytes(-len(r) % 64 or (64 if not r else 0))) for r in raw]})
+            raw = [(t.as_py() or "").encode() for t in batch.column("text")]
+            media = [payload_file(r + bytes(-len(r) % ROW if r else ROW)) for r in raw]
+            yield arrow_batch(batch.select(["doc_id"]), len(raw), [pa.int64(), pa.binary()], n_bytes=[len(r) for r in raw], media=media)
 
-    return docs.select("doc_id", "text").mapInPandas(store, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(store, nullable(docs, ["doc_id"], "n_bytes long, media binary"))
 
 
 def page_digests(pages: DataFrame) -> DataFrame:
@@ -287,30 +290,30 @@ def page_digests(pages: DataFrame) -> DataFrame:
     def fold(batches):
         state, out = None, []
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.page == 0:
+            heads = batch.select(["page", "doc_id", "n_bytes", "media_bytes", "media_sha256"]).to_pylist()
+            for head, pixels in zip(heads, batch.column("pixels"), strict=True):
+                if head["page"] == 0:
                     if state is not None:
                         out.append(state.row())
-                    state = _Fold(row)
-                state.add(row.pixels)
-            if len(out) > 2000:
-                yield pd.DataFrame(out, columns=DIGEST_NAMES)
+                    state = _Fold(head)
+                state.add(pixels.as_py())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), DIGEST_TYPES, strict=True)], names=DIGEST_NAMES)
                 out = []
         if state is not None:
-            out.append(state.row())
-        yield pd.DataFrame(out, columns=DIGEST_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(state.row(), DIGEST_TYPES, strict=True)], names=DIGEST_NAMES)
 
-    return pages.mapInPandas(fold, DIGEST_SCHEMA)
+    return pages.mapInArrow(fold, DIGEST_SCHEMA)
 
 
 DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 DIGEST_NAMES = [part.split()[0] for part in DIGEST_SCHEMA.split(", ")]
+DIGEST_TYPES = [{"long": pa.int64(), "string": pa.string()}[part.split()[1]] for part in DIGEST_SCHEMA.split(", ")]
 
 
 class _Fold:
-    def __init__(self, row):
-        self.head = (None if row.doc_id is None or row.doc_id != row.doc_id else int(row.doc_id), int(row.n_bytes))
-        self.media = (int(row.media_bytes), row.media_sha256)
+    def __init__(self, row: dict):
+        self.head, self.media = (row["doc_id"], row["n_bytes"]), (row["media_bytes"], row["media_sha256"])
         self.sha, self.n, self.tail, self.pages, self.counts = hashlib.sha256(), 0, b"", 0, np.zeros(256, np.int64)
 
     def add(self, pixels: bytes) -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import crc_fold
 
 BUCKETS, DIM, NGRAMS = 1 << 20, 4, (3, 4, 5)
-WINDOW, STEP = 24, 12
+WINDOW, STEP = 8, 4
 WORD = re.compile(r"\w+")
 #: Very long texts are read in pieces of so many characters, cut at white space.
 PIECE = 1 << 20
@@ -31,7 +31,7 @@ PIECE = 1 << 20
 SAMPLE, SAMPLE_CHARS = 1500, 6000
 THRESHOLD = 0.5
 #: Windows of a clean document that later rounds learn from, and the weight decay of the embeddings.
-HARD, DECAY = 2, 1e-4
+HARD, DECAY = 4, 1e-4
 #: A window is averaged over WINDOW places, those past a short text's end being empty; the gain keeps embeddings small.
 GAIN = np.float32(WINDOW)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +73,7 @@ def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(starts + WINDOW, n)
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 8, steps: int = 20, rate: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, rounds: int = 10, steps: int = 20, rate: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
     """(number for each bucket, bias), trained by Adam on softmax cross-entropy.
 
     The first round takes all windows with their document's label, over the words that several documents hold. Later
