@@ -12,8 +12,6 @@ false matches fall away in the join, so a larger benchmark costs shuffle, not me
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,58 +20,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, arrow_batch, nullable, written
+from .common import arrow_batch, nullable, written
 
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Bytes of words, A-Z lower-cased; every other byte becomes a blank. Bytes beyond ASCII belong to words.
+WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SHINGLE, WINDOW = 5, 10
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
 MOST_BITS = 27
+#: Words of a long text are hashed in blocks of so many.
+BLOCK = 1 << 15
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return WORD.findall((text or "").encode().translate(LOWER_BYTES))
-
-
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self, most: int = 400_000):
-        self.known, self.most = {}, most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the shingle of `size` words that starts at each word."""
-    n = len(word_hashes) - size + 1
-    out = np.full(max(0, n), size, np.uint64)
-    for k in range(size if n > 0 else 0):
-        out = (out ^ word_hashes[k : k + n]) * MULTIPLIER
-        out ^= out >> np.uint64(29)
-    return out
+    return (text or "").encode().translate(WORD_BYTES).split()
+
+
+class ShingleHashes:
+    """64-bit hashes of the shingles that start at each word, from running polynomial sums over a text's bytes."""
+
+    def __init__(self):
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if n > len(self.powers):
+            size = 1 << n.bit_length()
+            step = np.full(size, BASE, np.uint64)
+            back = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+            step[0] = back[0] = 1
+            self.powers, self.inverse = np.cumprod(step, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+
+    def __call__(self, words: list[bytes], size: int) -> np.ndarray:
+        n = len(words) - size + 1
+        parts = [np.empty(0, np.uint64)]
+        for at in range(0, n, BLOCK):
+            block = np.frombuffer(b" ".join(words[at : min(at + BLOCK, n) + size - 1]) + b" ", np.uint8)
+            self._reach(len(block))
+            total = np.zeros(len(block) + 1, np.uint64)
+            np.cumsum((block.astype(np.uint64) + np.uint64(1)) * self.powers[: len(block)], out=total[1:])
+            ends = np.flatnonzero(block == 32)
+            starts = np.concatenate([[0], ends[: len(ends) - size] + 1])
+            out = (total[ends[size - 1 :]] - total[starts]) * self.inverse[starts]
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            parts.append(out ^ (out >> np.uint64(32)))
+        return np.concatenate(parts)
 
 
 def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     """(item_id, win, size, off, hash): each distinct window text of the items with its shingles, win being its words."""
 
     def work(batches):
-        hashes = WordHashes()
+        hashes = ShingleHashes()
         for batch in batches:
             rows = []
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 words = words_of(text)
                 size = min(window, len(words))
                 k = min(shingle, size)
-                prints = shingle_hashes(hashes(words), k).view(np.int64).tolist() if words else []
+                prints = hashes(words, k).view(np.int64).tolist() if words else []
                 for at in range(len(words) - size + 1 if words else 0):
                     win = b" ".join(words[at : at + size]).decode()
                     rows += [(item, win, size, k, off, prints[at + off]) for off in range(size - k + 1)]
@@ -83,9 +86,9 @@ def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
 
 
 def bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap over the hashes' low bits, at least 64 bits for each up to 2^MOST_BITS in all, and how many of those bits it has."""
+    """A bitmap over the hashes' low bits, at least 1024 bits for each up to 2^MOST_BITS in all, and how many of those bits it has."""
     n = hashes.count()
-    bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(max(1, n) * 64)))))
+    bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(max(1, n) * 1024)))))
     byte = F.shiftright(F.col("hash").bitwiseAND((1 << bits) - 1), 3).cast("int")
     mask = F.expr("shiftleft(1, cast(hash & 7 as int))")
     out = np.zeros(1 << bits - 3, np.uint8)
@@ -117,13 +120,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     def count(batches):
         # Frequencies of shingles that the benchmark may hold, over every document.
-        hashes, (table, bits) = WordHashes(), sent.value
+        hashes, (table, bits) = ShingleHashes(), sent.value
         for batch in batches:
             found = [np.empty(0, np.uint64)]
             for text in batch["text"]:
-                prints = hashes(words_of(text))
+                words = words_of(text)
                 for k in sizes:
-                    own = shingle_hashes(prints, k)
+                    own = hashes(words, k)
                     found.append(own[probe(own, table, bits)])
             values, counts = np.unique(np.concatenate(found), return_counts=True)
             yield pd.DataFrame({"hash": values.view(np.int64), "freq": counts})
@@ -140,17 +143,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     def match(batches):
         # One row for each document and one for each match, with the words around it that a window could cover.
-        hashes, (table, bits), rid = WordHashes(), sent_prefix.value, TaskContext.get().partitionId() << 40
+        hashes, (table, bits), rid = ShingleHashes(), sent_prefix.value, TaskContext.get().partitionId() << 40
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             ids, totals, rows = [], [], []
             for text in batch.column("text").to_pylist():
                 words, rid = words_of(text), rid + 1
-                prints = hashes(words)
                 ids.append(rid)
                 totals.append(len(words))
                 for k in sizes:
-                    own = shingle_hashes(prints, k)
+                    own = hashes(words, k)
                     for at in probe(own, table, bits).tolist():
                         low = max(0, at - reach)
                         around = b" ".join(words[low : at + k + reach]).decode()
