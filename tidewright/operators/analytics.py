@@ -93,7 +93,7 @@ def histogram(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     for c in columns:
         lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
         at = F.when(hi == lo, 0).otherwise(F.floor((F.col(c) - lo) * bins / F.when(hi != lo, hi - lo)))
-        cells.append(F.struct(F.lit(c).alias("variable"), F.least(at, F.lit(bins - 1)).cast("int").alias("bin")))
+        cells.append(F.struct(F.lit(c).alias("variable"), F.when(F.col(c).isNotNull(), F.least(at, F.lit(bins - 1))).cast("int").alias("bin")))
     return rows.select(F.inline(F.array(*cells))).where("bin is not null").groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,5 +1,413 @@
-"""Queries by name, bound to the driver's tables, with the SQL that checks them."""
+"""Queries by name, bound to the driver's tables, with the SQL that checks them.
+
+The hourly series are made of `events`: one series for each event type, its variables from value and props, with gaps
+put in at fixed hours. Doubles are rounded to 8 digits on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalars import cyclic, dewpoint, uuid5, wind_uv
+from ..operators import analytics, axis, features, forecast, impute, ingest, quality
 
 FLAGSHIP = "rolling_24h"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+KEYS = ["series"]
+VARS = ["t2m", "rain", "rh", "ps", "ws", "wd", "rad"]
+NAMES = {"T2M": "t2m", "PRECTOTCORR": "rain", "RH2M": "rh", "PS": "ps", "WS2M": "ws", "WD2M": "wd", "ALLSKY_SFC_SW_DWN": "rad"}
+SEASON = {"season": F.hour("ts")}
+SPLITS = {"train": ("2024-01-01", "2024-01-15 23:00"), "val": ("2024-01-16", "2024-01-22 23:00"), "test": ("2024-01-23", "2024-01-31 23:00")}
+NAMESPACE = __import__("uuid").NAMESPACE_URL
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours that have events, with the gaps put in."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), axis.hour_of(F.col("ts")).alias("ts"), "value", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+    e = e.groupBy("series", "ts").agg(F.max("value").alias("hi"), F.min("value").alias("lo"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.sum("k").alias("ks"))
+    t2m_gap = ((F.day("ts") == 10) & F.hour("ts").between(5, 10)) | ((F.day("ts") % 7 == 3) & (F.hour("ts") == 4))
+    wd_gap = (F.day("ts") % 5 == 0) & (F.hour("ts") == 15)
+    return e.select(
+        "series", "ts", F.when(~t2m_gap, F.col("hi") / 10).alias("t2m"), (F.greatest(F.col("hi") - 300, F.lit(0.0)) / 10).alias("rain"),
+        F.col("k1").cast("double").alias("rh"), (F.col("k0") / 10 + 95).alias("ps"), (F.col("lo") / 20).alias("ws"),
+        F.when(~wd_gap, F.col("k0") * 3.6).alias("wd"), F.col("ks").cast("double").alias("rad"))
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return axis.densify(observed(spark, sf_dir), KEYS)
+
+
+def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense hours with short gaps filled."""
+    df = impute.interpolate(dense(spark, sf_dir), [v for v in VARS if v != "wd"], KEYS)
+    return impute.provenance(impute.interpolate_direction(df, "wd", KEYS), VARS)
+
+
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = features.feature_names(NAMES)
+    made = features.add_features(filled(spark, sf_dir), KEYS, names=NAMES)
+    return features.assign_split(made, features.quality_bad(VARS), [*cols["tabular"], *cols["targets"]], SPLITS, KEYS)
+
+
+def r(x: str) -> str:
+    return f"(round({x}, 8) + 0.0)"
+
+
+BASE = """
+WITH e AS (
+  SELECT event_type AS series, date_trunc('hour', ts) AS ts, max(value) AS hi, min(value) AS lo,
+    min(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)) AS k0, max(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)) AS k1, sum(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)) AS ks
+  FROM events GROUP BY 1, 2
+), observed AS (
+  SELECT series, ts, CASE WHEN (day(ts) = 10 AND hour(ts) BETWEEN 5 AND 10) OR (day(ts) % 7 = 3 AND hour(ts) = 4) THEN NULL ELSE hi / 10 END AS t2m,
+    greatest(hi - 300, 0.0::DOUBLE) / 10 AS rain, k1::DOUBLE AS rh, k0::DOUBLE / 10 + 95 AS ps, lo / 20 AS ws,
+    CASE WHEN day(ts) % 5 = 0 AND hour(ts) = 15 THEN NULL ELSE k0 * 3.6::DOUBLE END AS wd, ks::DOUBLE AS rad
+  FROM e
+), cal AS (
+  SELECT series, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM (SELECT series, min(ts) AS a, max(ts) AS b FROM observed GROUP BY series)
+), dense AS (
+  SELECT c.series, c.ts, t2m, rain, rh, ps, ws, wd, rad, CASE WHEN o.ts IS NULL THEN 1 ELSE 0 END AS is_inserted_hour FROM cal c LEFT JOIN observed o ON c.series = o.series AND c.ts = o.ts
+), long AS (
+  SELECT series, ts, hour(ts) AS season, variable, value FROM (SELECT series, ts, t2m, rh, ps, ws, rad FROM dense) UNPIVOT INCLUDE NULLS (value FOR variable IN (t2m, rh, ps, ws, rad))
+)
+"""
+
+
+def _fill_sql(c: str) -> str:
+    before = "OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    after = "OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    seen = f"CASE WHEN {c} IS NOT NULL THEN ts END"
+    return f"last_value({c} IGNORE NULLS) {before} AS {c}_b, last_value({seen} IGNORE NULLS) {before} AS {c}_bt, first_value({c} IGNORE NULLS) {after} AS {c}_a, first_value({seen} IGNORE NULLS) {after} AS {c}_at"
+
+
+def _ok(c: str) -> str:
+    return f"({c} IS NULL AND {c}_bt IS NOT NULL AND {c}_at IS NOT NULL AND date_diff('hour', {c}_bt, {c}_at) - 1 <= 3)"
+
+
+def _line(c: str) -> str:
+    return f"CASE WHEN {_ok(c)} THEN {c}_b + ({c}_a - {c}_b) * (date_diff('hour', {c}_bt, ts)::DOUBLE / date_diff('hour', {c}_bt, {c}_at)) ELSE {c} END"
+
+
+_SHARE = "(date_diff('hour', wd_bt, ts)::DOUBLE / date_diff('hour', wd_bt, wd_at))"
+_PART = lambda f: f"({f}(radians(wd_b)) + ({f}(radians(wd_a)) - {f}(radians(wd_b))) * {_SHARE})"
+_ANGLE = f"degrees(atan2({_PART('sin')}, {_PART('cos')}))"
+_TURN = f"CASE WHEN {_ANGLE} < 0 THEN {_ANGLE} + 360 ELSE {_ANGLE} END"
+FILLED = BASE + f""", sides AS (SELECT *, {', '.join(map(_fill_sql, VARS))} FROM dense
+), filled AS (
+  SELECT series, ts, is_inserted_hour, {', '.join(f'{_line(c)} AS {c}' for c in VARS if c != 'wd')}, CASE WHEN {_ok('wd')} THEN {_TURN} ELSE wd END AS wd,
+    {', '.join(f'{_ok(c)} AS filled_{c}' for c in VARS)}, CASE WHEN {' OR '.join(map(_ok, VARS))} THEN 1 ELSE 0 END AS is_imputed
+  FROM sides
+)
+"""
+_W = "(PARTITION BY series ORDER BY ts)"
+_ROLL = lambda f, c, n=24: f"CASE WHEN count({c}) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN {f}({c}) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
+_FEATURES = {
+    "DEWPOINT": "243.04 * (ln((CASE WHEN rh < 1 THEN 1.0 ELSE rh END) / 100) + 17.625 * t2m / (243.04 + t2m)) / (17.625 - (ln((CASE WHEN rh < 1 THEN 1.0 ELSE rh END) / 100) + 17.625 * t2m / (243.04 + t2m)))",
+    "WIND_U": "-ws * sin(radians(wd))", "WIND_V": "-ws * cos(radians(wd))", "rain_log1p": "ln(1 + rain)",
+    "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)",
+    "doy_sin": "sin(2 * pi() * (dayofyear(ts) - 1 + hour(ts) / 24.0::DOUBLE) / 365.25)", "doy_cos": "cos(2 * pi() * (dayofyear(ts) - 1 + hour(ts) / 24.0::DOUBLE) / 365.25)",
+    **{f"t2m_lag_{k}h": f"lag(t2m, {k}) OVER {_W}" for k in features.LAGS},
+    "t2m_roll_mean_24h": _ROLL("avg", "t2m"), "t2m_roll_min_24h": _ROLL("min", "t2m"), "t2m_roll_max_24h": _ROLL("max", "t2m"),
+    "ps_diff_3h": f"ps - lag(ps, 3) OVER {_W}", "ps_diff_24h": f"ps - lag(ps, 24) OVER {_W}", "rain_sum_24h_log1p": f"ln(1 + {_ROLL('sum', 'rain')})", "rad_sum_24h": _ROLL("sum", "rad"),
+    **{f"t2m_t+{h}h": f"lead(t2m, {h}) OVER {_W}" for h in features.HORIZONS},
+}
+FEATURED = FILLED + f""", featured AS (
+  SELECT series, ts, t2m, rain, rh, ps, ws, wd, rad, is_inserted_hour, is_imputed, {', '.join(f'{x} AS "{n}"' for n, x in _FEATURES.items())} FROM filled
+), judged AS (
+  SELECT *, CASE WHEN is_inserted_hour = 1 OR is_imputed = 1 OR {' OR '.join(f'{v} IS NULL' for v in VARS)} THEN 1 ELSE 0 END AS bad FROM featured
+), spans AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) < 48 THEN 1 ELSE max(bad) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) END AS bad_past,
+    coalesce(max(bad) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING), 1) AS bad_future FROM judged
+), parted AS (
+  SELECT *, CASE WHEN bad_past = 0 AND bad_future = 0 AND {' AND '.join(f'"{n}" IS NOT NULL' for n in ['t2m', 'rh', 'ps', 'ws', 'rad', *_FEATURES])} THEN CASE
+    {' '.join(f"WHEN ts >= TIMESTAMP '{a}' AND ts + INTERVAL 24 HOUR <= TIMESTAMP '{b}' THEN '{n}'" for n, (a, b) in SPLITS.items())} ELSE 'none' END ELSE 'none' END AS split FROM spans
+)
+"""
+
+
+def add(name: str, sql: str | None = None, base: str = BASE):
+    """Registers a query, rounding its doubles; sql follows base's tables."""
+
+    def register(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = fn(spark, sf_dir)
+            return out.withColumns({f.name: F.round(F.col(f"`{f.name}`"), 8) + 0.0 for f in out.schema.fields if f.dataType.typeName() == "double"} or {out.columns[0]: F.col(f"`{out.columns[0]}`")})
+
+        run.__name__, run.__doc__ = name, fn.__doc__
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = base + sql
+        return fn
+
+    return register
+
+
+# The time axis.
+add("densify_hours", "SELECT series, ts, is_inserted_hour, " + r("t2m") + " AS t2m FROM dense")(lambda s, d: dense(s, d).select("series", "ts", "is_inserted_hour", "t2m"))
+add("missing_hours", "SELECT series, ts FROM dense WHERE is_inserted_hour = 1")(lambda s, d: axis.axis_difference(axis.calendar(observed(s, d), KEYS), observed(s, d), KEYS))
+add("expected_axis_diff", "SELECT s.series, t.ts FROM (SELECT DISTINCT series FROM observed) s, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00', INTERVAL 1 HOUR)) AS ts) t WHERE NOT EXISTS (SELECT 1 FROM observed o WHERE o.series = s.series AND o.ts = t.ts)")(
+    lambda s, d: axis.axis_difference(axis.declared_axis(observed(s, d), KEYS, "2024-01-01 00:00:00", "2024-01-30 23:00:00"), observed(s, d), KEYS))
+add("gap_lengths", """, marked AS (SELECT *, CASE WHEN (t2m IS NULL) IS DISTINCT FROM (lag(t2m) OVER w IS NULL) OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM dense WINDOW w AS (PARTITION BY series ORDER BY ts)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY ts) AS run FROM marked)
+SELECT series, ts, CASE WHEN t2m IS NULL THEN count(*) OVER (PARTITION BY series, run) ELSE 0 END AS gap_length FROM numbered""")(lambda s, d: axis.gap_lengths(dense(s, d), "t2m", KEYS).select("series", "ts", "gap_length"))
+_RUNS = """, hit AS (SELECT series, ts, ts - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY series ORDER BY ts) AS grp FROM dense WHERE t2m IS NULL)
+SELECT series, min(ts) AS start, max(ts) AS "end", count(*) AS hours FROM hit GROUP BY series, grp"""
+add("runs", _RUNS)(lambda s, d: axis.runs(dense(s, d), F.col("t2m").isNull(), KEYS))
+add("runs_in_pieces", _RUNS)(lambda s, d: axis.runs_in_pieces(dense(s, d), F.col("t2m").isNull(), KEYS, hours=100))
+add("topk_gaps", _RUNS + " ORDER BY hours DESC, series, start LIMIT 20")(lambda s, d: axis.runs(dense(s, d), F.col("t2m").isNull(), KEYS).orderBy(F.desc("hours"), "series", "start").limit(20))
+add("continuity_check", """, st AS (SELECT series, date_diff('hour', lag(ts) OVER (PARTITION BY series ORDER BY ts), ts) AS step FROM observed)
+SELECT series, count(*) AS rows, count(*) FILTER (WHERE step <> 1) AS breaks, max(step) AS longest_step FROM st GROUP BY series""")(lambda s, d: axis.continuity(observed(s, d), KEYS))
+add("hours_except", "SELECT ts FROM observed WHERE series = (SELECT min(series) FROM observed) EXCEPT SELECT ts FROM observed WHERE series = (SELECT max(series) FROM observed)")(lambda s, d: _two(s, d, "exceptAll"))
+add("hours_intersect", "SELECT ts FROM observed WHERE series = (SELECT min(series) FROM observed) INTERSECT SELECT ts FROM observed WHERE series = (SELECT max(series) FROM observed)")(lambda s, d: _two(s, d, "intersect"))
+
+
+def _two(spark, sf_dir, how):
+    o = observed(spark, sf_dir)
+    ends = o.agg(F.min("series").alias("a"), F.max("series").alias("b"))
+    one = lambda c: o.join(F.broadcast(ends.select(F.col(c).alias("series"))), "series", "left_semi").select("ts").distinct()
+    return getattr(one("a"), how)(one("b"))
+
+
+# Filling.
+add("interpolate_short_gaps", f"SELECT series, ts, {r('t2m')} AS t2m, filled_t2m FROM filled", FILLED)(lambda s, d: impute.interpolate(dense(s, d), ["t2m"], KEYS).select("series", "ts", "t2m", "filled_t2m"))
+add("interpolate_wind", f"SELECT series, ts, {r('sin(radians(wd))')} AS wd_sin, {r('cos(radians(wd))')} AS wd_cos, filled_wd FROM filled", FILLED)(
+    lambda s, d: impute.interpolate_direction(dense(s, d), "wd", KEYS).select("series", "ts", F.sin(F.radians("wd")).alias("wd_sin"), F.cos(F.radians("wd")).alias("wd_cos"), "filled_wd"))
+add("ffill_causal", f""", marked AS (SELECT *, CASE WHEN (t2m IS NULL) IS DISTINCT FROM (lag(t2m) OVER w IS NULL) OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM dense WINDOW w AS (PARTITION BY series ORDER BY ts)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY ts) AS run, last_value(t2m IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM marked),
+sized AS (SELECT *, count(*) OVER (PARTITION BY series, run) AS n FROM numbered)
+SELECT series, ts, {r('CASE WHEN t2m IS NULL AND n <= 2 THEN prev ELSE t2m END')} AS t2m FROM sized""")(lambda s, d: impute.carry_forward(dense(s, d), ["t2m"], KEYS).select("series", "ts", "t2m"))
+add("impute_provenance", f"SELECT series, ts, is_inserted_hour, is_imputed, CASE WHEN is_imputed = 1 THEN concat_ws('|', {', '.join(f'CASE WHEN filled_{v} THEN {chr(39)}{v}{chr(39)} END' for v in VARS)}) ELSE 'none' END AS imputed_columns FROM filled", FILLED)(
+    lambda s, d: filled(s, d).select("series", "ts", "is_inserted_hour", "is_imputed", "imputed_columns"))
+
+# Features.
+add("rolling_24h", f"SELECT series, ts, {', '.join(f'{r(_FEATURES[c])} AS {c}' for c in ('t2m_roll_mean_24h', 't2m_roll_min_24h', 't2m_roll_max_24h', 'rad_sum_24h'))} FROM filled", FILLED)(lambda s, d: _rolling(s, d))
+
+
+def _rolling(spark, sf_dir):
+    w = axis.by_time(KEYS)
+    roll = lambda c, f: features.rolling(c, 24, w, f)
+    return filled(spark, sf_dir).select("series", "ts", roll("t2m", F.avg).alias("t2m_roll_mean_24h"), roll("t2m", F.min).alias("t2m_roll_min_24h"), roll("t2m", F.max).alias("t2m_roll_max_24h"), roll("rad", F.sum).alias("rad_sum_24h"))
+
+
+def _windowed(build):
+    return lambda s, d: dense(s, d).select("series", "ts", *[c.alias(n) for n, c in build(axis.by_time(KEYS)).items()])
+
+
+_FROM_DENSE = lambda cols: "SELECT series, ts, " + ", ".join(f'{r(x)} AS "{n}"' for n, x in cols.items()) + " FROM dense"
+add("lag_features", _FROM_DENSE({k: v for k, v in _FEATURES.items() if "_lag_" in k}))(_windowed(lambda w: features.lags("t2m", features.LAGS, w)))
+add("lead_targets", _FROM_DENSE({k: v for k, v in _FEATURES.items() if "_t+" in k}))(_windowed(lambda w: features.leads("t2m", features.HORIZONS, w)))
+add("diff_features", _FROM_DENSE({k: v for k, v in _FEATURES.items() if "_diff_" in k}))(_windowed(lambda w: {f"ps_diff_{k}h": features.change("ps", k, w) for k in (3, 24)}))
+_CIRC = "(wd - lag(wd) OVER (PARTITION BY series ORDER BY ts) + 180)"
+add("circular_diff", _FROM_DENSE({"turn": f"{_CIRC} - 360 * floor({_CIRC} / 360) - 180"}))(_windowed(lambda w: {"turn": quality.circular_difference(F.col("wd"), F.lag("wd").over(w))}))
+add("centered_12", _FROM_DENSE({"t2m_mean": "CASE WHEN count(t2m) OVER c = 12 THEN avg(t2m) OVER c END"}) + " WINDOW c AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)")(_windowed(lambda w: {"t2m_mean": features.centred("t2m", 12, w)}))
+add("dewpoint", _FROM_DENSE({"dewpoint": _FEATURES["DEWPOINT"]}))(_windowed(lambda w: {"dewpoint": dewpoint(F.col("t2m"), F.col("rh"))}))
+add("wind_uv", _FROM_DENSE({"u": _FEATURES["WIND_U"], "v": _FEATURES["WIND_V"]}))(_windowed(lambda w: dict(zip("uv", wind_uv(F.col("ws"), F.col("wd")), strict=True))))
+add("cyclic_time", _FROM_DENSE({k: _FEATURES[k] for k in ("hour_sin", "hour_cos", "doy_sin", "doy_cos")}))(_windowed(lambda w: cyclic("ts")))
+add("add_features", "SELECT series, ts, " + ", ".join(f'{r(chr(34) + n + chr(34))} AS "{n}"' for n in _FEATURES) + " FROM featured", FEATURED)(
+    lambda s, d: features.add_features(filled(s, d), KEYS, names=NAMES).select("series", "ts", *[f"`{n}`" for n in _FEATURES]))
+add("quality_windows", "SELECT series, ts, bad_past, bad_future FROM spans", FEATURED)(lambda s, d: features.bad_windows(filled(s, d), features.quality_bad(VARS), KEYS).select("series", "ts", "bad_past", "bad_future"))
+add("assign_split", "SELECT series, ts, split FROM parted", FEATURED)(lambda s, d: split_rows(s, d).select("series", "ts", "split"))
+add("split_summary", "SELECT split, count(*) AS rows, min(ts) AS first_t, max(ts) AS last_t FROM parted GROUP BY split", FEATURED)(lambda s, d: features.split_summary(split_rows(s, d)))
+_SCALED = ["t2m", "rh", "DEWPOINT", "ps_diff_24h", "t2m_roll_mean_24h"]
+
+
+def _scaler(spark, sf_dir):
+    rows = split_rows(spark, sf_dir)
+    return rows, features.fit_scaler(rows, _SCALED, "t2m", F.col("split") != "none")
+
+
+_STD = lambda c: f'CASE WHEN stddev_pop("{c}") < 1e-9 THEN 1.0 ELSE stddev_pop("{c}") END'
+_FIT = ", ".join(f"avg(\"{c}\") AS \"mean_{c}\", {_STD(c)} AS \"std_{c}\"" for c in _SCALED)
+add("scaler_fit", "SELECT " + ", ".join(f"{r(f'avg({chr(34)}{c}{chr(34)})')} AS \"mean_{c}\", {r(_STD(c))} AS \"std_{c}\"" for c in _SCALED) + f", {r('avg(t2m)')} AS target_mean, {r('stddev_pop(t2m)')} AS target_std FROM parted WHERE split <> 'none'", FEATURED)(lambda s, d: _scaler(s, d)[1])
+add("scaled_features", f", fit AS (SELECT {_FIT} FROM parted WHERE split <> 'none') SELECT series, ts, " + ", ".join(f"{r(f'({chr(34)}{c}{chr(34)} - {chr(34)}mean_{c}{chr(34)}) / {chr(34)}std_{c}{chr(34)}')} AS \"{c}\"" for c in _SCALED) + " FROM parted, fit", FEATURED)(
+    lambda s, d: features.apply_scaler(*_scaler(s, d), _SCALED).select("series", "ts", *_SCALED))
+add("sequence_windows", "SELECT series, ts, 48 AS n, round(list_sum(list_value(" + ", ".join(f"lag(t2m, {k}) OVER {_W}" for k in range(47, 0, -1)) + ", t2m)), 2) AS total, split FROM parted QUALIFY split <> 'none'", FEATURED)(lambda s, d: _sequences(s, d))
+
+
+def _sequences(spark, sf_dir):
+    parts = [features.sequence_windows(split_rows(spark, sf_dir), name, ["t2m", "rh"], ["t2m_t+1h"], KEYS, check=False).withColumn("split", F.lit(name)) for name in SPLITS]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("series", "ts", F.size("X").alias("n"), F.round(F.aggregate("X", F.lit(0.0), lambda a, x: a + F.round(x[0].cast("double"), 4)), 2).alias("total"), "split")
+
+
+# Typing, masking, duplicates.
+_TEXT = """, raw AS (SELECT *, row_number() OVER (ORDER BY series, ts) % 11 AS m FROM observed)
+, text AS (SELECT series, ts, CASE m WHEN 1 THEN '-999' WHEN 2 THEN ' ' WHEN 3 THEN '1d' WHEN 4 THEN 'abc' WHEN 5 THEN '1e2' WHEN 6 THEN 'inf' WHEN 7 THEN '-99.0' WHEN 8 THEN '360' ELSE ' 12.5 ' END AS cell FROM raw)
+, numbers AS (SELECT *, CASE WHEN regexp_full_match(trim(cell), '[+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF](inity)?)') THEN TRY_CAST(trim(cell) AS DOUBLE) END AS x FROM text)
+"""
+
+
+def _text(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    o = observed(spark, sf_dir).withColumn("m", F.row_number().over(W.orderBy("series", "ts")) % 11)
+    cell = F.lit(" 12.5 ")
+    for m, v in ((1, "-999"), (2, " "), (3, "1d"), (4, "abc"), (5, "1e2"), (6, "inf"), (7, "-99.0"), (8, "360")):
+        cell = F.when(F.col("m") == m, v).otherwise(cell)
+    return o.select("series", "ts", cell.alias("cell"))
+
+
+add("coerce_numeric", "SELECT series, ts, CASE WHEN isinf(x) THEN NULL ELSE " + r("x") + " END AS x, isinf(x) AS is_inf FROM numbers", BASE + _TEXT)(lambda s, d: _text(s, d).select("series", "ts", F.when(~ingest.to_number(F.col("cell")).isin(float("inf")), ingest.to_number(F.col("cell"))).alias("x"), ingest.to_number(F.col("cell")).isin(float("inf")).alias("is_inf")))
+add("invalid_to_null", f"SELECT series, ts, {r('CASE WHEN x BETWEEN 0 AND 360 AND x NOT IN (-999, -99) AND NOT isinf(x) THEN x END')} AS x FROM numbers", BASE + _TEXT)(lambda s, d: _text(s, d).select("series", "ts", ingest.mask_invalid(ingest.to_number(F.col("cell")), 0, 360).alias("x")))
+add("wind_360_to_0", f"SELECT series, ts, {r('CASE WHEN x = 360 THEN 0 WHEN x BETWEEN 0 AND 360 THEN x END')} AS x FROM numbers", BASE + _TEXT)(lambda s, d: _text(s, d).select("series", "ts", ingest.fold_north(ingest.mask_invalid(ingest.to_number(F.col("cell")), 0, 360)).alias("x")))
+add("audit_raw", "SELECT 'cell' AS variable, count(*) FILTER (WHERE trim(cell) = '') AS blank, count(*) FILTER (WHERE trim(cell) <> '' AND x IS NULL) AS unparseable, count(*) FILTER (WHERE x IN (-999, -99)) AS fill_value, count(*) FILTER (WHERE isinf(x)) AS infinity FROM numbers", BASE + _TEXT)(lambda s, d: ingest.audit_text(_text(s, d), ["cell"]))
+add("column_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS missing, {r(f'count(*) FILTER (WHERE {c} IS NULL) * 100.0::DOUBLE / count(*)')} AS missing_pct, count(DISTINCT {c}) AS \"unique\" FROM dense" for c, t in (("series", "string"), ("t2m", "double"), ("rh", "double"))))(
+    lambda s, d: ingest.column_profile(dense(s, d).select("series", "t2m", "rh")))
+add("dedup_exact", "SELECT DISTINCT event_type, hour(ts) AS h, CASE WHEN value > 100 THEN NULL ELSE floor(value / 10) END AS v FROM events", "")(lambda s, d: ingest.drop_exact(_events(s, d), ["event_type", "h", "v"]))
+add("dup_conflicts", "SELECT event_type, h, count(*) AS rows FROM (SELECT DISTINCT event_type, hour(ts) AS h, CASE WHEN value > 100 THEN NULL ELSE floor(value / 10) END AS v FROM events) GROUP BY 1, 2 HAVING count(*) > 1", "")(lambda s, d: ingest.conflicts(ingest.drop_exact(_events(s, d), ["event_type", "h", "v"]), ["event_type", "h"]))
+add("dup_conflicts_cols", """, k AS (SELECT event_type, date_trunc('hour', ts) AS ts, user_id, CASE WHEN value > 100 THEN NULL ELSE floor(value / 10) END AS v FROM events)
+SELECT * FROM (SELECT event_type, ts, concat_ws('|', CASE WHEN count(DISTINCT user_id) > 1 THEN 'user_id' END, CASE WHEN count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END) > 1 THEN 'v' END) AS columns FROM k GROUP BY 1, 2) WHERE columns <> ''""")(
+    lambda s, d: ingest.column_conflicts(table(s, d, "events").select("event_type", axis.hour_of(F.col("ts")).alias("ts"), "user_id", F.when(~(F.col("value") > 100), F.floor(F.col("value") / 10)).alias("v")), ["event_type", "ts"], ["user_id", "v"]))
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_type", F.hour("ts").alias("h"), F.when(~(F.col("value") > 100), F.floor(F.col("value") / 10).cast("double")).alias("v"))
+
+
+add("parse_ts_validate", "SELECT count(*) FILTER (WHERE event_id % 10 = 0) AS without_offset, 0::BIGINT AS unparseable, count(*) FILTER (WHERE event_id % 10 <> 0 AND date_trunc('hour', ts) <> ts) AS off_hour FROM events", "")(
+    lambda s, d: table(s, d, "events").select(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(F.col("event_id") % 10 == 0, "").otherwise("Z")).alias("t")).agg(*[c.alias(n) for n, c in ingest.time_faults(F.col("t")).items()]))
+add("localize_ts", "SELECT event_id, ts + INTERVAL 7 HOUR AS local FROM events", "")(lambda s, d: table(s, d, "events").select("event_id", F.convert_timezone(F.lit("UTC"), F.lit("Asia/Ho_Chi_Minh"), F.col("ts")).alias("local")))
+add("change_log", ", ".join(["", "x AS (SELECT 1)"]) + f" SELECT d.series, d.ts, 't2m' AS \"column\", {r('d.t2m')} AS before, {r('f.t2m')} AS after FROM dense d JOIN filled f ON d.series = f.series AND d.ts = f.ts WHERE d.t2m IS DISTINCT FROM f.t2m", FILLED)(
+    lambda s, d: ingest.cell_changes(dense(s, d), filled(s, d), ["series", "ts"], ["t2m"]))
+add("compare_versions", "SELECT 't2m' AS variable, count(*) FILTER (WHERE NOT (coalesce(abs(d.t2m - f.t2m) <= 1e-9, false) OR d.t2m IS NOT DISTINCT FROM f.t2m)) AS changed, count(*) FILTER (WHERE d.t2m IS NULL) AS missing_a, count(*) FILTER (WHERE f.t2m IS NULL) AS missing_b FROM dense d JOIN filled f ON d.series = f.series AND d.ts = f.ts", FILLED)(
+    lambda s, d: analytics.compare_versions(dense(s, d), filled(s, d), ["series", "ts"], ["t2m"]))
+add("record_id")(lambda s, d: table(s, d, "nation").select("n_nationkey", uuid5(NAMESPACE, F.concat_ws("|", "n_name", "n_nationkey")).alias("record_id")))
+add("lineage", "SELECT event_type AS series, date_trunc('hour', ts) AS ts, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY event_id) AS source_rows FROM events GROUP BY 1, 2", "")(
+    lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("series"), axis.hour_of(F.col("ts")).alias("ts")).agg(F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), "|").alias("source_rows")))
+
+# Rows.
+add("complete_rows", "SELECT series, ts FROM dense WHERE " + " AND ".join(f"{v} IS NOT NULL" for v in VARS))(lambda s, d: dense(s, d).dropna(subset=VARS).select("series", "ts"))
+add("time_slice", f"SELECT series, ts, {r('t2m')} AS t2m FROM dense WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'")(lambda s, d: dense(s, d).where("ts >= timestamp_ntz'2024-01-05' and ts < timestamp_ntz'2024-01-08'").select("series", "ts", "t2m"))
+add("tabular_xy", f"SELECT series, ts, {r('t2m')} AS t2m, {r(chr(34) + 't2m_t+24h' + chr(34))} AS \"t2m_t+24h\" FROM parted WHERE split = 'train'", FEATURED)(lambda s, d: split_rows(s, d).where("split = 'train'").select("series", "ts", "t2m", "`t2m_t+24h`"))
+add("latest_complete_row", f"SELECT series, max(ts) AS ts, {r('max_by(t2m, ts)')} AS t2m FROM dense WHERE " + " AND ".join(f"{v} IS NOT NULL" for v in VARS) + " GROUP BY series")(lambda s, d: dense(s, d).dropna(subset=VARS).groupBy("series").agg(F.max("ts").alias("ts"), F.max_by("t2m", "ts").alias("t2m")))
+add("unpivot_vars", f"SELECT series, ts, variable, {r('value')} AS value FROM long")(lambda s, d: _long(s, d).select("series", "ts", "variable", "value"))
+
+
+def _long(spark, sf_dir, variables=("t2m", "rh", "ps", "ws", "rad")):
+    return quality.unpivot(dense(spark, sf_dir), KEYS, list(variables))
+
+
+# Aggregations.
+_DESC = lambda c, qs: f"SELECT '{c}' AS variable, count({c}) AS count, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std, {r(f'min({c})')} AS min, " + ", ".join(f"{r(f'quantile_cont({c}, {q})')} AS p{100 * q:g}" for q in qs) + f", {r(f'max({c})')} AS max FROM dense"
+add("describe_vars", " UNION ALL ".join(_DESC(c, (0.25, 0.5, 0.75)) for c in VARS))(lambda s, d: analytics.describe(dense(s, d), VARS))
+add("describe_ext", " UNION ALL ".join(_DESC(c, (0.01, 0.25, 0.5, 0.75, 0.99)) for c in VARS))(lambda s, d: analytics.describe(dense(s, d), VARS, (0.01, 0.25, 0.5, 0.75, 0.99)))
+_MONTHS = ", mon AS (SELECT l_returnflag AS flag, date_trunc('month', l_shipdate) AS month, max(l_extendedprice) AS top, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+
+
+def _monthly(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.date_trunc("MONTH", "l_shipdate").cast("timestamp_ntz").alias("month")).agg(F.max("l_extendedprice").alias("top"), F.count(F.lit(1)).alias("n"))
+
+
+add("monthly_resample", """, f AS (SELECT l_returnflag AS flag, date_trunc('month', l_shipdate) AS bin, count(*) AS rows, max(l_extendedprice) AS top FROM lineitem GROUP BY 1, 2),
+b AS (SELECT flag, unnest(generate_series(min(bin), max(bin), INTERVAL 1 MONTH)) AS bin FROM f GROUP BY flag)
+SELECT b.flag, b.bin, coalesce(rows, 0) AS rows, """ + r("top") + " AS top FROM b LEFT JOIN f ON b.flag = f.flag AND b.bin = f.bin")(
+    lambda s, d: analytics.resample(table(s, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), "month", {"top": F.max("l_extendedprice")}, ["flag"], "l_shipdate"))
+add("climatology", _MONTHS + f"""SELECT e.flag, e.m, {r('avg(top)')} AS mean, {r('median(top)')} AS median, {r('min(top)')} AS min, {r('max(top)')} AS max, count(top) AS n_years
+FROM (SELECT flag, unnest(range(1, 13))::INT AS m FROM (SELECT DISTINCT flag FROM mon)) e LEFT JOIN mon ON mon.flag = e.flag AND month(mon.month) = e.m GROUP BY 1, 2""")(lambda s, d: analytics.climatology(_monthly(s, d), "top", ["flag"]))
+add("pivot_year_month", _MONTHS + "SELECT year(month) AS year, " + ", ".join(f"{r(f'max(top) FILTER (WHERE month(month) = {m})')} AS m{m}" for m in range(1, 13)) + " FROM mon WHERE flag = 'N' GROUP BY 1")(lambda s, d: analytics.pivot_months(_monthly(s, d).where("flag = 'N'"), "top"))
+add("yearly_agg", f"SELECT year(l_shipdate) AS year, {r('min(l_extendedprice)')} AS lo, {r('max(l_extendedprice)')} AS hi, count(*) AS n FROM lineitem GROUP BY 1", "")(lambda s, d: table(s, d, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"), F.count(F.lit(1)).alias("n")))
+add("month_hour_mean", "SELECT series AS row, " + ", ".join(f"{r(f'avg(t2m) FILTER (WHERE hour(ts) = {h})')} AS h{h}" for h in range(24)) + " FROM dense GROUP BY 1")(lambda s, d: analytics.hour_matrix(dense(s, d), "t2m", F.col("series")))
+add("rain_coverage", f"""SELECT series, date_trunc('month', ts) AS month, {r('sum(rain) FILTER (WHERE is_inserted_hour = 0)')} AS total, count(rain) FILTER (WHERE is_inserted_hour = 0) AS observed, (day(last_day(min(ts))) * 24)::INT AS expected,
+{r("count(rain) FILTER (WHERE is_inserted_hour = 0) * 100.0::DOUBLE / (day(last_day(min(ts))) * 24)")} AS coverage_pct, count(rain) FILTER (WHERE is_inserted_hour = 0) = day(last_day(min(ts))) * 24 AS is_complete FROM dense GROUP BY 1, 2""")(lambda s, d: analytics.month_coverage(dense(s, d), "rain", F.col("is_inserted_hour") == 0, KEYS))
+_Q = ", q AS (SELECT series, variable, season, count(value) AS n, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3, mad(value) AS mad FROM long GROUP BY 1, 2, 3)"
+add("seasonal_thresholds", _Q + f"SELECT series, variable, season, n, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3, {r('mad')} AS mad FROM q")(lambda s, d: analytics.group_thresholds(dense(s, d), KEYS, ["t2m", "rh", "ps", "ws", "rad"], SEASON))
+add("wet_quantile", f"SELECT series, {r('quantile_cont(rain, 0.999) FILTER (WHERE rain > 0.1)')} AS wet_limit FROM dense GROUP BY 1")(lambda s, d: dense(s, d).groupBy("series").agg(F.percentile(F.when(F.col("rain") > 0.1, F.col("rain")), F.lit(0.999)).alias("wet_limit")))
+add("skew_log1p", " UNION ALL ".join(f"SELECT '{c}' AS variable, {r(f'skewness({c})')} AS skew, {r(f'skewness(ln(1 + {c}))')} AS skew_log1p FROM dense" for c in ("rain", "ws")))(lambda s, d: analytics.skews(dense(s, d), ["rain", "ws"]))
+add("feature_target_corr", " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS target, {r(f'corr({chr(34)}{a}{chr(34)}, {chr(34)}{b}{chr(34)})')} AS r FROM featured" for a in ("t2m", "rh", "ps", "t2m_lag_24h") for b in ("t2m_t+1h", "t2m_t+24h")), FEATURED)(
+    lambda s, d: analytics.correlations(features.add_features(filled(s, d), KEYS, names=NAMES), ["t2m", "rh", "ps", "t2m_lag_24h"], ["t2m_t+1h", "t2m_t+24h"]))
+_LAGS = [0, 1, 2, 12, 24, 48]
+add("acf", ", l AS (SELECT series, rh, " + ", ".join(f"lag(rh, {k}) OVER {_W} AS x{k}" for k in _LAGS[1:]) + " FROM dense) SELECT series, 0 AS lag, 1.0::DOUBLE AS acf FROM l GROUP BY series UNION ALL " + " UNION ALL ".join(f"SELECT series, {k} AS lag, {r(f'corr(rh, x{k})')} AS acf FROM l GROUP BY series" for k in _LAGS[1:]))(
+    lambda s, d: analytics.autocorrelation(dense(s, d), "rh", _LAGS, KEYS))
+add("acf_168", None)(lambda s, d: analytics.autocorrelation(dense(s, d), "rh", list(range(169)), KEYS))
+add("histogram", "SELECT 'rh' AS variable, least(floor((rh - lo) * 60 / (hi - lo)), 59)::INT AS bin, count(*) AS n FROM dense, (SELECT min(rh) AS lo, max(rh) AS hi FROM dense) WHERE rh IS NOT NULL GROUP BY 2")(lambda s, d: analytics.histogram(dense(s, d), ["rh"], 60))
+_EDGES = [0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0]
+add("speed_bin_mean", f", t AS (SELECT ws, abs({_CIRC} - 360 * floor({_CIRC} / 360) - 180) AS turn FROM dense) SELECT CASE " + " ".join(f"WHEN ws {'>=' if i == 0 else '>'} {a} AND ws <= {b} THEN {i}" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:], strict=False))) + f" END AS bin, count(*) AS n, {r('avg(turn)')} AS mean_turn FROM t WHERE turn IS NOT NULL AND ws BETWEEN 0 AND 16 GROUP BY 1")(
+    lambda s, d: analytics.speed_bins(dense(s, d), "ws", "wd", _EDGES, KEYS))
+add("wind_rose", f""", w AS (SELECT series, floor(CASE WHEN wd + 11.25 >= 360 THEN wd + 11.25 - 360 ELSE wd + 11.25 END / 22.5)::INT AS sector, count(*) AS n FROM dense WHERE ws >= 0.5 AND wd IS NOT NULL GROUP BY 1, 2)
+SELECT series, sector, n, {r('n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY series)')} AS share_pct, row_number() OVER (PARTITION BY series ORDER BY n DESC, sector) = 1 AS is_peak FROM w""")(lambda s, d: analytics.wind_rose(dense(s, d), "ws", "wd", {"series": F.col("series")}))
+add("density_2d", "SELECT floor(t2m / 5)::INT AS cell_x, floor(rh / 10)::INT AS cell_y, count(*) AS n FROM dense WHERE t2m IS NOT NULL AND rh IS NOT NULL GROUP BY 1, 2")(lambda s, d: analytics.density(dense(s, d), "t2m", "rh", 5, 10))
+add("box_stats", f""", q AS (SELECT series, quantile_cont(rad, 0.25) AS q1, median(rad) AS median, quantile_cont(rad, 0.75) AS q3 FROM dense GROUP BY 1)
+SELECT d.series, {r('any_value(q1)')} AS q1, {r('any_value(median)')} AS median, {r('any_value(q3)')} AS q3, {r('min(rad) FILTER (WHERE rad BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))')} AS whisker_low, {r('max(rad) FILTER (WHERE rad BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))')} AS whisker_high,
+count(*) FILTER (WHERE NOT rad BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS fliers FROM dense d JOIN q ON d.series = q.series GROUP BY 1""")(lambda s, d: analytics.box_stats(dense(s, d), "rad", {"series": F.col("series")}))
+add("global_iqr", f""", q AS (SELECT quantile_cont(rad, 0.25) AS a, quantile_cont(rad, 0.75) AS b FROM dense), o AS (SELECT ts, NOT rad BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) AS is_out FROM dense, q)
+SELECT 'rad' AS variable, count(*) FILTER (WHERE is_out) AS outside, {r('count(*) FILTER (WHERE is_out AND hour(ts) < 6) * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE is_out), 0)')} AS cold_share_pct FROM o""")(lambda s, d: analytics.global_outliers(dense(s, d), ["rad"], F.hour("ts") < 6))
+add("daily_median", f"SELECT series, strftime(ts, '%Y-%m-%d') AS date, {r('median(t2m)')} AS median, count(t2m) AS n FROM dense GROUP BY 1, 2")(lambda s, d: dense(s, d).groupBy("series", F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.percentile("t2m", F.lit(0.5)).alias("median"), F.count("t2m").alias("n")))
+add("daily_mode_split", ", c AS (SELECT series, CAST(ts AS DATE) AS date, split, count(*) AS n FROM parted GROUP BY 1, 2, 3) SELECT series, strftime(date, '%Y-%m-%d') AS date, split AS mode FROM c QUALIFY row_number() OVER (PARTITION BY series, date ORDER BY n DESC, split) = 1", FEATURED)(lambda s, d: analytics.daily_mode(split_rows(s, d), "split", KEYS).withColumn("date", F.col("date").cast("string")))
+add("horizon_difficulty", ", y AS (SELECT rh, " + ", ".join(f"lead(rh, {h}) OVER {_W} AS y{h}" for h in features.HORIZONS) + " FROM dense) " + " UNION ALL ".join(f"SELECT {h} AS horizon, {r(f'corr(rh, y{h})')} AS r, {r(f'avg(abs(y{h} - rh))')} AS mean_abs_change FROM y" for h in features.HORIZONS))(lambda s, d: analytics.horizon_difficulty(dense(s, d), "rh", features.HORIZONS, KEYS))
+
+# Flags and events.
+_DEV = ", med AS (SELECT series, variable, season, median(value) AS median, mad(value) AS mad, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY 1, 2, 3), dev AS (SELECT l.*, median, mad, q1, q3, abs(value - median) / nullif(1.4826 * mad, 0) AS z FROM long l JOIN med USING (series, variable, season))"
+add("seasonal_robust_z", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('z')} AS score, 1 AS severity, 'seasonal_robust_z>5' AS rule FROM dev WHERE z > 5")(lambda s, d: quality.flag_robust_z(_long(s, d), KEYS, SEASON))
+add("flag_mad", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('0.6745 * abs(value - median) / mad')} AS score, 1 AS severity, 'seasonal_hour_MAD' AS rule FROM dev WHERE mad > 0 AND 0.6745 * abs(value - median) / mad > 3.5")(lambda s, d: quality.flag_mad(_long(s, d), KEYS, SEASON))
+_IQR = f"SELECT series, ts, variable, {r('value')} AS value, {r('greatest(q1 - value, value - q3) / (q3 - q1)')} AS score, 1 AS severity, 'seasonal_hour_IQR' AS rule FROM dev WHERE q3 > q1 AND greatest(q1 - value, value - q3) > 1.5 * (q3 - q1)"
+add("flag_iqr", _DEV + _IQR)(lambda s, d: quality.flag_iqr(_long(s, d), KEYS, SEASON))
+add("wet_hour_flag", f""", lim AS (SELECT series, quantile_cont(rain, 0.99) FILTER (WHERE rain > 0.1) AS lim FROM dense GROUP BY 1)
+SELECT d.series, d.ts, 'rain' AS variable, {r('rain')} AS value, {r('rain / lim')} AS score, 1 AS severity, 'wet_hour_q99>' || printf('%.2f', lim) AS rule FROM dense d JOIN lim l ON d.series = l.series WHERE rain > lim""")(lambda s, d: quality.flag_wet(_long(s, d, ["rain"]), KEYS, q=0.99))
+add("flag_wet_month", f""", lim AS (SELECT series, month(ts) AS m, quantile_cont(rain, 0.995) AS lim FROM dense WHERE rain > 0.1 GROUP BY 1, 2)
+SELECT d.series, d.ts, 'rain' AS variable, {r('rain')} AS value, {r('rain / lim')} AS score, 1 AS severity, 'wet_hour_month_q995' AS rule FROM dense d JOIN lim l ON d.series = l.series AND month(d.ts) = l.m WHERE rain > lim""")(lambda s, d: quality.flag_wet_by(_long(s, d, ["rain"]), KEYS, {"m": F.month("ts")}))
+add("hourly_jump", f", st AS (SELECT series, ts, t2m, abs(t2m - lag(t2m) OVER {_W}) AS step FROM dense) SELECT series, ts, 't2m' AS variable, {r('t2m')} AS value, {r('step / 8')} AS score, 2 AS severity, 'hourly_jump>8C' AS rule FROM st WHERE step > 8")(lambda s, d: quality.flag_step(_long(s, d, ["t2m"]), KEYS))
+_FLOORS = {"t2m": 5.0, "ps": 1.0, "rh": 10.0}
+_JUMP = f""", st AS (SELECT series, ts, season, variable, value, value - lag(value) OVER (PARTITION BY series, variable ORDER BY ts) AS step FROM long WHERE variable IN ('t2m', 'ps', 'rh')),
+lim AS (SELECT series, variable, season, quantile_cont(abs(step), 0.995) AS q FROM st GROUP BY 1, 2, 3),
+j AS (SELECT st.*, greatest(q, CASE variable WHEN 't2m' THEN 5.0 WHEN 'ps' THEN 1.0 ELSE 10.0 END) AS lim FROM st JOIN lim USING (series, variable, season)),
+k AS (SELECT *, coalesce(abs(step) > lim, false) AS large FROM j), n AS (SELECT *, lead(step) OVER w AS next_step, lead(large) OVER w AS next_large FROM k WINDOW w AS (PARTITION BY series, variable ORDER BY ts))"""
+add("flag_jump", _JUMP + f"SELECT series, ts, variable, {r('value')} AS value, {r('abs(step) / lim')} AS score, 2 AS severity, 'large_hourly_jump' AS rule FROM n WHERE large")(lambda s, d: quality.flag_jump(_long(s, d, _FLOORS), KEYS, SEASON, _FLOORS))
+add("flag_spike", _JUMP + f"SELECT series, ts, variable, {r('value')} AS value, {r('abs(step) / lim')} AS score, 3 AS severity, 'isolated_reversing_spike' AS rule FROM n WHERE large AND next_large AND step * next_step < 0")(lambda s, d: quality.flag_spike(_long(s, d, _FLOORS), KEYS, SEASON, _FLOORS))
+add("flag_flat", f""", z AS (SELECT series, ts, floor(rain / 20) AS value FROM dense), nw AS (SELECT *, CASE WHEN value = lag(value) OVER {_W} THEN 0 ELSE 1 END AS new FROM z), rn AS (SELECT *, sum(new) OVER {_W} AS run FROM nw),
+sz AS (SELECT *, count(*) OVER (PARTITION BY series, run) AS n FROM rn WHERE value IS NOT NULL) SELECT series, ts, 'rain' AS variable, {r('value')} AS value, {r('n / 6.0::DOUBLE')} AS score, 2 AS severity, 'constant_run_ge6h' AS rule FROM sz WHERE n >= 6""")(
+    lambda s, d: quality.flag_flat(_long(s, d, ["rain"]).withColumn("value", F.floor(F.col("value") / 20).cast("double")), KEYS, 6))
+add("flag_night_rad", f"SELECT series, ts, 'rad' AS variable, {r('rad')} AS value, {r('rad / 5')} AS score, 3 AS severity, 'deep_night_radiation_gt5' AS rule FROM dense WHERE (hour(ts) >= 22 OR hour(ts) <= 3) AND rad > 5")(lambda s, d: quality.flag_night(_long(s, d, ["rad"]), KEYS))
+add("level_shift", f""", med AS (SELECT series, variable, season, median(value) AS median FROM long GROUP BY 1, 2, 3), res AS (SELECT l.series, l.variable, CAST(ts AS DATE) AS date, value - median AS residual FROM long l JOIN med USING (series, variable, season)),
+da AS (SELECT series, variable, date, CASE WHEN count(residual) >= 20 THEN median(residual) END AS r FROM res GROUP BY 1, 2, 3),
+sh AS (SELECT *, CASE WHEN count(r) OVER a = 3 THEN quantile_cont(r, 0.5) OVER a END - CASE WHEN count(r) OVER b = 3 THEN quantile_cont(r, 0.5) OVER b END AS shift FROM da
+  WINDOW a AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+lim AS (SELECT series, variable, greatest(quantile_cont(abs(shift), 0.9), 0.1) AS lim FROM sh GROUP BY 1, 2)
+SELECT series, variable, strftime(date, '%Y-%m-%d') AS date, {r('shift')} AS level_shift, {r('lim')} AS "limit" FROM sh JOIN lim USING (series, variable) WHERE abs(shift) > lim""")(lambda s, d: quality.level_shifts(_long(s, d), KEYS, SEASON, dict.fromkeys(("t2m", "rh", "ps", "ws", "rad"), 0.1), days=3, q=0.9).withColumn("date", F.col("date").cast("string")))
+
+
+def _flags(spark, sf_dir):
+    long = _long(spark, sf_dir)
+    return quality.flag_iqr(long, KEYS, SEASON).unionByName(quality.flag_step(_long(spark, sf_dir, ["t2m"]), KEYS, 30.0))
+
+
+_ALL = _DEV + f""", flags AS ({_IQR} UNION ALL SELECT series, ts, 't2m', {r('t2m')}, {r('step / 30')}, 2, 'hourly_jump>30C' FROM (SELECT series, ts, t2m, abs(t2m - lag(t2m) OVER {_W}) AS step FROM dense) WHERE step > 30)
+, cells AS (SELECT series, variable, ts, max(severity) AS severity, max(score) AS score FROM flags GROUP BY 1, 2, 3), ni AS (SELECT *, CASE WHEN date_diff('hour', lag(ts) OVER w, ts) = 1 THEN 0 ELSE 1 END AS new FROM cells WINDOW w AS (PARTITION BY series, variable ORDER BY ts)),
+isl AS (SELECT *, sum(new) OVER (PARTITION BY series, variable ORDER BY ts) AS island FROM ni),
+ev AS (SELECT series, variable, min(ts) AS start, max(ts) AS "end", count(*) AS hours, max(severity) AS severity, max(score) AS score, island FROM isl GROUP BY series, variable, island),
+why AS (SELECT i.series, i.variable, i.island, string_agg(DISTINCT f.rule, '|' ORDER BY f.rule) AS reasons FROM isl i JOIN flags f ON i.series = f.series AND i.variable = f.variable AND i.ts = f.ts GROUP BY 1, 2, 3),
+named AS (SELECT e.series, e.variable, start, "end", hours, severity, score, reasons, printf('E%05d', row_number() OVER (ORDER BY severity DESC, score DESC, e.variable, start, e.series)) AS event_id FROM ev e JOIN why w ON e.series = w.series AND e.variable = w.variable AND e.island = w.island)
+"""
+
+
+def _ranked(spark, sf_dir):
+    flags = _flags(spark, sf_dir).withColumn("score", F.round("score", 8) + 0.0)
+    return quality.ranked_events(quality.events(flags, KEYS), KEYS)
+
+
+add("flags_union", _ALL + "SELECT * FROM flags")(_flags)
+add("flags_by_rule", _ALL + "SELECT rule, count(*) AS n FROM flags GROUP BY rule")(lambda s, d: _flags(s, d).groupBy("rule").agg(F.count(F.lit(1)).alias("n")))
+add("flagged_unique", _ALL + "SELECT DISTINCT series, ts, variable FROM flags")(lambda s, d: _flags(s, d).select("series", "ts", "variable").distinct())
+add("flag_summary", _ALL + f"SELECT (SELECT count(*) FROM cells) AS cells, {r('(SELECT count(*) FROM cells) * 100.0::DOUBLE / ((SELECT count(*) FROM dense) * 5)')} AS pct")(
+    lambda s, d: _flags(s, d).select("series", "ts", "variable").distinct().agg(F.count(F.lit(1)).alias("cells")).crossJoin(dense(s, d).agg(F.count(F.lit(1)).alias("n"))).select("cells", (F.col("cells") * 100 / (F.col("n") * 5)).alias("pct")))
+add("attach_flags", _ALL + "SELECT d.series, d.ts, coalesce(f.names, 'none') AS outlier_flags FROM dense d LEFT JOIN (SELECT series, ts, string_agg(DISTINCT variable, '|' ORDER BY variable) AS names FROM flags GROUP BY 1, 2) f ON d.series = f.series AND d.ts = f.ts")(
+    lambda s, d: quality.attach_flags(dense(s, d), _flags(s, d), KEYS).select("series", "ts", "outlier_flags"))
+add("flag_events", _ALL + "SELECT series, variable, start, \"end\", hours, severity, score, reasons FROM named")(lambda s, d: _ranked(s, d).drop("event_id"))
+add("events_ranked", _ALL + "SELECT * FROM named")(_ranked)
+add("review_pick", _ALL + ", a AS (SELECT * FROM named ORDER BY event_id LIMIT 3), b AS (SELECT * FROM named WHERE severity = 1 ORDER BY event_id LIMIT 3) SELECT *, 'pending' AS decision, '' AS evidence, '' AS reviewer FROM (SELECT * FROM a UNION SELECT * FROM b)")(lambda s, d: quality.review_pick(_ranked(s, d)))
+add("flags_in_event", _ALL + "SELECT f.*, n.event_id FROM flags f JOIN named n ON f.series = n.series AND f.variable = n.variable AND f.ts BETWEEN n.start AND n.\"end\"")(lambda s, d: quality.flags_within(_flags(s, d), _ranked(s, d), KEYS))
+
+# Forecasts.
+add("persistence_forecast", f", fit AS (SELECT avg(t2m) AS m, stddev_pop(t2m) AS s FROM parted WHERE split <> 'none') SELECT series, ts, {r('t2m')} AS predicted FROM parted, fit WHERE split <> 'none'", FEATURED)(
+    lambda s, d: _scaler(s, d)[0].where("split <> 'none'").crossJoin(F.broadcast(_scaler(s, d)[1])).select("series", "ts", forecast.persistence((F.col("t2m") - F.col("target_mean")) / F.col("target_std"), F.col("target_mean"), F.col("target_std")).alias("predicted")))
+_ERR = "abs(\"t2m_t+24h\" - t2m)"
+add("metrics_persistence", f"SELECT series, count({_ERR}) AS n, {r(f'avg({_ERR})')} AS mae, {r(f'sqrt(avg({_ERR} * {_ERR}))')} AS rmse, {r(f'avg(CASE WHEN {_ERR} IS NULL THEN NULL WHEN {_ERR} <= 1 THEN 1 ELSE 0 END) * 100')} AS within_1_pct, {r(f'avg(CASE WHEN {_ERR} IS NULL THEN NULL WHEN {_ERR} <= 2 THEN 1 ELSE 0 END) * 100')} AS within_2_pct FROM featured GROUP BY series", FEATURED)(
+    lambda s, d: forecast.errors(features.add_features(filled(s, d), KEYS, names=NAMES), "t2m_t+24h", "t2m", KEYS))
