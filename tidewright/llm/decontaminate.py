@@ -72,7 +72,7 @@ def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
         hashes = ShingleHashes()
         for batch in batches:
             rows = []
-            for item, text in zip(batch["item_id"], batch["text"], strict=True):
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
                 size = min(window, len(words))
                 k = min(shingle, size)
@@ -80,9 +80,12 @@ def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
                 for at in range(len(words) - size + 1 if words else 0):
                     win = b" ".join(words[at : at + size]).decode()
                     rows += [(item, win, size, k, off, prints[at + off]) for off in range(size - k + 1)]
-            yield pd.DataFrame(rows, columns=["item_id", "win", "size", "k", "off", "hash"])
+            if rows:
+                names = ("item_id", "win", "size", "k", "off", "hash")
+                types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield arrow_batch(None, len(rows), types, **dict(zip(names, zip(*rows, strict=True), strict=True)))
 
-    return benchmark.select(F.col("item_id").cast("string"), "text").mapInPandas(work, "item_id string, win string, size int, k int, off int, hash long")
+    return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(work, "item_id string, win string, size int, k int, off int, hash long")
 
 
 def bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:

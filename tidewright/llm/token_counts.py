@@ -14,14 +14,12 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import written
+from .common import arrow_batch, nullable, written
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -69,19 +67,20 @@ def frequent(docs: DataFrame, model: str | None, known: int, known_bytes: int, s
     def local(batches):
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 counts.update(pre_tokens(text))
-            yield pd.DataFrame({"pre": list(counts), "freq": list(counts.values())})
+            yield arrow_batch(None, len(counts), [pa.string(), pa.int64()], pre=list(counts), freq=list(counts.values()))
 
     def count(batches):
         sp = load(model)
         for batch in batches:
-            yield pd.DataFrame({"pre": batch["pre"], "pieces": pieces_of(sp, batch["pre"].tolist())})
+            pre = batch.column("pre").to_pylist()
+            yield arrow_batch(None, len(pre), [pa.string(), pa.int32()], pre=pre, pieces=pieces_of(sp, pre))
 
     texts = docs.select("text").where("text is not null").sample(min(1.0, sample / max(1, docs.count())), seed=1)
-    summed = texts.mapInPandas(local, "pre string, freq long").where(F.octet_length("pre") <= known_bytes).groupBy("pre").agg(F.sum("freq").alias("freq"))
+    summed = texts.mapInArrow(local, "pre string, freq long").where(F.octet_length("pre") <= known_bytes).groupBy("pre").agg(F.sum("freq").alias("freq"))
     top = summed.where("freq > 1").orderBy(F.desc("freq"), "pre").limit(known).select("pre").repartition(8)
-    return dict(top.mapInPandas(count, "pre string, pieces int").toPandas().itertuples(index=False, name=None))
+    return {r["pre"]: r["pieces"] for r in top.mapInArrow(count, "pre string, pieces int").collect()}
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT, known: int = 300_000, known_bytes: int = 64, sample: int = 20_000) -> DataFrame:
@@ -93,16 +92,15 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(frequent(docs, model, known, known_bytes, sample))
-    others = [f for f in docs.schema.fields if f.name != "text"]
-    names = [f.name for f in others]
-    kept = T.StructType([T.StructField("doc", T.StructType(others)), *T._parse_datatype_string("rid long, n_bytes long, n long, pre string, freq long").fields])
+    names = [c for c in docs.columns if c != "text"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
     def settle(batches):
         # A row's id is its task's partition and its place there: the same in every run of that task.
         pieces, rid = sent.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, rest = [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 text, n, rid = text or "", 0, rid + 1
                 for pre, freq in pre_tokens(text).items():
                     k = pieces.get(pre)
@@ -111,40 +109,30 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
                     else:
                         n += k * freq
                 rows.append((rid, len(text.encode()), n))
-            first = pa.Table.from_pandas(pd.DataFrame(rows, columns=["rid", "n_bytes", "n"]), preserve_index=False)
-            doc = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch[n] for n in names)], names=names) if names else None
-            yield first, doc, rest
-
-    def emit(batches):
-        schema = None
-        for first, doc, rest in settle(batches):
-            n = first.num_rows
-            arrays = [doc, first["rid"].combine_chunks(), first["n_bytes"].combine_chunks(), first["n"].combine_chunks(), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
-            out = pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=["doc", "rid", "n_bytes", "n", "pre", "freq"])
-            schema = out.schema
-            yield out
+            kept = batch.select(names)
+            if rows:
+                rids, sizes, sums = zip(*rows, strict=True)
+                yield arrow_batch(kept, len(rows), types, _rid=rids, n_bytes=sizes, _n=sums, _pre=None, _freq=None)
             for i in range(0, len(rest), 50_000):
                 rids, pres, freqs = zip(*rest[i : i + 50_000], strict=True)
-                m = len(rids)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, doc.type), pa.array(rids, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(pres, pa.string()), pa.array(freqs, pa.int64())], schema=schema)
-
-    def texts(batches):
-        return emit({n: b.column(n) for n in b.schema.names} | {"text": b.column("text").to_pylist()} for b in batches)
+                none = pa.RecordBatch.from_arrays([pa.nulls(len(rids), f.type) for f in kept.schema], names=names) if names else None
+                yield arrow_batch(none, len(rids), types, _rid=rids, n_bytes=None, _n=None, _pre=pres, _freq=freqs)
 
     def count(batches):
         sp = load(model)
         for batch in batches:
             # Rows come sorted by pre-token, so each distinct one of the batch is counted once.
-            codes, distinct = pd.factorize(batch["pre"])
-            yield pd.DataFrame({"rid": batch["rid"], "n": np.array(pieces_of(sp, list(distinct)))[codes] * batch["freq"]})
+            coded = batch.column("pre").dictionary_encode()
+            pieces = np.array(pieces_of(sp, coded.dictionary.to_pylist()), np.int64)[coded.indices.to_numpy()]
+            yield arrow_batch(batch.select(["rid"]), batch.num_rows, [pa.int64()], n=pieces * batch.column("freq").to_numpy())
 
-    settled = written(docs.mapInArrow(texts, kept), "settled_tokens")
-    rest = settled.where("pre is not null").select("rid", "pre", "freq")
+    settled = written(docs.select(*names, "text").mapInArrow(settle, nullable(docs, names, "_rid long, n_bytes long, _n long, _pre string, _freq long")), "settled_tokens")
+    rest = settled.where("_pre is not null").select(F.col("_rid").alias("rid"), F.col("_pre").alias("pre"), F.col("_freq").alias("freq"))
     # A pre-token too long for the table may stand in very many documents, so its rows go to several tasks.
     rest = rest.repartition("pre", F.pmod("rid", F.lit(8))).sortWithinPartitions("pre")
-    more = rest.mapInPandas(count, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("more"))
-    out = settled.where("pre is null").join(more, "rid", "left").withColumn("n_tokens", F.col("n") + F.coalesce("more", F.lit(0)))
-    return out.select(*[F.col("doc")[n].alias(n) for n in names], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    more = rest.mapInArrow(count, "rid long, n long").groupBy(F.col("rid").alias("_rid")).agg(F.sum("n").alias("_more"))
+    out = settled.where("_pre is null").join(more, "_rid", "left").withColumn("n_tokens", F.col("_n") + F.coalesce("_more", F.lit(0)))
+    return out.select(*names, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
