@@ -68,7 +68,7 @@ def nullable(df: DataFrame, names: list[str], more: str) -> T.StructType:
     return T.StructType(kept + T._parse_datatype_string(more).fields)
 
 
-def arrow_batch(kept: pa.RecordBatch | None, n: int, types: list[pa.DataType], **columns) -> pa.RecordBatch:
+def arrow_batch(kept: pa.RecordBatch | None, n: int, types: list[pa.DataType], /, **columns) -> pa.RecordBatch:
     """A batch of kept's columns and then the given ones; without values a column is null. Ids stay as they are: pandas would turn those beside nulls into floats."""
     arrays = list(kept.columns) if kept is not None else []
     names = list(kept.schema.names) if kept is not None else []
@@ -76,3 +76,9 @@ def arrow_batch(kept: pa.RecordBatch | None, n: int, types: list[pa.DataType], *
         arrays.append(pa.nulls(n, kind) if values is None else pa.array(values, kind))
         names.append(name)
     return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less the columns that an operator is about to add, and those with a leading underscore, which operators keep for themselves."""
+    taken = {n.lower() for n in names}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken and not c.startswith("_")])

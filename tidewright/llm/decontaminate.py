@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, nullable, written
+from .common import arrow_batch, nullable, without, written
 
 #: Bytes of words, A-Z lower-cased; every other byte becomes a blank. Bytes beyond ASCII belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -112,7 +112,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     A document word inside any occurrence of a window is hit. Null or empty text has no words, and an item without words
     no windows. Items with equal windows all count. Rows that repeat a doc_id are judged by their own text, a null
     doc_id as any other; repeated item rows count as one item. An empty benchmark leaves every document clean.
+    Columns of docs named as an added one, as rid, hash, pos, lead or around, or with a leading underscore are dropped first.
     """
+    docs = without(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "rid", "hash", "pos", "lead", "around")
     spark = docs.sparkSession
     wins = written(item_windows(benchmark, window, shingle), "item_windows")
     items = wins.select("win", "item_id").distinct()

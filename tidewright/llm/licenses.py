@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, written
+from .common import alnum_words, without, written
 
 #: Fixed values of the contract: phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -89,8 +89,9 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Base labels are those of PHRASES. labels adds those of the templates that some block meets. score is 1 where a
     phrase stands, else the highest containment met, else 0. Null and empty texts have no words and no labels. Rows that
     repeat a doc_id are judged by their own text; a null doc_id is scanned as any other. Columns beside doc_id and text
-    pass unchanged.
+    pass unchanged, but those named as an added one or with a leading underscore are dropped first.
     """
+    docs = without(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     found = template_blocks(docs.select("doc_id", "text"), threshold)
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     found = written(found, "license_blocks")

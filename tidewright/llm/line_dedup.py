@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, new_path, written
+from .common import SPACES, ascii_lower, new_path, without, written
 
 KEY = ["h1", "h2"]
 
@@ -121,8 +121,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batch
     A line's key is the line without white space at its ends, A-Z lower-cased. A key of min_chars code points or more
     that min_docs documents hold keeps its lines only in the documents with the largest doc_id that holds it.
     Null or empty text is one empty line, and its kept text is empty. Rows that share a doc_id count as one document.
-    A row without doc_id keeps all its lines and counts for no key. Columns beside doc_id and text pass unchanged.
+    A row without doc_id keeps all its lines and counts for no key. Columns beside doc_id and text pass unchanged, but those
+    named as an added one or with a leading underscore are dropped first.
     """
+    docs = without(docs, "n_lines", "n_dropped")
     spark = docs.sparkSession
     narrow = docs.select("doc_id", "text")
     store = LineRuns(spark, fanout, min_chars)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, nullable
+from .common import arrow_batch, nullable, without
 
 # Fixed values of the file format: tags, field types' sizes and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -219,12 +219,12 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
     """One row for each page of the files in a binary column, in order, with the other columns beside it.
 
     Adds page (from 0), width, height, bits, samples, compression, predictor, pixels and error. A null, empty or
-    unreadable file gives one row with page null and the reason in error (null for null); pages read before a fault stay.
+    unreadable file gives one row with page null and the reason in error (null for null); pages read before a fault stay. Columns of df
+    named as one of these are dropped first.
     """
-    names = [c for c in df.columns if c != column]
     parts = PAGE_SCHEMA.split(", ")
-    if taken := set(names) & {part.split()[0] for part in parts}:
-        raise ValueError(f"columns of the pages' names: {sorted(taken)}")
+    df = without(df, *[part.split()[0] for part in parts])
+    names = [c for c in df.columns if c != column]
     types = [*[pa.int32()] * 7, pa.binary(), pa.string()]
 
     def read(batches):

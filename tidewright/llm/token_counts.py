@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, nullable, written
+from .common import arrow_batch, nullable, without, written
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -89,7 +89,9 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
     Null text counts as empty, which has no tokens. Each row is counted by its own text, so repeated rows and null ids
     are rows as any other. known and known_bytes bound the table sent to every task (pre-tokens of at most so many
     bytes, from about `sample` documents); what is not in it is joined, so these parameters change no result.
+    Columns of docs named as an added one or with a leading underscore are dropped first.
     """
+    docs = without(docs, "n_bytes", "n_tokens", "over_limit")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(frequent(docs, model, known, known_bytes, sample))
     names = [c for c in docs.columns if c != "text"]

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, without
 
 BUCKETS, DIM, NGRAMS = 1 << 20, 4, (3, 4, 5)
 WINDOW, STEP = 8, 4
@@ -235,7 +235,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE,
 
     The model is fitted on a bounded sample of the labelled rows outside fold 0 and scores every whole text. A text
     without words, null or empty, scores 0. Null ids are scored as any other and count as fold crc32('') mod 5.
-    Equal texts have equal scores. Without labelled rows every score is that of an untrained model, at most 0.5.
+    Equal texts have equal scores. Columns of docs named as an added one are replaced. Without labelled rows every score is that of an untrained model, at most 0.5.
     """
     sample = labelled_sample(docs, labels, "toxic", per_class, chars)
     table, bias = train(sample["text"].tolist(), sample["label"].to_numpy(np.int64)) if len(sample) else (np.zeros(BUCKETS, np.float32), -1.0)
@@ -252,7 +252,7 @@ def apply_scores(docs: DataFrame, scorer: Callable, threshold: float) -> DataFra
             yield pd.Series([model.score(t) for t in texts], dtype="float64")
 
     scored = F.pandas_udf(score, "double")
-    out = docs.withColumns({"held_out": crc_fold(F.col("doc_id")) == 0, "score": scored(F.col("text"))})
+    out = without(docs, "held_out", "score", "predicted").withColumns({"held_out": crc_fold(F.col("doc_id")) == 0, "score": scored(F.col("text"))})
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
