@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,32 +62,10 @@ def fit_horizon(train: DataFrame, validation: DataFrame, features: list[str], ta
             best = i
         elif i - best >= config.patience:
             break
-    return PipelineModel(stages=[assembler, truncated(model, best + 1)])
-
-
-def truncated(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
-    """The model's first n trees."""
-    java = model._java_obj
-    if n >= java.getNumTrees():
-        return model
-    gateway = model._java_obj
-    trees, weights = gateway.trees()[:n], gateway.treeWeights()[:n]
-    cls = model._java_obj.getClass()
-    for maker in cls.getDeclaredConstructors():
-        if maker.getParameterCount() == 4:
-            maker.setAccessible(True)
-            sc = train_context()
-            args = sc._gateway.new_array(sc._jvm.java.lang.Object, 4)
-            args[0], args[1], args[2], args[3] = model.uid, trees, weights, model.numFeatures
-            out = GBTRegressionModel(maker.newInstance(args))
-            return model._copyValues(out) if hasattr(model, "_copyValues") else out
-    return model
-
-
-def train_context():
-    from pyspark import SparkContext
-
-    return SparkContext._active_spark_context
+    if best + 1 < config.trees:
+        # With the same seed the first trees are the same ones.
+        model = gbt.copy({gbt.maxIter: best + 1}).fit(assembler.transform(train.select(*features, target)))
+    return PipelineModel(stages=[assembler, model])
 
 
 def score(model: PipelineModel, rows: DataFrame, target: str | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries by name, bound to the driver's tables, with the SQL that checks them.
 
-The hourly series are made of `events`: one series for each event type, its variables from value and props, with gaps
+The hourly series are made of `events`: one series for each event type and one for all events, their variables from value and props, with gaps
 put in at fixed hours. Doubles are rounded to 8 digits on both sides.
 """
 
@@ -21,18 +21,22 @@ ORACLE_SQL: dict[str, str] = {}
 KEYS = ["series"]
 VARS = ["t2m", "rain", "rh", "ps", "ws", "wd", "rad"]
 NAMES = {"T2M": "t2m", "PRECTOTCORR": "rain", "RH2M": "rh", "PS": "ps", "WS2M": "ws", "WD2M": "wd", "ALLSKY_SFC_SW_DWN": "rad"}
-SEASON = {"season": F.hour("ts")}
 SPLITS = {"train": ("2024-01-01", "2024-01-15 23:00"), "val": ("2024-01-16", "2024-01-22 23:00"), "test": ("2024-01-23", "2024-01-31 23:00")}
 NAMESPACE = __import__("uuid").NAMESPACE_URL
 
 
+def season() -> dict:
+    """The seasons of a table of thirty days: its hours."""
+    return {"season": F.hour("ts")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hours that have events, with the gaps put in."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), axis.hour_of(F.col("ts")).alias("ts"), "value", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+    e = table(spark, sf_dir, "events").select(F.explode(F.array("event_type", F.lit("all"))).alias("series"), axis.hour_of(F.col("ts")).alias("ts"), "value", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
     e = e.groupBy("series", "ts").agg(F.max("value").alias("hi"), F.min("value").alias("lo"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.sum("k").alias("ks"))
     t2m_gap = ((F.day("ts") == 10) & F.hour("ts").between(5, 10)) | ((F.day("ts") % 7 == 3) & (F.hour("ts") == 4))
     wd_gap = (F.day("ts") % 5 == 0) & (F.hour("ts") == 15)
@@ -66,7 +70,7 @@ BASE = """
 WITH e AS (
   SELECT event_type AS series, date_trunc('hour', ts) AS ts, max(value) AS hi, min(value) AS lo,
     min(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)) AS k0, max(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)) AS k1, sum(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)) AS ks
-  FROM events GROUP BY 1, 2
+  FROM (SELECT event_type, ts, value, props FROM events UNION ALL SELECT 'all', ts, value, props FROM events) GROUP BY 1, 2
 ), observed AS (
   SELECT series, ts, CASE WHEN (day(ts) = 10 AND hour(ts) BETWEEN 5 AND 10) OR (day(ts) % 7 = 3 AND hour(ts) = 4) THEN NULL ELSE hi / 10 END AS t2m,
     greatest(hi - 300, 0.0::DOUBLE) / 10 AS rain, k1::DOUBLE AS rh, k0::DOUBLE / 10 + 95 AS ps, lo / 20 AS ws,
@@ -319,7 +323,7 @@ add("month_hour_mean", "SELECT series AS row, " + ", ".join(f"{r(f'avg(t2m) FILT
 add("rain_coverage", f"""SELECT series, date_trunc('month', ts) AS month, {r('sum(rain) FILTER (WHERE is_inserted_hour = 0)')} AS total, count(rain) FILTER (WHERE is_inserted_hour = 0) AS observed, (day(last_day(min(ts))) * 24)::INT AS expected,
 {r("count(rain) FILTER (WHERE is_inserted_hour = 0) * 100.0::DOUBLE / (day(last_day(min(ts))) * 24)")} AS coverage_pct, count(rain) FILTER (WHERE is_inserted_hour = 0) = day(last_day(min(ts))) * 24 AS is_complete FROM dense GROUP BY 1, 2""")(lambda s, d: analytics.month_coverage(dense(s, d), "rain", F.col("is_inserted_hour") == 0, KEYS))
 _Q = ", q AS (SELECT series, variable, season, count(value) AS n, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3, mad(value) AS mad FROM long GROUP BY 1, 2, 3)"
-add("seasonal_thresholds", _Q + f"SELECT series, variable, season, n, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3, {r('mad')} AS mad FROM q")(lambda s, d: analytics.group_thresholds(dense(s, d), KEYS, ["t2m", "rh", "ps", "ws", "rad"], SEASON))
+add("seasonal_thresholds", _Q + f"SELECT series, variable, season, n, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3, {r('mad')} AS mad FROM q")(lambda s, d: analytics.group_thresholds(dense(s, d), KEYS, ["t2m", "rh", "ps", "ws", "rad"], season()))
 add("wet_quantile", f"SELECT series, {r('quantile_cont(rain, 0.999) FILTER (WHERE rain > 0.1)')} AS wet_limit FROM dense GROUP BY 1")(lambda s, d: dense(s, d).groupBy("series").agg(F.percentile(F.when(F.col("rain") > 0.1, F.col("rain")), F.lit(0.999)).alias("wet_limit")))
 add("skew_log1p", " UNION ALL ".join(f"SELECT '{c}' AS variable, {r(f'skewness({c})')} AS skew, {r(f'skewness(ln(1 + {c}))')} AS skew_log1p FROM dense" for c in ("rain", "ws")))(lambda s, d: analytics.skews(dense(s, d), ["rain", "ws"]))
 add("feature_target_corr", " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS target, {r(f'corr({chr(34)}{a}{chr(34)}, {chr(34)}{b}{chr(34)})')} AS r FROM featured" for a in ("t2m", "rh", "ps", "t2m_lag_24h") for b in ("t2m_t+1h", "t2m_t+24h")), FEATURED)(
@@ -346,10 +350,10 @@ add("horizon_difficulty", ", y AS (SELECT rh, " + ", ".join(f"lead(rh, {h}) OVER
 
 # Flags and events.
 _DEV = ", med AS (SELECT series, variable, season, median(value) AS median, mad(value) AS mad, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY 1, 2, 3), dev AS (SELECT l.*, median, mad, q1, q3, abs(value - median) / nullif(1.4826 * mad, 0) AS z FROM long l JOIN med USING (series, variable, season))"
-add("seasonal_robust_z", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('z')} AS score, 1 AS severity, 'seasonal_robust_z>5' AS rule FROM dev WHERE z > 5")(lambda s, d: quality.flag_robust_z(_long(s, d), KEYS, SEASON))
-add("flag_mad", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('0.6745 * abs(value - median) / mad')} AS score, 1 AS severity, 'seasonal_hour_MAD' AS rule FROM dev WHERE mad > 0 AND 0.6745 * abs(value - median) / mad > 3.5")(lambda s, d: quality.flag_mad(_long(s, d), KEYS, SEASON))
+add("seasonal_robust_z", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('z')} AS score, 1 AS severity, 'seasonal_robust_z>5' AS rule FROM dev WHERE z > 5")(lambda s, d: quality.flag_robust_z(_long(s, d), KEYS, season()))
+add("flag_mad", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('0.6745 * abs(value - median) / mad')} AS score, 1 AS severity, 'seasonal_hour_MAD' AS rule FROM dev WHERE mad > 0 AND 0.6745 * abs(value - median) / mad > 3.5")(lambda s, d: quality.flag_mad(_long(s, d), KEYS, season()))
 _IQR = f"SELECT series, ts, variable, {r('value')} AS value, {r('greatest(q1 - value, value - q3) / (q3 - q1)')} AS score, 1 AS severity, 'seasonal_hour_IQR' AS rule FROM dev WHERE q3 > q1 AND greatest(q1 - value, value - q3) > 1.5 * (q3 - q1)"
-add("flag_iqr", _DEV + _IQR)(lambda s, d: quality.flag_iqr(_long(s, d), KEYS, SEASON))
+add("flag_iqr", _DEV + _IQR)(lambda s, d: quality.flag_iqr(_long(s, d), KEYS, season()))
 add("wet_hour_flag", f""", lim AS (SELECT series, quantile_cont(rain, 0.99) FILTER (WHERE rain > 0.1) AS lim FROM dense GROUP BY 1)
 SELECT d.series, d.ts, 'rain' AS variable, {r('rain')} AS value, {r('rain / lim')} AS score, 1 AS severity, 'wet_hour_q99>' || printf('%.2f', lim) AS rule FROM dense d JOIN lim l ON d.series = l.series WHERE rain > lim""")(lambda s, d: quality.flag_wet(_long(s, d, ["rain"]), KEYS, q=0.99))
 add("flag_wet_month", f""", lim AS (SELECT series, month(ts) AS m, quantile_cont(rain, 0.995) AS lim FROM dense WHERE rain > 0.1 GROUP BY 1, 2)
@@ -360,8 +364,8 @@ _JUMP = f""", st AS (SELECT series, ts, season, variable, value, value - lag(val
 lim AS (SELECT series, variable, season, quantile_cont(abs(step), 0.995) AS q FROM st GROUP BY 1, 2, 3),
 j AS (SELECT st.*, greatest(q, CASE variable WHEN 't2m' THEN 5.0 WHEN 'ps' THEN 1.0 ELSE 10.0 END) AS lim FROM st JOIN lim USING (series, variable, season)),
 k AS (SELECT *, coalesce(abs(step) > lim, false) AS large FROM j), n AS (SELECT *, lead(step) OVER w AS next_step, lead(large) OVER w AS next_large FROM k WINDOW w AS (PARTITION BY series, variable ORDER BY ts))"""
-add("flag_jump", _JUMP + f"SELECT series, ts, variable, {r('value')} AS value, {r('abs(step) / lim')} AS score, 2 AS severity, 'large_hourly_jump' AS rule FROM n WHERE large")(lambda s, d: quality.flag_jump(_long(s, d, _FLOORS), KEYS, SEASON, _FLOORS))
-add("flag_spike", _JUMP + f"SELECT series, ts, variable, {r('value')} AS value, {r('abs(step) / lim')} AS score, 3 AS severity, 'isolated_reversing_spike' AS rule FROM n WHERE large AND next_large AND step * next_step < 0")(lambda s, d: quality.flag_spike(_long(s, d, _FLOORS), KEYS, SEASON, _FLOORS))
+add("flag_jump", _JUMP + f"SELECT series, ts, variable, {r('value')} AS value, {r('abs(step) / lim')} AS score, 2 AS severity, 'large_hourly_jump' AS rule FROM n WHERE large")(lambda s, d: quality.flag_jump(_long(s, d, _FLOORS), KEYS, season(), _FLOORS))
+add("flag_spike", _JUMP + f"SELECT series, ts, variable, {r('value')} AS value, {r('abs(step) / lim')} AS score, 3 AS severity, 'isolated_reversing_spike' AS rule FROM n WHERE large AND next_large AND step * next_step < 0")(lambda s, d: quality.flag_spike(_long(s, d, _FLOORS), KEYS, season(), _FLOORS))
 add("flag_flat", f""", z AS (SELECT series, ts, floor(rain / 20) AS value FROM dense), nw AS (SELECT *, CASE WHEN value = lag(value) OVER {_W} THEN 0 ELSE 1 END AS new FROM z), rn AS (SELECT *, sum(new) OVER {_W} AS run FROM nw),
 sz AS (SELECT *, count(*) OVER (PARTITION BY series, run) AS n FROM rn WHERE value IS NOT NULL) SELECT series, ts, 'rain' AS variable, {r('value')} AS value, {r('n / 6.0::DOUBLE')} AS score, 2 AS severity, 'constant_run_ge6h' AS rule FROM sz WHERE n >= 6""")(
     lambda s, d: quality.flag_flat(_long(s, d, ["rain"]).withColumn("value", F.floor(F.col("value") / 20).cast("double")), KEYS, 6))
@@ -371,12 +375,12 @@ da AS (SELECT series, variable, date, CASE WHEN count(residual) >= 20 THEN media
 sh AS (SELECT *, CASE WHEN count(r) OVER a = 3 THEN quantile_cont(r, 0.5) OVER a END - CASE WHEN count(r) OVER b = 3 THEN quantile_cont(r, 0.5) OVER b END AS shift FROM da
   WINDOW a AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
 lim AS (SELECT series, variable, greatest(quantile_cont(abs(shift), 0.9), 0.1) AS lim FROM sh GROUP BY 1, 2)
-SELECT series, variable, strftime(date, '%Y-%m-%d') AS date, {r('shift')} AS level_shift, {r('lim')} AS "limit" FROM sh JOIN lim USING (series, variable) WHERE abs(shift) > lim""")(lambda s, d: quality.level_shifts(_long(s, d), KEYS, SEASON, dict.fromkeys(("t2m", "rh", "ps", "ws", "rad"), 0.1), days=3, q=0.9).withColumn("date", F.col("date").cast("string")))
+SELECT series, variable, strftime(date, '%Y-%m-%d') AS date, {r('shift')} AS level_shift, {r('lim')} AS "limit" FROM sh JOIN lim USING (series, variable) WHERE abs(shift) > lim""")(lambda s, d: quality.level_shifts(_long(s, d), KEYS, season(), dict.fromkeys(("t2m", "rh", "ps", "ws", "rad"), 0.1), days=3, q=0.9).withColumn("date", F.col("date").cast("string")))
 
 
 def _flags(spark, sf_dir):
     long = _long(spark, sf_dir)
-    return quality.flag_iqr(long, KEYS, SEASON).unionByName(quality.flag_step(_long(spark, sf_dir, ["t2m"]), KEYS, 30.0))
+    return quality.flag_iqr(long, KEYS, season()).unionByName(quality.flag_step(_long(spark, sf_dir, ["t2m"]), KEYS, 30.0))
 
 
 _ALL = _DEV + f""", flags AS ({_IQR} UNION ALL SELECT series, ts, 't2m', {r('t2m')}, {r('step / 30')}, 2, 'hourly_jump>30C' FROM (SELECT series, ts, t2m, abs(t2m - lag(t2m) OVER {_W}) AS step FROM dense) WHERE step > 30)
@@ -411,3 +415,13 @@ add("persistence_forecast", f", fit AS (SELECT avg(t2m) AS m, stddev_pop(t2m) AS
 _ERR = "abs(\"t2m_t+24h\" - t2m)"
 add("metrics_persistence", f"SELECT series, count({_ERR}) AS n, {r(f'avg({_ERR})')} AS mae, {r(f'sqrt(avg({_ERR} * {_ERR}))')} AS rmse, {r(f'avg(CASE WHEN {_ERR} IS NULL THEN NULL WHEN {_ERR} <= 1 THEN 1 ELSE 0 END) * 100')} AS within_1_pct, {r(f'avg(CASE WHEN {_ERR} IS NULL THEN NULL WHEN {_ERR} <= 2 THEN 1 ELSE 0 END) * 100')} AS within_2_pct FROM featured GROUP BY series", FEATURED)(
     lambda s, d: forecast.errors(features.add_features(filled(s, d), KEYS, names=NAMES), "t2m_t+24h", "t2m", KEYS))
+add("forecast_trees")(lambda s, d: _trees(s, d))
+
+
+def _trees(spark, sf_dir):
+    """Boosted trees for the next hour, on small settings; a rows-only check, as trees have no SQL form."""
+    inputs, target = ["t2m", "rh", "ps", "hour_sin", "hour_cos", "t2m_lag_1h", "t2m_lag_24h"], "t2m_t+1h"
+    made = features.add_features(filled(spark, sf_dir).where("series = 'all'"), KEYS, names=NAMES)
+    rows = made.select("series", "ts", *inputs, F.col(f"`{target}`").alias("target")).dropna()
+    model = forecast.fit_horizon(rows.where("ts < timestamp_ntz'2024-01-20'"), rows.where("ts >= timestamp_ntz'2024-01-20'"), inputs, "target", forecast.Boosting(trees=5, depth=3, least_rows=5))
+    return forecast.errors(forecast.score(model, rows.where("ts >= timestamp_ntz'2024-01-20'"), "target"), "target", "prediction", KEYS)
