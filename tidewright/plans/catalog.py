@@ -211,7 +211,7 @@ add("lag_features", _FROM_DENSE({k: v for k, v in _FEATURES.items() if "_lag_" i
 add("lead_targets", _FROM_DENSE({k: v for k, v in _FEATURES.items() if "_t+" in k}))(_windowed(lambda w: features.leads("t2m", features.HORIZONS, w)))
 add("diff_features", _FROM_DENSE({k: v for k, v in _FEATURES.items() if "_diff_" in k}))(_windowed(lambda w: {f"ps_diff_{k}h": features.change("ps", k, w) for k in (3, 24)}))
 _CIRC = "(wd - lag(wd) OVER (PARTITION BY series ORDER BY ts) + 180)"
-add("circular_diff", _FROM_DENSE({"turn": f"{_CIRC} - 360 * floor({_CIRC} / 360) - 180"}))(_windowed(lambda w: {"turn": quality.circular_difference(F.col("wd"), F.lag("wd").over(w))}))
+add("circular_diff", _FROM_DENSE({"turn": f"({_CIRC} - 360 * floor({_CIRC} / 360)) % 360 - 180"}))(_windowed(lambda w: {"turn": quality.circular_difference(F.col("wd"), F.lag("wd").over(w))}))
 add("centered_12", _FROM_DENSE({"t2m_mean": "CASE WHEN count(t2m) OVER c = 12 THEN avg(t2m) OVER c END"}) + " WINDOW c AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)")(_windowed(lambda w: {"t2m_mean": features.centred("t2m", 12, w)}))
 add("dewpoint", _FROM_DENSE({"dewpoint": _FEATURES["DEWPOINT"]}))(_windowed(lambda w: {"dewpoint": dewpoint(F.col("t2m"), F.col("rh"))}))
 add("wind_uv", _FROM_DENSE({"u": _FEATURES["WIND_U"], "v": _FEATURES["WIND_V"]}))(_windowed(lambda w: dict(zip("uv", wind_uv(F.col("ws"), F.col("wd")), strict=True))))
