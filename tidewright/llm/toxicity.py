@@ -225,9 +225,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = [F.xxhash64("doc_id", F.lit("sample")), F.col("doc_id")]
     ids = [rows.where(F.col("label") == v).orderBy(*order).limit(per_class) for v in (0, 1)]
     chosen = docs.sparkSession.createDataFrame(sum((part.collect() for part in ids), []), rows.schema)
-    # 2 * per_class rows at most.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= chars)
-    return texts.toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where((F.length("text") > 0) & (F.length("text") <= chars))
+    # Rows that share a doc_id are reduced to one before they leave the tasks: 2 * per_class rows at most.
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return one.toPandas().sort_values("doc_id", ignore_index=True)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, chars: int = SAMPLE_CHARS, threshold: float = THRESHOLD) -> DataFrame:
