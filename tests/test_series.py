@@ -219,7 +219,7 @@ def test_payloads(spark):
     hours = {f"20240101{h:02d}": 1.0 for h in range(23)}
     texts = [("ok", payload_text()), ("lst", payload_text(header={"time_standard": "LST", "fill_value": -999.0})), ("short", payload_text(properties={"parameter": {"T2M": hours}})), ("bad", "{")]
     parsed = payload.parse_payloads(spark.createDataFrame(texts, "id string, json string"))
-    faults = {r["id"]: r["f"] for r in parsed.select("id", payload.payload_faults(parsed, 21.0285, 105.8542, ["T2M"]).alias("f")).collect()}
+    faults = {r["id"]: r["f"] for r in parsed.select("id", payload.payload_faults(21.0285, 105.8542, ["T2M"]).alias("f")).collect()}
     assert faults["ok"] == [] and "time standard is not UTC" in faults["lst"] and faults["bad"]
     expected = payload.hour_keys(payload.month_ranges(spark, "2024-01-01", "2024-01-01"))
     gaps = {r["id"]: (r["missing"], r["unexpected"]) for r in payload.key_difference(payload.hour_values(parsed, ["id"]), expected, ["id"]).collect()}

@@ -42,6 +42,11 @@ def month_coverage(df: DataFrame, column: str, observed: Column, keys: list[str]
     return out.withColumns({"expected": expected, "coverage_pct": F.col("observed") * 100 / expected, "is_complete": F.col("observed") == expected})
 
 
+def complete_months(df: DataFrame, column: str, observed: Column, keys: list[str], per_day: int = 24, ts: str = "ts") -> DataFrame:
+    """The months of month_coverage() in which nothing is missing."""
+    return month_coverage(df, column, observed, keys, per_day, ts).where("is_complete")
+
+
 def climatology(monthly: DataFrame, value: str, keys: list[str], month: str = "month") -> DataFrame:
     """Per calendar month 1 to 12 of monthly values: mean, median, min, max and years; months without any are null."""
     by = monthly.groupBy(*keys, F.month(month).alias("m")).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n_years"))

@@ -89,6 +89,26 @@ def continuity(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     return stepped.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_step") != 1).alias("breaks"), F.max("_step").alias("longest_step"))
 
 
+def audit_axis(df: DataFrame, expected: DataFrame, keys: list[str], order: str, ts: str = "ts") -> DataFrame:
+    """(keys, rows, hours, duplicates, missing, unexpected, in_order, start, end) of source rows against an expected axis.
+
+    `order` is the source's row number, as a table has no order of its own; in_order says that times never go back.
+    """
+    back = F.col(ts) < F.lag(ts).over(W.partitionBy(*keys).orderBy(order))
+    rows = df.select(*keys, ts, back.alias("_back")).groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_back").alias("_back"))
+    both = rows.join(expected.select(*keys, ts).withColumn("_want", F.lit(1)), [*keys, ts], "full")
+    seen, n = F.when(F.col("_n").isNotNull(), F.col(ts)), F.coalesce(F.sum("_n"), F.lit(0))
+    return both.groupBy(*keys).agg(
+        n.alias("rows"), F.count("_n").alias("hours"), (n - F.count("_n")).alias("duplicates"), F.count_if(F.col("_n").isNull()).alias("missing"),
+        F.count_if(F.col("_want").isNull()).alias("unexpected"), (F.coalesce(F.sum("_back"), F.lit(0)) == 0).alias("in_order"), F.min(seen).alias("start"), F.max(seen).alias("end"))
+
+
+def export_invariants(df: DataFrame, expected: DataFrame, keys: list[str], order: str, ts: str = "ts") -> DataFrame:
+    """(keys, unique, in_order, equals_axis): what must hold for rows about to be exported."""
+    found = audit_axis(df, expected, keys, order, ts)
+    return found.select(*keys, (F.col("duplicates") == 0).alias("unique"), "in_order", ((F.col("missing") == 0) & (F.col("unexpected") == 0)).alias("equals_axis"))
+
+
 def chunked(df: DataFrame, fn: Callable[[DataFrame, list[str]], DataFrame], keys: list[str], back: int, ahead: int, hours: int = 4096, ts: str = "ts") -> DataFrame:
     """Applies fn, whose row frames reach at most `back` rows back and `ahead` rows ahead, to pieces of a dense series.
 

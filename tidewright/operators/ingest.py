@@ -34,6 +34,19 @@ WEATHER = (
     Variable("ALLSKY_SFC_SW_DWN", 0.0, 1400.0),
 )
 
+#: The audit profile, which refuses only what is physically impossible; zero pressure is refused too.
+ABOVE_ZERO, NO_LIMIT = 5e-324, float("inf")
+AUDIT = (
+    Variable("T2M", -273.15, NO_LIMIT),
+    Variable("PRECTOTCORR", 0.0, NO_LIMIT),
+    Variable("RH2M", 0.0, 100.0),
+    Variable("PS", ABOVE_ZERO, NO_LIMIT),
+    Variable("WS2M", 0.0, NO_LIMIT),
+    Variable("WD2M", 0.0, 360.0, "circular"),
+    Variable("ALLSKY_SFC_SW_DWN", 0.0, NO_LIMIT),
+)
+AUDIT_FILLS = (-999.0,)
+
 
 def require(df: DataFrame, columns: list[str]) -> None:
     missing = sorted(set(columns) - set(df.columns))
@@ -100,11 +113,11 @@ def to_local(instant: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")))
 
 
-def typed(df: DataFrame, variables: tuple[Variable, ...] = WEATHER) -> DataFrame:
+def typed(df: DataFrame, variables: tuple[Variable, ...] = WEATHER, fills: tuple = FILL_VALUES) -> DataFrame:
     """Text columns to masked doubles; circular variables fold 360 to 0."""
     out = {}
     for v in variables:
-        x = mask_invalid(to_number(F.col(v.name)), v.low, v.high)
+        x = mask_invalid(to_number(F.col(v.name)), v.low, v.high, fills)
         out[v.name] = fold_north(x) if v.kind == "circular" else x
     return df.withColumns(out)
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cyclic, dewpoint, uuid5, wind_uv
 from ..operators import analytics, axis, features, forecast, impute, ingest, quality
+from ..sources import payload
+from . import pipeline
 
 FLAGSHIP = "rolling_24h"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,16 +246,14 @@ def _sequences(spark, sf_dir):
 
 
 # Typing, masking, duplicates.
-_TEXT = """, raw AS (SELECT *, row_number() OVER (ORDER BY series, ts) % 11 AS m FROM observed)
+_TEXT = """, raw AS (SELECT *, date_diff('hour', TIMESTAMP '1970-01-01', ts) % 11 AS m FROM observed)
 , text AS (SELECT series, ts, CASE m WHEN 1 THEN '-999' WHEN 2 THEN ' ' WHEN 3 THEN '1d' WHEN 4 THEN 'abc' WHEN 5 THEN '1e2' WHEN 6 THEN 'inf' WHEN 7 THEN '-99.0' WHEN 8 THEN '360' ELSE ' 12.5 ' END AS cell FROM raw)
 , numbers AS (SELECT *, CASE WHEN regexp_full_match(trim(cell), '[+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF](inity)?)') THEN TRY_CAST(trim(cell) AS DOUBLE) END AS x FROM text)
 """
 
 
 def _text(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    o = observed(spark, sf_dir).withColumn("m", F.row_number().over(W.orderBy("series", "ts")) % 11)
+    o = observed(spark, sf_dir).withColumn("m", axis.hours_between(F.col("ts"), F.lit("1970-01-01").cast("timestamp_ntz")) % 11)
     cell = F.lit(" 12.5 ")
     for m, v in ((1, "-999"), (2, " "), (3, "1d"), (4, "abc"), (5, "1e2"), (6, "inf"), (7, "-99.0"), (8, "360")):
         cell = F.when(F.col("m") == m, v).otherwise(cell)
@@ -284,7 +284,8 @@ add("change_log", ", ".join(["", "x AS (SELECT 1)"]) + f" SELECT d.series, d.ts,
     lambda s, d: ingest.cell_changes(dense(s, d), filled(s, d), ["series", "ts"], ["t2m"]))
 add("compare_versions", "SELECT 't2m' AS variable, count(*) FILTER (WHERE NOT (coalesce(abs(d.t2m - f.t2m) <= 1e-9, false) OR d.t2m IS NOT DISTINCT FROM f.t2m)) AS changed, count(*) FILTER (WHERE d.t2m IS NULL) AS missing_a, count(*) FILTER (WHERE f.t2m IS NULL) AS missing_b FROM dense d JOIN filled f ON d.series = f.series AND d.ts = f.ts", FILLED)(
     lambda s, d: analytics.compare_versions(dense(s, d), filled(s, d), ["series", "ts"], ["t2m"]))
-add("record_id")(lambda s, d: table(s, d, "nation").select("n_nationkey", uuid5(NAMESPACE, F.concat_ws("|", "n_name", "n_nationkey")).alias("record_id")))
+_DIGEST = "SELECT n_nationkey, sha1('" + "".join(f"\\x{b:02X}" for b in NAMESPACE.bytes) + "'::BLOB || encode(n_name || '|' || CAST(n_nationkey AS VARCHAR))) AS d FROM nation"
+add("record_id", f"SELECT n_nationkey, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab', (position(substr(d, 17, 1) IN '0123456789abcdef') - 1) % 4 + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS record_id FROM ({_DIGEST})", "")(lambda s, d: table(s, d, "nation").select("n_nationkey", uuid5(NAMESPACE, F.concat_ws("|", "n_name", "n_nationkey")).alias("record_id")))
 add("lineage", "SELECT event_type AS series, date_trunc('hour', ts) AS ts, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY event_id) AS source_rows FROM events GROUP BY 1, 2", "")(
     lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("series"), axis.hour_of(F.col("ts")).alias("ts")).agg(F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), "|").alias("source_rows")))
 
@@ -331,7 +332,7 @@ add("feature_target_corr", " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' A
 _LAGS = [0, 1, 2, 12, 24, 48]
 add("acf", ", l AS (SELECT series, rh, " + ", ".join(f"lag(rh, {k}) OVER {_W} AS x{k}" for k in _LAGS[1:]) + " FROM dense) SELECT series, 0 AS lag, 1.0::DOUBLE AS acf FROM l GROUP BY series UNION ALL " + " UNION ALL ".join(f"SELECT series, {k} AS lag, {r(f'corr(rh, x{k})')} AS acf FROM l GROUP BY series" for k in _LAGS[1:]))(
     lambda s, d: analytics.autocorrelation(dense(s, d), "rh", _LAGS, KEYS))
-add("acf_168", None)(lambda s, d: analytics.autocorrelation(dense(s, d), "rh", list(range(169)), KEYS))
+add("acf_168", f"SELECT a.series, k::INT AS lag, CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE {r('corr(a.rh, b.rh)')} END AS acf FROM dense a, range(169) t(k), dense b WHERE b.series = a.series AND b.ts = a.ts - INTERVAL 1 HOUR * k GROUP BY 1, k")(lambda s, d: analytics.autocorrelation(dense(s, d), "rh", list(range(169)), KEYS))
 add("histogram", "SELECT 'rh' AS variable, least(floor((rh - lo) * 60 / (hi - lo)), 59)::INT AS bin, count(*) AS n FROM dense, (SELECT min(rh) AS lo, max(rh) AS hi FROM dense) WHERE rh IS NOT NULL GROUP BY 2")(lambda s, d: analytics.histogram(dense(s, d), ["rh"], 60))
 _EDGES = [0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0]
 add("speed_bin_mean", f", t AS (SELECT ws, abs({_CIRC} - 360 * floor({_CIRC} / 360) - 180) AS turn FROM dense) SELECT CASE " + " ".join(f"WHEN ws {'>=' if i == 0 else '>'} {a} AND ws <= {b} THEN {i}" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:], strict=False))) + f" END AS bin, count(*) AS n, {r('avg(turn)')} AS mean_turn FROM t WHERE turn IS NOT NULL AND ws BETWEEN 0 AND 16 GROUP BY 1")(
@@ -409,12 +410,120 @@ add("events_ranked", _ALL + "SELECT * FROM named")(_ranked)
 add("review_pick", _ALL + ", a AS (SELECT * FROM named ORDER BY event_id LIMIT 3), b AS (SELECT * FROM named WHERE severity = 1 ORDER BY event_id LIMIT 3) SELECT *, 'pending' AS decision, '' AS evidence, '' AS reviewer FROM (SELECT * FROM a UNION SELECT * FROM b)")(lambda s, d: quality.review_pick(_ranked(s, d)))
 add("flags_in_event", _ALL + "SELECT f.*, n.event_id FROM flags f JOIN named n ON f.series = n.series AND f.variable = n.variable AND f.ts BETWEEN n.start AND n.\"end\"")(lambda s, d: quality.flags_within(_flags(s, d), _ranked(s, d), KEYS))
 
+# Sources: request months and hour keys, payloads, text files, audits of the axis.
+_MONTH_SQL = "SELECT greatest(DATE '2024-01-31', m::DATE) AS first, least(DATE '2024-03-01', last_day(m::DATE)) AS last FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', INTERVAL 1 MONTH)) AS m)"
+add("month_ranges", f"SELECT strftime(first, '%Y-%m-%d') AS first, strftime(last, '%Y-%m-%d') AS last FROM ({_MONTH_SQL})", "")(
+    lambda s, d: payload.month_ranges(s, "2024-01-31", "2024-03-01").select(F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last")))
+add("hour_keys", f"SELECT strftime(unnest(generate_series(first::TIMESTAMP, last::TIMESTAMP + INTERVAL 23 HOUR, INTERVAL 1 HOUR)), '%Y%m%d%H') AS key FROM ({_MONTH_SQL})", "")(
+    lambda s, d: payload.hour_keys(payload.month_ranges(s, "2024-01-31", "2024-03-01")).select("key"))
+
+
+def _payloads(spark, sf_dir):
+    """One JSON payload for each series and day, with fill values where a value is missing."""
+    hours = observed(spark, sf_dir).withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "key": F.date_format("ts", "yyyyMMddHH")})
+    values = {c: F.map_from_entries(F.collect_list(F.struct("key", F.coalesce(c, F.lit(-999.0))))) for c in ("t2m", "rh")}
+    made = hours.groupBy("series", "day").agg(F.create_map(*[x for c, m in values.items() for x in (F.lit(c), m)]).alias("parameter"))
+    header = F.struct(F.when(F.col("day") != "2024-01-02", "UTC").otherwise("LST").alias("time_standard"), F.lit(-999.0).alias("fill_value"))
+    units = F.create_map(F.lit("t2m"), F.struct(F.lit("C").alias("units")), F.lit("rh"), F.struct(F.lit("%").alias("units")))
+    body = F.struct(header.alias("header"), F.struct(F.array(F.lit(105.8542), F.lit(21.0285)).alias("coordinates")).alias("geometry"), units.alias("parameters"), F.struct("parameter").alias("properties"))
+    return payload.parse_payloads(made.select("series", "day", F.to_json(body).alias("json")))
+
+
+add("json_map_to_wide", f"SELECT series, strftime(ts, '%Y-%m-%d') AS day, ts, {r('coalesce(t2m, -999)')} AS t2m, {r('coalesce(rh, -999)')} AS rh FROM observed")(
+    lambda s, d: payload.payload_rows(_payloads(s, d), ["series", "day"], ["t2m", "rh"]))
+add("payload_key_diff", """SELECT series, strftime(ts, '%Y-%m-%d') AS day, p AS parameter, 23 - count(*) FILTER (WHERE hour(ts) <> 3) AS missing, count(*) FILTER (WHERE hour(ts) = 3) AS unexpected
+FROM observed, (VALUES ('t2m'), ('rh')) v(p) GROUP BY 1, 2, 3""")(lambda s, d: _key_difference(_payloads(s, d)))
+add("payload_faults", "SELECT series, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN strftime(any_value(ts), '%Y-%m-%d') = '2024-01-02' THEN 'time standard is not UTC|' ELSE '' END || 'ps missing in data|ps missing in metadata' AS faults FROM observed GROUP BY 1, 2")(
+    lambda s, d: _payloads(s, d).select("series", "day", F.array_join(payload.payload_faults(21.0285, 105.8542, ["t2m", "rh", "ps"]), "|").alias("faults")))
+add("payload_missing_values", "SELECT series, strftime(ts, '%Y-%m-%d') AS day, p AS parameter, count(*) FILTER (WHERE p = 't2m' AND t2m IS NULL) AS missing FROM observed, (VALUES ('t2m'), ('rh')) v(p) GROUP BY 1, 2, 3")(
+    lambda s, d: payload.hour_values(_payloads(s, d), ["series", "day"]).groupBy("series", "day", "parameter").agg(payload.missing_values(F.lit(-999.0)).alias("missing")))
+add("completeness_check", "SELECT series, count(*) AS rows, count(DISTINCT ts) AS distinct_hours, 720 AS expected, count(*) = 720 AND count(DISTINCT ts) = 720 AS is_complete FROM observed GROUP BY 1")(
+    lambda s, d: payload.completeness(observed(s, d), KEYS, F.lit(30)))
+
+
+def _key_difference(parsed):
+    """Payload hours against all hours of their day but 3 o'clock."""
+    days = parsed.select("day", F.to_date("day").alias("first"), F.to_date("day").alias("last")).distinct()
+    expected = payload.hour_keys(days).where(~F.col("key").endswith("03")).select("day", "key")
+    return payload.key_difference(payload.hour_values(parsed, ["series", "day"]), expected, ["series", "day"])
+
+
+add("scan_raw_text", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 5 = 0 THEN '1d' ELSE c_mktsegment END AS cell FROM customer", "")(lambda s, d: _text_file(s, d))
+
+
+def _text_file(spark, sf_dir):
+    """Customers as a CSV file in the shared folder, read back as text."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/customers-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("c_name"), F.when(F.col("c_custkey") % 5 == 0, "1d").otherwise(F.col("c_mktsegment")).alias("cell"))
+    rows.write.option("header", True).csv(path)
+    return payload.read_text_table(spark, path, ["c_custkey", "c_name", "cell"])
+
+
+_HIDDEN = "count(*) FILTER (WHERE trim(cell) = '') AS blank, count(*) FILTER (WHERE trim(cell) <> '' AND x IS NULL) AS unparseable, count(*) FILTER (WHERE x IN (-999, -99)) AS fill_value, count(*) FILTER (WHERE isinf(x)) AS infinity FROM numbers"
+add("hidden_missing", f"SELECT 'cell' AS variable, {_HIDDEN} UNION ALL SELECT 'series' AS variable, 0, count(*), 0, 0 FROM numbers", BASE + _TEXT)(lambda s, d: ingest.audit_text(_text(s, d), ["cell", "series"]))
+add("audit_rows", "SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_type, h FROM e)) AS exact_duplicate_rows, count(*) - count(DISTINCT h) AS duplicate_timestamps FROM e", "WITH e AS (SELECT event_type, CAST(hour(ts) AS VARCHAR) AS h FROM events) ")(
+    lambda s, d: ingest.row_audit(table(s, d, "events").select("event_type", F.hour("ts").cast("string").alias("h")), "h"))
+add("invalid_to_null_audit", f"SELECT series, ts, {r('CASE WHEN x >= -273.15 AND x <> -999 AND NOT isinf(x) THEN x END')} AS \"T2M\", {r('CASE WHEN x > 0 AND NOT isinf(x) THEN x END')} AS \"PS\", {r('CASE WHEN x = 360 THEN 0 WHEN x BETWEEN 0 AND 360 THEN x END')} AS \"WD2M\" FROM numbers", BASE + _TEXT)(
+    lambda s, d: ingest.typed(_text(s, d).select("series", "ts", *[F.col("cell").alias(v.name) for v in ingest.AUDIT]), ingest.AUDIT, ingest.AUDIT_FILLS).select("series", "ts", "T2M", "PS", "WD2M"))
+
+
+def _source_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), axis.hour_of(F.col("ts")).alias("ts"), "event_id")
+    return e, axis.declared_axis(e, KEYS, "2024-01-01 00:00:00", "2024-01-29 23:00:00")
+
+
+_AXIS = """WITH s AS (SELECT event_type AS series, date_trunc('hour', ts) AS ts, event_id FROM events), b AS (SELECT *, coalesce(ts < lag(ts) OVER (PARTITION BY series ORDER BY event_id), false) AS back FROM s),
+x AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-29 23:00', INTERVAL 1 HOUR)) AS ts),
+a AS (SELECT series, count(*) AS rows, count(DISTINCT ts) AS hours, count(*) - count(DISTINCT ts) AS duplicates, (SELECT count(*) FROM x) - count(DISTINCT ts) FILTER (WHERE ts IN (SELECT ts FROM x)) AS missing,
+  count(DISTINCT ts) FILTER (WHERE ts NOT IN (SELECT ts FROM x)) AS unexpected, NOT bool_or(back) AS in_order, min(ts) AS start, max(ts) AS "end" FROM b GROUP BY 1) """
+add("time_axis_audit", "SELECT * FROM a", _AXIS)(lambda s, d: axis.audit_axis(*_source_rows(s, d), KEYS, "event_id"))
+add("export_invariants", "SELECT series, count(*) = count(DISTINCT ts) AS \"unique\", true AS in_order, true AS equals_axis FROM dense GROUP BY 1")(
+    lambda s, d: axis.export_invariants(dense(s, d), axis.calendar(observed(s, d), KEYS), KEYS, "ts"))
+
+# Months.
+add("complete_months", """, dd AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
+SELECT 1 AS part, date_trunc('month', day)::TIMESTAMP AS month, CAST(sum(n) FILTER (WHERE n >= 2) AS BIGINT) AS total, count(*) FILTER (WHERE n >= 2) AS observed, day(last_day(min(day)))::INT AS expected, 100.0::DOUBLE AS coverage_pct, true AS is_complete
+FROM dd GROUP BY 2 HAVING count(*) FILTER (WHERE n >= 2) = day(last_day(min(day)))""")(
+    lambda s, d: analytics.complete_months(table(s, d, "orders").groupBy(F.lit(1).alias("part"), F.date_trunc("DAY", "o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n")), "n", F.col("n") >= 2, ["part"], 1, "day"))
+add("centered_12m", """, f AS (SELECT l_returnflag AS flag, date_trunc('month', l_shipdate) AS bin, max(l_extendedprice) AS top FROM lineitem GROUP BY 1, 2),
+b AS (SELECT flag, unnest(generate_series(min(bin), max(bin), INTERVAL 1 MONTH)) AS bin FROM f GROUP BY flag)
+SELECT b.flag, b.bin, """ + r("CASE WHEN count(top) OVER c = 12 THEN avg(top) OVER c END") + " AS top_mean FROM b LEFT JOIN f ON b.flag = f.flag AND b.bin = f.bin WINDOW c AS (PARTITION BY b.flag ORDER BY b.bin ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)")(
+    lambda s, d: analytics.resample(table(s, d, "lineitem").withColumnRenamed("l_returnflag", "flag"), "month", {"top": F.max("l_extendedprice")}, ["flag"], "l_shipdate").select("flag", "bin", features.centred("top", 12, axis.by_time(["flag"], "bin")).alias("top_mean")))
+
+# The batch pipeline.
+_BOUNDS = {v.name: (v.low, v.high) for v in ingest.WEATHER}
+_MASKED = ", ".join(f"CASE WHEN {short} BETWEEN {_BOUNDS[long][0]} AND {_BOUNDS[long][1]} THEN {short} END AS {short}" for long, short in NAMES.items())
+CLEANED = FILLED.replace("observed AS (", "measured AS (", 1).replace("), cal AS (", f"), observed AS (SELECT series, ts, {_MASKED} FROM measured\n), cal AS (", 1)
+_CLEAN_COLS = [n for n in NAMES if n != "WD2M"]
+add("clean_pipeline", "SELECT series, ts, " + ", ".join(f"{r(NAMES[n])} AS \"{n}\"" for n in _CLEAN_COLS) + f", {r('sin(radians(wd))')} AS wd_sin, {r('cos(radians(wd))')} AS wd_cos, is_inserted_hour, is_imputed, CASE WHEN is_imputed = 1 THEN concat_ws('|', {', '.join(f'CASE WHEN filled_{v} THEN {chr(39)}{n}{chr(39)} END' for n, v in NAMES.items())}) ELSE 'none' END AS imputed_columns FROM filled", CLEANED)(
+    lambda s, d: _cleaned(s, d).clean.select("series", "ts", *_CLEAN_COLS, F.sin(F.radians("WD2M")).alias("wd_sin"), F.cos(F.radians("WD2M")).alias("wd_cos"), "is_inserted_hour", "is_imputed", "imputed_columns"))
+add("clean_report", "SELECT series, count(*) AS rows, CAST(sum(is_inserted_hour) AS BIGINT) AS inserted_hours, CAST(sum(is_imputed) AS BIGINT) AS imputed_rows, " + ", ".join(f"count(*) FILTER (WHERE filled_{v}) AS \"filled_{n}\", count(*) FILTER (WHERE {v} IS NULL) AS \"missing_{n}\"" for n, v in NAMES.items()) + " FROM filled GROUP BY 1", CLEANED)(lambda s, d: _cleaned(s, d).report)
+
+
+def _cleaned(spark, sf_dir):
+    """The observed hours as text with an offset, cleaned."""
+    o = observed(spark, sf_dir)
+    text = o.select("series", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp"), *[F.coalesce(F.col(v).cast("string"), F.lit("")).alias(n) for n, v in NAMES.items()])
+    return pipeline.clean(text, KEYS, "UTC", validate=False, season=season())
+
+
+_FIT_TRAIN = f", fit AS (SELECT {_FIT} FROM parted WHERE split = 'train')"
+add("model_ready", _FIT_TRAIN + " SELECT series, ts, split, " + ", ".join(f"{r(f'({chr(34)}{c}{chr(34)} - {chr(34)}mean_{c}{chr(34)}) / {chr(34)}std_{c}{chr(34)}')} AS \"{c}\"" for c in _SCALED) + f", {r(chr(34) + 't2m_t+24h' + chr(34))} AS \"t2m_t+24h\" FROM parted, fit", FEATURED)(
+    lambda s, d: pipeline.model_ready(filled(s, d), KEYS, SPLITS, VARS, NAMES)[0].select("series", "ts", "split", *_SCALED, "`t2m_t+24h`"))
+
 # Forecasts.
 add("persistence_forecast", f", fit AS (SELECT avg(t2m) AS m, stddev_pop(t2m) AS s FROM parted WHERE split <> 'none') SELECT series, ts, {r('t2m')} AS predicted FROM parted, fit WHERE split <> 'none'", FEATURED)(
     lambda s, d: _scaler(s, d)[0].where("split <> 'none'").crossJoin(F.broadcast(_scaler(s, d)[1])).select("series", "ts", forecast.persistence((F.col("t2m") - F.col("target_mean")) / F.col("target_std"), F.col("target_mean"), F.col("target_std")).alias("predicted")))
 _ERR = "abs(\"t2m_t+24h\" - t2m)"
 add("metrics_persistence", f"SELECT series, count({_ERR}) AS n, {r(f'avg({_ERR})')} AS mae, {r(f'sqrt(avg({_ERR} * {_ERR}))')} AS rmse, {r(f'avg(CASE WHEN {_ERR} IS NULL THEN NULL WHEN {_ERR} <= 1 THEN 1 ELSE 0 END) * 100')} AS within_1_pct, {r(f'avg(CASE WHEN {_ERR} IS NULL THEN NULL WHEN {_ERR} <= 2 THEN 1 ELSE 0 END) * 100')} AS within_2_pct FROM featured GROUP BY series", FEATURED)(
     lambda s, d: forecast.errors(features.add_features(filled(s, d), KEYS, names=NAMES), "t2m_t+24h", "t2m", KEYS))
+add("accuracy_within", "SELECT " + f"count({_ERR}) AS n, " + ", ".join(f"{r(f'count(*) FILTER (WHERE {_ERR} <= {t}) * 100.0::DOUBLE / count({_ERR})')} AS within_{n}_pct" for t, n in ((0.5, "0_5"), (5, "5"), (10, "10"))) + " FROM featured", FEATURED)(
+    lambda s, d: forecast.errors(features.add_features(filled(s, d), KEYS, names=NAMES), "t2m_t+24h", "t2m", None, (0.5, 5.0, 10.0)).drop("mae", "rmse"))
 add("forecast_trees")(lambda s, d: _trees(s, d))
 
 

@@ -65,7 +65,7 @@ def key_difference(values: DataFrame, expected: DataFrame, keys: list[str]) -> D
     return both.groupBy(*keys, "parameter").agg(F.count_if(F.col("_v").isNull()).alias("missing"), F.count_if(F.col("_w").isNull()).alias("unexpected"))
 
 
-def payload_faults(parsed: DataFrame, latitude: float, longitude: float, parameters: list[str], tolerance: float = 1e-3) -> Column:
+def payload_faults(latitude: float, longitude: float, parameters: list[str], tolerance: float = 1e-3) -> Column:
     """An array of what is wrong with a payload, empty for a sound one; hours are checked by key_difference()."""
     p = F.col("payload")
     spot = p["geometry"]["coordinates"]
@@ -80,7 +80,7 @@ def payload_faults(parsed: DataFrame, latitude: float, longitude: float, paramet
     return F.array_compact(F.array(*faults))
 
 
-def missing_values(values: DataFrame, fill: Column) -> Column:
+def missing_values(fill: Column) -> Column:
     """Counts values that are null or the fill value."""
     return F.count_if(F.col("value").isNull() | (F.col("value") == fill))
 
