@@ -266,6 +266,14 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in scored.sparkSession.createDataFrame([(1, "")], "doc_id long, text string").transform(lambda d: toxicity.score_toxicity(d, labels)).collect()} == {0.0}
 
 
+def test_sample_holds_an_id_once(spark):
+    """Many rows that share a labelled doc_id add one row to the training sample."""
+    df, labels = labelled(spark, lambda rng, words, label: " ".join(words), n=40)
+    more = df.unionByName(df.limit(1).crossJoin(spark.range(300).select("id")).drop("id"))
+    both = [toxicity.labelled_sample(d, labels, "toxic", 1500, 6000) for d in (df, more)]
+    assert both[0]["doc_id"].is_unique and both[0].equals(both[1])
+
+
 def test_quality_held_out(spark):
     df, labels = labelled(spark, lambda rng, words, label: " ".join(words if label else [w.upper() + "!!" for w in words]))
     scored = quality.score_quality(df, labels)
