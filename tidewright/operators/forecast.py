@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -48,13 +50,15 @@ class Boosting:
 def fit_horizon(train: DataFrame, validation: DataFrame, features: list[str], target: str, config: Boosting = Boosting()) -> PipelineModel:
     """Boosted trees for one target, cut back to the number of trees with the least absolute error on the validation rows.
 
-    Trees beyond `patience` after the best one don't count, as if training had stopped there.
+    Trees beyond `patience` after the best one don't count, as if training had stopped there. Without validation rows all trees stay.
     """
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     gbt = GBTRegressor(
         featuresCol="features", labelCol=target, maxIter=config.trees, stepSize=config.rate, maxDepth=config.depth,
         minInstancesPerNode=config.least_rows, featureSubsetStrategy=config.columns_share, lossType="absolute", seed=config.seed)
     model = gbt.fit(assembler.transform(train.select(*features, target)))
+    if validation.isEmpty():
+        return PipelineModel(stages=[assembler, model])
     curve = model.evaluateEachIteration(assembler.transform(validation.select(*features, target)), "absolute")
     best = 0
     for i, error in enumerate(curve):
@@ -74,6 +78,41 @@ def score(model: PipelineModel, rows: DataFrame, target: str | None = None) -> D
     return out.withColumn("abs_error", F.abs(F.col(f"`{target}`") - F.col("prediction"))) if target else out
 
 
+def train_horizons(rows: DataFrame, inputs: list[str], targets: dict[int, str], baseline: Column, config: Boosting = Boosting(), split: str = "split", tolerances: tuple = (1.0, 2.0)) -> DataFrame:
+    """One record for each horizon and split: the trees kept, then n, mae, rmse and within_<tol>_pct of its model and of the baseline.
+
+    `targets` maps each horizon to its column. Every horizon has a model of its own, fitted on all rows of split train and
+    cut back on those of val; rows of split none take no part. Without train rows the models' figures are null.
+    """
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        # Each tree adds to the lineage of the residuals, which MLlib cuts only where it can checkpoint.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    kept = rows.where(F.col(split) != "none").select(split, *[f"`{c}`" for c in [*inputs, *targets.values()]], baseline.alias("_baseline")).persist()
+    fitted = not kept.where(F.col(split) == "train").isEmpty()
+
+    def one(item: tuple[int, str]) -> list:
+        horizon, target = item
+        mine, trees = kept.withColumn("_target", F.col(f"`{target}`")), 0
+        scored = mine.withColumn("prediction", F.lit(None).cast("double"))
+        if fitted:
+            model = fit_horizon(mine.where(F.col(split) == "train"), mine.where(F.col(split) == "val"), inputs, "_target", config)
+            scored, trees = score(model, mine, "_target"), model.stages[-1].getNumTrees
+        base = errors(scored, "_target", "_baseline", [split], tolerances)
+        base = base.select(split, *[F.col(c).alias(c if c == "n" else f"persistence_{c}") for c in base.columns if c != split])
+        own = errors(scored, "_target", "prediction", [split], tolerances).drop("n")
+        return base.join(own, split, "left").select(F.lit(horizon).alias("horizon"), split, F.lit(trees).alias("trees"), "n", *[c for c in own.columns if c != split], *[c for c in base.columns if c.startswith("persistence_")]).collect()
+
+    try:
+        with ThreadPool(len(targets)) as pool:
+            records = [r for part in pool.map(one, targets.items()) for r in part]
+    finally:
+        kept.unpersist()
+    names = ["mae", "rmse", *[f"within_{t:g}_pct".replace(".", "_") for t in tolerances]]
+    schema = f"horizon int, {split} string, trees int, n long, " + ", ".join(f"{c} double" for c in [*names, *[f"persistence_{c}" for c in names]])
+    return spark.createDataFrame(records, schema)
+
+
 def load_model(path: str) -> PipelineModel:
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import AnalysisException
