@@ -54,11 +54,12 @@ def climatology(monthly: DataFrame, value: str, keys: list[str], month: str = "m
     return every.join(by, [*keys, "m"], "left").withColumn("n_years", F.coalesce("n_years", F.lit(0)))
 
 
-def pivot_months(monthly: DataFrame, value: str, month: str = "month") -> DataFrame:
-    """Years down, months 1 to 12 across."""
-    rows = monthly.select(F.year(month).alias("year"), F.month(month).alias("m"), value)
-    out = rows.groupBy("year").pivot("m", list(range(1, 13))).agg(F.first(value))
-    return out.select("year", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)])
+def pivot_months(monthly: DataFrame, value: str, month: str = "month", keys: list[str] | None = None) -> DataFrame:
+    """Years of each of the keys down, months 1 to 12 across."""
+    keys = keys or []
+    rows = monthly.select(*keys, F.year(month).alias("year"), F.month(month).alias("m"), value)
+    out = rows.groupBy(*keys, "year").pivot("m", list(range(1, 13))).agg(F.first(value))
+    return out.select(*keys, "year", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)])
 
 
 def hour_matrix(df: DataFrame, column: str, row: Column, ts: str = "ts") -> DataFrame:

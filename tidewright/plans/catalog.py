@@ -236,6 +236,19 @@ _FIT = ", ".join(f"avg(\"{c}\") AS \"mean_{c}\", {_STD(c)} AS \"std_{c}\"" for c
 add("scaler_fit", "SELECT " + ", ".join(f"{r(f'avg({chr(34)}{c}{chr(34)})')} AS \"mean_{c}\", {r(_STD(c))} AS \"std_{c}\"" for c in _SCALED) + f", {r('avg(t2m)')} AS target_mean, {r('stddev_pop(t2m)')} AS target_std FROM parted WHERE split <> 'none'", FEATURED)(lambda s, d: _scaler(s, d)[1])
 add("scaled_features", f", fit AS (SELECT {_FIT} FROM parted WHERE split <> 'none') SELECT series, ts, " + ", ".join(f"{r(f'({chr(34)}{c}{chr(34)} - {chr(34)}mean_{c}{chr(34)}) / {chr(34)}std_{c}{chr(34)}')} AS \"{c}\"" for c in _SCALED) + " FROM parted, fit", FEATURED)(
     lambda s, d: features.apply_scaler(*_scaler(s, d), _SCALED).select("series", "ts", *_SCALED))
+_ALL_SCALED = features.feature_names(NAMES)["scaled"]
+
+
+def _train_scaler(spark, sf_dir):
+    """The rows and the scaler of all scaled columns, fitted on train rows."""
+    rows = split_rows(spark, sf_dir)
+    return rows, features.fit_scaler(rows, _ALL_SCALED, "t2m", F.col("split") == "train")
+
+
+_FIT_ALL = ", ".join(f"avg(\"{c}\") AS \"mean_{c}\", {_STD(c)} AS \"std_{c}\"" for c in _ALL_SCALED)
+add("scaler_fit_train", "SELECT " + ", ".join(f"{r(f'avg({chr(34)}{c}{chr(34)})')} AS \"mean_{c}\", {r(_STD(c))} AS \"std_{c}\"" for c in _ALL_SCALED) + f", {r('avg(t2m)')} AS target_mean, {r('stddev_pop(t2m)')} AS target_std FROM parted WHERE split = 'train'", FEATURED)(lambda s, d: _train_scaler(s, d)[1])
+add("scaled_features_train", f", fit AS (SELECT {_FIT_ALL} FROM parted WHERE split = 'train') SELECT series, ts, " + ", ".join(f"{r(f'({chr(34)}{c}{chr(34)} - {chr(34)}mean_{c}{chr(34)}) / {chr(34)}std_{c}{chr(34)}')} AS \"{c}\"" for c in _ALL_SCALED) + " FROM parted, fit", FEATURED)(
+    lambda s, d: features.apply_scaler(*_train_scaler(s, d), _ALL_SCALED).select("series", "ts", *_ALL_SCALED))
 add("sequence_windows", "SELECT series, ts, 48 AS n, round(list_sum(list_value(" + ", ".join(f"lag(t2m, {k}) OVER {_W}" for k in range(47, 0, -1)) + ", t2m)), 2) AS total, split FROM parted QUALIFY split <> 'none'", FEATURED)(lambda s, d: _sequences(s, d))
 
 
@@ -319,6 +332,7 @@ SELECT b.flag, b.bin, coalesce(rows, 0) AS rows, """ + r("top") + " AS top FROM
 add("climatology", _MONTHS + f"""SELECT e.flag, e.m, {r('avg(top)')} AS mean, {r('median(top)')} AS median, {r('min(top)')} AS min, {r('max(top)')} AS max, count(top) AS n_years
 FROM (SELECT flag, unnest(range(1, 13))::INT AS m FROM (SELECT DISTINCT flag FROM mon)) e LEFT JOIN mon ON mon.flag = e.flag AND month(mon.month) = e.m GROUP BY 1, 2""")(lambda s, d: analytics.climatology(_monthly(s, d), "top", ["flag"]))
 add("pivot_year_month", _MONTHS + "SELECT year(month) AS year, " + ", ".join(f"{r(f'max(top) FILTER (WHERE month(month) = {m})')} AS m{m}" for m in range(1, 13)) + " FROM mon WHERE flag = 'N' GROUP BY 1")(lambda s, d: analytics.pivot_months(_monthly(s, d).where("flag = 'N'"), "top"))
+add("pivot_year_month_flags", _MONTHS + "SELECT flag, year(month) AS year, " + ", ".join(f"{r(f'max(top) FILTER (WHERE month(month) = {m})')} AS m{m}" for m in range(1, 13)) + " FROM mon GROUP BY 1, 2")(lambda s, d: analytics.pivot_months(_monthly(s, d), "top", keys=["flag"]))
 add("yearly_agg", f"SELECT year(l_shipdate) AS year, {r('min(l_extendedprice)')} AS lo, {r('max(l_extendedprice)')} AS hi, count(*) AS n FROM lineitem GROUP BY 1", "")(lambda s, d: table(s, d, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"), F.count(F.lit(1)).alias("n")))
 add("month_hour_mean", "SELECT series AS row, " + ", ".join(f"{r(f'avg(t2m) FILTER (WHERE hour(ts) = {h})')} AS h{h}" for h in range(24)) + " FROM dense GROUP BY 1")(lambda s, d: analytics.hour_matrix(dense(s, d), "t2m", F.col("series")))
 add("rain_coverage", f"""SELECT series, date_trunc('month', ts) AS month, {r('sum(rain) FILTER (WHERE is_inserted_hour = 0)')} AS total, count(rain) FILTER (WHERE is_inserted_hour = 0) AS observed, (day(last_day(min(ts))) * 24)::INT AS expected,
@@ -329,6 +343,9 @@ add("wet_quantile", f"SELECT series, {r('quantile_cont(rain, 0.999) FILTER (WHER
 add("skew_log1p", " UNION ALL ".join(f"SELECT '{c}' AS variable, {r(f'skewness({c})')} AS skew, {r(f'skewness(ln(1 + {c}))')} AS skew_log1p FROM dense" for c in ("rain", "ws")))(lambda s, d: analytics.skews(dense(s, d), ["rain", "ws"]))
 add("feature_target_corr", " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS target, {r(f'corr({chr(34)}{a}{chr(34)}, {chr(34)}{b}{chr(34)})')} AS r FROM featured" for a in ("t2m", "rh", "ps", "t2m_lag_24h") for b in ("t2m_t+1h", "t2m_t+24h")), FEATURED)(
     lambda s, d: analytics.correlations(features.add_features(filled(s, d), KEYS, names=NAMES), ["t2m", "rh", "ps", "t2m_lag_24h"], ["t2m_t+1h", "t2m_t+24h"]))
+_COLS = features.feature_names(NAMES)
+add("feature_target_corr_train", " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS target, {r(f'corr({chr(34)}{a}{chr(34)}, {chr(34)}{b}{chr(34)})')} AS r FROM train" for a in _COLS["tabular"] for b in _COLS["targets"]), FEATURED + ", train AS (SELECT * FROM parted WHERE split = 'train')")(
+    lambda s, d: analytics.correlations(split_rows(s, d).where("split = 'train'"), _COLS["tabular"], _COLS["targets"]))
 _LAGS = [0, 1, 2, 12, 24, 48]
 add("acf", ", l AS (SELECT series, rh, " + ", ".join(f"lag(rh, {k}) OVER {_W} AS x{k}" for k in _LAGS[1:]) + " FROM dense) SELECT series, 0 AS lag, 1.0::DOUBLE AS acf FROM l GROUP BY series UNION ALL " + " UNION ALL ".join(f"SELECT series, {k} AS lag, {r(f'corr(rh, x{k})')} AS acf FROM l GROUP BY series" for k in _LAGS[1:]))(
     lambda s, d: analytics.autocorrelation(dense(s, d), "rh", _LAGS, KEYS))
