@@ -6,6 +6,10 @@ so all variables share one shuffle.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,15 +177,30 @@ def events(flags: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
 
 
 def ranked_events(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds event_id, E00001 on, by severity and score downwards, then variable, start and keys. One ranking per call: events are few."""
-    w = W.orderBy(F.desc("severity"), F.desc("score"), "variable", "start", *keys)
-    return found.withColumn("event_id", F.format_string("E%05d", F.row_number().over(w)))
+    """Adds event_id, E00001 on, by severity and score downwards, then variable, start and keys.
+
+    Events are dealt to ranges of this order and numbered within each, after as many as the ranges before hold. The ranges
+    are written to the shared folder, as bounds sampled anew would not agree with the counts.
+    """
+    spark = found.sparkSession
+    order = [F.desc("severity"), F.desc("score"), "variable", "start", *keys]
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/events-{uuid.uuid4().hex}"
+    ranges = found.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id())
+    ranges.write.parquet(path)
+    written = spark.read.schema(ranges.schema).parquet(path)
+    counts = sorted(written.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = spark.createDataFrame(list(zip([r["_range"] for r in counts], accumulate((r["n"] for r in counts), initial=0), strict=False)), "_range int, _before long")
+    numbered = written.withColumn("_row", F.row_number().over(W.partitionBy("_range").orderBy(*order))).join(F.broadcast(before), "_range")
+    return numbered.withColumn("event_id", F.format_string("E%05d", F.col("_before") + F.col("_row"))).drop("_range", "_before", "_row")
 
 
 def review_pick(ranked: DataFrame, top: int = 3) -> DataFrame:
     """The top events overall and the top ones of severity 1, each once, with empty fields for a reviewer."""
-    first = ranked.orderBy("event_id").limit(top)
-    mild = ranked.where("severity = 1").orderBy("event_id").limit(top)
+    # As a string E100000 would come before E10001.
+    rank = F.expr("cast(substr(event_id, 2) as bigint)")
+    first = ranked.orderBy(rank).limit(top)
+    mild = ranked.where("severity = 1").orderBy(rank).limit(top)
     picked = first.unionByName(mild).dropDuplicates(["event_id"])
     return picked.withColumns({"decision": F.lit("pending"), "evidence": F.lit(""), "reviewer": F.lit("")})
 
