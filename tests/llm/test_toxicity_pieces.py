@@ -1,0 +1,20 @@
+"""A text read in pieces scores as the whole text."""
+
+import numpy as np
+import pytest
+
+from tidewright.llm import toxicity
+
+
+@pytest.mark.parametrize("piece", [40, 64, 97, 500])
+def test_pieces_score_as_the_whole(monkeypatch, piece):
+    rng = np.random.default_rng(3)
+    scorer = toxicity.Scorer(rng.normal(0, 0.2, toxicity.BUCKETS).astype(np.float32), 0.0)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, n)) for n in (1, 5, 8, 9, 12, 13, 16, 30, 101, 200)] + ["a a a " * 50, "\u00e9t\u00e9 d'hiver " * 30]
+    whole = [scorer.score(t) for t in texts]
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    assert [scorer.score(t) for t in texts] == pytest.approx(whole, abs=1e-9)
+
+
+def test_one_letter_text_scores():
+    assert 0 <= toxicity.Scorer(np.zeros(toxicity.BUCKETS, np.float32), 0.0).score("a") <= 1

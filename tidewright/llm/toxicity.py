@@ -49,7 +49,7 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rolling = np.zeros(len(chars), np.uint64)
     for n in range(1, max(NGRAMS) + 1):
         shifted = np.zeros(len(chars), np.uint64)
-        shifted[: len(chars) - n + 1] = chars[n - 1 :]
+        shifted[: max(0, len(chars) - n + 1)] = chars[n - 1 :]
         rolling = (rolling ^ shifted) * MULTIPLIER
         if n in NGRAMS:
             # A mark alone with one character is the shortest word: its three characters are its only n-gram.
@@ -199,17 +199,24 @@ class Scorer:
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def score(self, text: str | None) -> float:
-        text, at, best = text or "", 0, -np.inf
+        text, at, best, carried = text or "", 0, -np.inf, []
         while at < len(text):
             end = at + PIECE
             if end < len(text):
                 cut = text.rfind(" ", at, end)
                 end = cut if cut > at else end
             words = words_of(text[at:end])
+            if carried and words and words[0] == carried[-1]:
+                words = words[1:]
+            words = carried + words
             if words:
                 total = np.concatenate([[0.0], np.cumsum(self.numbers(words))])
                 starts, ends = windows(len(words))
-                best = max(best, float((total[ends] - total[starts]).max()) * GAIN / WINDOW)
+                # Windows that the piece's end cuts short go on in the next piece.
+                full = len(starts) if end >= len(text) else int((starts + WINDOW <= len(words)).sum())
+                if full:
+                    best = max(best, float((total[ends] - total[starts])[:full].max()) * GAIN / WINDOW)
+                carried = words[full * STEP :]
             at = end
         return float(1 / (1 + np.exp(-np.clip(best + self.bias, -30, 30)))) if np.isfinite(best) else 0.0
 
