@@ -2,10 +2,10 @@
 
 No piece of such a model crosses a pre-token boundary (checked when the model is loaded), so a text's token count is
 the sum, over its distinct pre-tokens, of frequency times pieces. A pre-token is a run of blanks with the run of other
-characters after it, or a line feed. Pieces are counted once for each distinct pre-token of the corpus.
+characters after it, or a line feed. Pieces are counted once for each distinct pre-token of a batch.
 
 A table of frequent pre-tokens, of a fixed number of entries and bytes, goes to every task and settles most frequencies
-in place. The others are shuffled by pre-token, counted there, each distinct one once, and summed by document.
+in place. The others are shuffled by pre-token and salt, counted there, each once in a batch, and summed by document.
 """
 
 from __future__ import annotations
