@@ -94,8 +94,10 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """positions lists a document's training positions, in parts of 10^9, comma-joined."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    places = F.transform("positions", lambda x: F.floor(x * 1e9).cast("string"))
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", F.array_join(places, ",").alias("positions"))
 
 
 SQL = r"""
@@ -106,7 +108,7 @@ WITH sized AS (
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM sized GROUP BY source
 ), weighed AS (
-  SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM sources
+  SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, CAST(CASE (sid - 1) % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0 ELSE 0.5 END AS DOUBLE) AS slope, 3 * source_size AS cap FROM sources
 ), run AS (
   SELECT *, sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight,
     coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(weight) OVER o, 0) AS weight_before
@@ -114,15 +116,26 @@ WITH sized AS (
 ), capped AS (
   SELECT *, cap * (all_weight - weight_before) < (all_size - cap_before) * weight AS is_capped FROM run
 ), targets AS (
-  SELECT source, source_size, CASE WHEN is_capped THEN CAST(cap AS DOUBLE) ELSE
+  SELECT source, source_size, slope, CASE WHEN is_capped THEN CAST(cap AS DOUBLE) ELSE
     CAST((all_size - sum(CASE WHEN is_capped THEN cap ELSE 0 END) OVER ()) * weight AS DOUBLE) / CAST(all_weight - sum(CASE WHEN is_capped THEN weight ELSE 0 END) OVER () AS DOUBLE) END AS target
   FROM capped
 ), placed AS (
-  SELECT k.doc_id, k.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS goal,
+  SELECT k.doc_id, k.key, k.size, t.source_size, t.target, t.slope, CAST(floor(t.target + 0.5) AS BIGINT) AS goal,
     CAST(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - k.size AS BIGINT) AS before
   FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
 ), passed AS (
   SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes FROM placed
+), extended AS (
+  SELECT *, greatest(0, least(size, goal - passes * source_size - before)) AS extra FROM passed
+), copied AS (
+  SELECT *, unnest(CASE WHEN size > 0 THEN range(passes + CASE WHEN extra > 0 THEN 1 ELSE 0 END) ELSE [] END) AS k FROM extended
+), shared AS (
+  SELECT doc_id, key, size, k, slope, (CAST(k * source_size + before AS DOUBLE) + CAST(CASE WHEN k < passes THEN size ELSE extra END AS DOUBLE) / 2) / CAST(greatest(goal, 1) AS DOUBLE) AS share FROM copied
+), located AS (
+  SELECT doc_id, key, size, k, CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END AS position FROM shared
+), listed AS (
+  SELECT doc_id, key, size, string_agg(CAST(CAST(floor(position * 1e9) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS positions FROM located GROUP BY doc_id, key, size
 )
-SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, goal - passes * source_size - before)) AS BIGINT) AS taken FROM passed
+SELECT e.doc_id, e.size, source_size, target, CAST(passes * e.size + extra AS BIGINT) AS taken, coalesce(positions, '') AS positions
+FROM extended e LEFT JOIN listed l ON e.doc_id = l.doc_id AND e.key = l.key
 """
