@@ -1,15 +1,16 @@
-"""Pieces that the corpus operators share: the shared folder, written intermediates and text rules."""
+"""Pieces that the corpus operators share: text rules, Arrow batches, joins with hot keys. Intermediates are written in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import new_path, remove, shared_dir, written
+
+__all__ = ["new_path", "remove", "shared_dir", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White space as the contracts define it, for trimming and as a regular-expression class.
@@ -19,27 +20,6 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and any executor can read it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)
@@ -82,3 +62,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add, and those with a leading underscore, which operators keep for themselves."""
     taken = {n.lower() for n in names}
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken and not c.startswith("_")])
+
+
+def heat_join(left: DataFrame, right: DataFrame, keys: list[str], heat: str, most_hot: int = 2000) -> DataFrame:
+    """Inner join with a right table that holds each key once, beside the number of left's rows that have it (`heat`).
+
+    A key with more than one in most_hot of the rows to be joined would be one task's. There are fewer than most_hot such
+    keys whatever the tables' sizes, so they are broadcast and their rows stay where they are; the others are joined by
+    shuffle. Both tables are read twice, so they should be written ones.
+    """
+    total = right.agg(F.sum(heat)).first()[0] or 0
+    is_hot = F.col(heat).cast("double") * most_hot > F.lit(float(total))
+    hot, cold = (F.broadcast(right.where(is_hot)).drop(heat), right.where(~is_hot).drop(heat))
+    return left.join(hot, keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
