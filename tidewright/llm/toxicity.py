@@ -17,18 +17,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_fold, without
 
 BUCKETS, DIM, NGRAMS = 1 << 20, 4, (3, 4, 5)
 WINDOW, STEP = 8, 4
-WORD = re.compile(r"\w+")
-#: Very long texts are read in pieces of so many characters, cut at white space.
-PIECE = 1 << 20
-#: Bounds of the training sample: documents of each label, and characters of a document.
-SAMPLE, SAMPLE_CHARS = 1500, 6000
+WORD, GAP = re.compile(r"\w+"), re.compile(r"\W")
+#: A very long text is read in pieces of about so many characters, and scores are computed over about so many words at once. Neither changes a score.
+PIECE, BLOCK = 1 << 20, 1 << 16
+#: Bounds of the training sample: documents of each label, and characters of a document, in excerpts of so many.
+SAMPLE, SAMPLE_CHARS, EXCERPT = 1500, 16000, 1000
 THRESHOLD = 0.5
 #: Windows of a clean document that later rounds learn from, and the weight decay of the embeddings.
 HARD, DECAY = 4, 1e-4
@@ -37,8 +37,8 @@ GAIN = np.float32(WINDOW)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of each word of `<word>`, all in one array, and the number of n-grams of each word (at least one)."""
+def ngram_buckets(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (a power of two) of the n-grams of each word of `<word>`, all in one array, and the number of n-grams of each word (at least one)."""
     marked = [f"<{w}>" for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     chars = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -54,7 +54,7 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n in NGRAMS:
             # A mark alone with one character is the shortest word: its three characters are its only n-gram.
             inside = at + n <= ends
-            ids.append((rolling[inside] ^ np.uint64(n)) >> np.uint64(64 - BUCKETS.bit_length() + 1))
+            ids.append((rolling[inside] ^ np.uint64(n)) >> np.uint64(64 - buckets.bit_length() + 1))
             owners.append(word[inside])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
@@ -63,7 +63,10 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(text: str) -> list[str]:
     """The words of a text, one for each run of equal words."""
-    words = WORD.findall(text.lower())
+    return runs_once(WORD.findall(text.lower()))
+
+
+def runs_once(words: list[str]) -> list[str]:
     return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
 
 
@@ -198,52 +201,95 @@ class Scorer:
             known.update(zip(missing, (np.add.reduceat(self.table[grams], starts) / n).tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
-    def score(self, text: str | None) -> float:
-        text, at, best, carried = text or "", 0, -np.inf, []
+    def best(self, bags: list[list[str]]) -> np.ndarray:
+        """The highest window of each bag of words; bags aren't empty."""
+        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
+        total = np.concatenate([[0.0], np.cumsum(self.numbers([w for bag in bags for w in bag]))])
+        n_windows = np.maximum(1, -(-(sizes - WINDOW + STEP) // STEP))
+        first = np.cumsum(n_windows) - n_windows
+        owner = np.repeat(np.arange(len(bags)), n_windows)
+        offsets = np.cumsum(sizes) - sizes
+        starts = offsets[owner] + (np.arange(n_windows.sum()) - first[owner]) * STEP
+        ends = np.minimum(starts + WINDOW, (offsets + sizes)[owner])
+        return np.maximum.reduceat(total[ends] - total[starts], first) * GAIN / WINDOW
+
+    def best_of_long(self, text: str) -> float:
+        """The highest window of a text too long to be read at once: pieces end between words, and windows that a piece cuts short go on in the next."""
+        text, at, best, carried = text.lower(), 0, -np.inf, []
         while at < len(text):
-            end = at + PIECE
-            if end < len(text):
-                cut = text.rfind(" ", at, end)
-                end = cut if cut > at else end
-            words = words_of(text[at:end])
-            if carried and words and words[0] == carried[-1]:
-                words = words[1:]
-            words = carried + words
-            if words:
-                total = np.concatenate([[0.0], np.cumsum(self.numbers(words))])
-                starts, ends = windows(len(words))
-                # Windows that the piece's end cuts short go on in the next piece.
-                full = len(starts) if end >= len(text) else int((starts + WINDOW <= len(words)).sum())
-                if full:
-                    best = max(best, float((total[ends] - total[starts])[:full].max()) * GAIN / WINDOW)
-                carried = words[full * STEP :]
+            gap = GAP.search(text, at + PIECE)
+            end = gap.start() if gap else len(text)
+            words = runs_once(carried[-1:] + WORD.findall(text, at, end))
+            words = carried + words[1:] if carried else words
             at = end
-        return float(1 / (1 + np.exp(-np.clip(best + self.bias, -30, 30)))) if np.isfinite(best) else 0.0
+            full = len(words) if at >= len(text) else max(0, (len(words) - WINDOW) // STEP + 1) * STEP + WINDOW - STEP
+            # The last words are a window of their own only if no window ends with them.
+            if full > WINDOW - STEP or (words and at >= len(text) and best == -np.inf):
+                best = max(best, float(self.best([words[:full]])[0]))
+                carried = words[full - (WINDOW - STEP) :]
+            else:
+                carried = words
+        return best
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Scores to nine digits, so a text's score doesn't depend on those computed beside it."""
+        best, bags, owners, size = np.full(len(texts), -np.inf), [], [], 0
+        for i, text in enumerate(texts):
+            if text and len(text) > PIECE:
+                best[i] = self.best_of_long(text)
+            elif text and (words := words_of(text)):
+                bags.append(words)
+                owners.append(i)
+                size += len(words)
+            if bags and (size >= BLOCK or i == len(texts) - 1):
+                best[owners] = self.best(bags)
+                bags, owners, size = [], [], 0
+        return np.round(np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best + self.bias, -30, 30))), 0.0), 9)
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text])[0])
+
+
+def excerpts(text: Column, chars: int) -> Column:
+    """A text of at most `chars` characters as it is; of a longer one as many excerpts, picked by hash, in their order."""
+    at = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / EXCERPT).cast("int") - 1), lambda i: F.struct(F.xxhash64(F.length(text), i).alias("h"), i.alias("i")))
+    picked = F.array_sort(F.transform(F.slice(F.array_sort(at), 1, max(1, chars // EXCERPT)), lambda x: x["i"]))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(F.transform(picked, lambda i: F.substring(text, i * EXCERPT + 1, F.lit(EXCERPT))), "\n"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> pd.DataFrame:
-    """At most per_class labelled documents for each label, of at most `chars` characters, outside fold 0, with text and label.
+    """At most per_class labelled documents for each label, outside fold 0, with at most `chars` characters of each; doc_id, text and label.
 
-    Taken by hash of doc_id, so every run takes the same ones.
+    Taken by hash of doc_id, so every run takes the same ones; of label rows that disagree on a document the smaller label
+    counts. Candidates come from labels alone, so the texts are read once: more candidates than needed, as some may lack a
+    text, and many more in a second reading only if they don't suffice.
     """
-    rows = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0))
-    fit = docs.select("doc_id", F.length("text").alias("n")).where((F.col("n") > 0) & (F.col("n") <= chars)).select("doc_id")
-    rows = rows.join(fit, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0))
+    known = known.groupBy("doc_id").agg(F.min(label).cast("long").alias("label"))
     order = [F.xxhash64("doc_id", F.lit("sample")), F.col("doc_id")]
-    ids = [rows.where(F.col("label") == v).orderBy(*order).limit(per_class) for v in (0, 1)]
-    chosen = docs.sparkSession.createDataFrame(sum((part.collect() for part in ids), []), rows.schema)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where((F.length("text") > 0) & (F.length("text") <= chars))
-    # Rows that share a doc_id are reduced to one before they leave the tasks: 2 * per_class rows at most.
-    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    return one.toPandas().sort_values("doc_id", ignore_index=True)
+    for most in (per_class + per_class // 4, 32 * per_class):
+        ids = [known.where(F.col("label") == v).orderBy(*order).limit(most).collect() for v in (0, 1)]
+        chosen = docs.sparkSession.createDataFrame(sum(ids, []), known.schema)
+        # 2 * most ids at most are broadcast, and rows that share one are reduced to one before they leave the tasks.
+        texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0)
+        one = texts.groupBy("doc_id").agg(F.min(excerpts(F.col("text"), chars)).alias("text"), F.min("label").alias("label")).withColumn("_h", order[0])
+        best = [one.where(F.col("label") == v).orderBy("_h", "doc_id").limit(per_class) for v in (0, 1)]
+        found = best[0].unionByName(best[1]).drop("_h").toPandas() if most > 2 * per_class else one.toPandas()
+        if "_h" in found:
+            found = found.sort_values(["label", "_h", "doc_id"]).groupby("label", sort=False).head(per_class).drop(columns="_h")
+        if all((found["label"] == v).sum() >= min(per_class, len(part)) or len(part) < most for v, part in enumerate(ids)):
+            break
+    return found.sort_values("doc_id", ignore_index=True)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, chars: int = SAMPLE_CHARS, threshold: float = THRESHOLD) -> DataFrame:
     """Adds held_out, score and predicted to docs.
 
-    The model is fitted on a bounded sample of the labelled rows outside fold 0 and scores every whole text. A text
-    without words, null or empty, scores 0. Null ids are scored as any other and count as fold crc32('') mod 5.
-    Equal texts have equal scores. Columns of docs named as an added one are replaced. Without labelled rows every score is that of an untrained model, at most 0.5.
+    The model is fitted on a bounded sample of the labelled rows outside fold 0 and scores every whole text; how a very
+    long one is read in pieces changes no score. A text without words, null or empty, scores 0. Null ids are scored as any
+    other and count as fold crc32('') mod 5. Equal texts have equal scores, so repeated rows do. Columns of docs named as
+    an added one or with a leading underscore are replaced. An empty table gives an empty one. Without labelled rows every
+    score is that of an untrained model, at most 0.5.
     """
     sample = labelled_sample(docs, labels, "toxic", per_class, chars)
     table, bias = train(sample["text"].tolist(), sample["label"].to_numpy(np.int64)) if len(sample) else (np.zeros(BUCKETS, np.float32), -1.0)
@@ -252,12 +298,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE,
 
 
 def apply_scores(docs: DataFrame, scorer: Callable, threshold: float) -> DataFrame:
-    """Adds held_out, score and predicted; scorer() makes what scores a text, once in each task."""
+    """Adds held_out, score and predicted; scorer() makes what scores texts, once in each task."""
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = scorer()
         for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
+            yield pd.Series(model.scores(texts.tolist()), dtype="float64")
 
     scored = F.pandas_udf(score, "double")
     out = without(docs, "held_out", "score", "predicted").withColumns({"held_out": crc_fold(F.col("doc_id")) == 0, "score": scored(F.col("text"))})
