@@ -1,5 +1,7 @@
 """The corpus operators on small fixtures: against brute force, round trips, held-out accuracy, and odd inputs."""
 
+import hashlib
+import math
 import random
 import re
 import struct
@@ -120,16 +122,67 @@ def test_tiff_codecs_and_pages(spark):
     assert sum(r["doc_id"] == 1 for r in rows) == len(pages) and {r["doc_id"]: r["error"] is None for r in rows if r["page"] is None} == {2: True, 3: False, 4: False, 5: False}
 
 
-def test_tiff_query_round_trip(spark):
-    rows = {r["doc_id"]: r for r in tiff.page_digests(tiff.tiff_pages(tiff.store_texts(odd(spark)).withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)}))).collect()}
-    import hashlib
+def features_by_hand(payload, n_pages):
+    mean = sum(payload) / len(payload)
+    shares = [payload.count(v) / len(payload) for v in set(payload)]
+    return f"pages={n_pages};mean={mean:.3f};entropy={-sum(p * math.log2(p) for p in shares) + 0.0:.3f};values={len(shares)}"
+
 
-    for r in odd(spark).collect():
-        raw = (r["text"] or "").encode()
+def check_tiff_rows(texts, rows):
+    """Every column of op9's rows against the payloads, and each stored form against a second writing of it."""
+    for doc_id, text in texts:
+        raw = (text or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
-        if r["doc_id"] is not None:
-            got = rows[r["doc_id"]]
-            assert (got["n_bytes"], got["payload_bytes"], got["payload_sha256"], got["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = tiff.payload_file(payload)
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        got = rows[doc_id]
+        assert want == tuple(got[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"))
+        assert got["feature"] == features_by_hand(payload, -(-len(payload) // (tiff.ROW * tiff.PAGE_ROWS)))
+
+
+def test_tiff_query_round_trip(spark):
+    stored = lambda d: tiff.store_texts(d).withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    out = tiff.page_digests(tiff.tiff_pages(stored(odd(spark)))).collect()
+    assert len(out) == odd(spark).count()
+    check_tiff_rows([(r["doc_id"], r["text"]) for r in odd(spark).where("doc_id is not null").collect()], {r["doc_id"]: r for r in out})
+    assert tiff.page_digests(tiff.tiff_pages(stored(odd(spark).limit(0)))).count() == 0
+    # A text of many pages goes through every form.
+    file = tiff.payload_file(bytes(range(64)) * 256 * 7)
+    assert {(p["compression"], p["predictor"]) for p in tiff.iter_pages(file)} == {(f["compression"], f.get("predictor", 1)) for f in tiff.FORMS}
+
+
+def test_tiff_rows_of_broken_files(spark):
+    """Files without pages, or whose second page is broken, among whole ones; columns that clash are dropped."""
+    good = tiff.payload_file(b"abc " * 8000)
+    second = [p for p in range(len(good)) if good[p : p + 2] == struct.pack("<H", 10)][-1]
+    late = good[: second + 14] + struct.pack("<HHII", 257, 4, 1, 0) + good[second + 26 :]
+    df = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"II*\0")), (4, bytearray(late)), (None, bytearray(good)), (1, bytearray(good)), (5, bytearray(b""))], "doc_id long, media binary").coalesce(1)
+    pages = tiff.tiff_pages(df.withColumns({"page": F.lit("clash"), "error": F.lit(1)}))
+    assert [(r["page"], r["error"] is None) for r in pages.where("doc_id = 4").collect()] == [(0, True), (1, False)]
+    rows = [(r["doc_id"], r["payload_bytes"]) for r in tiff.page_digests(pages).collect()]
+    assert rows == [(1, 32000), (2, 0), (3, 0), (4, 16384), (None, 32000), (1, 32000), (5, 0)]
+    assert tiff.tiff_pages(df.limit(0)).count() == 0
+
+
+def test_mutated_files_never_raise(spark):
+    """2,000 files with bytes changed or cut off give rows; sizes they name aren't believed."""
+    rng = random.Random(1)
+    pixels = np.frombuffer(rng.randbytes(50 * 37), np.uint8).reshape(50, 37)
+    seeds = [tiff.write_pages([{"pixels": pixels, "compression": c, "predictor": p, **place} for c in tiff.ENCODE for p in (1, 2) for place in ({"rows": 7}, {"tile": 16})]), tiff.payload_file(b"abc " * 1600)]
+    files = []
+    for i in range(2000):
+        b = bytearray(rng.choice(seeds))
+        for _ in range(rng.randrange(1, 12)):
+            b[rng.randrange(len(b)) if rng.random() < 0.5 else max(0, len(b) - 1 - rng.randrange(300))] = rng.choice([0, 255, rng.randrange(256)])
+        files.append((i, b[: rng.randrange(len(b))] if rng.random() < 0.2 else b))
+    df = spark.createDataFrame(files, "doc_id long, media binary")
+    assert tiff.tiff_pages(df).select("doc_id").distinct().count() == 2000
+    one = lambda *fields: b"II*\0\x08\0\0\0" + struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in fields) + bytes(4)
+    base = {256: 8, 257: 8, 258: 8, 259: 1, 273: 0, 277: 1, 278: 8, 279: 64}
+    for change, reason in (({256: 0}, "0 x 8"), ({278: 0}, "8 x 0"), ({256: 1 << 31, 257: 1 << 31}, "parts"), ({256: 1 << 31, 257: 1 << 31, 278: 1 << 31}, "bytes from"), ({266: 2}, "fill order 2"), ({277: 3, 284: 2}, "planar configuration 2"), ({258: 12}, "12 bits"), ({259: 7}, "compression 7"), ({277: 0}, "x 0")):
+        with pytest.raises(ValueError, match=reason):
+            list(tiff.iter_pages(one(*sorted((base | change).items()))))
+    assert len(list(tiff.iter_pages(one(*base.items())))) == 1
 
 
 def test_tokens_equal_the_library(spark):

@@ -1,12 +1,14 @@
 """Media columns, TIFF: a writer for byte payloads and a reader that walks image directories, one row for each page.
 
 The reader takes either byte order, strips or tiles, chunky samples of 8 or 16 bits, and uncompressed, PackBits, LZW or
-deflate data with or without horizontal differencing.
+deflate data with or without horizontal differencing. Files are not trusted: no size a file names is believed beyond
+what its compressed bytes could hold, and whatever can't be read ends in a row with the reason.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,37 +21,41 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, nullable, without
 
 # Fixed values of the file format: tags, field types' sizes and compression codes.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
-TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+TYPE_SIZE = {1: 1, 3: 2, 4: 4, 13: 4}
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 13: "I"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END = 256, 257
 SINGLE = {bytes((i,)): i for i in range(256)}
+#: Bytes that one compressed byte can stand for at most, and the most bytes of a page that the reader makes.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032}
+MOST_PAGE = 1 << 28
+#: Bytes after which a task hands on what it has read or written.
+FLUSH = 4 << 20
+RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i > 2:
-            out += bytes((257 - (j - i), data[i]))
-            i = j
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    out, at = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for i in range(at, end, 128):
+            out.append(min(128, end - i) - 1)
+            out.extend(data[i : min(i + 128, end)])
+
+    for run in RUN.finditer(data):
+        literal(run.start())
+        at = run.end()
+        out.extend((257 - (at - run.start()), data[at - 1]))
+    literal(len(data))
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = MOST_PAGE) -> bytes:
+    """At least `most` bytes, if there are so many: what comes after isn't read."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         k = data[i]
         if k < 128:
             out += data[i + 1 : i + 2 + k]
@@ -63,63 +69,112 @@ def packbits_decode(data: bytes) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """Most significant bit first; the code width grows one code early, as the format asks."""
-    table = dict(SINGLE)
-    bits, n_bits, width, word, out = CLEAR, 9, 9, b"", bytearray()
+    # A string in the table is its prefix's code and its last byte, as one number.
+    table, free, code, codes, resets = {}, 258, -1, [CLEAR], [0]
+    find, emit = table.get, codes.append
     for b in data:
-        longer = word + bytes((b,))
-        if longer in table:
-            word = longer
+        if code < 0:
+            code = b
             continue
-        bits, n_bits = bits << width | table[word], n_bits + width
-        table[longer] = len(table) + 2
-        word = longer[-1:]
-        if len(table) + 2 == 4094:
-            bits, n_bits = bits << width | CLEAR, n_bits + width
-            table, width = dict(SINGLE), 9
-        elif len(table) + 2 >= 1 << width:
-            width += 1
-        while n_bits >= 8:
-            n_bits -= 8
-            out.append(bits >> n_bits & 255)
-        bits &= (1 << n_bits) - 1
-    if word:
-        bits, n_bits = bits << width | table[word], n_bits + width
-        if len(table) + 3 >= 1 << width and width < 12:
-            width += 1
-    bits, n_bits = bits << width | END, n_bits + width
-    pad = -n_bits % 8
-    return bytes(out) + (bits << pad).to_bytes((n_bits + pad) // 8, "big")
-
-
-def lzw_decode(data: bytes) -> bytes:
-    base = [*SINGLE, b"", b""]
-    table, out, width, bits, n_bits, last = list(base), [], 9, 0, 0, b""
-    for b in data:
-        bits, n_bits = (bits << 8 | b) & 0xFFFFFF, n_bits + 8
-        if n_bits < width:
+        key = code << 8 | b
+        longer = find(key)
+        if longer is not None:
+            code = longer
             continue
-        n_bits -= width
-        code = bits >> n_bits & (1 << width) - 1
+        emit(code)
+        table[key] = free
+        free += 1
+        code = b
+        if free == 4094:
+            emit(CLEAR)
+            table.clear()
+            resets.append(len(codes) - 1)
+            free = 258
+    if code >= 0:
+        emit(code)
+    emit(END)
+    return _packed(np.array(codes, np.uint64), np.array(resets))
+
+
+def _packed(codes: np.ndarray, resets: np.ndarray) -> bytes:
+    """The codes' bits. A code's width follows from how many codes came since the last reset."""
+    since = np.arange(len(codes)) - resets[np.searchsorted(resets, np.arange(len(codes)), "right") - 1]
+    # The first code after a reset adds no entry; a reset itself still has the width of the codes before it.
+    at_reset = np.isin(np.arange(len(codes)), resets[1:])
+    since[at_reset] = (np.arange(len(codes)) - resets[np.maximum(0, np.searchsorted(resets, np.arange(len(codes)), "left") - 1)])[at_reset]
+    entries = 257 + np.maximum(0, since - 1) + 1
+    width = np.where(entries >= 2048, 12, np.where(entries >= 1024, 11, np.where(entries >= 512, 10, 9)))
+    width[0] = 9
+    ends = np.cumsum(width)
+    out = np.zeros((int(ends[-1]) + 7) // 8 + 3, np.uint32)
+    first, shift = (ends - width) // 8, 24 - width - (ends - width) % 8
+    bits = codes.astype(np.uint32) << shift.astype(np.uint32)
+    for k in range(3):
+        np.add.at(out, first + k, bits >> np.uint32(16 - 8 * k) & np.uint32(255))
+    return out[: (int(ends[-1]) + 7) // 8].astype(np.uint8).tobytes()
+
+
+#: Width of the code that follows so many codes since a reset: the table has 258 entries and one more for each code but the first.
+WIDTH_AFTER = np.select([np.arange(4096) < 254, np.arange(4096) < 766, np.arange(4096) < 1790], [9, 10, 11], 12)
+
+
+def _codes(raw: np.ndarray, at: int, since: int) -> tuple[list[int], np.ndarray]:
+    """Up to 4096 codes from bit `at` on, as if no reset came, and the bit after each; raw has three bytes 0 at its end."""
+    ends = at + np.cumsum(WIDTH_AFTER[np.minimum(since + np.arange(4096), 4095)])
+    ends = ends[: np.searchsorted(ends, (len(raw) - 3) * 8, "right")]
+    starts = np.concatenate([[at], ends[:-1]])
+    first, width = starts >> 3, ends - starts
+    word = raw[first] << np.uint32(16) | raw[first + 1] << np.uint32(8) | raw[first + 2]
+    return (word >> (24 - width - (starts & 7)).astype(np.uint32) & ((1 << width) - 1).astype(np.uint32)).tolist(), ends
+
+
+def lzw_decode(data: bytes, most: int = MOST_PAGE) -> bytes:
+    """At least `most` bytes, if there are so many: what comes after isn't read."""
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    base = [*SINGLE, b"", b""]
+    table, free, out, made, at, since, last = list(base), 258, [], 0, 0, 0, b""
+    while made < most:
+        codes, ends = _codes(raw, at, since)
+        if not codes:
+            break
+        for i, code in enumerate(codes):
+            if code == CLEAR or code == END:
+                break
+            if last:
+                if code < free:
+                    entry = table[code]
+                elif code == free:
+                    entry = last + last[:1]
+                else:
+                    raise ValueError("LZW code out of order")
+                if free < 4096:
+                    table.append(last + entry[:1])
+                    free += 1
+                last = entry
+            elif code < 256:
+                last = table[code]
+            else:
+                raise ValueError("LZW code out of order")
+            out.append(last)
+            made += len(last)
+            if made >= most:
+                break
+        at = int(ends[i])
         if code == END:
             break
         if code == CLEAR:
-            table, width, last = list(base), 9, b""
-            continue
-        if not last:
-            last = table[code]
+            table, free, since, last = list(base), 258, 0, b""
         else:
-            if code > len(table):
-                raise ValueError("LZW code out of order")
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-            last = entry
-        out.append(last)
-        width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
+            since += i + 1
     return b"".join(out)
 
 
+def inflate(data: bytes, most: int = MOST_PAGE) -> bytes:
+    return zlib.decompressobj().decompress(data, max(1, most))
+
+
 ENCODE = {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda data: zlib.compress(data, 1)}
-DECODE = {NONE: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+DECODE = {NONE: lambda data, most: data, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate}
 
 
 def difference(rows: np.ndarray) -> np.ndarray:
@@ -194,22 +249,38 @@ def iter_pages(data: bytes) -> Iterator[dict]:
 
 
 def _page(data: bytes, tags: dict, order: str) -> dict:
-    width, height = tags[WIDTH][0], tags[HEIGHT][0]
-    bits, samples, code, predictor = tags.get(BITS, (8,))[0], tags.get(SAMPLES, (1,))[0], tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
-    kind = {8: np.dtype("u1"), 16: np.dtype(order + "u2")}.get(bits)
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1)
+    bits, code, predictor = tags.get(BITS, (8,)), one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    kind = {8: np.dtype("u1"), 16: np.dtype(order + "u2")}.get(bits[0]) if len(set(bits)) == 1 else None
     if kind is None or code not in DECODE or predictor not in (1, 2):
-        raise ValueError(f"TIFF with {bits} bits, compression {code}, predictor {predictor}")
+        raise ValueError(f"TIFF with {bits[0]} bits, compression {code}, predictor {predictor}")
+    if one(FILL_ORDER, 1) != 1 or (samples > 1 and one(PLANAR, 1) != 1):
+        raise ValueError(f"TIFF with fill order {one(FILL_ORDER, 1)}, planar configuration {one(PLANAR, 1)}")
     tiled = TILE_OFFSETS in tags
-    w, h = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(height, tags.get(ROWS_PER_STRIP, (height,))[0]))
-    pixels, across = np.zeros((height, width, samples), kind), -(-width // w)
-    for i, (offset, count) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True)):
+    offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    if not width or not height or not samples:
+        raise ValueError(f"TIFF page of {width} x {height} x {samples}")
+    w, h = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+    if not w or not h:
+        raise ValueError(f"TIFF parts of {w} x {h}")
+    across, down = -(-width // w), -(-height // h)
+    if not len(offsets) == len(counts) == across * down:
+        raise ValueError(f"{len(offsets)} offsets and {len(counts)} counts for {across * down} parts")
+    there = sum(max(0, min(count, len(data) - offset)) for offset, count in zip(offsets, counts, strict=True))
+    needed = (across * w * down * h if tiled else width * height) * samples * kind.itemsize
+    if needed > min(MOST_PAGE, there * EXPANSION[code]):
+        raise ValueError(f"TIFF page of {needed} bytes from {there}")
+    pixels = np.zeros((height, width, samples), kind)
+    for i, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
         y, x = i // across * h, i % across * w
         rows = h if tiled else min(h, height - y)
-        part = np.frombuffer(DECODE[code](data[offset : offset + count]), kind, rows * w * samples).reshape(rows, w, samples)
+        n = rows * w * samples
+        part = np.frombuffer(DECODE[code](data[offset : offset + count], n * kind.itemsize), kind, n).reshape(rows, w, samples)
         if predictor == 2:
             part = undifference(part)
         pixels[y : y + rows, x : x + w] = part[: height - y, : width - x]
-    return {"width": width, "height": height, "bits": bits, "samples": samples, "compression": code, "predictor": predictor, "pixels": pixels.tobytes()}
+    return {"width": width, "height": height, "bits": bits[0], "samples": samples, "compression": code, "predictor": predictor, "pixels": pixels.tobytes()}
 
 
 PAGE_SCHEMA = "page int, width int, height int, bits int, samples int, compression int, predictor int, pixels binary, error string"
@@ -219,8 +290,10 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
     """One row for each page of the files in a binary column, in order, with the other columns beside it.
 
     Adds page (from 0), width, height, bits, samples, compression, predictor, pixels and error. A null, empty or
-    unreadable file gives one row with page null and the reason in error (null for null); pages read before a fault stay. Columns of df
-    named as one of these are dropped first.
+    unreadable file gives one row with page null and the reason in error (null for null). Where a later page can't be read,
+    those before it stay, and its row has no pixels but the reason. A page of more than MOST_PAGE bytes is such a fault, as are planes apart, bits in
+    reverse and sizes that the file's bytes can't hold. Repeated rows are read each by itself, null ids pass as any other,
+    and an empty table gives an empty one. Columns of df named as an added one or with a leading underscore are dropped first.
     """
     parts = PAGE_SCHEMA.split(", ")
     df = without(df, *[part.split()[0] for part in parts])
@@ -242,92 +315,117 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
                         rows.append((n, *page.values(), None))
                         at.append(i)
                         n, size = n + 1, size + len(page["pixels"])
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    error = str(e)[:200]
+                        if size > FLUSH:
+                            yield flush()
+                            at, rows, size = [], [], 0
+                except KeyError as e:
+                    error = f"TIFF without tag {e}"
+                except (ValueError, IndexError, OverflowError, struct.error, zlib.error) as e:
+                    error = str(e)[:200] or type(e).__name__
                 if error is not None or not n:
-                    rows.append((*[None] * 8, error))
+                    rows.append((n or None, *[None] * 7, error))
                     at.append(i)
-                if size > 8 << 20:
-                    yield flush()
-                    at, rows, size = [], [], 0
             if rows:
                 yield flush()
 
     return df.select(*names, column).mapInArrow(read, nullable(df, names, PAGE_SCHEMA))
 
 
-#: How op9 lays a payload out: rows of 64 bytes; an LZW page, a PackBits page, then deflate pages, the first of them in tiles.
-ROW, LZW_ROWS, PACK_ROWS, PAGE_ROWS, STRIP_ROWS = 64, 4, 4, 16384, 256
+#: How op9 lays a payload out: rows of 64 bytes in pages of PAGE_ROWS, dealt to these forms in turn: compression, predictor, and strips of so many rows or square tiles.
+ROW, PAGE_ROWS = 64, 256
+FORMS = (
+    {"compression": LZW, "rows": 128}, {"compression": PACKBITS, "tile": ROW}, {"compression": DEFLATE, "predictor": 2, "rows": 100},
+    {"compression": LZW, "predictor": 2, "tile": 32}, {"compression": PACKBITS, "rows": 64}, {"compression": DEFLATE, "tile": 32},
+)
 
 
 def payload_file(payload: bytes) -> bytes:
-    """A file whose pages, read in order, are the payload (a positive multiple of 64 bytes)."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    pages = [{"pixels": rows[:LZW_ROWS], "compression": LZW, "predictor": 2, "rows": 2}]
-    if len(rows) > LZW_ROWS:
-        pages.append({"pixels": rows[LZW_ROWS:][:PACK_ROWS], "compression": PACKBITS, "rows": PACK_ROWS})
-    for y in range(LZW_ROWS + PACK_ROWS, len(rows), PAGE_ROWS):
-        later = y > LZW_ROWS + PACK_ROWS
-        pages.append({"pixels": rows[y : y + PAGE_ROWS], "compression": DEFLATE, "predictor": 1 + later, **({"rows": STRIP_ROWS} if later else {"tile": ROW})})
-    return write_pages(pages)
+    """A file whose pages, read in order, are the payload (a positive multiple of 64 bytes). The first page's form follows from the payload, so short texts too take all forms."""
+    rows, first = np.frombuffer(payload, np.uint8).reshape(-1, ROW), zlib.crc32(payload)
+    return write_pages([{"pixels": rows[y : y + PAGE_ROWS], **FORMS[(first + y // PAGE_ROWS) % len(FORMS)]} for y in range(0, len(rows), PAGE_ROWS)])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) for each row: its UTF-8 text, padded with bytes 0 to a positive multiple of 64, as a TIFF. Null is empty."""
+    """(doc_id, n_bytes, media) for each row: its UTF-8 text, padded with bytes 0 to a positive multiple of 64, as a TIFF.
+
+    Null is empty. Whole texts are stored, however long, one file a row. Repeated rows are stored each, null ids pass as any
+    other, an empty table gives an empty one, and other columns are not read.
+    """
 
     def store(batches):
         for batch in batches:
-            raw = [(t.as_py() or "").encode() for t in batch.column("text")]
-            media = [payload_file(r + bytes(-len(r) % ROW if r else ROW)) for r in raw]
-            yield arrow_batch(batch.select(["doc_id"]), len(raw), [pa.int64(), pa.binary()], n_bytes=[len(r) for r in raw], media=media)
+            at, sizes, media, held = 0, [], [], 0
+            for i, text in enumerate(batch.column("text")):
+                raw = (text.as_py() or "").encode()
+                sizes.append(len(raw))
+                media.append(payload_file(raw + bytes(-len(raw) % ROW if raw else ROW)))
+                held += len(media[-1])
+                if held > FLUSH or i == batch.num_rows - 1:
+                    yield arrow_batch(batch.select(["doc_id"]).slice(at, len(sizes)), len(sizes), [pa.int64(), pa.binary()], n_bytes=sizes, media=media)
+                    at, sizes, media, held = i + 1, [], [], 0
 
     return docs.select("doc_id", "text").mapInArrow(store, nullable(docs, ["doc_id"], "n_bytes long, media binary"))
 
 
+DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+
+
 def page_digests(pages: DataFrame) -> DataFrame:
-    """Folds the pages of each file, which follow each other within a partition, to payload digests and features."""
+    """Folds the pages of each file, which follow each other within a partition, to payload digests and features.
+
+    Takes what tiff_pages() gives; its columns but the page's own stay. An unreadable page adds nothing; without any
+    readable page the digests are those of no bytes and the feature is 'pages=0'.
+    Files may repeat, ids may be null, and no pages give no rows.
+    """
+    page_columns = {part.split()[0] for part in PAGE_SCHEMA.split(", ")}
+    names = [c for c in pages.columns if c not in page_columns]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string()]
 
     def fold(batches):
-        state, out = None, []
+        state, head, done = None, None, []
+
+        def rows():
+            heads, values = zip(*done, strict=True)
+            kept = pa.Table.from_batches([pa.RecordBatch.from_arrays(h.columns, names=names) for h in heads]).combine_chunks().to_batches()[0]
+            return arrow_batch(kept, len(done), types, **dict(zip(("payload_bytes", "payload_sha256", "tail_crc32", "feature"), zip(*values, strict=True), strict=True)))
+
         for batch in batches:
-            heads = batch.select(["page", "doc_id", "n_bytes", "media_bytes", "media_sha256"]).to_pylist()
-            for head, pixels in zip(heads, batch.column("pixels"), strict=True):
-                if head["page"] == 0:
+            kept = batch.select(names)
+            for i, (page, pixels) in enumerate(zip(batch.column("page"), batch.column("pixels"), strict=True)):
+                if not page.as_py():
                     if state is not None:
-                        out.append(state.row())
-                    state = _Fold(head)
-                state.add(pixels.as_py())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), DIGEST_TYPES, strict=True)], names=DIGEST_NAMES)
-                out = []
+                        done.append((head, state.row()))
+                    state, head = _Fold(), kept.slice(i, 1)
+                if pixels.is_valid:
+                    state.add(pixels.as_py())
+            if done:
+                yield rows()
+                done = []
         if state is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(state.row(), DIGEST_TYPES, strict=True)], names=DIGEST_NAMES)
-
-    return pages.mapInArrow(fold, DIGEST_SCHEMA)
-
+            done.append((head, state.row()))
+            yield rows()
 
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-DIGEST_NAMES = [part.split()[0] for part in DIGEST_SCHEMA.split(", ")]
-DIGEST_TYPES = [{"long": pa.int64(), "string": pa.string()}[part.split()[1]] for part in DIGEST_SCHEMA.split(", ")]
+    return pages.mapInArrow(fold, nullable(pages, names, DIGESTS))
 
 
 class _Fold:
-    def __init__(self, row: dict):
-        self.head, self.media = (row["doc_id"], row["n_bytes"]), (row["media_bytes"], row["media_sha256"])
+    def __init__(self):
         self.sha, self.n, self.tail, self.pages, self.counts = hashlib.sha256(), 0, b"", 0, np.zeros(256, np.int64)
 
     def add(self, pixels: bytes) -> None:
         self.sha.update(pixels)
         self.n += len(pixels)
-        self.tail = pixels[-64:]
+        self.tail = (self.tail + pixels[-64:])[-64:]
         self.pages += 1
         self.counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
 
     def row(self) -> tuple:
-        mean = int((self.counts * np.arange(256)).sum()) / self.n
-        share = self.counts[self.counts > 0] / self.n
-        feature = f"pages={self.pages};mean={mean:.3f};entropy={-(share * np.log2(share)).sum() + 0.0:.3f};values={len(share)}"
-        return (*self.head, self.n, self.sha.hexdigest(), zlib.crc32(self.tail), *self.media, feature)
+        feature = "pages=0"
+        if self.n:
+            mean = int((self.counts * np.arange(256)).sum()) / self.n
+            share = self.counts[self.counts > 0] / self.n
+            feature = f"pages={self.pages};mean={mean:.3f};entropy={-(share * np.log2(share)).sum() + 0.0:.3f};values={len(share)}"
+        return self.n, self.sha.hexdigest(), zlib.crc32(self.tail), feature
 
 
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
