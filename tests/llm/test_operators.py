@@ -289,6 +289,52 @@ def test_licenses(spark):
     assert licenses.scan_licenses(odd(spark)).count() == odd(spark).count() and licenses.scan_licenses(odd(spark).limit(0)).count() == 0
 
 
+def licenses_by_hand(text, templates, threshold=0.8):
+    """(labels, best containment) over every block of every template's length."""
+    words, met, best = re.findall(r"[0-9a-z]+", text.lower()), set(), 0.0
+    for label, template in templates:
+        tokens = template.split()
+        want = set(tokens)
+        for at in range(max(1, len(words) - len(tokens) + 1)):
+            share = len(want & set(words[at : at + len(tokens)])) / len(want)
+            if share >= threshold - 1e-9:
+                met.add(label)
+                best = max(best, share)
+    return ",".join(sorted(met)), best
+
+
+def test_licenses_against_brute_force(spark, monkeypatch):
+    """Templates of 1 to 200 words, whole, thinned, stretched and cut, in texts of many blocks."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    templates = [(f"t{n}", " ".join(rng.choices(words if n < 100 else words + [f"x{i}" for i in range(150)], k=n))) for n in (1, 2, 5, 10, 40, 100, 200)] + [("t40", " ".join(rng.sample(words, 40)))]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            parts.append(" ".join(rng.choices(["plain", "prose", "of", *words[:8]], k=rng.randrange(60))))
+            tokens = rng.choice(templates)[1].split()
+            how = rng.randrange(4)
+            if how == 1:
+                tokens = [t for t in tokens if rng.random() < rng.choice([0.75, 0.85, 0.95])]
+            elif how == 2:
+                tokens = [x for t in tokens for x in ([t, "plain"] if rng.random() < 0.15 else [t])]
+            elif how == 3:
+                tokens = tokens[: int(len(tokens) * rng.choice([0.7, 0.79, 0.8, 0.9]))]
+            parts.append(" ".join(tokens))
+        rows.append((i, " ".join(parts), "s"))
+    rows += [(100, " ".join([templates[6][1]] * 9), "s"), (101, templates[6][1], "s"), (102, " ".join(templates[4][1].split()[:39]), "s")]
+    table = spark.createDataFrame([*templates, (None, "plain"), ("none", " ,"), templates[0]], "label string, text string")
+    got = by_id(licenses.scan_licenses(docs(spark, rows), table), "labels", "score")
+    for i, text, _ in rows:
+        assert got[i] == pytest.approx(licenses_by_hand(text, templates)), i
+    assert sum(bool(v[0]) for v in got.values()) > 20
+    assert licenses.scan_licenses(docs(spark, rows), table.limit(0)).where("labels <> ''").count() == 0
+    monkeypatch.setattr(licenses, "MOST_WORDS", 10)
+    with pytest.raises(ValueError, match="distinct words"):
+        licenses.scan_licenses(docs(spark, rows), table)
+
+
 def labelled(spark, make, n=240):
     rng = random.Random(8)
     words = ["".join(rng.choices("aeiou", k=1) + rng.choices("bcdfglmnprst", k=2)) * rng.randrange(1, 3) for _ in range(200)]

@@ -1,18 +1,21 @@
 """License scans: phrases that stand word for word, and an exact set-similarity join of text blocks with license templates.
 
-A block is 2 * stride consecutive words, one starting every stride words, so any passage of stride words or fewer lies
-whole within a block. A template meets a block if the block's word set holds at least `threshold` of the template's.
-Template words are ordered by their frequency over the whole corpus. A block that meets a template of n words at
-a = ceil(threshold * n) of them must hold one of its n - a + 1 rarest (prefix filter), must hold a template words in all
-(length filter), and the rest of both ordered lists from the first shared word on must still reach a (positional
-filter). What passes is verified on the full sets. All of it is DataFrame functions; templates are a fixed small table.
+A template of L words has a block at every place of a text: the L words that start there. It is met where some block's
+word set holds at least `threshold` of the template's. Template words are ordered by how often the whole corpus holds
+them. A block that meets a template of n distinct words at a = ceil(threshold * n) of them must hold one of its
+n - a + 1 rarest (prefix filter), so texts are joined with templates on those words alone; a text must hold a template
+words in all (length filter), and as many from the first shared one on in the template's order (positional filter).
+
+What passes is verified over every block by a sweep. An occurrence of a word adds to a block's distinct words if the
+block starts after the word's occurrence before and at most L - 1 words before this one; so it adds one to all blocks in
+a range of starts, and running sums over the ranges' ends give each block's exact count. The cost follows the number of
+template words in the text. All of it is DataFrame functions, and texts are split once.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import alnum_words, without, written
@@ -28,8 +31,16 @@ TEMPLATES = {
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license",
     "cc-by-notice": "this work is licensed under a creative commons attribution international license",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort "
+        "or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
 }
-STRIDE = 32
+#: Distinct words of all templates at most: they are part of the plan.
+MOST_WORDS = 50_000
 
 
 def base_places(words: Column) -> list[tuple[str, Column, Column, Column]]:
@@ -47,89 +58,100 @@ def base_places(words: Column) -> list[tuple[str, Column, Column, Column]]:
     return places
 
 
-def template_table(spark: SparkSession, threshold: float) -> DataFrame:
-    rows = [(label, sorted(set(text.split())), math.ceil(threshold * len(set(text.split())) - 1e-9)) for label, text in TEMPLATES.items()]
-    return spark.createDataFrame(rows, "label string, words array<string>, least int")
-
-
-def template_blocks(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, th, label, containment) of every template that some block of a document meets, by its best block."""
-    spark = docs.sparkSession
-    vocabulary = sorted({w for text in TEMPLATES.values() for w in text.split()})
-    worded = docs.select("doc_id", F.xxhash64("text").alias("th"), alnum_words(F.col("text")).alias("words"))
-    counts = worded.select(F.explode("words").alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").count()
-    order = spark.createDataFrame([(w,) for w in vocabulary], "word string").join(counts, "word", "left")
-    # One row for each template word at most, a fixed number.
-    ranked = [r["word"] for r in order.orderBy(F.coalesce("count", F.lit(0)), "word").collect()]
-    rank = {w: i for i, w in enumerate(ranked)}
-    templates = [(r["label"], sorted(r["words"], key=rank.get), r["least"]) for r in template_table(spark, threshold).collect()]
-    prefixes = spark.createDataFrame(
-        [(w, label, words, least, i) for label, words, least in templates for i, w in enumerate(words[: len(words) - least + 1])],
-        "word string, label string, template array<string>, least int, i int")
-    rare = sorted({w for _, words, least in templates for w in words[: len(words) - least + 1]})
-    hits = worded.select("doc_id", "th", "words", F.posexplode("words").alias("pos", "word")).where(F.col("word").isin(rare))
-    block = F.floor(F.col("pos") / STRIDE).cast("int")
-    hits = hits.select("doc_id", "th", "word", F.explode(F.array(block, block - 1)).alias("block"), "words").where("block >= 0")
-    held = F.array_distinct(F.slice("words", F.col("block") * STRIDE + 1, F.lit(2 * STRIDE)))
-    held = F.array_intersect(F.array(*map(F.lit, ranked)), held)  # its template words, rarest first
-    hits = hits.select("doc_id", "th", "block", "word", held.alias("held")).dropDuplicates(["doc_id", "th", "block", "word"])
-    pairs = hits.join(F.broadcast(prefixes), "word").where(F.size("held") >= F.col("least"))
-    left = F.least(F.size("template") - F.col("i"), F.size("held") - F.array_position("held", F.col("word")).cast("int") + 1)
-    # The rarest shared word alone starts a pair; it is the first of the template's list that the block holds.
-    first = F.get(F.array_intersect("template", "held"), F.lit(0)) == F.col("word")
-    pairs = pairs.where(first & (left >= F.col("least")))
-    shared = F.size(F.array_intersect("template", "held"))
-    met = pairs.where(shared >= F.col("least")).select("doc_id", "th", "label", (shared / F.size("template")).alias("containment"))
-    return met.groupBy("doc_id", "th", "label").agg(F.max("containment").alias("containment"))
-
-
-def scan_licenses(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to docs.
-
-    Base labels are those of PHRASES. labels adds those of the templates that some block meets. score is 1 where a
-    phrase stands, else the highest containment met, else 0. Null and empty texts have no words and no labels. Rows that
-    repeat a doc_id are judged by their own text; a null doc_id is scanned as any other. Columns beside doc_id and text
-    pass unchanged, but those named as an added one or with a leading underscore are dropped first.
+def default_templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(TEMPLATES.items()), "label string, text string")
+
+
+def ranked_templates(templates: DataFrame, spots: DataFrame, threshold: float) -> DataFrame:
+    """(tid, label, size, words, least): each template with its distinct words, the corpus' rarest first; spots holds their places as (word)."""
+    counts = spots.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    rows = templates.select("tid", "label", F.size("tokens").alias("size"), F.explode(F.array_distinct("tokens")).alias("word")).join(counts, "word", "left")
+    ranked = rows.groupBy("tid", "label", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "word"))).alias("r"))
+    return ranked.select("tid", "label", "size", F.transform("r", lambda x: x["word"]).alias("words"), F.ceil(F.size("r") * threshold - 1e-9).cast("int").alias("least"))
+
+
+def met_templates(rows: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+    """(_rid, _more, _best): the labels of the templates that some block of a row meets, and the highest containment. rows has _rid and _spots."""
+    ranked = written(ranked_templates(templates, rows.select(F.explode("_spots").alias("s")).select("s.word"), threshold), "ranked_templates")
+    n_words = ranked.agg(F.sum(F.size("words") * F.size("words"))).first()[0] or 0
+    # Templates go to every task only if their prefixes, each with its template's words, are a few million words at most.
+    sent = F.broadcast if n_words <= 4_000_000 else lambda df: df
+    prefixes = ranked.select("*", F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("least") + 1)).alias("i", "word"))
+    rare = [r["word"] for r in prefixes.select("word").distinct().collect()]
+    held = rows.where(F.size("_spots") > 0).withColumn("_held", F.array_distinct(F.transform("_spots", lambda s: s["word"])))
+    places = held.select("_rid", "_spots", "_held", F.explode(F.filter("_held", lambda w: w.isin(rare))).alias("word"))
+    pairs = places.join(sent(prefixes), "word")
+    # The first of the template's words that the text holds stands for the pair, so a pair comes up once.
+    shared = F.array_intersect("words", "_held")
+    pairs = pairs.where((F.get(shared, F.lit(0)) == F.col("word")) & (F.size("_held") >= F.col("least")) & (F.size(F.array_intersect(F.slice("words", F.col("i") + 1, F.size("words")), "_held")) >= F.col("least")))
+    found = pairs.select("_rid", "tid", F.inline("_spots")).join(sent(ranked.select("tid", "size", F.explode("words").alias("word"))), ["tid", "word"])
+    before = F.lag("pos").over(W.partitionBy("_rid", "tid", "word").orderBy("pos"))
+    found = found.repartition("_rid", "tid").select("_rid", "tid", "pos", F.greatest(before + 1, F.col("pos") - F.col("size") + 1).alias("start"))
+    ends = found.select("_rid", "tid", F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("step")))))
+    swept = ends.select("_rid", "tid", F.sum("step").over(W.partitionBy("_rid", "tid").orderBy("at")).alias("n"))
+    met = swept.groupBy("_rid", "tid").agg(F.max("n").alias("n")).join(sent(ranked), "tid").where("n >= least")
+    return met.groupBy("_rid").agg(F.collect_set("label").alias("_more"), F.max(F.col("n") / F.size("words")).alias("_best"))
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
+    """The columns of docs without text, and n_words, n_base, first_word, last_word, base_labels, labels and score.
+
+    Base labels are those of PHRASES. labels adds those of the templates (label, text; of any length, by default
+    TEMPLATES) that some block meets. score is 1 where a phrase stands, else the highest containment met, else 0. Null and
+    empty texts have no words and no labels; very long ones are scanned as a whole. Rows that repeat a doc_id are judged
+    each by its own text; a null doc_id is scanned as any other; an empty table gives an empty one. Templates without
+    label or words are left out, repeated ones count once; more than MOST_WORDS distinct words of all of them are refused.
+    Columns beside doc_id and text pass unchanged, but those named as an added one or with a leading underscore are dropped first.
     """
+    spark = docs.sparkSession
     docs = without(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    found = template_blocks(docs.select("doc_id", "text"), threshold)
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
-    found = written(found, "license_blocks")
-    rows = docs.withColumns({"_words": alnum_words(F.col("text")), "_key": F.xxhash64("text")})
+    names = [c for c in docs.columns if c != "text"]
+    given = default_templates(spark) if templates is None else templates
+    given = given.where("label is not null").select("label", alnum_words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).distinct()
+    given = written(given.withColumn("tid", F.monotonically_increasing_id()), "license_templates")
+    known = [r["word"] for r in given.select(F.explode("tokens").alias("word")).distinct().limit(MOST_WORDS + 1).collect()]
+    if len(known) > MOST_WORDS:
+        raise ValueError(f"templates of more than {MOST_WORDS} distinct words")
+    rows = docs.withColumn("_words", alnum_words(F.col("text")))
     places = base_places(F.col("_words"))
     labels = F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for label, n, _, _ in places]))
-    rows = rows.select(
-        *docs.columns, "_key", F.size("_words").cast("long").alias("n_words"), sum((n for _, n, _, _ in places), F.lit(0).cast("long")).alias("n_base"),
-        F.least(*[first for _, _, first, _ in places]).alias("first_word"), F.greatest(*[last for _, _, _, last in places]).alias("last_word"), labels.alias("_base"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
+    spots = F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(known), F.struct(i.alias("pos"), w.alias("word")))))
+    rows = written(rows.select(
+        *names, F.size("_words").cast("long").alias("n_words"), sum((n for _, n, _, _ in places), F.lit(0).cast("long")).alias("n_base"),
+        F.least(*[first for _, _, first, _ in places]).alias("first_word"), F.greatest(*[last for _, _, _, last in places]).alias("last_word"),
+        labels.alias("_base"), spots.alias("_spots"), F.monotonically_increasing_id().alias("_rid")), "license_words")
+    found = met_templates(rows.select("_rid", "_spots"), given, threshold)
+    rows = rows.drop("_spots").join(found, "_rid", "left")
     return rows.select(
-        *docs.columns, "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("_base"), ",").alias("base_labels"),
+        *names, "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("_base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan_licenses(docs).drop("text")
+    return scan_licenses(docs)
 
 
 def _sql() -> str:
     phrases = ", ".join(f"(['{phrase.replace(' ', chr(39) + ',' + chr(39))}'], '{label}')" for phrase, label in PHRASES)
-    templates = ", ".join(f"(list_distinct(string_split('{text}', ' ')), '{label}')" for label, text in TEMPLATES.items())
+    templates = ", ".join(f"(string_split('{text}', ' '), '{label}')" for label, text in TEMPLATES.items())
     return rf"""
 WITH worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
-), phrases(phrase, label) AS (VALUES {phrases}), templates(template, label) AS (VALUES {templates}),
+), phrases(phrase, label) AS (VALUES {phrases}), templates(tokens, label) AS (VALUES {templates}),
 places AS (
   SELECT doc_id, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1] = phrase[1] AND words[i + 1:i + len(phrase)] = phrase)) AS pos FROM worded, phrases
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places GROUP BY doc_id
+), spots AS (
+  SELECT doc_id, label, len(tokens) AS size, len(list_distinct(tokens)) AS n, pos, word
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM worded) w JOIN (SELECT label, tokens, unnest(list_distinct(tokens)) AS word FROM templates) t USING (word)
 ), blocks AS (
-  SELECT doc_id, list_distinct(words[b * {STRIDE} + 1:b * {STRIDE} + {2 * STRIDE}]) AS held FROM (
-    SELECT doc_id, words, unnest(range(len(words) // {STRIDE} + 1)) AS b FROM worded) x
+  SELECT a.doc_id, a.label, a.n, count(DISTINCT b.word) AS shared FROM spots a JOIN spots b ON a.doc_id = b.doc_id AND a.label = b.label AND b.pos >= a.pos AND b.pos < a.pos + a.size
+  GROUP BY a.doc_id, a.label, a.n, a.pos
 ), met AS (
-  SELECT doc_id, label, max(len(list_intersect(template, held))::DOUBLE / len(template)) AS containment
-  FROM blocks, templates WHERE len(list_intersect(template, held)) >= ceil(0.8 * len(template) - 1e-9) GROUP BY doc_id, label
+  SELECT doc_id, label, max(shared::DOUBLE / n) AS containment FROM blocks WHERE shared >= ceil(0.8 * n - 1e-9) GROUP BY doc_id, label
 ), all_labels AS (
   SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels, max(containment) AS best FROM (
     SELECT doc_id, label, max(containment) AS containment FROM (SELECT * FROM met UNION ALL SELECT doc_id, label, 1.0 FROM places) GROUP BY doc_id, label) GROUP BY doc_id
