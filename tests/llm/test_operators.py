@@ -194,6 +194,10 @@ def test_tokens_equal_the_library(spark):
         out = token_counts.count_tokens(docs(spark, rows), known=known).collect()
         assert sorted((r["doc_id"] or -1, r["n_tokens"], r["n_bytes"]) for r in out) == sorted((i or -1, len(sp.encode(t or "")), len((t or "").encode())) for i, t, _ in rows)
     assert token_counts.count_tokens(odd(spark).limit(0)).count() == 0
+    # Pre-tokens too long for the shortcut and for a key, in many documents and in one.
+    long = ["é" * 300, "x" * 5000, "y" * 257]
+    wide = [(i, f"{long[0]} {long[1]}\n{long[i % 3]}", "s") for i in range(60)] + [(99, long[2] + "\n" * 300, "s")]
+    assert by_id(token_counts.count_tokens(docs(spark, wide)), "n_tokens") == {i: (len(sp.encode(t)),) for i, t, _ in wide}
     assert {r["over_limit"] for r in token_counts.count_tokens(odd(spark)).where("doc_id = 3").collect()} == {True}
 
 

@@ -1,11 +1,13 @@
 """Token counts from pre-token frequencies, for a sentencepiece BPE model.
 
 No piece of such a model crosses a pre-token boundary (checked when the model is loaded), so a text's token count is
-the sum, over its distinct pre-tokens, of frequency times pieces. A pre-token is a run of blanks with the run of other
-characters after it, or a line feed. Pieces are counted once for each distinct pre-token of a batch.
+the sum, over its distinct pre-tokens, of frequency times pieces; ids are never made. A pre-token is a run of blanks with
+the run of other characters after it, or a line feed.
 
-A table of frequent pre-tokens, of a fixed number of entries and bytes, goes to every task and settles most frequencies
-in place. The others are shuffled by pre-token and salt, counted there, each once in a batch, and summed by document.
+Each document gives the frequencies of its pre-tokens. The distinct ones form a table in which the pieces of each are
+counted once; it is joined to the frequencies, and the products are summed by document. As a shortcut, a table of
+frequent pre-tokens, of a fixed number of entries and bytes, goes to every task and settles most frequencies in place, so
+only the others take part in the join. It changes no count.
 """
 
 from __future__ import annotations
@@ -13,13 +15,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, nullable, without, written
+from .common import arrow_batch, heat_join, nullable, without, written
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -61,6 +62,18 @@ def pieces_of(sp, pre: list[str]) -> list[int]:
     return [len(ids) - 2 for ids in sp.encode(["\n" + p for p in pre], num_threads=1)]
 
 
+def with_pieces(pres: DataFrame, model: str | None) -> DataFrame:
+    """Adds pieces to the columns of a table of distinct pre-tokens (pre)."""
+    names = pres.columns
+
+    def count(batches):
+        sp = load(model)
+        for batch in batches:
+            yield arrow_batch(batch.select(names), batch.num_rows, [pa.int64()], pieces=pieces_of(sp, batch.column("pre").to_pylist()))
+
+    return pres.mapInArrow(count, nullable(pres, names, "pieces long"))
+
+
 def frequent(docs: DataFrame, model: str | None, known: int, known_bytes: int, sample: int) -> dict[str, int]:
     """Pieces of the most frequent pre-tokens in about `sample` documents."""
 
@@ -71,25 +84,20 @@ def frequent(docs: DataFrame, model: str | None, known: int, known_bytes: int, s
                 counts.update(pre_tokens(text))
             yield arrow_batch(None, len(counts), [pa.string(), pa.int64()], pre=list(counts), freq=list(counts.values()))
 
-    def count(batches):
-        sp = load(model)
-        for batch in batches:
-            pre = batch.column("pre").to_pylist()
-            yield arrow_batch(None, len(pre), [pa.string(), pa.int32()], pre=pre, pieces=pieces_of(sp, pre))
-
     texts = docs.select("text").where("text is not null").sample(min(1.0, sample / max(1, docs.count())), seed=1)
     summed = texts.mapInArrow(local, "pre string, freq long").where(F.octet_length("pre") <= known_bytes).groupBy("pre").agg(F.sum("freq").alias("freq"))
     top = summed.where("freq > 1").orderBy(F.desc("freq"), "pre").limit(known).select("pre").repartition(8)
-    return {r["pre"]: r["pieces"] for r in top.mapInArrow(count, "pre string, pieces int").collect()}
+    return {r["pre"]: r["pieces"] for r in with_pieces(top, model).collect()}
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT, known: int = 300_000, known_bytes: int = 64, sample: int = 20_000) -> DataFrame:
     """The columns of docs without text, and n_bytes, n_tokens and over_limit (n_tokens > limit).
 
-    Null text counts as empty, which has no tokens. Each row is counted by its own text, so repeated rows and null ids
-    are rows as any other. known and known_bytes bound the table sent to every task (pre-tokens of at most so many
-    bytes, from about `sample` documents); what is not in it is joined, so these parameters change no result.
-    Columns of docs named as an added one or with a leading underscore are dropped first.
+    Null text counts as empty, which has no tokens. Very long texts are counted as a whole. Each row is counted by its own
+    text, so repeated rows and null ids are rows as any other; an empty table gives an empty one. known and known_bytes
+    bound the table sent to every task (pre-tokens of at most so many bytes, from about `sample` documents); what is not
+    in it is joined, so these parameters change no result. In the join a pre-token that stands in very many documents is
+    broadcast with its pieces instead. Columns of docs named as an added one or with a leading underscore are dropped first.
     """
     docs = without(docs, "n_bytes", "n_tokens", "over_limit")
     spark = docs.sparkSession
@@ -120,19 +128,14 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
                 none = pa.RecordBatch.from_arrays([pa.nulls(len(rids), f.type) for f in kept.schema], names=names) if names else None
                 yield arrow_batch(none, len(rids), types, _rid=rids, n_bytes=None, _n=None, _pre=pres, _freq=freqs)
 
-    def count(batches):
-        sp = load(model)
-        for batch in batches:
-            # Rows come sorted by pre-token, so each distinct one of the batch is counted once.
-            coded = batch.column("pre").dictionary_encode()
-            pieces = np.array(pieces_of(sp, coded.dictionary.to_pylist()), np.int64)[coded.indices.to_numpy()]
-            yield arrow_batch(batch.select(["rid"]), batch.num_rows, [pa.int64()], n=pieces * batch.column("freq").to_numpy())
-
     settled = written(docs.select(*names, "text").mapInArrow(settle, nullable(docs, names, "_rid long, n_bytes long, _n long, _pre string, _freq long")), "settled_tokens")
     rest = settled.where("_pre is not null").select(F.col("_rid").alias("rid"), F.col("_pre").alias("pre"), F.col("_freq").alias("freq"))
-    # A pre-token too long for the table may stand in very many documents, so its rows go to several tasks.
-    rest = rest.repartition("pre", F.pmod("rid", F.lit(8))).sortWithinPartitions("pre")
-    more = rest.mapInArrow(count, "rid long, n long").groupBy(F.col("rid").alias("_rid")).agg(F.sum("n").alias("_more"))
+    # Each distinct pre-token once, with the number of documents that hold it.
+    table = with_pieces(rest.groupBy("pre").agg(F.count(F.lit(1)).alias("n_docs")), model)
+    # Keys of the join are short: only the pre-token that is a line feed holds one, so no digest is taken for a pre-token.
+    key = F.when(F.octet_length("pre") <= 256, F.col("pre")).otherwise(F.concat(F.lit("\n"), F.sha2(F.col("pre").cast("binary"), 256))).alias("key")
+    table = written(table.select(key, "pieces", "n_docs"), "pre_token_pieces")
+    more = heat_join(rest.select("rid", key, "freq"), table, ["key"], "n_docs").groupBy(F.col("rid").alias("_rid")).agg(F.sum(F.col("freq") * F.col("pieces")).alias("_more"))
     out = settled.where("_pre is null").join(more, "_rid", "left").withColumn("n_tokens", F.col("_n") + F.coalesce("_more", F.lit(0)))
     return out.select(*names, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
