@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, nullable, without, written
+from .common import arrow_batch, heat_join, nullable, without, written
 
 #: Bytes of words, A-Z lower-cased; every other byte becomes a blank. Bytes beyond ASCII belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SHINGLE, WINDOW = 5, 10
 BASE = 0x9E3779B97F4A7C15
 MOST_BITS = 27
-#: Words of a long text are hashed in blocks of so many.
-BLOCK = 1 << 15
+#: Words of a long text are hashed in blocks of so many; bytes of a bitmap's page; matches that a task hands on at once.
+BLOCK, PAGE, FLUSH = 1 << 15, 1 << 16, 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -94,10 +94,17 @@ def bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
     bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(max(1, n) * 1024)))))
     byte = F.shiftright(F.col("hash").bitwiseAND((1 << bits) - 1), 3).cast("int")
     mask = F.expr("shiftleft(1, cast(hash & 7 as int))")
-    out = np.zeros(1 << bits - 3, np.uint8)
-    # One row for each byte that is set: 2^(MOST_BITS - 3) small rows at most.
-    set_bytes = hashes.groupBy(byte.alias("byte")).agg(F.bit_or(mask).alias("mask")).toPandas()
-    out[set_bytes["byte"].to_numpy()] = set_bytes["mask"].to_numpy().astype(np.uint8)
+    set_bytes = hashes.groupBy(byte.alias("byte")).agg(F.bit_or(mask).alias("mask"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        page = np.zeros(PAGE, np.uint8)
+        page[pdf["byte"].to_numpy() % PAGE] = pdf["mask"].to_numpy().astype(np.uint8)
+        return pd.DataFrame({"page": pdf["byte"].iloc[:1] // PAGE, "bytes": [page.tobytes()]})
+
+    # Tasks pack pages, 2^(MOST_BITS - 3) / PAGE of them at most, and only those come to the driver.
+    out = np.zeros(max(PAGE, 1 << bits - 3), np.uint8)
+    for page, packed in set_bytes.groupBy(F.floor(F.col("byte") / PAGE)).applyInPandas(pack, "page int, bytes binary").collect():
+        out[page * PAGE : (page + 1) * PAGE] = np.frombuffer(packed, np.uint8)
     return out, bits
 
 
@@ -110,8 +117,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated to docs' columns but text.
 
     A document word inside any occurrence of a window is hit. Null or empty text has no words, and an item without words
-    no windows. Items with equal windows all count. Rows that repeat a doc_id are judged by their own text, a null
-    doc_id as any other; repeated item rows count as one item. An empty benchmark leaves every document clean.
+    no windows. Very long texts are searched as a whole. Items with equal windows all count. Rows that repeat a doc_id are
+    judged each by its own text, a null doc_id as any other; repeated item rows count as one item. An empty benchmark leaves
+    every document clean, and an empty table gives an empty one.
     Columns of docs named as an added one, as rid, hash, pos, lead or around, or with a leading underscore are dropped first.
     """
     docs = without(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "rid", "hash", "pos", "lead", "around")
@@ -119,7 +127,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     wins = written(item_windows(benchmark, window, shingle), "item_windows")
     items = wins.select("win", "item_id").distinct()
     shingles = wins.select("win", "size", "k", "off", "hash").distinct()
-    sizes = sorted(r["k"] for r in shingles.select("k").distinct().collect())
+    # How many words beside a shingle of k words its windows can cover: none, where the window is the shingle itself.
+    reach = {r["k"]: r["size"] - r["k"] for r in shingles.groupBy("k").agg(F.max("size").alias("size")).collect()}
+    sizes = sorted(reach)
     table, bits = bitmap(shingles.select("hash").distinct())
     sent = spark.sparkContext.broadcast((table, bits))
 
@@ -139,19 +149,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     texts = docs.select("text").where("text is not null")
     frequency = texts.mapInPandas(count, "hash long, freq long").groupBy("hash").agg(F.sum("freq").alias("freq"))
     ranked = shingles.join(frequency, "hash", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
-    rarest = ranked.groupBy("win", "size").agg(F.min_by(F.struct("k", "off", "hash"), F.struct("freq", "hash", "off")).alias("s"))
+    rarest = ranked.groupBy("win", "size").agg(F.min_by(F.struct("k", "off", "hash", "freq"), F.struct("freq", "hash", "off")).alias("s"))
     prefixes = written(rarest.select("win", "size", "s.*"), "prefixes")
     prefix_table, prefix_bits = bitmap(prefixes.select("hash").distinct())
     sent_prefix = spark.sparkContext.broadcast((prefix_table, prefix_bits))
     names = [c for c in docs.columns if c != "text"]
-    reach = window - 1
 
     def match(batches):
         # One row for each document and one for each match, with the words around it that a window could cover.
         hashes, (table, bits), rid = ShingleHashes(), sent_prefix.value, TaskContext.get().partitionId() << 40
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
-            ids, totals, rows = [], [], []
+            kept, ids, totals, rows = batch.select(names), [], [], []
+
+            def matches():
+                rids, prints, places, leads, around = zip(*rows, strict=True)
+                none = pa.RecordBatch.from_arrays([pa.nulls(len(rows), c.type) for c in kept.columns], names=names)
+                return arrow_batch(none, len(rows), types, rid=rids, n_words=None, hash=prints, pos=places, lead=leads, around=around)
+
             for text in batch.column("text").to_pylist():
                 words, rid = words_of(text), rid + 1
                 ids.append(rid)
@@ -159,19 +174,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 for k in sizes:
                     own = hashes(words, k)
                     for at in probe(own, table, bits).tolist():
-                        low = max(0, at - reach)
-                        around = b" ".join(words[low : at + k + reach]).decode()
+                        low = max(0, at - reach[k])
+                        around = b" ".join(words[low : at + k + reach[k]]).decode()
                         rows.append((rid, int(own[at].astype(np.int64)), at, at - low, around))
-            kept = batch.select(names)
-            yield arrow_batch(kept, len(ids), types, rid=ids, n_words=totals, hash=None, pos=None, lead=None, around=None)
+                        if len(rows) == FLUSH:
+                            yield matches()
+                            rows = []
             if rows:
-                rids, prints, places, leads, around = zip(*rows, strict=True)
-                none = pa.RecordBatch.from_arrays([pa.nulls(len(rows), c.type) for c in kept.columns], names=names)
-                yield arrow_batch(none, len(rows), types, rid=rids, n_words=None, hash=prints, pos=places, lead=leads, around=around)
+                yield matches()
+            yield arrow_batch(kept, len(ids), types, rid=ids, n_words=totals, hash=None, pos=None, lead=None, around=None)
 
     schema = nullable(docs, names, "rid long, n_words long, hash long, pos long, lead long, around string")
     probed = written(docs.select(*names, "text").mapInArrow(match, schema), "matches")
-    hits = probed.where("hash is not null").select("rid", "hash", "pos", "lead", "around").join(prefixes, "hash")
+    # A passage that very many documents hold is one key: such keys are broadcast.
+    hits = heat_join(probed.where("hash is not null").select("rid", "hash", "pos", "lead", "around"), prefixes, ["hash"], "freq")
     # Length and position: the window starts off words before the match and must lie within the words around it.
     hits = hits.where("lead >= off")
     held = F.array_join(F.slice(F.split("around", " "), (F.col("lead") - F.col("off") + 1).cast("int"), F.col("size")), " ")
@@ -180,7 +196,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     reached = F.max("end").over(W.partitionBy("rid").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     covered = spans.select("rid", "start", "end", reached.alias("before"))
     covered = covered.groupBy("rid").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("before", F.lit(0))))).alias("n_hit"))
-    named = found.select("rid", "win").distinct().join(items, "win").select("rid", "item_id").distinct()
+    meets = found.select("rid", "win").distinct()
+    named = heat_join(meets, written(items.join(meets.groupBy("win").agg(F.count(F.lit(1)).alias("n_docs")), "win"), "met_items"), ["win"], "n_docs").select("rid", "item_id").distinct()
     named = named.groupBy("rid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     out = probed.where("n_words is not null").join(covered, "rid", "left").join(named, "rid", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
