@@ -240,14 +240,16 @@ def test_simhash_against_brute_force(spark):
     assert simhash.simhash_groups(odd(spark)).count() == odd(spark).count() and simhash.simhash_groups(odd(spark).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("node_size", [8, 4096])
-def test_trie_finds_every_link(spark, node_size):
+@pytest.mark.parametrize("node_size, most, step", [(8, 1 << 19, 6), (4096, 1 << 19, 6), (16, 40, 5), (400, 3, 9)])
+def test_trie_finds_every_link(spark, node_size, most, step):
+    """Whatever the first cut and however deep large nodes are cut again, with many fingerprints that share their top bits."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+    base[40:] &= np.uint64((1 << 30) - 1)
     flip = lambda: np.uint64(1) << rng.integers(0, 64, 80).astype(np.uint64)
     values = np.unique(np.concatenate([base, base ^ flip(), base ^ flip() ^ flip(), base ^ flip() ^ flip() ^ flip()]))
     df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    roots = {r["node"]: r["root"] for r in simhash.components(simhash.hamming_links(df, node_size=node_size)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.hamming_links(df, node_size=node_size, most=most, step=step)).collect()}
     want = linked({int(v): int(v) & (1 << 64) - 1 for v in values.view(np.int64)})
     assert {v: roots.get(v, v) for v in want} == want
 

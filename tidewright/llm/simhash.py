@@ -1,15 +1,16 @@
 """SimHash near-dedup: 64-bit fingerprints, a Hamming self-join over a binary trie, and components of its links.
 
-The trie's upper levels are cut at a depth where its nodes are small. Nodes whose paths differ in at most `budget` bits
-are node pairs that may hold links; each pair is dealt to one task, which walks the two subtries together bit by bit,
-adding up differing bits and dropping a pair of subtries once they exceed the budget. What reaches the leaves is a link.
-Each task returns a spanning forest of its links, as only components are asked for, and the forests are joined by
-large-star and small-star rounds. All of this runs on distinct fingerprints; copies only meet at the end.
+The trie is cut at a depth where its nodes are small. Nodes whose paths differ in at most `budget` bits are node pairs
+that may hold links; each is dealt to the lower node's task, which walks the two subtries together bit by bit, adding up
+differing bits and dropping a pair of subtries once they exceed the budget. What reaches the leaves is a link. A node that
+is too large for a task, with the fingerprints of the nodes near it, is cut again some bits deeper, by itself, and again
+until it fits. Each task returns a spanning forest of its links, as only components are asked for, and the forests are
+joined by large-star and small-star rounds. All of this runs on distinct fingerprints; copies only meet at the end.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, arrow_batch, nullable, written
+from .common import LOWER, UPPER, arrow_batch, heat_join, nullable, written
 
 BITS, SHINGLE, SEED, BUDGET = 64, 3, 42, 2
 #: Words of a long text are hashed in blocks of so many shingles, so memory is bounded by the text itself.
@@ -120,55 +121,83 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes, nodes[root]], axis=1)[root != np.arange(len(nodes))]
 
 
-def hamming_links(distinct: DataFrame, budget: int = BUDGET, node_size: int = 2048, most_depth: int = 20) -> DataFrame:
+#: Guests that a task walks at once, so that what it holds is bounded.
+GUESTS = 1 << 16
+
+
+def walk(pdf: pd.DataFrame, budget: int = BUDGET) -> pd.DataFrame:
+    """The links of one node: among its own fingerprints, and between them and its guests."""
+    fps = pdf["fp"].to_numpy().view(np.uint64)
+    is_home = pdf["home"].to_numpy()
+    home, guests = np.sort(fps[is_home]), np.sort(fps[~is_home])
+    pairs = trie_pairs(home, home, budget)
+    links = forest(pairs[pairs[:, 0] < pairs[:, 1]])
+    for at in range(0, len(guests), GUESTS):
+        links = forest(np.concatenate([links, trie_pairs(home, guests[at : at + GUESTS], budget)]))
+    return pd.DataFrame({"fp": links[:, 0].view(np.int64), "low": links[:, 1].view(np.int64)})
+
+
+def deeper(rows: DataFrame, depth: int, step: int, budget: int) -> DataFrame:
+    """(node, fp, home, err) at `depth` bits to the same `step` bits deeper.
+
+    A node is the bits of a path. A fingerprint is at home in its own node and a guest in nodes near it, err being the bits
+    in which its own path differs. A home row visits the nodes below its own in order, so each pair of nodes meets once.
+    """
+    masks = [m for m in range(1 << step) if m.bit_count() <= budget] if step <= 16 else sorted({0} | {1 << i | 1 << j for i in range(step) for j in range(i + 1)})
+    if step > 16 and budget > 2:
+        raise ValueError("more than 16 bits at once only within a budget of 2")
+    own = F.shiftrightunsigned("fp", BITS - depth - step).bitwiseAND((1 << step) - 1)
+    spread = rows.select("node", "fp", "home", "err", own.alias("own"), F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("bits"), F.lit(m.bit_count()).alias("n")) for m in masks])).alias("mask"))
+    visited = F.col("own").bitwiseXOR(F.col("mask.bits"))
+    spread = spread.where((F.col("err") + F.col("mask.n") <= budget) & (~F.col("home") | (visited <= F.col("own"))))
+    node = F.shiftleft("node", step).bitwiseOR(visited)
+    spread = spread.select(node.alias("node"), "fp", (F.col("home") & (F.col("mask.n") == 0)).alias("home"), (F.col("err") + F.col("mask.n")).alias("err"))
+    lived_in = rows.where("home").select(F.shiftleft("node", step).bitwiseOR(own).alias("node")).distinct()
+    return spread.join(lived_in, "node", "left_semi")
+
+
+def hamming_links(distinct: DataFrame, budget: int = BUDGET, node_size: int = 4096, most: int = 1 << 19, step: int = 6) -> DataFrame:
     """(fp, low): links that join the distinct fingerprints within the budget to components, low < fp as unsigned values.
 
-    Complete for every depth: node_size and most_depth only balance the tasks.
+    Complete for any setting: node_size (about how many fingerprints are at home in a node of the first cut), most (how many
+    rows a task gets at most) and step (bits by which a larger node is cut deeper) only balance the tasks.
     """
-    n = distinct.count()
-    depth = min(most_depth, max(1, int(np.ceil(np.log2(max(1, n / node_size))))))
+    depth = min(24, max(1, int(np.ceil(np.log2(max(1, distinct.count() / node_size))))))
+    rows = deeper(distinct.select(F.lit(0).cast("long").alias("node"), "fp", F.lit(True).alias("home"), F.lit(0).alias("err")), 0, depth, budget)
+    found = []
+    schema = "fp long, low long"
     while True:
-        homes = distinct.select("fp", F.shiftrightunsigned("fp", BITS - depth).alias("own"))
-        nodes = homes.groupBy("own").count()
-        if depth >= most_depth or (nodes.agg(F.max("count")).first()[0] or 0) <= 4 * node_size:
+        # Only nodes too large for a task are listed.
+        large = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("node") if depth < BITS else None
+        large = written(large, "large_nodes") if large is not None else None
+        if large is None or large.isEmpty():
+            found.append(rows.groupBy("node").applyInPandas(lambda pdf: walk(pdf, budget), schema))
             break
-        depth += 2
-    masks = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(depth), k)]
-    # A fingerprint is at home in its own node and a guest in lower nodes within the budget: each node pair meets once.
-    dealt = homes.select("fp", "own", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-    dealt = dealt.select("fp", F.col("own").bitwiseXOR(F.col("mask")).alias("node"), (F.col("mask") == 0).alias("home"), "own").where("node <= own")
-    # There are 2^most_depth nodes at most, so their list can go to every task.
-    dealt = dealt.join(F.broadcast(nodes.select(F.col("own").alias("node"))), "node", "left_semi").select("fp", "node", "home")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = pdf["fp"].to_numpy().view(np.uint64)
-        home = np.sort(fps[pdf["home"].to_numpy()])
-        guests = np.sort(fps[~pdf["home"].to_numpy()])
-        pairs = trie_pairs(home, home, budget)
-        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-        if len(guests):
-            pairs = np.concatenate([pairs, trie_pairs(home, guests, budget)])
-        links = forest(pairs)
-        return pd.DataFrame({"fp": links[:, 0].view(np.int64), "low": links[:, 1].view(np.int64)})
-
-    return dealt.groupBy("node").applyInPandas(walk, "fp long, low long")
+        found.append(rows.join(large, "node", "left_anti").groupBy("node").applyInPandas(lambda pdf: walk(pdf, budget), schema))
+        width = min(step, BITS - depth)
+        rows = written(deeper(written(rows.join(large, "node", "left_semi"), "large_rows"), depth, width, budget), "deeper_rows")
+        depth += width
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): for each node of the links but the roots, the smallest node (as signed longs) of its component.
 
     Large-star and small-star until nothing changes; each round is written, so a lost executor costs one round at most.
+    A node of very many links is broadcast with its lowest neighbour instead of being one task's.
     """
     edges = written(links.select(F.col("fp").alias("u"), F.col("low").alias("v")).where("u <> v").distinct(), "links")
     state = None
     for _ in range(rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n")), "lowest")
+        large = heat_join(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = written(large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "down")
+        low = written(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "lowest")
+        small = heat_join(down, low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), "links")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
@@ -182,8 +211,9 @@ def simhash_groups(docs: DataFrame, budget: int = BUDGET, keep: tuple | list = (
 
     fp is the fingerprint as a signed long and root the component's smallest fingerprint. component_id is the smallest
     doc_id whose fingerprint is reachable by links of at most `budget` bits, itself included. Texts without words, null
-    or empty, have fingerprint 0 and are linked as any other. Rows that repeat a doc_id or a text are linked by their
-    fingerprints. A row without doc_id takes part; its component_id is null only if no row of the component has an id.
+    or empty, have fingerprint 0 and are linked as any other; very long texts are read as a whole. Rows that repeat a doc_id
+    or a text are linked by their fingerprints, ties need no order, and an empty table gives an empty one. Other columns are
+    not read. A row without doc_id takes part; its component_id is null only if no row of the component has an id.
     """
     prints = written(fingerprints(docs, keep), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fps")
