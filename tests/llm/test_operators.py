@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, decontaminate, licenses, line_dedup, mixing, quality, simhash, tiff, token_counts, toxicity
+from tidewright.llm import chat, common, decontaminate, licenses, line_dedup, mixing, quality, simhash, tiff, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LINE = "a line of more than twenty characters"
@@ -55,6 +55,46 @@ def test_lines_against_brute_force(spark):
             assert out[i] == ("\n".join(x for x in lines if not gone(i, x)), sum(gone(i, x) for x in lines))
 
 
+def test_runs_merge_in_order(spark):
+    """Merging with runs neither shuffles nor sorts; replaced runs and, at the end, everything is deleted."""
+    store = line_dedup.LineRuns(spark)
+    table = docs(spark, [(i, f"{LINE} {i % 7}\nanother line of some length {i}", "s") for i in range(60)])
+    found = line_dedup.occurrences(table, 20)
+    for i in range(3):
+        store.add(found.where(F.col("doc_id") % 4 == i))
+    incoming = store._write(found.where(F.col("doc_id") % 4 == 3).groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_rows"), F.max("doc_id").alias("max_doc")))
+    with line_dedup.sorted_runs(spark):
+        for plan in (store.fresh(incoming), store._merged([incoming, store.runs()[0]])):
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in text and "Sort [" not in text and "Exchange" not in text
+    for table in [incoming, *store.runs()]:
+        files = [f.rsplit("/", 1)[1].rsplit("_", 1)[1] for f in spark.table(table).inputFiles()]
+        assert len(files) == len(set(files))
+    store.add(found.where(F.col("doc_id") % 4 == 3))
+    assert {(r["n_rows"], r["max_doc"]) for r in store.common_keys(3).collect()} == {(sum(i % 7 == k for i in range(60)), max(i for i in range(60) if i % 7 == k)) for k in range(7)}
+    store._drop(incoming)
+    store.close()
+    fs = spark._jvm.org.apache.hadoop.fs.Path(store.root)
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(store.name)]
+
+
+def test_lines_of_text_ids(spark):
+    rows = [(f"id{i}", f"{LINE}\nown {i}", "s") for i in range(9)]
+    out = by_id(line_dedup.dedup_lines(docs(spark, rows, DOCS.replace("doc_id long", "doc_id string"))), "text")
+    assert out == {f"id{i}": (f"{LINE}\nown 8" if i == 8 else f"own {i}",) for i in range(9)}
+    assert line_dedup.dedup_lines(docs(spark, rows, DOCS.replace("doc_id long", "doc_id string")).limit(0)).count() == 0
+
+
+def test_heat_join_is_a_join(spark):
+    left = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 0, id % 500) as k")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 0").withColumn("v", F.col("k") * 10)
+    want = sorted(map(tuple, left.join(right.drop("n"), "k").select("id", "k", "v").collect()))
+    for most in (1, 4, 2000):
+        assert sorted(map(tuple, common.heat_join(left, right, ["k"], "n", most).select("id", "k", "v").collect())) == want
+    assert common.heat_join(left, right.limit(0), ["k"], "n").count() == 0
+
+
 def test_clashing_columns(spark):
     """Columns named as what operators add or use inside are replaced or dropped, and results stay the same."""
     plain = odd(spark)
@@ -66,6 +106,7 @@ def test_clashing_columns(spark):
         (line_dedup.dedup_lines, ["doc_id", "text", "n_lines", "n_dropped"]), (mixing.mix_sources, ["doc_id", "size", "taken"]),
         (lambda d: decontaminate.contamination(d, bench), ["doc_id", "n_words", "n_hit", "contaminated"]), (token_counts.count_tokens, ["doc_id", "n_tokens"]),
         (simhash.simhash_groups, ["doc_id", "fp", "component_id"]), (licenses.scan_licenses, ["doc_id", "n_words", "labels", "score"]), (lambda d: toxicity.score_toxicity(d, none), ["doc_id", "score", "predicted"]),
+        (lambda d: quality.score_quality(d, none), ["doc_id", "score", "predicted"]),
     ]
     for fn, cols in cases:
         a, b = (sorted(map(repr, fn(d).select(*cols).collect())) for d in (plain, more))
@@ -379,6 +420,21 @@ def test_sample_holds_an_id_once(spark):
     assert both[0]["doc_id"].is_unique and both[0].equals(both[1])
 
 
+def test_sample_of_odd_labels(spark):
+    """Label rows that disagree, long documents as excerpts, candidates without a text, and no labels at all."""
+    table = docs(spark, [(i, "word " * (4000 if i % 2 else 5), "s") for i in range(60)])
+    rows = [(i, i % 2, i % 2) for i in range(60)] + [(i, 0, 0) for i in range(60)] + [(None, 1, 1), (1000, 1, 1)] + [(i, None, 7) for i in range(60)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(table, labels, "toxic", 1500, 3000)
+    assert set(sample["label"]) == {0} and 2900 <= sample["text"].str.len().max() <= 3010
+    assert sorted(sample["doc_id"]) == [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    assert sample.equals(toxicity.labelled_sample(table, labels, "toxic", 1500, 3000))
+    one = toxicity.labelled_sample(table, spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(i, 1, 1) for i in range(100, 9000)], labels.schema), "toxic", 20, 3000)
+    assert one["label"].value_counts().to_dict() == {0: 20, 1: 20}
+    assert not len(toxicity.labelled_sample(table, labels.limit(0), "toxic", 10, 100))
+    assert toxicity.score_toxicity(table.limit(0), labels).count() == 0
+
+
 def test_quality_held_out(spark):
     df, labels = labelled(spark, lambda rng, words, label: " ".join(words if label else [w.upper() + "!!" for w in words]))
     scored = quality.score_quality(df, labels)

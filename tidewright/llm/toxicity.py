@@ -261,24 +261,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """At most per_class labelled documents for each label, outside fold 0, with at most `chars` characters of each; doc_id, text and label.
 
     Taken by hash of doc_id, so every run takes the same ones; of label rows that disagree on a document the smaller label
-    counts. Candidates come from labels alone, so the texts are read once: more candidates than needed, as some may lack a
-    text, and many more in a second reading only if they don't suffice.
+    counts. Candidates come from labels alone, some more than needed as a few may lack a text, so texts are read once. Only
+    if these don't suffice are labels first joined to the documents that have a text.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.min(label).cast("long").alias("label"))
     order = [F.xxhash64("doc_id", F.lit("sample")), F.col("doc_id")]
-    for most in (per_class + per_class // 4, 32 * per_class):
+    worded = docs.select("doc_id", "text").where(F.length("text") > 0)
+
+    def drawn(known: DataFrame, most: int) -> tuple[list, pd.DataFrame]:
+        """Two lists of at most `most` candidates, and the first per_class of each that have a text. Rows that share an id are one before they leave the tasks."""
         ids = [known.where(F.col("label") == v).orderBy(*order).limit(most).collect() for v in (0, 1)]
         chosen = docs.sparkSession.createDataFrame(sum(ids, []), known.schema)
-        # 2 * most ids at most are broadcast, and rows that share one are reduced to one before they leave the tasks.
-        texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0)
-        one = texts.groupBy("doc_id").agg(F.min(excerpts(F.col("text"), chars)).alias("text"), F.min("label").alias("label")).withColumn("_h", order[0])
-        best = [one.where(F.col("label") == v).orderBy("_h", "doc_id").limit(per_class) for v in (0, 1)]
-        found = best[0].unionByName(best[1]).drop("_h").toPandas() if most > 2 * per_class else one.toPandas()
-        if "_h" in found:
-            found = found.sort_values(["label", "_h", "doc_id"]).groupby("label", sort=False).head(per_class).drop(columns="_h")
-        if all((found["label"] == v).sum() >= min(per_class, len(part)) or len(part) < most for v, part in enumerate(ids)):
-            break
+        texts = worded.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(excerpts(F.col("text"), chars)).alias("text"), F.min("label").alias("label"))
+        found = texts.withColumn("h", order[0]).toPandas().sort_values(["label", "h", "doc_id"])
+        return ids, found.groupby("label", sort=False).head(per_class).drop(columns="h")
+
+    ids, found = drawn(known, per_class + per_class // 4)
+    if any((found["label"] == v).sum() < per_class < len(part) for v, part in enumerate(ids)):
+        _, found = drawn(known.join(worded.select("doc_id"), "doc_id", "left_semi"), per_class)
     return found.sort_values("doc_id", ignore_index=True)
 
 
