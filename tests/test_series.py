@@ -1,18 +1,20 @@
 """Hand-built frames with known defects, one rule at a time."""
 
 import datetime as dt
+import hashlib
 import json
 import math
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.functions.scalars import uuid5
-from tidewright.operators import axis, features, forecast, impute, ingest, quality
+from tidewright.functions.scalars import iso_time, six_digits, uuid5
+from tidewright.operators import analytics, axis, features, forecast, impute, ingest, quality, ranks
 from tidewright.plans import pipeline
-from tidewright.sources import payload
-from tidewright.sources.audit import RunLog, file_info
+from tidewright.sources import payload, shared
+from tidewright.sources.journal import Journal, file_info, inside, read_journal
 
 VARS = [v.name for v in ingest.WEATHER]
 START = dt.datetime(2023, 1, 1)
@@ -46,9 +48,9 @@ def test_times_are_strict(spark):
     def off(d):
         d[3]["timestamp"] = "2023-01-01T03:30:00Z"
 
-    with pytest.raises(ValueError, match="timezone"):
+    with pytest.raises(ValueError, match="no offset"):
         cleaned(spark, edit=bare)
-    with pytest.raises(ValueError, match="exact hours"):
+    with pytest.raises(ValueError, match="between two hours"):
         cleaned(spark, edit=off)
 
 
@@ -90,7 +92,7 @@ def test_wind_passes_north(spark):
 
 def test_copies_and_conflicts(spark):
     assert len(cleaned(spark, edit=lambda d: [*d, dict(d[4])])[1]) == 72
-    with pytest.raises(ValueError, match="disagree"):
+    with pytest.raises(ValueError, match="contradict"):
         cleaned(spark, edit=lambda d: [*d, d[4] | {"T2M": "35"}])
 
 
@@ -234,12 +236,244 @@ def test_request_months(spark):
         payload.check_request("2024-02-01", "2024-01-01", "2025-01-01", 1, 0)
 
 
-def test_run_log(tmp_path):
-    with RunLog("clean", {"x": 1}, tmp_path / "logs") as log:
-        log.event("INPUT", **file_info(__file__))
-    first = log.path.read_bytes()
-    with pytest.raises(RuntimeError), RunLog("clean", {}, tmp_path / "logs") as other:
+def test_journal(spark, tmp_path):
+    folder = f"{tmp_path}/journal"
+    with Journal(spark, folder, "clean", {"x": 1}) as journal:
+        journal.note("INPUT", **file_info(spark, __file__))
+        journal.watch(spark.range(7), "rows", n=F.count(F.lit(1)), top=F.max("id")).write.format("noop").mode("overwrite").save()
+        assert journal.tell("rows") == {"n": 7, "top": 6}
+    with pytest.raises(RuntimeError), Journal(spark, folder, "clean") as other:
         raise RuntimeError("lost")
-    assert log.path.read_bytes() == first and "lost" in other.path.read_text() and "SUCCEEDED" not in other.path.read_text()
+    rows = read_journal(spark, folder).orderBy("run", "n").collect()
+    kinds = {run: [r["kind"] for r in rows if r["run"] == run] for run in (journal.run, other.run)}
+    assert kinds == {journal.run: ["STARTED", "INPUT", "TRANSFORMED", "SUCCEEDED"], other.run: ["STARTED", "FAILED"]}
+    assert "lost" in [r["details"] for r in rows if r["kind"] == "FAILED"][0]
+    told = json.loads([r["details"] for r in rows if r["kind"] == "INPUT"][0])
+    assert told["sha256"] == hashlib.sha256(open(__file__, "rb").read()).hexdigest() and not file_info(spark, f"{tmp_path}/none")["exists"]
     with pytest.raises(ValueError):
-        RunLog("clean", {}, tmp_path / "data/raw/logs")
+        journal.note("RENAMED")
+    with pytest.raises(ValueError):
+        Journal(spark, f"{tmp_path}/data/raw/logs", "clean")
+    assert inside("/a/data/raw/x", "data/raw") and inside("data/raw", "data/raw") and not inside("/a/data/raw2/x", "data/raw") and not inside("/a/data", "data/raw")
+
+
+def test_clean_files(spark, tmp_path):
+    """From a text table to files and back: order, types, counts in the journal, and what is refused."""
+    raw = f"{tmp_path}/raw"
+    raw_frame(spark).withColumn("T2M", F.when(F.col("timestamp") == "2023-01-01T10:00:00Z", "").otherwise(F.col("T2M"))).write.option("header", True).csv(raw)
+    assert payload.first_that_exists(spark, f"{tmp_path}/none", raw) == raw
+    with pytest.raises(FileNotFoundError):
+        payload.first_that_exists(spark, f"{tmp_path}/none")
+    result = pipeline.clean_step(spark, raw, f"{tmp_path}/out", ["series"], f"{tmp_path}/journal", least_rows=1)
+    back = pipeline.load_clean(spark, f"{tmp_path}/out", ["series"])
+    assert dict(back.dtypes) == dict(result.clean.dtypes) and payload.same_rows(back, result.clean)
+    assert back.where(pipeline.imputed("T2M")).count() == 1 and back.where(pipeline.imputed("PS")).count() == 0
+    for i in range(back.rdd.getNumPartitions()):
+        part = [r["ts"] for r in back.where(F.spark_partition_id() == i).collect()]
+        assert part == sorted(part)
+    assert spark.read.json(f"{tmp_path}/out/report").first()["filled_T2M"] == 1
+    told = read_journal(spark, f"{tmp_path}/journal").where("kind = 'WRITTEN'").collect()
+    assert sorted((json.loads(r["details"])["name"], json.loads(r["details"])["rows"]) for r in told) == [("clean", 72), ("outlier_flags", 0)]
+    with pytest.raises(ValueError, match="complete"):
+        pipeline.write_clean(result, f"{tmp_path}/other", ["series"])
+    with pytest.raises(ValueError, match="sealed"):
+        pipeline.write_clean(result, f"{tmp_path}/data/raw/clean", ["series"], 1)
+    with pytest.raises(Exception):
+        pipeline.clean_step(spark, f"{tmp_path}/none", f"{tmp_path}/out2", ["series"], f"{tmp_path}/journal2", least_rows=1)
+    assert {r["kind"] for r in read_journal(spark, f"{tmp_path}/journal2").collect()} >= {"STARTED", "FAILED"}
+
+
+def test_model_ready_files(spark, tmp_path):
+    rows, scaler, _ = ready(spark)
+    pipeline.write_model_ready(rows, scaler, str(tmp_path), ["T2M", "PS"])
+    back = pipeline.load_model_ready(spark, str(tmp_path))
+    assert payload.same_rows(back.select(*rows.columns), rows)
+    val = pipeline.load_model_ready(spark, str(tmp_path), "val")
+    assert val.count() == rows.where("split = 'val'").count() > 0 and "PartitionFilters: [isnotnull(split" in val._jdf.queryExecution().toString()
+    first = scaler.first()
+    assert pipeline.target_scaler(spark, str(tmp_path)) == (first["target_mean"], first["target_std"])
+    assert json.loads(spark.read.text(f"{tmp_path}/scaler_params").first()[0])["PS"]["mean"] == first["mean_PS"]
+    assert payload.read_metadata(spark, f"{tmp_path}/scaler").count() == 1
+    text = spark.read.option("header", True).csv(f"{tmp_path}/model_ready_csv").where("ts = '2018-12-25T00:00:00'").first()
+    exact = rows.where("ts = timestamp_ntz'2018-12-25 00:00:00'").first()
+    assert text["PS"] == f"{exact['PS']:.6g}" and float(text["PS"]) == pytest.approx(exact["PS"], rel=1e-5)
+    assert pipeline.write_reports({"summary": features.split_summary(rows)}, f"{tmp_path}/reports") == ["summary"]
+    assert pipeline.write_reports({"summary": features.split_summary(rows)}, f"{tmp_path}/reports") == []
+
+
+def test_forecast_flow(spark, tmp_path):
+    """Models of four horizons are fitted, saved, scored and loaded again; records hold what validation and test rows say."""
+    df = feature_frame(spark, 900)
+    rows, scaler, _ = pipeline.model_ready(df, ["series"], {"train": ("2018-01-01", "2019-01-10 23:00"), "val": ("2019-01-11", "2019-01-16 23:00"), "test": ("2019-01-17", "2019-12-31")}, VARS)
+    targets = dict(zip(features.HORIZONS, features.feature_names()["targets"], strict=True))
+    mean, std = scaler.select("target_mean", "target_std").first()
+    rows = rows.persist()
+    inputs, config = ["T2M", "PS", "hour_sin"], forecast.Boosting(trees=4, depth=2, least_rows=3, rate=0.5, patience=2)
+    scores = forecast.train_horizons(rows, inputs, targets, forecast.persistence(F.col("T2M"), mean, std), config, folder=f"{tmp_path}/models")
+    records = forecast.horizon_records(scores, targets, f"{tmp_path}/models").orderBy("horizon").collect()
+    assert [r["horizon"] for r in records] == [1, 6, 12, 24] and all(len(r) == 12 for r in records)
+    of = lambda h, split: scores.where((F.col("horizon") == h) & (F.col("split") == split)).first()
+    for r in records:
+        assert (r["validation_mae"], r["test_rmse"], r["persistence_test_mae"]) == (of(r["horizon"], "val")["mae"], of(r["horizon"], "test")["rmse"], of(r["horizon"], "test")["persistence_mae"])
+        assert r["persistence_test_mae"] == pytest.approx(r["horizon"]) and 1 <= r["trees"] <= 4
+    forecast.write_report(forecast.horizon_records(scores, targets, f"{tmp_path}/models"), f"{tmp_path}/report", config)
+    told = spark.read.json(f"{tmp_path}/report/metrics_json").first()
+    assert len(told["results"]) == 4 and json.loads(told["settings"])["trees"] == 4
+    assert spark.read.option("header", True).csv(f"{tmp_path}/report/metrics_csv").where("horizon = 6").first()["test_mae"] == f"{records[1]['test_mae']:.6f}"
+    known = forecast.predict_row(forecast.select_row(rows, "2019-01-20T05:00:00", list(targets.values())), f"{tmp_path}/models", targets).collect()
+    at = rows.where("ts = timestamp_ntz'2019-01-20 05:00:00'").first()
+    for r in known:
+        assert r["actual"] == at[targets[r["horizon"]]] and r["abs_error"] == pytest.approx(abs(r["prediction"] - r["actual"]))
+    last = rows.orderBy(F.desc("ts")).limit(1)
+    unknown = {r["horizon"]: r for r in forecast.predict_row(last, f"{tmp_path}/models", targets).collect()}
+    assert all(r["actual"] is None and r["abs_error"] is None and r["prediction"] is not None for r in unknown.values())
+    with pytest.raises(FileNotFoundError):
+        forecast.predict_row(last, f"{tmp_path}/nothing", targets)
+
+
+def test_rows_by_time(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, h), None if h > 3 else float(h)) for h in range(6)], "ts timestamp_ntz, y double")
+    pick = lambda at: forecast.select_row(df, at, ["y"]).first()["ts"].hour
+    assert pick(None) == 3 and pick("2024-01-01T02:00:00") == 2 and pick("2023-12-31T18:00:00Z") == 1 and pick("2024-01-01T06:00:00+09:00") == 4
+    with pytest.raises(ValueError, match="no row at"):
+        pick("2030-01-01T00:00:00")
+    with pytest.raises(ValueError, match="targets"):
+        forecast.select_row(df.where("y is null"), None, ["y"])
+    pair = spark.createDataFrame([(20.0, 19.0), (20.0, 21.5)], "a double, p double")
+    assert forecast.accuracy(pair, "a", "p", 1.0) == 50
+    with pytest.raises(ValueError, match="measure"):
+        forecast.accuracy(pair.limit(0), "a", "p", 1.0)
+
+
+def test_trees_are_cut_not_refitted(spark):
+    """Cutting keeps the first trees as they are: the cut model's error is the curve's."""
+    df = feature_frame(spark, 300).selectExpr("T2M as x", "T2M * T2M as y")
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    whole = GBTRegressor(labelCol="y", maxIter=6, maxDepth=2, seed=1).fit(rows)
+    curve = whole.evaluateEachIteration(rows, "absolute")
+    for n in (1, 3, 6):
+        cut = forecast.first_trees(whole, n)
+        assert cut.getNumTrees == n and cut.treeWeights == whole.treeWeights[:n]
+        assert cut.transform(rows).agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0] == pytest.approx(curve[n - 1])
+    assert forecast.best_size([5, 4, 3, 3.5, 3.6, 1], 2) == 3 and forecast.best_size([5, 4, 3, 3.5, 3.6, 1], 9) == 6
+
+
+def test_series_without_a_key(spark):
+    """A null key is a series like any other: its values stay, and statistics come back to it."""
+    hour = lambda h: dt.datetime(2024, 1, 1, h)
+    df = spark.createDataFrame([(k, hour(h), float(h + (h == 9) * 50)) for k in (None, "s") for h in range(12) if h != 4], "series string, ts timestamp_ntz, x double")
+    rows = axis.densify(df, ["series"])
+    assert rows.count() == 24 and rows.where("is_inserted_hour = 1").count() == 2 and rows.where("series is null and x is not null").count() == 11
+    filled = impute.fill(rows, ["x"], [], ["series"])
+    assert sorted((r["series"] or "", r["x"]) for r in filled.where("filled_x").collect()) == [("", 4.0), ("s", 4.0)]
+    flags = quality.flag_robust_z(quality.unpivot(filled, ["series"], ["x"]), ["series"], {"one": F.lit(1)})
+    assert sorted((r["series"] or "", r["value"]) for r in flags.collect()) == [("", 59.0), ("s", 59.0)]
+    assert quality.attach_flags(filled, flags, ["series"]).where("outlier_flags = 'x'").count() == 2
+    assert axis.axis_difference(axis.calendar(df, ["series"]), df, ["series"]).count() == 2
+
+
+def test_fill_reaches_over_pieces(spark):
+    """Filling in pieces equals filling the whole, at every place of a cut."""
+    df = feature_frame(spark, 400).withColumn("T2M", F.when(F.hash("ts") % 3 == 0, None).otherwise(F.col("T2M"))).withColumn("WD2M", F.when(F.hash("ts", "PS") % 4 == 0, None).otherwise(F.pmod(F.col("T2M") * 37, F.lit(360.0))))
+    whole = impute.fill(df, ["T2M"], ["WD2M"], ["series"])
+    at = impute.chunked
+    try:
+        impute.chunked = lambda *a, **k: at(*a, **{**k, "hours": 7})
+        pieces = impute.fill(df, ["T2M"], ["WD2M"], ["series"])
+        assert payload.same_rows(whole, pieces) and whole.where("filled_T2M").count() > 50
+    finally:
+        impute.chunked = at
+
+
+def test_exact_quantiles_by_ranges(spark):
+    rng = random.Random(4)
+    values = [float(rng.choice([0, 0, 0, 0, 1, 2, rng.random() * 9])) for _ in range(501)]
+    df = spark.createDataFrame([(v, None if i % 5 else v * v, None) for i, v in enumerate(values)], "a double, b double, c double")
+    got = {r["variable"]: r["q"] for r in ranks.exact_quantiles(df, ["a", "b", "c"], (0.0, 0.1, 0.5, 0.937, 1.0)).collect()}
+    for c in "ab":
+        want = df.agg(F.percentile(c, F.array(*map(F.lit, (0.0, 0.1, 0.5, 0.937, 1.0))))).first()[0]
+        assert got[c] == pytest.approx(want)
+    assert got["c"] is None
+    assert analytics.describe(df, ["a", "c"]).where("variable = 'c'").first()["p50"] is None
+
+
+def test_payload_values_and_metadata(spark):
+    hours = {f"20240101{h:02d}": 1.0 for h in range(24)}
+    texts = [("ok", payload_text(properties={"parameter": {"T2M": hours | {"2024010103": None, "2024010104": -1e-7}}}))]
+    for name, value in (("text", "1.0"), ("true", True), ("words", "cold"), ("huge", 10**400)):
+        texts.append((name, payload_text(properties={"parameter": {"T2M": hours | {"2024010107": value}}})))
+    raw = spark.createDataFrame(texts, "id string, json string")
+    assert sorted((r["id"], r["key"]) for r in payload.value_faults(raw, ["id"]).collect()) == [(n, "2024010107") for n in ("huge", "text", "true", "words")]
+    nan = payload.parse_payloads(spark.createDataFrame([("n", payload_text().replace(": 1.0", ": Infin", 1))], "id string, json string"))
+    assert nan.select(payload.payload_faults(21.0285, 105.8542, ["T2M"]).alias("f")).first()["f"]
+    same = payload.parse_payloads(spark.createDataFrame([("a", payload_text()), ("b", payload_text())], "id string, json string"))
+    assert payload.metadata_drift(same).isEmpty()
+    other = payload.parse_payloads(spark.createDataFrame([("a", payload_text()), ("b", payload_text(parameters={"T2M": {"units": "K", "longname": "t"}}))], "id string, json string"))
+    assert [(r["parameter"], r["versions"]) for r in payload.metadata_drift(other).collect()] == [("T2M", 2)]
+
+
+def test_retries():
+    def run(answers, retries):
+        asked, waits = [], []
+        ask = lambda url: asked.append(url) or answers[min(len(asked), len(answers)) - 1]
+        try:
+            return payload.fetch(ask, "u", retries, waits.append), len(asked), waits
+        except RuntimeError as e:
+            return str(e), len(asked), waits
+
+    assert run([(503, None), (None, None), (200, "body")], 2) == ("body", 3, [2.0, 4.0])
+    assert run([(503, None)], 2)[1:] == (3, [2.0, 4.0]) and run([(422, None)], 5)[1:] == (1, [])
+    assert run([(429, None)], 6)[2] == [2.0, 4.0, 8.0, 16.0, 30.0, 30.0] and [payload.is_transient(s) for s in (408, 404, 500, None)] == [True, False, True, True]
+
+
+def test_cached_months_and_snapshots(spark, tmp_path):
+    asked = []
+
+    def load(missing):
+        asked.append(sorted(r["first"].isoformat() for r in missing.collect()))
+        return missing.select("first", F.concat(F.lit("{}"), F.col("first").cast("string")).alias("json"))
+
+    folder = f"{tmp_path}/months"
+    months = lambda a, b: payload.month_ranges(spark, a, b)
+    assert payload.cached(spark, folder, months("2024-01-01", "2024-02-29"), load).count() == 2
+    assert payload.cached(spark, folder, months("2024-01-01", "2024-02-29"), load).count() == 2
+    assert payload.cached(spark, folder, months("2024-02-01", "2024-03-31"), load).count() == 2
+    assert asked == [["2024-01-01", "2024-02-01"], ["2024-03-01"]]
+    a, b = (payload.snapshot_path(folder, "20240301T000000Z") for _ in range(2))
+    assert a != b and a.startswith(f"{folder}/snapshots/20240301T000000Z_")
+
+
+def test_requests_are_checked(spark):
+    for bad in (("2024-02-01", "2024-01-01", "2025-01-01", 1, 0), ("2000-12-31", "2024-01-01", "2025-01-01", 1, 0), ("2024-01-01", "2025-01-01", "2025-01-01", 1, 0), ("2024-01-01", "2024-01-02", "2025-01-01", 0, 0), ("2024-01-01", "2024-01-02", "2025-01-01", 1, -1)):
+        with pytest.raises(ValueError):
+            payload.check_request(*bad)
+    payload.check_request("2024-01-01", "2024-01-02", "2025-01-01", 1, 0)
+
+
+def test_required_columns_and_texts(spark):
+    with pytest.raises(ValueError, match="lacks T2M, WD2M"):
+        pipeline.clean(raw_frame(spark).drop("T2M", "WD2M"), ["series"])
+    row = spark.sql("SELECT TIMESTAMP'2024-01-01 05:00:00Z' AS t, 1234567.891D AS x").select(iso_time(F.col("t")).alias("iso"), six_digits(F.col("x")).alias("six")).first()
+    assert row["iso"].startswith("2024-01-01T05:00:00") and row["six"] in ("1.23457e+06", "1234570")
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared.shared_dir(Cluster)
+    path = shared.new_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    shared.remove(spark, path)
+    shared.remove(spark, path)
+    with pytest.raises(FileNotFoundError):
+        payload.first_that_exists(spark, path)

@@ -7,21 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import corrected_skew, days_in_month
-from .axis import by_time
+from .axis import by_time, chunked, join_on
 from .quality import circular_difference, unpivot
+from .ranks import exact_quantiles
 
+#: The months of each season.
 SEASONS = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11)}
 
 
 def describe(df: DataFrame, columns: list[str], quantiles: tuple = (0.25, 0.5, 0.75)) -> DataFrame:
-    """(variable, count, mean, std, min, p.., max): exact quantiles, one pass."""
-    aggs = []
-    for c in columns:
-        q = F.percentile(c, F.array(*map(F.lit, quantiles)))
-        parts = [F.lit(c).alias("variable"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min")]
-        parts += [q[i].alias(f"p{100 * p:g}".replace(".", "_")) for i, p in enumerate(quantiles)]
-        aggs.append(F.struct(*parts, F.max(c).alias("max")))
-    return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+    """(variable, count, mean, std, min, p.., max): moments in one pass, exact quantiles by ranges of the values."""
+    aggs = [F.struct(F.lit(c).alias("variable"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")) for c in columns]
+    moments = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+    names = [f"p{100 * p:g}".replace(".", "_") for p in quantiles]
+    both = join_on(moments, exact_quantiles(df, columns, quantiles), ["variable"], "left")
+    return both.select("variable", "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "max")
 
 
 def resample(df: DataFrame, unit: str, aggs: dict[str, Column], keys: list[str], ts: str = "ts") -> DataFrame:
@@ -30,7 +30,7 @@ def resample(df: DataFrame, unit: str, aggs: dict[str, Column], keys: list[str],
     found = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in aggs.items()])
     span = found.groupBy(*keys).agg(F.min("bin").alias("_a"), F.max("bin").alias("_b"))
     bins = span.select(*keys, F.explode(F.expr(f"sequence(_a, _b, interval 1 {unit})")).alias("bin"))
-    return bins.join(found, [*keys, "bin"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return join_on(bins, found, [*keys, "bin"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
 def month_coverage(df: DataFrame, column: str, observed: Column, keys: list[str], per_day: int = 24, ts: str = "ts") -> DataFrame:
@@ -51,7 +51,7 @@ def climatology(monthly: DataFrame, value: str, keys: list[str], month: str = "m
     """Per calendar month 1 to 12 of monthly values: mean, median, min, max and years; months without any are null."""
     by = monthly.groupBy(*keys, F.month(month).alias("m")).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n_years"))
     every = monthly.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
-    return every.join(by, [*keys, "m"], "left").withColumn("n_years", F.coalesce("n_years", F.lit(0)))
+    return join_on(every, by, [*keys, "m"], "left").withColumn("n_years", F.coalesce("n_years", F.lit(0)))
 
 
 def pivot_months(monthly: DataFrame, value: str, month: str = "month", keys: list[str] | None = None) -> DataFrame:
@@ -68,21 +68,39 @@ def hour_matrix(df: DataFrame, column: str, row: Column, ts: str = "ts") -> Data
     return out.select("row", *[F.col(str(h)).alias(f"h{h}") for h in range(24)])
 
 
+def season_of(ts: str = "ts") -> Column:
+    """The season of a local time, by SEASONS."""
+    out = F.lit(None).cast("string")
+    for name, months in SEASONS.items():
+        out = F.when(F.month(ts).isin(*months), name).otherwise(out)
+    return out
+
+
+def diurnal_curves(df: DataFrame, column: str, keys: list[str], ts: str = "ts") -> DataFrame:
+    """(keys, season, hour, mean, n): the daily course of a variable in each season."""
+    return df.groupBy(*keys, season_of(ts).alias("season"), F.hour(ts).alias("hour")).agg(F.avg(column).alias("mean"), F.count(column).alias("n"))
+
+
 def group_thresholds(df: DataFrame, keys: list[str], variables: list[str], season: dict[str, Column], ts: str = "ts") -> DataFrame:
     """(keys, variable, season, n, q1, median, q3, mad)."""
     long = unpivot(df, keys, variables, ts).withColumns(season)
     group = [*keys, "variable", *season]
     q = long.groupBy(*group).agg(F.count("value").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    mad = long.join(q, group).groupBy(*group).agg(F.percentile(F.abs(F.col("value") - F.col("q")[1]), F.lit(0.5)).alias("mad"))
-    return q.join(mad, group).select(*group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mad")
+    mad = join_on(long, q, group).groupBy(*group).agg(F.percentile(F.abs(F.col("value") - F.col("q")[1]), F.lit(0.5)).alias("mad"))
+    return join_on(q, mad, group).select(*group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mad")
 
 
 def autocorrelation(df: DataFrame, column: str, lags: list[int], keys: list[str], ts: str = "ts") -> DataFrame:
-    """(keys, lag, acf): correlation of a dense series with itself shifted, over pairs that exist; all lags in one pass."""
-    w = by_time(keys, ts)
-    shifted = df.select(*keys, F.col(column).alias("x"), *[F.lag(column, k).over(w).alias(f"x{k}") for k in lags if k])
-    aggs = [F.struct(F.lit(k).alias("lag"), (F.corr("x", f"x{k}") if k else F.lit(1.0)).alias("acf")) for k in lags]
-    return shifted.groupBy(*keys).agg(F.array(*aggs).alias("a")).select(*keys, F.inline("a"))
+    """(keys, lag, acf): correlation of a dense series with itself shifted, over pairs that exist; lag 0 is 1.
+
+    Each row carries the values up to the longest lag before it, so one aggregate by lag serves all lags, and a long series
+    goes to several tasks.
+    """
+    most = max(lags)
+    past = lambda d, k: d.withColumn("_past", F.reverse(F.collect_list(F.struct("x")).over(by_time(k, ts).rowsBetween(-most, 0))))
+    rows = chunked(df.select(*keys, ts, F.col(column).alias("x")), past, keys, most, 0, ts=ts)
+    pairs = rows.select(*keys, "x", F.inline(F.transform(F.array(*map(F.lit, lags)), lambda k: F.struct(k.alias("lag"), F.get("_past", k)["x"].alias("y")))))
+    return pairs.groupBy(*keys, "lag").agg(F.when(F.col("lag") == 0, 1.0).otherwise(F.corr("x", "y")).alias("acf"))
 
 
 def correlations(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
@@ -147,7 +165,7 @@ def box_stats(df: DataFrame, column: str, group: dict[str, Column], reach: float
     """(group, q1, median, q3, whisker_low, whisker_high, fliers)."""
     rows = df.withColumns(group)
     q = rows.groupBy(*group).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    joined = rows.join(q, [*group])
+    joined = join_on(rows, q, [*group])
     span = F.col("q")[2] - F.col("q")[0]
     inside = F.col(column).between(F.col("q")[0] - reach * span, F.col("q")[2] + reach * span)
     out = joined.groupBy(*group).agg(F.first("q").alias("q"), F.min(F.when(inside, F.col(column))).alias("whisker_low"), F.max(F.when(inside, F.col(column))).alias("whisker_high"), F.count_if(~inside).alias("fliers"))
@@ -156,14 +174,14 @@ def box_stats(df: DataFrame, column: str, group: dict[str, Column], reach: float
 
 def global_outliers(df: DataFrame, columns: list[str], cold: Column, reach: float = 1.5) -> DataFrame:
     """(variable, outside, cold_share_pct): values beyond the whole table's fences, and how many of them fall in the cold season."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in columns])
-    rows = df.withColumn("_cold", cold).crossJoin(F.broadcast(q))
-    aggs = []
-    for c in columns:
-        lo, hi = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
-        out = ~F.col(c).between(lo - reach * (hi - lo), hi + reach * (hi - lo))
-        aggs.append(F.struct(F.lit(c).alias("variable"), F.count_if(out).alias("outside"), (F.count_if(out & F.col("_cold")) * 100 / F.nullif(F.count_if(out), F.lit(0))).alias("cold_share_pct")))
-    return rows.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+    fences = exact_quantiles(df, columns, (0.25, 0.75))
+    long = df.select(cold.alias("_cold"), F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])))
+    low, high = F.col("q")[0], F.col("q")[1]
+    out = ~F.col("value").between(low - reach * (high - low), high + reach * (high - low))
+    # One row of fences for each variable.
+    judged = long.join(F.broadcast(fences), "variable").select("variable", "_cold", out.alias("_out"))
+    share = F.count_if(F.col("_out") & F.col("_cold")) * 100 / F.nullif(F.count_if("_out"), F.lit(0))
+    return judged.groupBy("variable").agg(F.count_if("_out").alias("outside"), share.alias("cold_share_pct"))
 
 
 def compare_versions(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-9) -> DataFrame:

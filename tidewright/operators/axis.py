@@ -7,6 +7,7 @@ are TIMESTAMP_NTZ in local time at hour grain.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,6 +30,16 @@ def hours_between(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("HOUR", earlier, later)
 
 
+def join_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns that both have, null agreeing with null; those columns come once. A series without a key is a series too."""
+    other = right.select(*[F.col(f"`{c}`").alias(f"_on_{c}") if c in on else F.col(f"`{c}`") for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_on_{c}`")) for c in on])
+    out = left.join(other, same, how)
+    if how == "full":
+        out = out.withColumns({c: F.coalesce(f"`{c}`", f"`_on_{c}`") for c in on})
+    return out.drop(*[f"_on_{c}" for c in on])
+
+
 def calendar(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Every hour from the first to the last of each series."""
     span = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
@@ -44,13 +55,13 @@ def declared_axis(df: DataFrame, keys: list[str], start: str, end: str, ts: str
 def densify(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """One row for each hour of the calendar; hours without a row are inserted with nulls and is_inserted_hour = 1."""
     marked = df.withColumn("_seen", F.lit(1))
-    out = calendar(df, keys, ts).join(marked, [*keys, ts], "left")
+    out = join_on(calendar(df, keys, ts), marked, [*keys, ts], "left")
     return out.withColumn("is_inserted_hour", F.when(F.col("_seen").isNull(), 1).otherwise(0)).drop("_seen")
 
 
 def axis_difference(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """The hours of left that right lacks."""
-    return left.select(*keys, ts).join(right.select(*keys, ts), [*keys, ts], "left_anti")
+    return join_on(left.select(*keys, ts), right.select(*keys, ts), [*keys, ts], "left_anti")
 
 
 def with_run(df: DataFrame, flag: Column, keys: list[str], ts: str = "ts", name: str = "run_id") -> DataFrame:
@@ -96,7 +107,7 @@ def audit_axis(df: DataFrame, expected: DataFrame, keys: list[str], order: str,
     """
     back = F.col(ts) < F.lag(ts).over(W.partitionBy(*keys).orderBy(order))
     rows = df.select(*keys, ts, back.alias("_back")).groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_back").alias("_back"))
-    both = rows.join(expected.select(*keys, ts).withColumn("_want", F.lit(1)), [*keys, ts], "full")
+    both = join_on(rows, expected.select(*keys, ts).withColumn("_want", F.lit(1)), [*keys, ts], "full")
     seen, n = F.when(F.col("_n").isNotNull(), F.col(ts)), F.coalesce(F.sum("_n"), F.lit(0))
     return both.groupBy(*keys).agg(
         n.alias("rows"), F.count("_n").alias("hours"), (n - F.count("_n")).alias("duplicates"), F.count_if(F.col("_n").isNull()).alias("missing"),

@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cyclic, dewpoint, wind_uv
-from .axis import by_time, hours_between
+from .axis import by_time, chunked, hours_between
 
+#: The steps, horizons and window of the forecast, and (in feature_names) its columns' names.
 LAGS = (1, 2, 3, 6, 12, 24)
 HORIZONS = (1, 6, 12, 24)
 SEQUENCE_LENGTH = 48
@@ -99,6 +100,13 @@ def assign_split(df: DataFrame, bad: Column, needed: list[str], splits: dict[str
     return df.withColumn("split", F.coalesce(label, F.lit("none"))).drop("bad_past", "bad_future")
 
 
+def labelled_features(df: DataFrame, bad: Column, splits: dict[str, tuple[str, str]], keys: list[str], ts: str = "ts", names: dict[str, str] | None = None) -> DataFrame:
+    """add_features() and assign_split() in one pass. Their frames reach 47 rows back and 24 ahead, so a long series goes to several tasks."""
+    cols = feature_names(names)
+    made = lambda d, k: assign_split(add_features(d, k, ts, names), bad, [*cols["tabular"], *cols["targets"]], splits, k, ts)
+    return chunked(df, made, keys, SEQUENCE_LENGTH - 1, max(HORIZONS), ts=ts)
+
+
 def fit_scaler(df: DataFrame, columns: list[str], target: str, rows: Column) -> DataFrame:
     """One row: mean_<c> and std_<c> (population; 1 where below 1e-9) over the chosen rows, and the target's own, unguarded."""
     train = df.where(rows)
@@ -116,31 +124,31 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFr
     return joined.withColumns(scaled).select(*[f"`{c}`" for c in df.columns])
 
 
-def sequence_windows(df: DataFrame, split: str, features: list[str], targets: list[str], keys: list[str], ts: str = "ts", length: int = SEQUENCE_LENGTH, check: bool = True) -> DataFrame:
+def sequence_windows(df: DataFrame, split: str | None, features: list[str], targets: list[str], keys: list[str], ts: str = "ts", length: int = SEQUENCE_LENGTH, check: bool = True) -> DataFrame:
     """(keys, ts, X, y): for each row of the split the last `length` rows' features, as floats, and its targets.
 
-    Raises if the series isn't hourly without breaks or a window is short or holds a null.
+    Without a split the rows of all of them, with split beside. Raises if the series isn't hourly without breaks or a
+    window is short or holds a null.
     """
-    w = by_time(keys, ts)
     row = F.array(*[F.col(f"`{c}`").cast("float") for c in features])
-    step = hours_between(F.col(ts), F.lag(ts).over(w))
-    built = df.select(*keys, ts, "split", step.alias("_step"), F.collect_list(row).over(w.rowsBetween(-(length - 1), 0)).alias("X"), F.array(*[F.col(f"`{c}`").cast("float") for c in targets]).alias("y"))
+    step = hours_between(F.col(ts), F.lag(ts).over(by_time(keys, ts)))
+    breaks = df.select(step.alias("_step")).agg(F.count_if(F.col("_step") != 1)).first()[0] if check else 0
+    if breaks:
+        raise ValueError("the table must be hourly without breaks")
+    slim = df.select(*keys, ts, "split", row.alias("_row"), F.array(*[F.col(f"`{c}`").cast("float") for c in targets]).alias("y"))
+    past = lambda d, k: d.withColumn("X", F.collect_list("_row").over(by_time(k, ts).rowsBetween(-(length - 1), 0)))
+    built = chunked(slim, past, keys, length - 1, 0, ts=ts)
+    built = built.where(F.col("split") == split if split else F.col("split") != "none").drop("_row")
     if check:
         holes = F.exists("X", lambda r: F.exists(r, lambda x: x.isNull())) | F.exists("y", lambda x: x.isNull())
-        mine = F.col("split") == split
-        f = built.agg(F.count_if(F.col("_step") != 1).alias("breaks"), F.count_if(mine & (F.size("X") < length)).alias("short"), F.count_if(mine & holes).alias("holes")).first()
-        if f["breaks"]:
-            raise ValueError("the table must be hourly without breaks")
+        f = built.agg(F.count_if(F.size("X") < length).alias("short"), F.count_if(holes).alias("holes")).first()
         if f["short"]:
             raise ValueError(f"{f['short']} windows lack {length} hours of history")
         if f["holes"]:
             raise ValueError(f"{f['holes']} windows hold nulls")
-    return built.where(F.col("split") == split).drop("_step", "split")
+    return built.drop("split") if split else built
 
 
 def split_summary(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first_t"), F.max(ts).alias("last_t"))
 
-
-def whole_table() -> W:
-    return W.partitionBy()

@@ -1,17 +1,20 @@
-"""Forecasts: the persistence baseline, error measures, and one boosted-tree model for each horizon."""
+"""Forecasts: the persistence baseline, error measures, one boosted-tree model for each horizon, and forecasts for one hour."""
 
 from __future__ import annotations
 
-import tempfile
-from dataclasses import dataclass
+import json
+import re
+from dataclasses import asdict, dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def persistence(scaled: Column, mean: Column | float, std: Column | float) -> Column:
     """The value now, scaled back: the forecast that nothing changes."""
@@ -28,10 +31,12 @@ def errors(df: DataFrame, actual: str, predicted: str, by: list[str] | None = No
     return rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg("_e").alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), *within)
 
 
-def require_rows(df: DataFrame) -> DataFrame:
-    if df.isEmpty():
-        raise ValueError("nothing to measure")
-    return df
+def accuracy(df: DataFrame, actual: str, predicted: str, tolerance: float) -> float:
+    """Share of rows, in per cent, whose error is within the tolerance; raises on a table without rows to measure."""
+    row = errors(df, actual, predicted, tolerances=(tolerance,)).first()
+    if not row["n"]:
+        raise ValueError("no rows to measure")
+    return row[-1]
 
 
 @dataclass(frozen=True)
@@ -47,28 +52,44 @@ class Boosting:
     seed: int = 42
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model's first n trees, as if boosting had ended there."""
+    java = model._java_obj
+    jvm = SparkSession.active()._jvm
+    kinds = jvm.org.apache.spark.ml.regression
+    trees = SparkSession.active().sparkContext._gateway.new_array(kinds.DecisionTreeRegressionModel, n)
+    weights = SparkSession.active().sparkContext._gateway.new_array(jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees(), java.treeWeights(), strict=True)):
+        if i < n:
+            trees[i], weights[i] = tree, weight
+    cut = kinds.GBTRegressionModel(model.uid, trees, weights)
+    return GBTRegressionModel(java.copyValues(cut, jvm.org.apache.spark.ml.param.ParamMap.empty()))
+
+
+def best_size(curve: list[float], patience: int) -> int:
+    """How many trees give the least error, where training stops `patience` trees after the best one so far."""
+    best = 0
+    for i, error in enumerate(curve):
+        if error < curve[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def fit_horizon(train: DataFrame, validation: DataFrame, features: list[str], target: str, config: Boosting = Boosting()) -> PipelineModel:
-    """Boosted trees for one target, cut back to the number of trees with the least absolute error on the validation rows.
+    """Boosted trees for one target, fitted on squared loss and cut back to the number with the least absolute error on the validation rows.
 
     Trees beyond `patience` after the best one don't count, as if training had stopped there. Without validation rows all trees stay.
     """
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     gbt = GBTRegressor(
         featuresCol="features", labelCol=target, maxIter=config.trees, stepSize=config.rate, maxDepth=config.depth,
-        minInstancesPerNode=config.least_rows, featureSubsetStrategy=config.columns_share, lossType="absolute", seed=config.seed)
+        minInstancesPerNode=config.least_rows, featureSubsetStrategy=config.columns_share, lossType="squared", seed=config.seed)
     model = gbt.fit(assembler.transform(train.select(*features, target)))
-    if validation.isEmpty():
-        return PipelineModel(stages=[assembler, model])
-    curve = model.evaluateEachIteration(assembler.transform(validation.select(*features, target)), "absolute")
-    best = 0
-    for i, error in enumerate(curve):
-        if error < curve[best]:
-            best = i
-        elif i - best >= config.patience:
-            break
-    if best + 1 < config.trees:
-        # With the same seed the first trees are the same ones.
-        model = gbt.copy({gbt.maxIter: best + 1}).fit(assembler.transform(train.select(*features, target)))
+    if not validation.isEmpty():
+        curve = model.evaluateEachIteration(assembler.transform(validation.select(*features, target)), "absolute")
+        model = first_trees(model, best_size(curve, config.patience))
     return PipelineModel(stages=[assembler, model])
 
 
@@ -78,16 +99,17 @@ def score(model: PipelineModel, rows: DataFrame, target: str | None = None) -> D
     return out.withColumn("abs_error", F.abs(F.col(f"`{target}`") - F.col("prediction"))) if target else out
 
 
-def train_horizons(rows: DataFrame, inputs: list[str], targets: dict[int, str], baseline: Column, config: Boosting = Boosting(), split: str = "split", tolerances: tuple = (1.0, 2.0)) -> DataFrame:
+def train_horizons(rows: DataFrame, inputs: list[str], targets: dict[int, str], baseline: Column, config: Boosting = Boosting(), split: str = "split", tolerances: tuple = (1.0, 2.0), folder: str | None = None) -> DataFrame:
     """One record for each horizon and split: the trees kept, then n, mae, rmse and within_<tol>_pct of its model and of the baseline.
 
     `targets` maps each horizon to its column. Every horizon has a model of its own, fitted on all rows of split train and
     cut back on those of val; rows of split none take no part. Without train rows the models' figures are null.
+    Models are saved in folder, if one is given, for load_horizon().
     """
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         # Each tree adds to the lineage of the residuals, which MLlib cuts only where it can checkpoint.
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     kept = rows.where(F.col(split) != "none").select(split, *[f"`{c}`" for c in [*inputs, *targets.values()]], baseline.alias("_baseline")).persist()
     fitted = not kept.where(F.col(split) == "train").isEmpty()
 
@@ -98,6 +120,8 @@ def train_horizons(rows: DataFrame, inputs: list[str], targets: dict[int, str],
         if fitted:
             model = fit_horizon(mine.where(F.col(split) == "train"), mine.where(F.col(split) == "val"), inputs, "_target", config)
             scored, trees = score(model, mine, "_target"), model.stages[-1].getNumTrees
+            if folder is not None:
+                model.write().overwrite().save(horizon_path(folder, horizon))
         base = errors(scored, "_target", "_baseline", [split], tolerances)
         base = base.select(split, *[F.col(c).alias(c if c == "n" else f"persistence_{c}") for c in base.columns if c != split])
         own = errors(scored, "_target", "prediction", [split], tolerances).drop("n")
@@ -113,6 +137,31 @@ def train_horizons(rows: DataFrame, inputs: list[str], targets: dict[int, str],
     return spark.createDataFrame(records, schema)
 
 
+def horizon_records(scores: DataFrame, targets: dict[int, str], folder: str | None = None) -> DataFrame:
+    """One record of eleven fields for each horizon, from train_horizons(): what validation chose and what test rows say, beside persistence on test rows. Errors are null where a split has no rows."""
+    of = lambda name, part: F.max(F.when(F.col("split") == part, F.col(name)))
+    name = F.create_map(*[x for h, t in targets.items() for x in (F.lit(h), F.lit(t))])[F.col("horizon")]
+    path = F.concat(F.lit(f"{folder.rstrip('/')}/horizon-"), F.col("horizon").cast("string")) if folder else F.lit(None).cast("string")
+    return scores.groupBy("horizon").agg(
+        F.max("trees").alias("trees"), of("mae", "val").alias("validation_mae"), of("rmse", "val").alias("validation_rmse"), of("mae", "test").alias("test_mae"), of("rmse", "test").alias("test_rmse"),
+        of("persistence_mae", "test").alias("persistence_test_mae"), of("persistence_rmse", "test").alias("persistence_test_rmse"),
+        of("within_1_pct", "test").alias("test_within_1_pct"), of("within_2_pct", "test").alias("test_within_2_pct"),
+    ).select("horizon", name.alias("target"), *["trees", "validation_mae", "validation_rmse", "test_mae", "test_rmse", "persistence_test_mae", "persistence_test_rmse", "test_within_1_pct", "test_within_2_pct"], path.alias("model")).drop(*([] if folder else ["model"]))
+
+
+def write_report(records: DataFrame, folder: str, config: Boosting = Boosting()) -> None:
+    """The records as one CSV file with six decimals and, with the settings, as one JSON line. Records are one row for each horizon."""
+    rows = records.orderBy("horizon").coalesce(1)
+    texts = [F.format_string("%.6f", F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in rows.dtypes]
+    rows.select(*texts).write.mode("errorifexists").option("header", True).csv(f"{folder}/metrics_csv")
+    told = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("results"))
+    told.select(F.lit(json.dumps(asdict(config))).alias("settings"), "results").coalesce(1).write.mode("errorifexists").json(f"{folder}/metrics_json")
+
+
+def horizon_path(folder: str, horizon: int) -> str:
+    return f"{folder.rstrip('/')}/horizon-{horizon}"
+
+
 def load_model(path: str) -> PipelineModel:
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import AnalysisException
@@ -123,15 +172,32 @@ def load_model(path: str) -> PipelineModel:
         raise FileNotFoundError(f"no model at {path}") from e
 
 
-def select_row(df: DataFrame, at: str | None, targets: list[str], ts: str = "ts") -> DataFrame:
-    """The row at a local time, or the latest one whose targets all exist; raises if there is none."""
+def local_time(text: str, zone: str = "Asia/Ho_Chi_Minh") -> Column:
+    """A local TIMESTAMP_NTZ from ISO text: without an offset it is local already, with one it is converted."""
+    if re.search(r"(?:Z|[+-]\d{2}:?\d{2})$", text):
+        return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_utc_timestamp(F.lit(text).cast("timestamp"), F.current_timezone()).cast("timestamp_ntz"))
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def select_row(df: DataFrame, at: str | None, targets: list[str], ts: str = "ts", zone: str = "Asia/Ho_Chi_Minh") -> DataFrame:
+    """The row at a time, or the latest one whose targets all exist; raises if there is none."""
     if at is not None:
-        row = df.where(F.col(ts) == F.lit(at).cast("timestamp_ntz"))
+        row = df.where(F.col(ts) == local_time(at, zone))
     else:
-        known = df
-        for t in targets:
-            known = known.where(F.col(f"`{t}`").isNotNull())
-        row = known.orderBy(F.desc(ts)).limit(1)
+        row = df.dropna(subset=targets).orderBy(F.desc(ts)).limit(1)
     if row.isEmpty():
-        raise ValueError(f"no row at {at}" if at else "no row with all targets")
+        raise ValueError(f"the table has no row at {at}" if at else "no row has all its targets")
     return row
+
+
+def predict_row(row: DataFrame, folder: str, targets: dict[int, str]) -> DataFrame:
+    """(horizon, prediction, actual, abs_error) for a row, one for each horizon's saved model; actual and error are null where the target isn't known."""
+    parts = []
+    for horizon, target in targets.items():
+        scored = score(load_model(horizon_path(folder, horizon)), row)
+        actual = F.col(f"`{target}`")
+        parts.append(scored.select(F.lit(horizon).alias("horizon"), "prediction", actual.alias("actual"), F.abs(F.col("prediction") - actual).alias("abs_error")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

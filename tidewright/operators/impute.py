@@ -6,50 +6,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .axis import by_time, gap_lengths, hours_between
+from .axis import by_time, chunked, gap_lengths, hours_between
 
 
-def _neighbours(column: Column, keys: list[str], ts: str) -> tuple[Column, Column]:
-    """The last observed (value, time) before a row and the first after it."""
+def _neighbours(column: Column, keys: list[str], ts: str, most: int) -> tuple[Column, Column]:
+    """The last observed (value, time) before a row of a dense axis and the first after it, where the gap between can be of at most `most` hours."""
     w = by_time(keys, ts)
     seen = F.when(column.isNotNull(), F.struct(column.alias("v"), F.col(ts).alias("t")))
-    before = F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first(seen, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    return before, after
+    return F.last(seen, ignorenulls=True).over(w.rowsBetween(-most, -1)), F.first(seen, ignorenulls=True).over(w.rowsBetween(1, most))
 
 
 def _between(a: Column, b: Column, share: Column) -> Column:
     return a + (b - a) * share
 
 
-def interpolate(df: DataFrame, columns: list[str], keys: list[str], ts: str = "ts", most: int = 3) -> DataFrame:
-    """Fills each column's interior gaps of at most `most` hours in a line over time; longer gaps and edges stay null.
+def _line(before: str, after: str, share: Column) -> Column:
+    return _between(F.col(f"{before}.v"), F.col(f"{after}.v"), share)
+
+
+def _turn(before: str, after: str, share: Column) -> Column:
+    part = lambda f: _between(f(F.radians(F.col(f"{before}.v"))), f(F.radians(F.col(f"{after}.v"))), share)
+    return F.pmod(F.degrees(F.atan2(part(F.sin), part(F.cos))), F.lit(360.0))
 
-    The whole gap counts, inserted hours included. Adds filled_<column>.
+
+def fill(df: DataFrame, linear: list[str], circular: list[str], keys: list[str], ts: str = "ts", most: int = 3) -> DataFrame:
+    """Fills interior gaps of at most `most` hours of a dense axis; longer gaps and edges stay null. Adds filled_<column>.
+
+    The whole gap counts, inserted hours included. Linear columns are filled in a line over time. Circular ones are angles
+    in degrees: sine and cosine are filled each by itself, and the result lies in [0, 360). All columns share one window,
+    whose frames reach `most` rows, so a long series goes to several tasks.
     """
-    for c in columns:
-        before, after = _neighbours(F.col(c), keys, ts)
-        df = df.withColumns({"_b": before, "_a": after})
-        span = hours_between(F.col("_a.t"), F.col("_b.t"))
-        fill = F.col(c).isNull() & (span - 1 <= most)
-        share = hours_between(F.col(ts), F.col("_b.t")) / span
-        df = df.withColumn(f"filled_{c}", F.coalesce(fill, F.lit(False)))
-        df = df.withColumn(c, F.when(F.col(f"filled_{c}"), _between(F.col("_b.v"), F.col("_a.v"), share)).otherwise(F.col(c))).drop("_b", "_a")
-    return df
+    kinds = {**dict.fromkeys(linear, _line), **dict.fromkeys(circular, _turn)}
+
+    def filled(df: DataFrame, keys: list[str]) -> DataFrame:
+        sides = {c: _neighbours(F.col(c), keys, ts, most) for c in kinds}
+        df = df.withColumns({name: side for c, both in sides.items() for name, side in zip((f"_b_{c}", f"_a_{c}"), both, strict=True)})
+        done = {}
+        for c, between in kinds.items():
+            span = hours_between(F.col(f"_a_{c}.t"), F.col(f"_b_{c}.t"))
+            fits = F.coalesce(F.col(c).isNull() & (span - 1 <= most), F.lit(False))
+            share = hours_between(F.col(ts), F.col(f"_b_{c}.t")) / span
+            done[f"filled_{c}"], done[c] = fits, F.when(fits, between(f"_b_{c}", f"_a_{c}", share)).otherwise(F.col(c))
+        return df.withColumns(done).drop(*[f"_{side}_{c}" for c in kinds for side in "ba"])
+
+    return chunked(df, filled, keys, most, most, ts=ts)
+
+
+def interpolate(df: DataFrame, columns: list[str], keys: list[str], ts: str = "ts", most: int = 3) -> DataFrame:
+    return fill(df, columns, [], keys, ts, most)
 
 
-def interpolate_direction(df: DataFrame, column: str, keys: list[str], ts: str = "ts", most: int = 3, decimals: int | None = None) -> DataFrame:
-    """As interpolate(), for an angle in degrees: its sine and cosine are filled each by itself, and the result lies in [0, 360)."""
-    before, after = _neighbours(F.col(column), keys, ts)
-    df = df.withColumns({"_b": before, "_a": after})
-    span = hours_between(F.col("_a.t"), F.col("_b.t"))
-    share = hours_between(F.col(ts), F.col("_b.t")) / span
-    part = lambda f: _between(f(F.radians("_b.v")), f(F.radians("_a.v")), share)
-    angle = F.pmod(F.degrees(F.atan2(part(F.sin), part(F.cos))), F.lit(360.0))
-    if decimals is not None:
-        angle = F.pmod(F.bround(angle, decimals), F.lit(360.0))
-    df = df.withColumn(f"filled_{column}", F.coalesce(F.col(column).isNull() & (span - 1 <= most), F.lit(False)))
-    return df.withColumn(column, F.when(F.col(f"filled_{column}"), angle).otherwise(F.col(column))).drop("_b", "_a")
+def interpolate_direction(df: DataFrame, column: str, keys: list[str], ts: str = "ts", most: int = 3) -> DataFrame:
+    return fill(df, [], [column], keys, ts, most)
 
 
 def carry_forward(df: DataFrame, columns: list[str], keys: list[str], ts: str = "ts", most: int = 2) -> DataFrame:

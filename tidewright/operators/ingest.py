@@ -51,7 +51,7 @@ AUDIT_FILLS = (-999.0,)
 def require(df: DataFrame, columns: list[str]) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing columns: {missing}")
+        raise ValueError(f"the table lacks {', '.join(missing)}")
 
 
 def is_blank(text: Column) -> Column:
@@ -100,11 +100,11 @@ def parse_times(df: DataFrame, column: str = "timestamp", zone: str = "Asia/Ho_C
     """Replaces a text column by local hours; raises if any row lacks an offset, can't be read or is off the hour."""
     faults = df.agg(*[c.alias(k) for k, c in time_faults(F.col(column)).items()]).first()
     if faults["without_offset"]:
-        raise ValueError("Every timestamp must include an explicit timezone offset")
+        raise ValueError(f"{faults['without_offset']} times name no offset from UTC")
     if faults["unparseable"]:
-        raise ValueError(f"{faults['unparseable']} timestamps cannot be parsed")
+        raise ValueError(f"{faults['unparseable']} times are not ISO 8601")
     if faults["off_hour"]:
-        raise ValueError("Timestamps must be aligned to exact hours")
+        raise ValueError(f"{faults['off_hour']} times lie between two hours")
     return df.withColumn(name, to_local(parse_time(F.col(column)), zone)).drop(*([column] if column != name else []))
 
 
@@ -173,7 +173,7 @@ def column_conflicts(df: DataFrame, keys: list[str], columns: list[str]) -> Data
 def refuse_conflicts(df: DataFrame, keys: list[str]) -> DataFrame:
     n = conflicts(df, keys).agg(F.sum("rows")).first()[0]
     if n:
-        raise ValueError(f"{n} rows share a timestamp but disagree on values")
+        raise ValueError(f"{n} rows contradict another row of their hour")
     return df
 
 

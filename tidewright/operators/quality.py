@@ -6,15 +6,12 @@ so all variables share one shuffle.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .axis import by_time, hours_between, islands
+from .axis import by_time, islands, join_on
+from .ranks import cumulated
 
 #: Fixed value: scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 1.4826
@@ -47,9 +44,9 @@ def robust_z(long: DataFrame, keys: list[str], season: dict[str, Column]) -> Dat
     """
     long, group = seasonal(long, keys, season)
     median = long.groupBy(*group).agg(F.percentile("value", F.lit(0.5)).alias("median"))
-    with_median = long.join(median, group)
+    with_median = join_on(long, median, group)
     mad = with_median.groupBy(*group).agg(F.percentile(F.abs(F.col("value") - F.col("median")), F.lit(0.5)).alias("mad"))
-    out = with_median.join(mad, group)
+    out = join_on(with_median, mad, group)
     return out.withColumn("robust_z", F.abs(F.col("value") - F.col("median")) / F.when(F.col("mad") != 0, F.col("mad") * MAD_SCALE))
 
 
@@ -62,7 +59,7 @@ def flag_iqr(long: DataFrame, keys: list[str], season: dict[str, Column], ts: st
     """Outside 1.5 interquartile ranges of its season; the score is the distance beyond in ranges."""
     long, group = seasonal(long, keys, season)
     q = long.groupBy(*group).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    rows = long.join(q, group).withColumn("iqr", F.col("q")[1] - F.col("q")[0]).where("iqr > 0")
+    rows = join_on(long, q, group).withColumn("iqr", F.col("q")[1] - F.col("q")[0]).where("iqr > 0")
     beyond = F.greatest(F.col("q")[0] - F.col("value"), F.col("value") - F.col("q")[1])
     return _flags(rows.where(beyond > 1.5 * F.col("iqr")), keys, ts, beyond / F.col("iqr"), 1, "seasonal_hour_IQR")
 
@@ -76,7 +73,7 @@ def flag_mad(long: DataFrame, keys: list[str], season: dict[str, Column], limit:
 def flag_wet(long: DataFrame, keys: list[str], wet: float = 0.1, q: float = 0.999, ts: str = "ts") -> DataFrame:
     """Values above the quantile of the wet ones; the rule's name holds the limit."""
     limits = long.groupBy(*keys, "variable").agg(F.percentile(F.when(F.col("value") > wet, F.col("value")), F.lit(q)).alias("limit"))
-    hit = long.join(limits, [*keys, "variable"]).where("value > limit")
+    hit = join_on(long, limits, [*keys, "variable"]).where("value > limit")
     return _flags(hit, keys, ts, F.col("value") / F.col("limit"), 1, F.format_string(f"wet_hour_q{q * 100:g}>%.2f", "limit"))
 
 
@@ -84,7 +81,7 @@ def flag_wet_by(long: DataFrame, keys: list[str], by: dict[str, Column], wet: fl
     """Wet values above the quantile of the wet values of their group."""
     rows = long.where(F.col("value") > wet).withColumns(by)
     limits = rows.groupBy(*keys, "variable", *by).agg(F.percentile("value", F.lit(q)).alias("limit"))
-    hit = rows.join(limits, [*keys, "variable", *by]).where("value > limit")
+    hit = join_on(rows, limits, [*keys, "variable", *by]).where("value > limit")
     return _flags(hit, keys, ts, F.col("value") / F.col("limit"), 1, "wet_hour_month_q995")
 
 
@@ -108,7 +105,7 @@ def jumps(long: DataFrame, keys: list[str], season: dict[str, Column], floors: d
     long, group = seasonal(long.withColumn("step", step), keys, season)
     limit = long.groupBy(*group).agg(F.percentile(F.abs("step"), F.lit(q)).alias("q"))
     floor = F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("variable")]
-    rows = long.join(limit, group).withColumn("limit", F.greatest("q", floor))
+    rows = join_on(long, limit, group).withColumn("limit", F.greatest("q", floor))
     return rows.withColumn("large", F.coalesce(F.abs("step") > F.col("limit"), F.lit(False)))
 
 
@@ -144,7 +141,7 @@ def level_shifts(long: DataFrame, keys: list[str], season: dict[str, Column], fl
     """(keys, variable, date, level_shift, limit): days whose median residual over the next `days` differs from the `days` before by more than the limit."""
     long, group = seasonal(long, keys, season)
     median = long.groupBy(*group).agg(F.percentile("value", F.lit(0.5)).alias("median"))
-    residual = long.join(median, group).withColumn("residual", F.col("value") - F.col("median"))
+    residual = join_on(long, median, group).withColumn("residual", F.col("value") - F.col("median"))
     daily = residual.groupBy(*keys, "variable", F.to_date(ts).alias("date")).agg(F.percentile("residual", F.lit(0.5)).alias("r"), F.count("residual").alias("n"))
     daily = daily.withColumn("r", F.when(F.col("n") >= least_hours, F.col("r")))
     w = W.partitionBy(*keys, "variable").orderBy("date")
@@ -152,7 +149,7 @@ def level_shifts(long: DataFrame, keys: list[str], season: dict[str, Column], fl
     shifted = daily.withColumn("level_shift", part(0, days - 1) - part(-days, -1))
     limit = shifted.groupBy(*keys, "variable").agg(F.percentile(F.abs("level_shift"), F.lit(q)).alias("q"))
     floor = F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("variable")]
-    rows = shifted.join(limit, [*keys, "variable"]).withColumn("limit", F.greatest("q", floor))
+    rows = join_on(shifted, limit, [*keys, "variable"]).withColumn("limit", F.greatest("q", floor))
     return rows.where(F.abs("level_shift") > F.col("limit")).select(*keys, "variable", "date", "level_shift", "limit")
 
 
@@ -162,7 +159,7 @@ def flag_names(flags: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
 
 
 def attach_flags(df: DataFrame, flags: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    return df.join(flag_names(flags, keys, ts), [*keys, ts], "left").withColumn("outlier_flags", F.coalesce("outlier_flags", F.lit("none")))
+    return join_on(df, flag_names(flags, keys, ts), [*keys, ts], "left").withColumn("outlier_flags", F.coalesce("outlier_flags", F.lit("none")))
 
 
 def events(flags: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
@@ -177,22 +174,9 @@ def events(flags: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
 
 
 def ranked_events(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds event_id, E00001 on, by severity and score downwards, then variable, start and keys.
-
-    Events are dealt to ranges of this order and numbered within each, after as many as the ranges before hold. The ranges
-    are written to the shared folder, as bounds sampled anew would not agree with the counts.
-    """
-    spark = found.sparkSession
-    order = [F.desc("severity"), F.desc("score"), "variable", "start", *keys]
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/events-{uuid.uuid4().hex}"
-    ranges = found.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id())
-    ranges.write.parquet(path)
-    written = spark.read.schema(ranges.schema).parquet(path)
-    counts = sorted(written.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
-    before = spark.createDataFrame(list(zip([r["_range"] for r in counts], accumulate((r["n"] for r in counts), initial=0), strict=False)), "_range int, _before long")
-    numbered = written.withColumn("_row", F.row_number().over(W.partitionBy("_range").orderBy(*order))).join(F.broadcast(before), "_range")
-    return numbered.withColumn("event_id", F.format_string("E%05d", F.col("_before") + F.col("_row"))).drop("_range", "_before", "_row")
+    """Adds event_id, E00001 on, by severity and score downwards, then variable, start and keys; numbered by ranges, not in one task."""
+    placed = cumulated(found, [F.desc("severity"), F.desc("score"), "variable", "start", *keys], F.lit(1), "_before")
+    return placed.withColumn("event_id", F.format_string("E%05d", F.col("_before") + 1)).drop("_before")
 
 
 def review_pick(ranked: DataFrame, top: int = 3) -> DataFrame:
@@ -208,8 +192,5 @@ def review_pick(ranked: DataFrame, top: int = 3) -> DataFrame:
 def flags_within(flags: DataFrame, found: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """The flags that lie within an event of their variable, by an equi-join on the event's hours rather than a range join."""
     hours = found.select(*keys, "variable", "event_id", F.explode(F.expr("sequence(start, end, interval 1 hour)")).alias(ts))
-    return flags.join(hours, [*keys, "variable", ts])
-
+    return join_on(flags, hours, [*keys, "variable", ts])
 
-def hours_apart(a: str, b: str) -> Column:
-    return hours_between(F.col(a), F.col(b))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cyclic, dewpoint, uuid5, wind_uv
-from ..operators import analytics, axis, features, forecast, impute, ingest, quality
+from ..operators import analytics, axis, features, forecast, impute, ingest, quality, ranks
 from ..sources import payload
+from ..sources.shared import new_path
 from . import pipeline
 
 FLAGSHIP = "rolling_24h"
@@ -54,14 +55,11 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense hours with short gaps filled."""
-    df = impute.interpolate(dense(spark, sf_dir), [v for v in VARS if v != "wd"], KEYS)
-    return impute.provenance(impute.interpolate_direction(df, "wd", KEYS), VARS)
+    return impute.provenance(impute.fill(dense(spark, sf_dir), [v for v in VARS if v != "wd"], ["wd"], KEYS), VARS)
 
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = features.feature_names(NAMES)
-    made = features.add_features(filled(spark, sf_dir), KEYS, names=NAMES)
-    return features.assign_split(made, features.quality_bad(VARS), [*cols["tabular"], *cols["targets"]], SPLITS, KEYS)
+    return features.labelled_features(filled(spark, sf_dir), features.quality_bad(VARS), SPLITS, KEYS, names=NAMES)
 
 
 def r(x: str) -> str:
@@ -228,13 +226,13 @@ _SCALED = ["t2m", "rh", "DEWPOINT", "ps_diff_24h", "t2m_roll_mean_24h"]
 
 def _scaler(spark, sf_dir):
     rows = split_rows(spark, sf_dir)
-    return rows, features.fit_scaler(rows, _SCALED, "t2m", F.col("split") != "none")
+    return rows, features.fit_scaler(rows, _SCALED, "t2m", F.col("split") == "train")
 
 
 _STD = lambda c: f'CASE WHEN stddev_pop("{c}") < 1e-9 THEN 1.0 ELSE stddev_pop("{c}") END'
 _FIT = ", ".join(f"avg(\"{c}\") AS \"mean_{c}\", {_STD(c)} AS \"std_{c}\"" for c in _SCALED)
-add("scaler_fit", "SELECT " + ", ".join(f"{r(f'avg({chr(34)}{c}{chr(34)})')} AS \"mean_{c}\", {r(_STD(c))} AS \"std_{c}\"" for c in _SCALED) + f", {r('avg(t2m)')} AS target_mean, {r('stddev_pop(t2m)')} AS target_std FROM parted WHERE split <> 'none'", FEATURED)(lambda s, d: _scaler(s, d)[1])
-add("scaled_features", f", fit AS (SELECT {_FIT} FROM parted WHERE split <> 'none') SELECT series, ts, " + ", ".join(f"{r(f'({chr(34)}{c}{chr(34)} - {chr(34)}mean_{c}{chr(34)}) / {chr(34)}std_{c}{chr(34)}')} AS \"{c}\"" for c in _SCALED) + " FROM parted, fit", FEATURED)(
+add("scaler_fit", "SELECT " + ", ".join(f"{r(f'avg({chr(34)}{c}{chr(34)})')} AS \"mean_{c}\", {r(_STD(c))} AS \"std_{c}\"" for c in _SCALED) + f", {r('avg(t2m)')} AS target_mean, {r('stddev_pop(t2m)')} AS target_std FROM parted WHERE split = 'train'", FEATURED)(lambda s, d: _scaler(s, d)[1])
+add("scaled_features", f", fit AS (SELECT {_FIT} FROM parted WHERE split = 'train') SELECT series, ts, " + ", ".join(f"{r(f'({chr(34)}{c}{chr(34)} - {chr(34)}mean_{c}{chr(34)}) / {chr(34)}std_{c}{chr(34)}')} AS \"{c}\"" for c in _SCALED) + " FROM parted, fit", FEATURED)(
     lambda s, d: features.apply_scaler(*_scaler(s, d), _SCALED).select("series", "ts", *_SCALED))
 _ALL_SCALED = features.feature_names(NAMES)["scaled"]
 
@@ -249,13 +247,16 @@ _FIT_ALL = ", ".join(f"avg(\"{c}\") AS \"mean_{c}\", {_STD(c)} AS \"std_{c}\"" f
 add("scaler_fit_train", "SELECT " + ", ".join(f"{r(f'avg({chr(34)}{c}{chr(34)})')} AS \"mean_{c}\", {r(_STD(c))} AS \"std_{c}\"" for c in _ALL_SCALED) + f", {r('avg(t2m)')} AS target_mean, {r('stddev_pop(t2m)')} AS target_std FROM parted WHERE split = 'train'", FEATURED)(lambda s, d: _train_scaler(s, d)[1])
 add("scaled_features_train", f", fit AS (SELECT {_FIT_ALL} FROM parted WHERE split = 'train') SELECT series, ts, " + ", ".join(f"{r(f'({chr(34)}{c}{chr(34)} - {chr(34)}mean_{c}{chr(34)}) / {chr(34)}std_{c}{chr(34)}')} AS \"{c}\"" for c in _ALL_SCALED) + " FROM parted, fit", FEATURED)(
     lambda s, d: features.apply_scaler(*_train_scaler(s, d), _ALL_SCALED).select("series", "ts", *_ALL_SCALED))
-add("sequence_windows", "SELECT series, ts, 48 AS n, round(list_sum(list_value(" + ", ".join(f"lag(t2m, {k}) OVER {_W}" for k in range(47, 0, -1)) + ", t2m)), 2) AS total, split FROM parted QUALIFY split <> 'none'", FEATURED)(lambda s, d: _sequences(s, d))
+_CELLS = ", ".join(f"lag({c}, {k}) OVER {_W}" if k else c for k in range(47, -1, -1) for c in ("t2m", "rh"))
+_WHOLE = lambda x: f"md5(array_to_string(list_transform({x}, lambda x: CAST(CAST(round(CAST(CAST(x AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR)), ','))"
+add("sequence_windows", f", windowed AS (SELECT series, ts, split, list_value({_CELLS}) AS x, list_value(\"t2m_t+1h\", \"t2m_t+24h\") AS y FROM parted) SELECT series, ts, split, 48 AS n, {_WHOLE('x')} AS x, {_WHOLE('y')} AS y FROM windowed WHERE split <> 'none'", FEATURED)(lambda s, d: _sequences(s, d))
 
 
 def _sequences(spark, sf_dir):
-    parts = [features.sequence_windows(split_rows(spark, sf_dir), name, ["t2m", "rh"], ["t2m_t+1h"], KEYS, check=False).withColumn("split", F.lit(name)) for name in SPLITS]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.select("series", "ts", F.size("X").alias("n"), F.round(F.aggregate("X", F.lit(0.0), lambda a, x: a + F.round(x[0].cast("double"), 4)), 2).alias("total"), "split")
+    """Every window of every split, as digests over all its values to three decimals."""
+    rows = features.sequence_windows(split_rows(spark, sf_dir), None, ["t2m", "rh"], ["t2m_t+1h", "t2m_t+24h"], KEYS, check=False)
+    whole = lambda x: F.md5(F.array_join(F.transform(x, lambda v: F.round(v.cast("double") * 1000).cast("long").cast("string")), ",").cast("binary"))
+    return rows.select("series", "ts", "split", F.size("X").alias("n"), whole(F.flatten("X")).alias("x"), whole(F.col("y")).alias("y"))
 
 
 # Typing, masking, duplicates.
@@ -422,7 +423,7 @@ add("flag_summary", _ALL + f"SELECT (SELECT count(*) FROM cells) AS cells, {r('(
     lambda s, d: _flags(s, d).select("series", "ts", "variable").distinct().agg(F.count(F.lit(1)).alias("cells")).crossJoin(dense(s, d).agg(F.count(F.lit(1)).alias("n"))).select("cells", (F.col("cells") * 100 / (F.col("n") * 5)).alias("pct")))
 add("attach_flags", _ALL + "SELECT d.series, d.ts, coalesce(f.names, 'none') AS outlier_flags FROM dense d LEFT JOIN (SELECT series, ts, string_agg(DISTINCT variable, '|' ORDER BY variable) AS names FROM flags GROUP BY 1, 2) f ON d.series = f.series AND d.ts = f.ts")(
     lambda s, d: quality.attach_flags(dense(s, d), _flags(s, d), KEYS).select("series", "ts", "outlier_flags"))
-add("flag_events", _ALL + "SELECT series, variable, start, \"end\", hours, severity, score, reasons FROM named")(lambda s, d: _ranked(s, d).drop("event_id"))
+add("flag_events", _ALL + "SELECT series, variable, start, \"end\", hours, severity, score, reasons FROM named")(lambda s, d: quality.events(_flags(s, d), KEYS))
 add("events_ranked", _ALL + "SELECT * FROM named")(_ranked)
 add("review_pick", _ALL + ", a AS (SELECT * FROM named ORDER BY event_id LIMIT 3), b AS (SELECT * FROM named WHERE severity = 1 ORDER BY event_id LIMIT 3) SELECT *, 'pending' AS decision, '' AS evidence, '' AS reviewer FROM (SELECT * FROM a UNION SELECT * FROM b)")(lambda s, d: quality.review_pick(_ranked(s, d)))
 add("flags_in_event", _ALL + "SELECT f.*, n.event_id FROM flags f JOIN named n ON f.series = n.series AND f.variable = n.variable AND f.ts BETWEEN n.start AND n.\"end\"")(lambda s, d: quality.flags_within(_flags(s, d), _ranked(s, d), KEYS))
@@ -470,11 +471,7 @@ add("scan_raw_text", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN
 
 def _text_file(spark, sf_dir):
     """Customers as a CSV file in the shared folder, read back as text."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/customers-{uuid.uuid4().hex}"
+    path = new_path(spark, "customers")
     rows = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("c_name"), F.when(F.col("c_custkey") % 5 == 0, "1d").otherwise(F.col("c_mktsegment")).alias("cell"))
     rows.write.option("header", True).csv(path)
@@ -533,8 +530,94 @@ _FIT_TRAIN = f", fit AS (SELECT {_FIT} FROM parted WHERE split = 'train')"
 add("model_ready", _FIT_TRAIN + " SELECT series, ts, split, " + ", ".join(f"{r(f'({chr(34)}{c}{chr(34)} - {chr(34)}mean_{c}{chr(34)}) / {chr(34)}std_{c}{chr(34)}')} AS \"{c}\"" for c in _SCALED) + f", {r(chr(34) + 't2m_t+24h' + chr(34))} AS \"t2m_t+24h\" FROM parted, fit", FEATURED)(
     lambda s, d: pipeline.model_ready(filled(s, d), KEYS, SPLITS, VARS, NAMES)[0].select("series", "ts", "split", *_SCALED, "`t2m_t+24h`"))
 
+# Rules at their usual settings, on three generated years of two series: both sides make the same hours from whole numbers.
+_HOURS = 26304
+_MADE = {
+    "t2m": "CASE WHEN k % 97 = 5 THEN NULL ELSE CAST(hour(ts) * 37 % 24 AS DOUBLE) / 4 + month(ts) * 2 + CAST(k % 41 AS DOUBLE) / 10 + CASE WHEN k = 13 THEN 25 ELSE 0 END + CAST(n * n % 9973 AS DOUBLE) / 100000 END",
+    "rain": "CASE WHEN k % 5 = 0 THEN CAST(k * k % 997 AS DOUBLE) / 50 ELSE CAST(0 AS DOUBLE) END",
+    "rh": "CASE WHEN (n {div} 500) % 7 = 3 AND n % 500 < 15 THEN CAST(77 AS DOUBLE) ELSE 50 + CAST(k * 31 % 500 AS DOUBLE) / 10 + CAST(n * n % 9973 AS DOUBLE) / 100000 END",
+    "ps": "100 + CAST((n {div} 720) % 9 AS DOUBLE) / 4 + CAST(k % 11 AS DOUBLE) / 100 + CAST(n * n % 9973 AS DOUBLE) / 100000",
+    "ws": "CAST(k % 80 AS DOUBLE) / 10",
+    "wd": "CAST(k * 13 % 360 AS DOUBLE)",
+    "rad": "CASE WHEN hour(ts) BETWEEN 6 AND 18 THEN CAST(k * 17 % 900 AS DOUBLE) WHEN k = 500 THEN CAST(9 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END",
+}
+_K = "(n * 7919 + (n {div} 24) * 104729 + m * 31) % 1009"
+_MADE_SQL = {v: x.replace("{div}", "//") for v, x in _MADE.items()}
+YEARS = f"""
+WITH numbered AS (SELECT m, n, {_K.replace('{div}', '//')} AS k, CASE m WHEN 0 THEN 'a' ELSE 'b' END AS series, TIMESTAMP '2019-01-01' + INTERVAL 1 HOUR * n AS ts FROM range({_HOURS}) t(n), range(2) u(m)),
+dense AS (SELECT series, ts, {', '.join(f'{x} AS {v}' for v, x in _MADE_SQL.items())} FROM numbered
+), long AS (
+  SELECT series, ts, month(ts) * 100 + hour(ts) AS season, variable, value FROM (SELECT series, ts, t2m, rh, ps, ws, rad FROM dense) UNPIVOT INCLUDE NULLS (value FOR variable IN (t2m, rh, ps, ws, rad))
+)
+"""
+
+
+def years(spark: SparkSession, hours: int = _HOURS, series: int = 2) -> DataFrame:
+    rows = spark.range(hours * series).selectExpr(f"id div {hours} AS m", f"id % {hours} AS n").selectExpr("m", "n", _K.replace("{div}", "div") + " AS k")
+    rows = rows.selectExpr("*", "chr(cast(97 + m AS int)) AS series", "timestamp_ntz'2019-01-01' + make_interval(0, 0, 0, 0, cast(n AS int)) AS ts")
+    return rows.selectExpr("series", "ts", *[f"{x.replace('{div}', 'div')} AS {v}" for v, x in _MADE.items()])
+
+
+def _long_years(spark, variables=("t2m", "rh", "ps", "ws", "rad")):
+    return quality.unpivot(years(spark), KEYS, list(variables))
+
+
+add("robust_z_month_hour", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('z')} AS score, 1 AS severity, 'seasonal_robust_z>5' AS rule FROM dev WHERE z > 5", YEARS)(lambda s, d: quality.flag_robust_z(_long_years(s), KEYS, quality.season_keys()))
+add("flag_mad_month_hour", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('0.6745 * abs(value - median) / mad')} AS score, 1 AS severity, 'seasonal_hour_MAD' AS rule FROM dev WHERE mad > 0 AND 0.6745 * abs(value - median) / mad > 3.5", YEARS)(lambda s, d: quality.flag_mad(_long_years(s), KEYS, quality.season_keys()))
+add("flag_iqr_month_hour", _DEV + _IQR, YEARS)(lambda s, d: quality.flag_iqr(_long_years(s), KEYS, quality.season_keys()))
+add("seasonal_thresholds_month_hour", _Q + f"SELECT series, variable, (season // 100)::INT AS month, (season % 100)::INT AS hour, n, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3, {r('mad')} AS mad FROM q", YEARS)(
+    lambda s, d: analytics.group_thresholds(years(s), KEYS, ["t2m", "rh", "ps", "ws", "rad"], {"month": F.month("ts"), "hour": F.hour("ts")}))
+add("wet_hour_q999", f""", lim AS (SELECT series, quantile_cont(rain, 0.999) FILTER (WHERE rain > 0.1) AS lim FROM dense GROUP BY 1)
+SELECT d.series, d.ts, 'rain' AS variable, {r('rain')} AS value, {r('rain / lim')} AS score, 1 AS severity, 'wet_hour_q99.9>' || printf('%.2f', lim) AS rule FROM dense d JOIN lim l ON d.series = l.series WHERE rain > lim""", YEARS)(lambda s, d: quality.flag_wet(_long_years(s, ["rain"]), KEYS))
+add("flag_jump_month_hour", _JUMP + f"SELECT series, ts, variable, {r('value')} AS value, {r('abs(step) / lim')} AS score, 2 AS severity, 'large_hourly_jump' AS rule FROM n WHERE large", YEARS)(lambda s, d: quality.flag_jump(_long_years(s, _FLOORS), KEYS, quality.season_keys(), _FLOORS))
+add("flag_flat_12h", f""", nw AS (SELECT series, ts, rh AS value, CASE WHEN rh = lag(rh) OVER {_W} THEN 0 ELSE 1 END AS new FROM dense), rn AS (SELECT *, sum(new) OVER {_W} AS run FROM nw),
+sz AS (SELECT *, count(*) OVER (PARTITION BY series, run) AS n FROM rn WHERE value IS NOT NULL) SELECT series, ts, 'rh' AS variable, {r('value')} AS value, {r('n / 12.0::DOUBLE')} AS score, 2 AS severity, 'constant_run_ge12h' AS rule FROM sz WHERE n >= 12""", YEARS)(
+    lambda s, d: quality.flag_flat(_long_years(s, ["rh"]), KEYS))
+add("level_shift_7d", f""", med AS (SELECT series, variable, season, median(value) AS median FROM long GROUP BY 1, 2, 3), res AS (SELECT l.series, l.variable, CAST(ts AS DATE) AS date, value - median AS residual FROM long l JOIN med USING (series, variable, season)),
+da AS (SELECT series, variable, date, CASE WHEN count(residual) >= 20 THEN median(residual) END AS r FROM res GROUP BY 1, 2, 3),
+sh AS (SELECT *, CASE WHEN count(r) OVER a = 7 THEN quantile_cont(r, 0.5) OVER a END - CASE WHEN count(r) OVER b = 7 THEN quantile_cont(r, 0.5) OVER b END AS shift FROM da
+  WINDOW a AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING), b AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+lim AS (SELECT series, variable, greatest(quantile_cont(abs(shift), 0.995), 0.1) AS lim FROM sh GROUP BY 1, 2)
+SELECT series, variable, strftime(date, '%Y-%m-%d') AS date, {r('shift')} AS level_shift, {r('lim')} AS "limit" FROM sh JOIN lim USING (series, variable) WHERE abs(shift) > lim""", YEARS)(
+    lambda s, d: quality.level_shifts(_long_years(s), KEYS, quality.season_keys(), dict.fromkeys(("t2m", "rh", "ps", "ws", "rad"), 0.1)).withColumn("date", F.col("date").cast("string")))
+_SEASON_SQL = "CASE " + " ".join(f"WHEN month(ts) IN {months} THEN '{name}'" for name, months in analytics.SEASONS.items()) + " END"
+add("diurnal_curves", f"SELECT series, {_SEASON_SQL} AS season, hour(ts)::INT AS hour, {r('avg(t2m)')} AS mean, count(t2m) AS n FROM dense GROUP BY 1, 2, 3", YEARS)(lambda s, d: analytics.diurnal_curves(years(s), "t2m", KEYS))
+add("month_hour_matrix", "SELECT month(ts)::INT AS row, " + ", ".join(f"{r(f'avg(t2m) FILTER (WHERE hour(ts) = {h})')} AS h{h}" for h in range(24)) + " FROM dense GROUP BY 1", YEARS)(lambda s, d: analytics.hour_matrix(years(s), "t2m", F.month("ts")))
+add("wind_rose_seasons", f""", w AS (SELECT series, {_SEASON_SQL} AS season, floor(CASE WHEN wd + 11.25 >= 360 THEN wd + 11.25 - 360 ELSE wd + 11.25 END / 22.5)::INT AS sector, count(*) AS n FROM dense WHERE ws >= 0.5 AND wd IS NOT NULL GROUP BY 1, 2, 3)
+SELECT series, season, sector, n, {r('n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY series, season)')} AS share_pct, row_number() OVER (PARTITION BY series, season ORDER BY n DESC, sector) = 1 AS is_peak FROM w""", YEARS)(
+    lambda s, d: analytics.wind_rose(years(s), "ws", "wd", {"series": F.col("series"), "season": analytics.season_of()}))
+_WINTER = f"month(ts) IN {analytics.SEASONS['winter']}"
+add("global_iqr_winter", " UNION ALL ".join(f"""SELECT '{c}' AS variable, count(*) FILTER (WHERE NOT {c} BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) AS outside,
+{r(f'count(*) FILTER (WHERE {_WINTER} AND NOT {c} BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE NOT {c} BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)), 0)')} AS cold_share_pct
+FROM dense, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM dense)""" for c in ("t2m", "rain")), YEARS)(lambda s, d: analytics.global_outliers(years(s), ["t2m", "rain"], F.month("ts").isin(*analytics.SEASONS["winter"])))
+_BOX = f"""{r('any_value(q1)')} AS q1, {r('any_value(median)')} AS median, {r('any_value(q3)')} AS q3, {r('min(x) FILTER (WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))')} AS whisker_low,
+{r('max(x) FILTER (WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))')} AS whisker_high, count(*) FILTER (WHERE NOT x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS fliers"""
+add("box_stats_scaled", f""", z AS (SELECT 'before' AS stage, ps AS x FROM dense WHERE year(ts) < 2021 UNION ALL SELECT 'after', (ps - m) / s FROM dense, (SELECT avg(ps) AS m, stddev_pop(ps) AS s FROM dense WHERE year(ts) < 2021) WHERE year(ts) < 2021),
+q AS (SELECT stage, quantile_cont(x, 0.25) AS q1, median(x) AS median, quantile_cont(x, 0.75) AS q3 FROM z GROUP BY 1) SELECT z.stage, {_BOX} FROM z JOIN q ON z.stage = q.stage GROUP BY 1""", YEARS)(lambda s, d: _boxes(s))
+
+
+def _boxes(spark):
+    """Box figures of a variable's train rows (all years but the last) before and after scaling."""
+    rows = years(spark).where(F.year("ts") < 2021).withColumn("split", F.lit("train"))
+    scaled = features.apply_scaler(rows, features.fit_scaler(rows, ["ps"], "ps", F.lit(True)), ["ps"])
+    both = rows.select(F.lit("before").alias("stage"), "ps").unionByName(scaled.select(F.lit("after").alias("stage"), "ps"))
+    return analytics.box_stats(both, "ps", {"stage": F.col("stage")})
+
+
+add("exact_quantiles", " UNION ALL ".join(f"SELECT '{c}' AS variable, {', '.join(f'{r(f'quantile_cont({c}, {q})')} AS q{i}' for i, q in enumerate((0.01, 0.5, 0.995)))} FROM dense" for c in ("t2m", "rain")), YEARS)(
+    lambda s, d: ranks.exact_quantiles(years(s), ["t2m", "rain"], (0.01, 0.5, 0.995)).select("variable", *[F.col("q")[i].alias(f"q{i}") for i in range(3)]))
+add("metadata_drift", "SELECT 't2m' AS parameter, 2::BIGINT AS versions WHERE (SELECT count(DISTINCT day(ts) = 3) FROM observed) > 1")(lambda s, d: _drift(s, d))
+
+
+def _drift(spark, sf_dir):
+    """Payloads whose units of one parameter change on one day."""
+    bodies = _payloads(spark, sf_dir)
+    units = F.transform_values(F.col("payload.parameters"), lambda k, v: F.struct(F.when((k == "t2m") & F.col("day").endswith("-03"), "K").otherwise(v["units"]).alias("units"), v["longname"].alias("longname")))
+    return payload.metadata_drift(bodies.withColumn("payload", F.col("payload").withField("parameters", units)))
+
+
 # Forecasts.
-add("persistence_forecast", f", fit AS (SELECT avg(t2m) AS m, stddev_pop(t2m) AS s FROM parted WHERE split <> 'none') SELECT series, ts, {r('t2m')} AS predicted FROM parted, fit WHERE split <> 'none'", FEATURED)(
+add("persistence_forecast", f", fit AS (SELECT avg(t2m) AS m, stddev_pop(t2m) AS s FROM parted WHERE split = 'train') SELECT series, ts, {r('t2m')} AS predicted FROM parted, fit WHERE split <> 'none'", FEATURED)(
     lambda s, d: _scaler(s, d)[0].where("split <> 'none'").crossJoin(F.broadcast(_scaler(s, d)[1])).select("series", "ts", forecast.persistence((F.col("t2m") - F.col("target_mean")) / F.col("target_std"), F.col("target_mean"), F.col("target_std")).alias("predicted")))
 _ERR = "abs(\"t2m_t+24h\" - t2m)"
 add("metrics_persistence", f"SELECT series, count({_ERR}) AS n, {r(f'avg({_ERR})')} AS mae, {r(f'sqrt(avg({_ERR} * {_ERR}))')} AS rmse, {r(f'avg(CASE WHEN {_ERR} IS NULL THEN NULL WHEN {_ERR} <= 1 THEN 1 ELSE 0 END) * 100')} AS within_1_pct, {r(f'avg(CASE WHEN {_ERR} IS NULL THEN NULL WHEN {_ERR} <= 2 THEN 1 ELSE 0 END) * 100')} AS within_2_pct FROM featured GROUP BY series", FEATURED)(

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import six_digits
 from ..operators import axis, features, impute, ingest, quality
-from ..sources.payload import write_once
+from ..sources.journal import Journal, file_info, inside
+from ..sources.payload import read_text_table, write_once
 
 CLEAN_FLAGS = ["is_inserted_hour", "is_imputed", "imputed_columns", "outlier_flags"]
 
@@ -48,11 +50,8 @@ def clean(raw: DataFrame, keys: list[str], zone: str = "Asia/Ho_Chi_Minh", varia
     if validate:
         ingest.refuse_conflicts(rows, [*keys, "ts"])
     dense = axis.densify(rows, keys)
-    linear = [v.name for v in variables if v.kind == "linear"]
-    filled = impute.interpolate(dense, linear, keys)
-    for v in variables:
-        if v.kind == "circular":
-            filled = impute.interpolate_direction(filled, v.name, keys)
+    kind = lambda k: [v.name for v in variables if v.kind == k]
+    filled = impute.fill(dense, kind("linear"), kind("circular"), keys)
     filled = impute.provenance(filled, names)
     flags = rule_flags(filled, keys, season)
     marked = quality.attach_flags(filled, flags, keys)
@@ -64,28 +63,71 @@ def clean(raw: DataFrame, keys: list[str], zone: str = "Asia/Ho_Chi_Minh", varia
 def model_ready(cleaned: DataFrame, keys: list[str], splits: dict[str, tuple[str, str]], raw: list[str], names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(model_ready, scaler, unscaled features). The scaler is fitted on train rows only and applied to all."""
     cols = features.feature_names(names)
-    made = features.add_features(cleaned, keys, names=names)
-    made = features.assign_split(made, features.quality_bad(raw), [*cols["tabular"], *cols["targets"]], splits, keys)
+    made = features.labelled_features(cleaned, features.quality_bad(raw), splits, keys, names=names)
     scaler = features.fit_scaler(made, cols["scaled"], cols["sequence"][0], F.col("split") == "train")
     scaled = features.apply_scaler(made, scaler, cols["scaled"])
     return scaled.select(*keys, "ts", "split", *[f"`{c}`" for c in [*cols["tabular"], *cols["targets"]]]), scaler, made
 
 
-def write_clean(result: Cleaned, folder: str, least_rows: int = 10_000, variables=ingest.WEATHER) -> None:
-    """Parquet of the hours, flags and report; refuses raw folders and tables with too few complete rows."""
-    if "data/raw" in folder:
-        raise ValueError("Cleaned output must not be written into data/raw")
-    complete = result.clean.dropna(subset=[v.name for v in variables]).count()
-    if complete < least_rows:
-        raise ValueError(f"Fewer than {least_rows} complete hourly rows after cleaning")
-    for name, df in (("clean", result.clean), ("outlier_flags", result.flags), ("report", result.report)):
-        write_once(df, f"{folder}/{name}")
+def write_clean(result: Cleaned, folder: str, keys: list[str], least_rows: int = 10_000, variables=ingest.WEATHER, journal: Journal | None = None, sealed: tuple[str, ...] = ("data/raw",)) -> None:
+    """Parquet of the hours in order of time, the flags in order of time and variable, and the report as one JSON line a series.
 
-
-def write_model_ready(ready: DataFrame, scaler: DataFrame, folder: str) -> None:
-    """Parquet partitioned by split, lossless, and the scaler as JSON."""
+    Refuses sealed folders and tables with too few complete rows. With a journal, what is written is noted with its counts.
+    """
+    if any(inside(folder, s) for s in sealed):
+        raise ValueError(f"{folder} is sealed: cleaned hours go elsewhere")
+    complete = features.complete([v.name for v in variables])
+    n = result.clean.where(complete).count()
+    if n < least_rows:
+        raise ValueError(f"only {n} hours are complete, not {least_rows}")
+    parts = {"clean": (result.clean, ["ts", *keys]), "outlier_flags": (result.flags, ["ts", "variable", "rule", *keys])}
+    for name, (df, order) in parts.items():
+        rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        if journal:
+            journal.note("WRITE_PLANNED", name=name, path=f"{folder}/{name}")
+            rows = journal.watch(rows, name, rows=F.count(F.lit(1)), first=F.min("ts"), last=F.max("ts"))
+        if write_once(rows, f"{folder}/{name}") and journal:
+            journal.tell(name, "WRITTEN")
+    write_once(result.report.coalesce(1), f"{folder}/report", "json")
+
+
+def clean_step(spark: SparkSession, raw_path: str, folder: str, keys: list[str], journal_folder: str, least_rows: int = 10_000, zone: str = "Asia/Ho_Chi_Minh", variables=ingest.WEATHER, season: dict | None = None) -> Cleaned:
+    """The cleaning step from a text table to its files, told in a journal that is open before anything is read."""
+    with Journal(spark, journal_folder, "clean", {"input": raw_path, "output": folder, "zone": zone}) as journal:
+        journal.note("INPUT", **file_info(spark, raw_path))
+        raw = read_text_table(spark, raw_path, [*keys, "timestamp", *[v.name for v in variables]])
+        result = clean(raw, keys, zone, variables, season=season)
+        write_clean(result, folder, keys, least_rows, variables, journal)
+        journal.note("OUTPUT", **file_info(spark, f"{folder}/clean"))
+    return result
+
+
+def load_clean(spark: SparkSession, folder: str, keys: list[str], variables=ingest.WEATHER) -> DataFrame:
+    """The clean table as it was typed: local hours, doubles, flags."""
+    columns = [*[f"{k} string" for k in keys], "ts timestamp_ntz", *[f"{v.name} double" for v in variables], "is_inserted_hour int", "is_imputed int", "imputed_columns string", "outlier_flags string"]
+    return spark.read.schema(", ".join(columns)).parquet(f"{folder}/clean")
+
+
+def imputed(column: str) -> Column:
+    """Whether a clean row's value of a column was filled, from the names joined by |."""
+    return F.array_contains(F.split("imputed_columns", r"\|"), column)
+
+
+def write_model_ready(ready: DataFrame, scaler: DataFrame, folder: str, columns: list[str] | None = None) -> None:
+    """Parquet partitioned by split, lossless; the scaler as it is and, for the columns named, as one JSON document of column to mean and std; and a CSV of six significant digits, which loses the rest."""
     ready.write.mode("errorifexists").partitionBy("split").parquet(f"{folder}/model_ready")
     scaler.coalesce(1).write.mode("errorifexists").json(f"{folder}/scaler")
+    if columns:
+        spark = ready.sparkSession
+        spark.createDataFrame([(scaler_params(scaler, columns),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/scaler_params")
+    texts = [six_digits(F.col(f"`{n}`")).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in ready.dtypes]
+    ready.select(*[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias("ts") if n == "ts" else c for (n, _), c in zip(ready.dtypes, texts, strict=True)]).write.mode("errorifexists").option("header", True).csv(f"{folder}/model_ready_csv")
+
+
+def load_model_ready(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
+    """The model-ready table; of one split only that split's files are read."""
+    rows = spark.read.parquet(f"{folder}/model_ready")
+    return rows.where(F.col("split") == split) if split else rows
 
 
 def target_scaler(spark: SparkSession, folder: str) -> tuple[float, float]:
@@ -97,3 +139,15 @@ def scaler_params(scaler: DataFrame, columns: list[str]) -> str:
     """The scaler's one row as a JSON text of column to mean and std."""
     row = scaler.first()
     return json.dumps({c: {"mean": row[f"mean_{c}"], "std": row[f"std_{c}"]} for c in columns} | {"__target__": {"mean": row["target_mean"], "std": row["target_std"]}})
+
+
+def write_reports(tables: dict[str, DataFrame], folder: str) -> list[str]:
+    """Small report tables as CSV, one file each; a table that is there already stays, as a reviewer may have filled it in. Returns the names written."""
+    done = []
+    for name, df in tables.items():
+        path = f"{folder}/{name}"
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        if not target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(target):
+            df.coalesce(1).write.option("header", True).csv(path)
+            done.append(name)
+    return done

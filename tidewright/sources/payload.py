@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,41 @@ def hour_keys(days: DataFrame, first: str = "first", last: str = "last") -> Data
     return days.select("*", F.explode(F.sequence(a, b, F.expr("interval 1 hour"))).alias("hour")).withColumn("key", F.date_format("hour", "yyyyMMddHH")).drop("hour")
 
 
+def first_that_exists(spark: SparkSession, *paths: str) -> str:
+    """The first path that exists, as a raw table may stand at its place or at a fallback."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            return path
+    raise FileNotFoundError(f"none of {', '.join(paths)} exists")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON document that may take many lines, as one row."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+#: The answers worth asking again, and the longest wait between two attempts, in seconds.
+TRANSIENT, LONGEST_WAIT = (408, 429), 30.0
+
+
+def is_transient(status: int | None) -> bool:
+    """A status worth another attempt; none stands for a connection that failed or timed out."""
+    return status is None or status in TRANSIENT or status >= 500
+
+
+def fetch(ask, url: str, retries: int, wait) -> object:
+    """What ask(url) answers, as (status, body), for a status below 400. Transient failures are asked for again, `retries` times
+    at most, after wait(seconds) of 2, 4, 8 ... LONGEST_WAIT; others raise at once. ask and wait are the caller's, so this needs no network."""
+    for attempt in range(retries + 1):
+        status, body = ask(url)
+        if status is not None and status < 400:
+            return body
+        if not is_transient(status) or attempt == retries:
+            raise RuntimeError(f"{url} answered {status} after {attempt + 1} attempts")
+        wait(min(2.0 ** (attempt + 1), LONGEST_WAIT))
+
+
 def check_request(start: str, end: str, today: str, timeout: float, retries: int) -> None:
     """What a request must meet before anything is sent; dates as YYYY-MM-DD."""
     if start > end:
@@ -80,6 +117,27 @@ def payload_faults(latitude: float, longitude: float, parameters: list[str], tol
     return F.array_compact(F.array(*faults))
 
 
+def value_faults(raw: DataFrame, keys: list[str], column: str = "json") -> DataFrame:
+    """(keys, parameter, key, value): the hours whose value is neither null nor a finite number, as the payload words it.
+
+    Values are read as text, as a cast to double would take "1" or hide what is no number. JSON has no word for what isn't
+    finite, so a bare NaN or Infinity, which some writers emit, makes the payload malformed and is a fault of payload_faults().
+    """
+    words = F.from_json(F.get_json_object(column, "$.properties.parameter"), "map<string, string>", {"mode": "PERMISSIVE"})
+    by_name = raw.select(*keys, F.explode(words).alias("parameter", "hours"))
+    cells = by_name.select(*keys, "parameter", F.explode(F.expr("regexp_extract_all(hours, '\"([^\"]*)\"\\\\s*:\\\\s*(\"[^\"]*\"|[^,}\\\\s]+)', 0)")).alias("pair"))
+    cells = cells.select(*keys, "parameter", F.regexp_extract("pair", r'^"([^"]*)"', 1).alias("key"), F.regexp_extract("pair", r":\s*(.*)$", 1).alias("value"))
+    is_number = F.col("value").rlike(r"^-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & (F.abs(F.col("value").try_cast("double")) < float("inf"))
+    return cells.where((F.col("value") != "null") & ~F.coalesce(is_number, F.lit(False)))
+
+
+def metadata_drift(parsed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, parameter, versions): parameters whose metadata isn't the same in every payload."""
+    by = by or []
+    entries = parsed.select(*by, F.explode("payload.parameters").alias("parameter", "meta"))
+    return entries.groupBy(*by, "parameter").agg(F.count_distinct(F.to_json("meta")).alias("versions")).where("versions > 1")
+
+
 def missing_values(fill: Column) -> Column:
     """Counts values that are null or the fill value."""
     return F.count_if(F.col("value").isNull() | (F.col("value") == fill))
@@ -96,6 +154,27 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return sorted(a.columns) == sorted(b.columns) and a.select(*b.columns).exceptAll(b).isEmpty() and b.exceptAll(a.select(*b.columns)).isEmpty()
 
 
+def snapshot_path(folder: str, stamp: str) -> str:
+    """A place of its own for a refreshed copy, so what is there already stays as it is."""
+    return f"{folder.rstrip('/')}/snapshots/{stamp}_{uuid.uuid4().hex[:8]}"
+
+
+def cached(spark: SparkSession, folder: str, months: DataFrame, load) -> DataFrame:
+    """The payloads of the months (first, last), as (first, json): those that folder holds are read, the others come from load(months) and are added.
+
+    load gets the months that are missing and returns (first, json). A month is a folder by its first day, so a month is asked
+    for once and an earlier month is never written again.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    schema = "json string, first date"
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    held = spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+    missing = months.join(held.select("first").distinct(), "first", "left_anti")
+    if not missing.isEmpty():
+        load(missing).select("json", "first").write.mode("append").partitionBy("first").parquet(folder)
+    return spark.read.schema(schema).parquet(folder).join(months.select("first"), "first", "left_semi").select("first", "json")
+
+
 def write_once(df: DataFrame, path: str, form: str = "parquet", **options) -> bool:
     """Writes to a new place. Writing the same rows again does nothing and returns False; other rows raise FileExistsError."""
     spark = df.sparkSession
