@@ -7,6 +7,7 @@ are 30.4 s and 33.1 s; clean_25y_x10 takes ten such series. Each reads text or P
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import functions as F
@@ -47,6 +48,7 @@ def main():
         began = time.time()
         work()
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
 
     for name in HEADLINE:
         timed(name, lambda name=name: finish(catalog.QUERIES[name](spark, sf_dir)))

@@ -12,6 +12,7 @@ from ..functions.scalars import six_digits
 from ..operators import axis, features, impute, ingest, quality
 from ..sources.journal import Journal, file_info, inside
 from ..sources.payload import read_text_table, write_once
+from ..sources.shared import written
 
 CLEAN_FLAGS = ["is_inserted_hour", "is_imputed", "imputed_columns", "outlier_flags"]
 
@@ -38,7 +39,7 @@ def clean(raw: DataFrame, keys: list[str], zone: str = "Asia/Ho_Chi_Minh", varia
     """Text rows (keys, timestamp, variables) to gap-free local hours with their flags.
 
     Strict times, invalid cells to null, exact duplicates dropped, conflicts refused, hours inserted, gaps of up to three
-    hours filled, outliers flagged and kept. Inputs are refused only where validate is set.
+    hours filled, outliers flagged and kept. Inputs are refused only where validate is set. The filled hours and the flags are written to the shared folder.
     """
     names = [v.name for v in variables]
     ingest.require(raw, [*keys, "timestamp", *names])
@@ -52,8 +53,9 @@ def clean(raw: DataFrame, keys: list[str], zone: str = "Asia/Ho_Chi_Minh", varia
     dense = axis.densify(rows, keys)
     kind = lambda k: [v.name for v in variables if v.kind == k]
     filled = impute.fill(dense, kind("linear"), kind("circular"), keys)
-    filled = impute.provenance(filled, names)
-    flags = rule_flags(filled, keys, season)
+    # Flags, the flagged table and the report all start from the filled hours, so these are written once.
+    filled = written(impute.provenance(filled, names), "filled_hours")
+    flags = written(rule_flags(filled, keys, season), "flags")
     marked = quality.attach_flags(filled, flags, keys)
     counts = [F.count_if(F.col(f"filled_{n}")).alias(f"filled_{n}") for n in names] + [F.count_if(F.col(n).isNull()).alias(f"missing_{n}") for n in names]
     report = filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("is_inserted_hour").alias("inserted_hours"), F.sum("is_imputed").alias("imputed_rows"), *counts)
@@ -63,7 +65,8 @@ def clean(raw: DataFrame, keys: list[str], zone: str = "Asia/Ho_Chi_Minh", varia
 def model_ready(cleaned: DataFrame, keys: list[str], splits: dict[str, tuple[str, str]], raw: list[str], names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(model_ready, scaler, unscaled features). The scaler is fitted on train rows only and applied to all."""
     cols = features.feature_names(names)
-    made = features.labelled_features(cleaned, features.quality_bad(raw), splits, keys, names=names)
+    # Fitting and applying the scaler both read the features, so these are written once.
+    made = written(features.labelled_features(cleaned, features.quality_bad(raw), splits, keys, names=names), "features")
     scaler = features.fit_scaler(made, cols["scaled"], cols["sequence"][0], F.col("split") == "train")
     scaled = features.apply_scaler(made, scaler, cols["scaled"])
     return scaled.select(*keys, "ts", "split", *[f"`{c}`" for c in [*cols["tabular"], *cols["targets"]]]), scaler, made
