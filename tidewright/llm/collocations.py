@@ -31,9 +31,9 @@ SHARE = 50
 #: Of the numbered words so many of the most frequent ones, of at most so many bytes each, go to every task; others are joined.
 MOST_SENT, MOST_BYTES = 600_000, 64
 #: Distinct words, and places of words, that a task holds before it hands them on.
-MOST_HELD, BLOCK = 500_000, 2_000_000
+MOST_HELD, BLOCK = 400_000, 1_000_000
 #: Places of words for each range of keys, and documents whose keys set the ranges' bounds.
-RANGE, SAMPLE = 2_000_000, 1000
+RANGE, SAMPLE = 1_000_000, 1000
 
 #: A-Z in lower case; what ends a piece is a line feed, a tab is a blank.
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
