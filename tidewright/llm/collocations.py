@@ -26,6 +26,8 @@ from .decontaminate import bitmap, probe
 
 LEAST = 10
 TOP = 2000
+#: So many languages, with two numbers each, may be broadcast; more are joined by shuffle.
+MOST_LANGUAGES = 10_000
 #: A shorter phrase goes if one around it is at least so frequent, in per cent.
 SHARE = 50
 #: Of the numbered words so many of the most frequent ones, of at most so many bytes each, go to every task; others are joined.
@@ -285,8 +287,8 @@ def mine_collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, t
         "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.when(first, F.col("n1")).otherwise(F.col("f12")).alias("l"),
         F.when(first, F.col("f23")).otherwise(F.col("n3")).alias("r"), F.least("s1", "s2").alias("score"))
     placed = cumulated(pairs.unionByName(longer), ["lang", F.desc("score"), F.desc("a"), "phrase"], F.lit(1))
-    starts = placed.groupBy("lang").agg(F.min("before").alias("start"))
-    ranked = placed.join(starts.join(totals, "lang"), "lang").withColumn("rank", F.col("before") - F.col("start") + 1)
+    starts = written(placed.groupBy("lang").agg(F.min("before").alias("start")).join(totals, "lang"), "languages")
+    ranked = placed.join(F.broadcast(starts) if starts.count() <= MOST_LANGUAGES else starts, "lang").withColumn("rank", F.col("before") - F.col("start") + 1)
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
