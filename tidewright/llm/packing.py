@@ -10,6 +10,7 @@ window until one is cut at its end. What is left of that one seeds the next wind
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -26,14 +27,21 @@ MODEL = "word_bpe_49k.json"
 END = 2
 WINDOW = 4096
 #: Tokens for each shard, and how many of a seed's terms, by weight, ask for neighbours.
-SHARD, QUERY_TERMS = 4_000_000, 32
-#: Words a worker keeps with their ids, of at most so many bytes each.
+SHARD, QUERY_TERMS = 2_000_000, 32
+#: Words a worker keeps with their ids, twice over at most, of so many bytes each.
 MOST_KNOWN, MOST_BYTES = 400_000, 64
 #: Usual values of BM25's parameters.
 K1, B = 1.2, 0.75
 SIGNATURE = 4
-#: A word and at most one stop behind it, which are two pre-tokens of the model, letters without regard to case.
-WORD_AND_STOP = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: ASCII letters in lower case, as the model has them anyway.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+STOPS = b".,;:!?"
+#: A letter up to U+00FF, lower case but for accents, as UTF-8.
+LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+#: A stop at the end of a stretch with anything but such a letter before it, so that it may be part of a longer pre-token.
+BOUND_STOP = re.compile(rb"(?<![a-z])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,;:!?](?=[ \n])")
+#: A word and at most one stop behind it, which are two pre-tokens of the model.
+WORD_AND_STOP = re.compile(rb"(" + LETTER + rb"+)([.,;:!?]?)")
 
 
 def default_model() -> str:
@@ -46,7 +54,8 @@ class Encoder:
     """The ids of texts as the library gives them without special tokens added.
 
     The model's pre-tokens never cross white space, and its normal form treats each stretch between ASCII white space by itself,
-    so a text's ids are those of its stretches in order. Distinct ones are encoded once.
+    so a text's ids are those of its stretches in order. Distinct ones are encoded once; a stop behind a word is a pre-token of
+    its own. A text that may hold a special token's string is the library's as a whole.
     """
 
     def __init__(self, path: str):
@@ -56,38 +65,88 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code).newbyteorder("<")
+        self.end = np.array([END], self.kind).tobytes()
+        # The last id of each pre-token ends a word.
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        parts = {}
-        for w in words:
-            text = w.decode()
-            m = WORD_AND_STOP.fullmatch(text)
-            parts[w] = [p.encode() for p in (m[1].lower(), m[2]) if p] if m else [w]
-        new = list({p for each in parts.values() for p in each if p not in self.known})
-        for p, got in zip(new, self.library.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
+        #: What was known before the last time that memory was full; words met again come back from here.
+        self.old: dict[bytes, bytes] = {}
+
+    def encode_words(self, words: list[bytes]) -> None:
+        """Learns words of letters, each of which is one pre-token, by one call for all of them."""
+        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words):
+            return self.encode_stretches(words)
+        flat, width, start = ids.tobytes(), self.kind.itemsize, 0
+        for w, stop in zip(words, (at * width).tolist(), strict=True):
+            self.known[w] = flat[start:stop]
+            start = stop
+
+    def encode_stretches(self, parts: list[bytes]) -> None:
+        for p, got in zip(parts, self.library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
             self.known[p] = np.array(got.ids, self.kind).tobytes()
-        for w, each in parts.items():
-            self.known[w] = b"".join([self.known[p] for p in each])
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        words, known = text.split(), self.known
-        new = set(words) - known.keys()
-        if new:
-            self.learn(new)
-        ids = np.frombuffer(b"".join([known[w] for w in words]), self.kind)
-        if new and (len(known) > MOST_KNOWN or max(map(len, new)) > MOST_BYTES):
-            self.known = {} if len(known) > MOST_KNOWN else {w: i for w, i in known.items() if len(w) <= MOST_BYTES}
-        return np.append(ids, self.kind.type(END))
+    def learn(self, stretches: set[bytes]) -> None:
+        known, words, others, joined = self.known, set(), [], []
+        for w in stretches:
+            if w.isalpha():
+                words.add(w)
+            elif m := WORD_AND_STOP.fullmatch(w):
+                base = m[1] if m[1].isascii() else m[1].decode().lower().encode()
+                if base not in known:
+                    words.add(base)
+                if base != w:
+                    joined.append((w, base, m[2]))
+            else:
+                others.append(w)
+        if words:
+            self.encode_words(list(words))
+        stops = {stop for _, _, stop in joined if stop and stop not in known}
+        if others or stops:
+            self.encode_stretches([*others, *stops])
+        for w, base, stop in joined:
+            known[w] = known[base] + known[stop] if stop else known[base]
+
+    def __call__(self, text: bytes) -> bytes:
+        """The ids and END, packed as little-endian numbers of `kind`."""
+        if b"<|" in text:
+            return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, self.kind).tobytes() + self.end
+        text = text.translate(LOWER)
+        if not BOUND_STOP.search(text):
+            for stop in STOPS:
+                for gap in b" \n":
+                    text = text.replace(bytes((stop, gap)), bytes((32, stop, gap)))
+        stretches, known = text.split(), self.known
+        ids = list(map(known.get, stretches))
+        if None in ids:
+            at = [i for i, found in enumerate(ids) if found is None]
+            new = {stretches[i] for i in at}
+            for w in [w for w in new if w in self.old]:
+                known[w] = self.old[w]
+                new.remove(w)
+            if new:
+                self.learn(new)
+            for i in at:
+                ids[i] = known[stretches[i]]
+            for w in new:
+                if len(w) > MOST_BYTES:
+                    known.pop(w, None)
+            if len(known) > MOST_KNOWN:
+                self.known, self.old = {}, known
+        return b"".join(ids) + self.end
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """A worker's encoder, kept from task to task."""
+    """A worker's encoder, kept from task to task. The library's own threads would only crowd the tasks."""
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
@@ -108,13 +167,15 @@ def tokenised(docs: DataFrame, model: str) -> DataFrame:
             rows = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 rid += 1
-                ids = encode(text or b"")
-                df[np.unique(ids[:-1])] += 1
-                least = tables[:, ids].min(1) * (1 << 16) // encode.size
+                packed = encode(text or b"")
+                ids = np.frombuffer(packed, encode.kind)
+                own, _ = term_counts(ids[:-1])
+                df[own] += 1
+                # A text without terms has the least signature.
                 sig = 0
-                for x in least.tolist():
+                for x in (tables[:, own].min(1) * (1 << 16) // encode.size).tolist() if len(own) else []:
                     sig = sig << 16 | x
-                rows.append((rid, ids.tobytes(), len(ids), sig - (1 << 63)))
+                rows.append((rid, packed, len(ids), sig - (1 << 63)))
             if rows:
                 rids, ids, sizes, sigs = zip(*rows, strict=True)
                 yield arrow_batch(batch.select(["doc_id"]), len(rows), types, rid=rids, ids=ids, n=sizes, sig=sigs, term=None, df=None)
@@ -128,17 +189,24 @@ def tokenised(docs: DataFrame, model: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, nullable(docs, ["doc_id"], "rid long, ids binary, n int, sig long, term int, df long"))
 
 
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order and how often each stands."""
+    ordered = np.sort(ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ids) else np.empty(0, np.int64)
+    return ordered[starts], np.diff(np.append(starts, len(ids)))
+
+
 class Index:
     """An inverted index of BM25 weights over a shard's documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, owners, weights, self.queries = [], [], [], []
         for i, ids in enumerate(docs):
-            t, tf = np.unique(ids[:-1], return_counts=True)
+            t, tf = term_counts(ids[:-1])
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(ids) - 1) / mean))
             t, w = t[w > 0], w[w > 0]
             # The document's own heaviest terms are its query, ties by term.
-            self.queries.append(t[np.lexsort((t, -w))[:QUERY_TERMS]])
+            self.queries.append(t[np.argsort(-w, kind="stable")[:QUERY_TERMS]])
             terms.append(t)
             owners.append(np.full(len(t), i, np.int32))
             weights.append(w)
