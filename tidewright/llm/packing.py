@@ -29,17 +29,18 @@ WINDOW = 4096
 #: Tokens for each shard, and how many of a seed's terms, by weight, ask for neighbours.
 SHARD, QUERY_TERMS = 2_000_000, 32
 #: Words a worker keeps with their ids, twice over at most, of so many bytes each.
-MOST_KNOWN, MOST_BYTES = 400_000, 64
+MOST_KNOWN, MOST_BYTES = 700_000, 64
 #: Usual values of BM25's parameters.
 K1, B = 1.2, 0.75
-SIGNATURE = 4
+SIGNATURE = 2
 #: ASCII letters in lower case, as the model has them anyway.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-STOPS = b".,;:!?"
+#: Kinds of bytes: a letter of ASCII, a stop, a blank, a byte beyond ASCII, and the rest.
+KINDS = bytes(97 if 97 <= c <= 122 else 46 if c in b".," else 32 if c in b" \n" else 104 if c >= 128 else 120 for c in range(256))
 #: A letter up to U+00FF, lower case but for accents, as UTF-8.
 LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
-#: A stop at the end of a stretch with anything but such a letter before it, so that it may be part of a longer pre-token.
-BOUND_STOP = re.compile(rb"(?<![a-z])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,;:!?](?=[ \n])")
+#: A stop at the end of a stretch behind a character beyond ASCII that is no such letter.
+BOUND_STOP = re.compile(rb"(?<=[\x80-\xff])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,](?=[ \n])")
 #: A word and at most one stop behind it, which are two pre-tokens of the model.
 WORD_AND_STOP = re.compile(rb"(" + LETTER + rb"+)([.,;:!?]?)")
 
@@ -50,6 +51,12 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def free_stops(text: bytes) -> bool:
+    """Whether each full stop and comma at the end of a stretch follows a letter, so that it is a pre-token of its own."""
+    kinds = text.translate(KINDS)
+    return not (b"x. " in kinds or b".. " in kinds or b" . " in kinds or kinds.startswith(b". ") or (b"h. " in kinds and BOUND_STOP.search(text)))
+
+
 class Encoder:
     """The ids of texts as the library gives them without special tokens added.
 
@@ -116,10 +123,8 @@ class Encoder:
         if b"<|" in text:
             return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, self.kind).tobytes() + self.end
         text = text.translate(LOWER)
-        if not BOUND_STOP.search(text):
-            for stop in STOPS:
-                for gap in b" \n":
-                    text = text.replace(bytes((stop, gap)), bytes((32, stop, gap)))
+        if free_stops(text):
+            text = text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")
         stretches, known = text.split(), self.known
         ids = list(map(known.get, stretches))
         if None in ids:
@@ -173,9 +178,9 @@ def tokenised(docs: DataFrame, model: str) -> DataFrame:
                 df[own] += 1
                 # A text without terms has the least signature.
                 sig = 0
-                for x in (tables[:, own].min(1) * (1 << 16) // encode.size).tolist() if len(own) else []:
-                    sig = sig << 16 | x
-                rows.append((rid, packed, len(ids), sig - (1 << 63)))
+                for x in (tables[:, own].min(1) + 1).tolist() if len(own) else []:
+                    sig = sig << 31 | x
+                rows.append((rid, packed, len(ids), sig))
             if rows:
                 rids, ids, sizes, sigs = zip(*rows, strict=True)
                 yield arrow_batch(batch.select(["doc_id"]), len(rows), types, rid=rids, ids=ids, n=sizes, sig=sigs, term=None, df=None)
