@@ -149,6 +149,8 @@ def group_variants(docs: DataFrame, least: int = LEAST_LETTERS, count: int = LEA
     letters what is left of them is compared by SHA-256. Repeated rows count each, a null doc_id is an empty one in the
     checksum, an empty table gives an empty one, and further columns of docs play no part.
     """
+    if times <= 1:
+        raise ValueError("times must be over 1, as forms could go in circles")
     counted = written(word_counts(docs, least, noise).where(F.col("n") >= count), "frequent_words")
     words = written(cumulated(counted, [F.desc("n"), "word"], F.lit(1), "id"), "numbered_words")
     near = near_words(words.select("id", "word"))
@@ -158,7 +160,7 @@ def group_variants(docs: DataFrame, least: int = LEAST_LETTERS, count: int = LEA
     joined = written(joined.select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("best")).alias("form_id"), F.when(is_form, F.col("best_n")).alias("form_n")), "near_words")
     # Each step multiplies the count by `times`, which bounds the steps.
     most = words.agg(F.max("n")).first()[0] or count
-    steps = max(1, math.ceil(math.log(max(most / count, times), times)) + 1) if times > 1 else words.count()
+    steps = math.ceil(math.log(max(most / count, times), times)) + 1
     roots = with_roots(joined.where("form_id is not null").select("id", F.col("form_id").alias("form")), math.ceil(math.log2(steps + 1)))
     names = words.select(F.col("id").alias("_id"), F.col("word").alias("_word"))
     out = joined.join(roots, "id", "left")
