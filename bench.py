@@ -31,7 +31,7 @@ def finish(*tables):
 
 def raw_hours(spark, series):
     """Text rows as a CSV file."""
-    made = catalog.years(spark, HOURS, series)
+    made = catalog.generated(spark, HOURS, series)
     text = made.select("series", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp"), *[F.coalesce(F.col(v).cast("string"), F.lit("")).alias(n) for n, v in catalog.NAMES.items()])
     path = new_path(spark, "bench_raw")
     text.repartition(8).write.option("header", True).csv(path)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import features, forecast
+from tidewright.operators import boosting, features, forecast
 from tidewright.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -13,17 +13,18 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 def test_every_horizon_over_all_series(spark, monkeypatch):
-    asked, fit = [], forecast.fit_horizon
+    asked, fit = [], boosting.fit
 
-    def small(train, validation, inputs, target, config=forecast.Boosting()):
-        asked.append((train.count(), validation.count(), tuple(inputs), config))
-        return fit(train, validation, inputs, target, forecast.Boosting(trees=2, depth=2))
+    def small(rows, inputs, targets, train, config=boosting.LeafWise()):
+        asked.append((rows.where(train).count(), rows.where(~train).count(), tuple(inputs), tuple(targets), config))
+        return fit(rows, inputs, targets, train, boosting.LeafWise(trees=2, leaves=4))
 
-    monkeypatch.setattr(forecast, "fit_horizon", small)
+    monkeypatch.setattr(boosting, "fit", small)
     rows = catalog.split_rows(spark, SF)
     sizes = {r["split"]: r["n"] for r in rows.where("split <> 'none'").groupBy("split").agg(F.count("*").alias("n")).collect()}
     got = catalog.QUERIES["forecast_trees"](spark, SF).collect()
-    assert set(asked) == {(sizes["train"], sizes["val"], tuple(features.feature_names(catalog.NAMES)["tabular"]), forecast.Boosting())} and len(asked) == 4
+    names = features.feature_names(catalog.NAMES)
+    assert asked == [(sizes["train"], sizes["val"], tuple(names["tabular"]), tuple(names["targets"]), boosting.LeafWise())]
     assert sorted((r["horizon"], r["split"], r["n"]) for r in got) == sorted((h, s, n) for h in features.HORIZONS for s, n in sizes.items())
     for r in got:
         part = rows.where(F.col("split") == r["split"])

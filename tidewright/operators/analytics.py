@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import corrected_skew, days_in_month
-from .axis import by_time, chunked, join_on
+from .axis import PIECE, by_time, floor_to, hour_number, join_on
 from .quality import circular_difference, unpivot
-from .ranks import exact_quantiles
+from .ranks import exact_quantiles, group_quantiles
 
 #: The months of each season.
 SEASONS = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11)}
@@ -26,7 +29,7 @@ def describe(df: DataFrame, columns: list[str], quantiles: tuple = (0.25, 0.5, 0
 
 def resample(df: DataFrame, unit: str, aggs: dict[str, Column], keys: list[str], ts: str = "ts") -> DataFrame:
     """Calendar bins with empty ones in between; a bin without rows has null aggregates and rows = 0."""
-    binned = df.withColumn("bin", F.date_trunc(unit, ts).cast("timestamp_ntz"))
+    binned = df.withColumn("bin", floor_to(unit, F.col(ts)))
     found = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in aggs.items()])
     span = found.groupBy(*keys).agg(F.min("bin").alias("_a"), F.max("bin").alias("_b"))
     bins = span.select(*keys, F.explode(F.expr(f"sequence(_a, _b, interval 1 {unit})")).alias("bin"))
@@ -35,7 +38,7 @@ def resample(df: DataFrame, unit: str, aggs: dict[str, Column], keys: list[str],
 
 def month_coverage(df: DataFrame, column: str, observed: Column, keys: list[str], per_day: int = 24, ts: str = "ts") -> DataFrame:
     """(keys, month, total, observed, expected, coverage_pct, is_complete): total is null in a month without values."""
-    rows = df.withColumn("month", F.date_trunc("MONTH", ts).cast("timestamp_ntz"))
+    rows = df.withColumn("month", floor_to("MONTH", F.col(ts)))
     kept = F.when(observed, F.col(column))
     out = rows.groupBy(*keys, "month").agg(F.sum(kept).alias("total"), F.count(kept).alias("observed"))
     expected = days_in_month(F.col("month")) * per_day
@@ -85,22 +88,47 @@ def group_thresholds(df: DataFrame, keys: list[str], variables: list[str], seaso
     """(keys, variable, season, n, q1, median, q3, mad)."""
     long = unpivot(df, keys, variables, ts).withColumns(season)
     group = [*keys, "variable", *season]
-    q = long.groupBy(*group).agg(F.count("value").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    mad = join_on(long, q, group).groupBy(*group).agg(F.percentile(F.abs(F.col("value") - F.col("q")[1]), F.lit(0.5)).alias("mad"))
+    q = group_quantiles(long, group, F.col("value"), (0.25, 0.5, 0.75))
+    mad = group_quantiles(join_on(long, q, group), group, F.abs(F.col("value") - F.col("q")[1]), (0.5,), "_mad").select(*group, F.col("_mad")[0].alias("mad"))
     return join_on(q, mad, group).select(*group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mad")
 
 
-def autocorrelation(df: DataFrame, column: str, lags: list[int], keys: list[str], ts: str = "ts") -> DataFrame:
+def autocorrelation(df: DataFrame, column: str, lags: list[int], keys: list[str], ts: str = "ts", hours: int = PIECE) -> DataFrame:
     """(keys, lag, acf): correlation of a dense series with itself shifted, over pairs that exist; lag 0 is 1.
 
-    Each row carries the values up to the longest lag before it, so one aggregate by lag serves all lags, and a long series
-    goes to several tasks.
+    Pieces of a series, with the rows that the longest lag reaches back to, give sums of products for all lags at once, by
+    position; so no row is copied for a lag, and what is summed up afterwards is one row for each piece and lag. Values are taken
+    from the series' mean, which keeps the sums exact enough where the mean is large.
     """
     most = max(lags)
-    past = lambda d, k: d.withColumn("_past", F.reverse(F.collect_list(F.struct("x")).over(by_time(k, ts).rowsBetween(-most, 0))))
-    rows = chunked(df.select(*keys, ts, F.col(column).alias("x")), past, keys, most, 0, ts=ts)
-    pairs = rows.select(*keys, "x", F.inline(F.transform(F.array(*map(F.lit, lags)), lambda k: F.struct(k.alias("lag"), F.get("_past", k)["x"].alias("y")))))
-    return pairs.groupBy(*keys, "lag").agg(F.when(F.col("lag") == 0, 1.0).otherwise(F.corr("x", "y")).alias("acf"))
+    slim = df.select(*keys, ts, F.col(column).cast("double").alias("x"))
+    centred_on = slim.groupBy(*keys).agg(F.avg("x").alias("_mean"))
+    slim = join_on(slim, centred_on, keys) if keys else slim.crossJoin(F.broadcast(centred_on))
+    series = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(0).alias("_none"))
+    at = hour_number(F.col(ts))
+    spots = F.array_distinct(F.array(F.floor(at / hours), F.floor((at + most) / hours))) if most <= hours else F.sequence(F.floor(at / hours), F.floor((at + most) / hours))
+    spread = slim.select(series.alias("_series"), at.alias("at"), (F.col("x") - F.col("_mean")).alias("x"), F.explode(spots).alias("_piece"))
+
+    def sums(key, table):
+        first = key[1].as_py() * hours
+        # The piece's own hours behind the ones before it, NaN where there is no value.
+        x = np.full(most + hours, np.nan)
+        x[table.column("at").to_numpy() - first + most] = table.column("x").to_numpy(zero_copy_only=False)
+        rows = []
+        for k in lags:
+            a, b = x[most:], x[most - k : most - k + hours]
+            both = ~np.isnan(a) & ~np.isnan(b)
+            a, b = a[both], b[both]
+            rows.append((k, len(a), a.sum(), b.sum(), a @ b, a @ a, b @ b))
+        return pa.table([pa.array([key[0].as_py()] * len(rows), table.schema.field("_series").type), *map(pa.array, zip(*rows, strict=True))], names=["_series", "lag", "n", "a", "b", "ab", "aa", "bb"])
+
+    figures = T._parse_datatype_string("lag long, n long, a double, b double, ab double, aa double, bb double")
+    parts = spread.groupBy("_series", "_piece").applyInArrow(sums, T.StructType([spread.schema["_series"], *figures.fields]))
+    whole = parts.groupBy("_series", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab", "aa", "bb")])
+    n = F.nullif(F.col("n"), F.lit(0))
+    spread_of = lambda c: F.greatest(F.col(c + c) - F.col(c) * F.col(c) / n, F.lit(0.0))
+    r = (F.col("ab") - F.col("a") * F.col("b") / n) / F.nullif(F.sqrt(spread_of("a") * spread_of("b")), F.lit(0.0))
+    return whole.select("_series.*", F.col("lag").cast("int").alias("lag"), F.when(F.col("lag") == 0, 1.0).otherwise(r).alias("acf")).drop("_none")
 
 
 def correlations(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
@@ -164,7 +192,7 @@ def density(df: DataFrame, x: str, y: str, width: float, height: float) -> DataF
 def box_stats(df: DataFrame, column: str, group: dict[str, Column], reach: float = 1.5) -> DataFrame:
     """(group, q1, median, q3, whisker_low, whisker_high, fliers)."""
     rows = df.withColumns(group)
-    q = rows.groupBy(*group).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = group_quantiles(rows, [*group], F.col(column), (0.25, 0.5, 0.75)).drop("n")
     joined = join_on(rows, q, [*group])
     span = F.col("q")[2] - F.col("q")[0]
     inside = F.col(column).between(F.col("q")[0] - reach * span, F.col("q")[2] + reach * span)
@@ -186,7 +214,7 @@ def global_outliers(df: DataFrame, columns: list[str], cold: Column, reach: floa
 
 def compare_versions(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-9) -> DataFrame:
     """(variable, changed, missing_a, missing_b) over the keys both versions have."""
-    both = a.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in columns]).join(b.select(*keys, *columns), keys)
+    both = join_on(a.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in columns]), b.select(*keys, *columns), keys)
     aggs = []
     for c in columns:
         x, y = F.col(f"_a_{c}"), F.col(c)
@@ -206,3 +234,9 @@ def horizon_difficulty(df: DataFrame, column: str, horizons: tuple, keys: list[s
 def daily_mode(df: DataFrame, column: str, keys: list[str], ts: str = "ts") -> DataFrame:
     """The most frequent value of each day, the smallest of equals."""
     return df.groupBy(*keys, F.to_date(ts).alias("date")).agg(F.mode(column, True).alias("mode"))
+
+
+def cold_share(flags: DataFrame, prefix: str, cold: Column) -> DataFrame:
+    """(variable, flags, cold_share_pct): the flags of rules whose name starts so, and how many of them fall in the cold season."""
+    some = flags.where(F.col("rule").startswith(prefix))
+    return some.groupBy("variable").agg(F.count(F.lit(1)).alias("flags"), (F.count_if(cold) * 100 / F.count(F.lit(1))).alias("cold_share_pct"))

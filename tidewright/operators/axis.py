@@ -14,20 +14,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOUR = "interval 1 hour"
+#: Hours of a series that one task's window holds.
+PIECE = 4096
+
+
+def minute_number(ts: Column) -> Column:
+    """Minutes of a local time since 1970, whatever the session's zone."""
+    return hour_number(ts) * 60 + F.minute(ts)
 
 
 def by_time(keys: list[str], ts: str = "ts"):
     return W.partitionBy(*keys).orderBy(ts)
 
 
+def hour_number(ts: Column) -> Column:
+    """Hours of a local time since 1970. Spark's own differences of local times go through the session's zone, which may skip or repeat hours."""
+    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(ts)
+
+
 def hour_of(ts: Column) -> Column:
     """The hour a time lies in, as TIMESTAMP_NTZ."""
-    return F.date_trunc("HOUR", ts).cast("timestamp_ntz")
+    return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(ts))
+
+
+def floor_to(unit: str, ts: Column) -> Column:
+    """The start of the hour, day, week, month, quarter or year a time lies in, as TIMESTAMP_NTZ, whatever the session's zone."""
+    if unit.upper() == "HOUR":
+        return hour_of(ts)
+    return (F.to_date(ts) if unit.upper() == "DAY" else F.trunc(F.to_date(ts), unit)).cast("timestamp_ntz")
 
 
 def hours_between(later: Column, earlier: Column) -> Column:
     """Whole hours from one hour-aligned time to another."""
-    return F.timestamp_diff("HOUR", earlier, later)
+    return hour_number(later) - hour_number(earlier)
 
 
 def join_on(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -64,33 +83,58 @@ def axis_difference(left: DataFrame, right: DataFrame, keys: list[str], ts: str
     return join_on(left.select(*keys, ts), right.select(*keys, ts), [*keys, ts], "left_anti")
 
 
-def with_run(df: DataFrame, flag: Column, keys: list[str], ts: str = "ts", name: str = "run_id") -> DataFrame:
+def scanned(df: DataFrame, state: Column, same: Callable[[Column, Column], Column], keys: list[str], ts: str = "ts", name: str = "run_id", size: str | None = None, hours: int = PIECE) -> DataFrame:
+    """Numbers the runs of rows of a series, from 1 in order of time: a row goes on with the run of the row before if same(state before, state) holds.
+
+    A segmented scan. Pieces of `hours` hours number their own runs, tell their first and last run, and those few rows
+    of all pieces are scanned in order: a piece's first run may go on with the last one before it. What comes of that, one row a piece,
+    is joined back. So no task holds a series, and pieces of any length give the same. size: a column for the rows of the whole run.
+    """
+    series = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(0))
+    piece = W.partitionBy("_series", "_piece")
+    rows = df.withColumns({"_series": series, "_piece": F.floor(hour_number(F.col(ts)) / hours), "_state": state})
+    goes_on = F.coalesce(same(F.lag("_state").over(piece.orderBy(ts)), F.col("_state")), F.lit(False)) & (F.row_number().over(piece.orderBy(ts)) > 1)
+    rows = rows.withColumn("_k", F.sum(F.when(goes_on, 0).otherwise(1)).over(piece.orderBy(ts).rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_last", F.max("_k").over(piece))
+    edges = rows.where("_k = 1 or _k = _last").groupBy("_series", "_piece", "_k", "_last").agg(F.count(F.lit(1)).alias("n"), F.min_by("_state", ts).alias("a"), F.max_by("_state", ts).alias("b"))
+    w = W.partitionBy("_series").orderBy("_piece", "_k")
+    joins = (F.col("_k") == 1) & F.coalesce(same(F.lag("b").over(w), F.col("a")), F.lit(False)) & (F.row_number().over(w) > 1)
+    edges = edges.withColumn("_joins", joins.cast("int")).withColumn("_run", F.sum(1 - F.col("_joins")).over(w))
+    edges = edges.withColumns({"_whole": F.sum("n").over(W.partitionBy("_series", "_run")), "_before": F.sum(F.when(F.col("_k") == 1, F.col("_last") - F.col("_joins")).otherwise(0)).over(w) - F.col("_last")})
+    carried = edges.groupBy("_series", "_piece").agg(F.max("_before").alias("_before"), F.max(F.when(F.col("_k") == 1, F.col("_whole"))).alias("_first_n"), F.max(F.when(F.col("_k") == F.col("_last"), F.col("_whole"))).alias("_last_n"))
+    if size:
+        rows = rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("_series", "_piece", "_k")))
+    rows = rows.join(carried, ["_series", "_piece"]).withColumn(name, F.col("_before") + F.col("_k"))
+    if size:
+        rows = rows.withColumn(size, F.when(F.col("_k") == 1, F.col("_first_n")).when(F.col("_k") == F.col("_last"), F.col("_last_n")).otherwise(F.col("_n"))).drop("_n")
+    return rows.drop("_series", "_piece", "_state", "_k", "_last", "_before", "_first_n", "_last_n")
+
+
+def _equal(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b)
+
+
+def with_run(df: DataFrame, flag: Column, keys: list[str], ts: str = "ts", name: str = "run_id", hours: int = PIECE) -> DataFrame:
     """Numbers the stretches of rows over which flag (never null) stays the same."""
-    w = by_time(keys, ts)
-    flagged = df.withColumn("_flag", flag)
-    flagged = flagged.withColumn("_new", F.when(F.col("_flag").eqNullSafe(F.lag("_flag").over(w)), 0).otherwise(1))
-    return flagged.withColumn(name, F.sum("_new").over(w)).drop("_flag", "_new")
+    return scanned(df, flag, _equal, keys, ts, name, hours=hours)
 
 
-def gap_lengths(df: DataFrame, column: str, keys: list[str], ts: str = "ts", name: str = "gap_length") -> DataFrame:
+def gap_lengths(df: DataFrame, column: str, keys: list[str], ts: str = "ts", name: str = "gap_length", hours: int = PIECE) -> DataFrame:
     """Length of the stretch of nulls each row of a dense axis is in, 0 where there is a value."""
-    missing = F.col(column).isNull()
-    runs = with_run(df, missing, keys, ts, "_run")
-    return runs.withColumn(name, F.when(missing, F.count(F.lit(1)).over(W.partitionBy(*keys, "_run"))).otherwise(0)).drop("_run")
+    found = scanned(df, F.col(column).isNull(), _equal, keys, ts, "_run", "_rows", hours)
+    return found.withColumn(name, F.when(F.col(column).isNull(), F.col("_rows")).otherwise(0)).drop("_run", "_rows")
 
 
-def runs(df: DataFrame, flag: Column, keys: list[str], ts: str = "ts", least: int = 1) -> DataFrame:
+def runs(df: DataFrame, flag: Column, keys: list[str], ts: str = "ts", least: int = 1, hours: int = PIECE) -> DataFrame:
     """(keys, start, end, hours) of the stretches of a dense axis over which flag is true, of at least `least` rows."""
-    found = with_run(df.withColumn("_is", F.coalesce(flag, F.lit(False))), F.col("_is"), keys, ts).where("_is")
+    found = with_run(df.withColumn("_is", F.coalesce(flag, F.lit(False))), F.col("_is"), keys, ts, hours=hours).where("_is")
     out = found.groupBy(*keys, "run_id").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("hours"))
     return out.where(F.col("hours") >= least).drop("run_id")
 
 
-def islands(df: DataFrame, keys: list[str], ts: str = "ts", name: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys: list[str], ts: str = "ts", name: str = "island", hours: int = PIECE) -> DataFrame:
     """Numbers groups of rows that follow each other by exactly one hour, on an axis that need not be dense."""
-    w = by_time(keys, ts)
-    step = hours_between(F.col(ts), F.lag(ts).over(w))
-    return df.withColumn("_new", F.when(step == 1, 0).otherwise(1)).withColumn(name, F.sum("_new").over(w)).drop("_new")
+    return scanned(df, F.col(ts), lambda a, b: hours_between(b, a) == 1, keys, ts, name, hours=hours)
 
 
 def continuity(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
@@ -120,25 +164,28 @@ def export_invariants(df: DataFrame, expected: DataFrame, keys: list[str], order
     return found.select(*keys, (F.col("duplicates") == 0).alias("unique"), "in_order", ((F.col("missing") == 0) & (F.col("unexpected") == 0)).alias("equals_axis"))
 
 
-def chunked(df: DataFrame, fn: Callable[[DataFrame, list[str]], DataFrame], keys: list[str], back: int, ahead: int, hours: int = 4096, ts: str = "ts") -> DataFrame:
+def chunked(df: DataFrame, fn: Callable[[DataFrame, list[str]], DataFrame], keys: list[str], back: int, ahead: int, hours: int = PIECE, ts: str = "ts") -> DataFrame:
     """Applies fn, whose row frames reach at most `back` rows back and `ahead` rows ahead, to pieces of a dense series.
 
     One long series would otherwise be sorted by a single task. Each piece of `hours` rows carries copies of its
     neighbours' edges; fn gets the keys with the piece's number added, and rows that are copies go afterwards.
     """
-    at = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 3600)
+    at = hour_number(F.col(ts))
     own = F.floor(at / hours)
-    spots = F.array_distinct(F.array(own, F.floor((at + back) / hours), F.floor((at - ahead) / hours)))
+    spots = F.sequence(F.floor((at - ahead) / hours), F.floor((at + back) / hours))
     spread = df.withColumn("_own", own).withColumn("_piece", F.explode(spots))
     return fn(spread, [*keys, "_piece"]).where("_own = _piece").drop("_own", "_piece")
 
 
-def runs_in_pieces(df: DataFrame, flag: Column, keys: list[str], hours: int = 4096, ts: str = "ts", least: int = 1) -> DataFrame:
-    """As runs(), for very long series: runs within pieces first, then pieces' touching runs are merged on the small table."""
-    at = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 3600)
-    part = runs(df.withColumn("_piece", F.floor(at / hours)), flag, [*keys, "_piece"], ts).withColumnRenamed("_piece", "_p")
-    w = W.partitionBy(*keys).orderBy("start")
-    touching = hours_between(F.col("start"), F.lag("end").over(w)) == 1
-    merged = part.withColumn("_new", F.when(touching, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
-    out = merged.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("hours").alias("hours"))
-    return out.where(F.col("hours") >= least).drop("_run")
+def within(points: DataFrame, spans: DataFrame, keys: list[str], ts: str = "ts", start: str = "start", end: str = "end", minutes: int = 1440) -> DataFrame:
+    """The columns of both tables for each point and each span of the same keys that holds it, bounds included, null keys agreeing with null.
+
+    A band join by buckets of `minutes`: a span is listed once in each bucket it touches, so a long one is several rows of
+    several tasks, a point lies in one bucket, and exact bounds are tested on what an equi-join brings together. Spans may overlap;
+    one that ends before it starts, or lacks a bound, holds nothing. Of columns that both have besides the keys, the points' stay.
+    """
+    bucket = lambda c: F.floor(minute_number(F.col(c)) / minutes)
+    named = spans.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end"), *[f"`{c}`" for c in spans.columns if c not in {*keys, *points.columns}])
+    listed = named.where("_start <= _end").withColumn("_bucket", F.explode(F.sequence(bucket("_start"), bucket("_end"))))
+    met = join_on(points.withColumn("_bucket", bucket(ts)), listed, [*keys, "_bucket"])
+    return met.where(F.col(ts).between(F.col("_start"), F.col("_end"))).drop("_bucket", "_start", "_end")

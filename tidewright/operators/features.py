@@ -5,12 +5,15 @@ A feature at t uses rows up to t. All frames of one kind share a window, so a se
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import cyclic, dewpoint, wind_uv
-from .axis import by_time, chunked, hours_between
+from .axis import PIECE, by_time, chunked, hour_number, hours_between
 
 #: The steps, horizons and window of the forecast, and (in feature_names) its columns' names.
 LAGS = (1, 2, 3, 6, 12, 24)
@@ -149,6 +152,88 @@ def sequence_windows(df: DataFrame, split: str | None, features: list[str], targ
     return built.drop("split") if split else built
 
 
+def window_shards(df: DataFrame, features: list[str], targets: list[str], keys: list[str], ts: str = "ts", length: int = SEQUENCE_LENGTH, hours: int = PIECE, target_scale: tuple[float, float] | None = None) -> DataFrame:
+    """(keys, piece, first, halo, x, at, split, y, breaks, short, holes): what windows are cut from, each row's features once.
+
+    A shard is a piece of `hours` hours of a series with the length - 1 rows before it: x holds their features as float32, row by
+    row, from hour number `first` on. at lists the rows of x that end a window, those whose split isn't none, split and y their splits
+    and float32 targets, as (y - mean) / std where target_scale gives both. breaks, short and holes count steps that aren't
+    one hour, windows without all their rows, and windows or targets with a null; check_shards() raises on them.
+    """
+    series = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(0).alias("_none"))
+    at = hour_number(F.col(ts))
+    spots = F.sequence(F.floor(at / hours), F.floor((at + length - 1) / hours))
+    cells = [F.array(*[F.col(f"`{c}`").cast("float") for c in names]).alias(n) for n, names in (("x", features), ("y", targets))]
+    rows = df.select(series.alias("_series"), at.alias("hour"), "split", *cells, F.explode(spots).alias("piece"))
+    mean, std = target_scale or (0.0, 1.0)
+
+    def shard(key, table):
+        first_own = key[1].as_py() * hours
+        table = table.sort_by("hour")
+        hour = table.column("hour").to_numpy()
+        own = hour >= first_own
+        if not own.any():
+            return out_schema.empty_table()
+        matrix = lambda name, width: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+        x, y = matrix("x", len(features)), (matrix("y", len(targets)) - mean) / std
+        split = table.column("split").to_pylist()
+        ends = np.array([i for i in np.flatnonzero(own).tolist() if split[i] != "none"], int)
+        hole = np.isnan(x).any(1).cumsum()
+        before = np.concatenate([[0], hole])
+        full = ends[ends >= length - 1]
+        holes = (before[full + 1] - before[full + 1 - length] > 0) | np.isnan(y[full]).any(1)
+        values = (key[0].as_py(), key[1].as_py(), int(hour[0]), int((~own).sum()), x.tobytes(), ends.tolist(), [split[i] for i in ends], y[ends].astype(np.float32).tobytes(), int((np.diff(hour) != 1).sum()), len(ends) - len(full), int(holes.sum()))
+        return pa.table([pa.array([v], f.type) for v, f in zip(values, out_schema, strict=True)], schema=out_schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    more = T._parse_datatype_string("piece long, first long, halo int, x binary, at array<int>, split array<string>, y binary, breaks int, short int, holes int")
+    schema = T.StructType([rows.schema["_series"], *more.fields])
+    out_schema = to_arrow_schema(schema)
+    return rows.groupBy("_series", "piece").applyInArrow(shard, schema).select("_series.*", *more.names).drop("_none")
+
+
+def check_shards(shards: DataFrame, keys: list[str], length: int = SEQUENCE_LENGTH) -> None:
+    """Raises if the series of some shards isn't hourly without breaks, or a window is short or holds a null."""
+    # A shard without halo starts a series, of which each has one start.
+    starts = shards.groupBy(*keys).agg((F.count_if(F.col("halo") < length - 1) - F.count_if((F.col("halo") < length - 1) & (F.col("halo") > 0))).alias("n"), *[F.sum(c).alias(c) for c in ("breaks", "short", "holes")])
+    found = starts.agg((F.coalesce(F.sum("breaks"), F.lit(0)) + F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0))).alias("breaks"), F.sum("short").alias("short"), F.sum("holes").alias("holes")).first()
+    if found["breaks"]:
+        raise ValueError("the table must be hourly without breaks")
+    if found["short"]:
+        raise ValueError(f"{found['short']} windows lack {length} hours of history")
+    if found["holes"]:
+        raise ValueError(f"{found['holes']} windows hold nulls")
+
+
+def windows_of(x: bytes, at: list[int], width: int, length: int = SEQUENCE_LENGTH) -> np.ndarray:
+    """The windows (n, length, width) that end at rows `at` of a shard's x, cut from one sliding view of it, so only the windows asked for are ever copied."""
+    rows = np.frombuffer(x, np.float32).reshape(-1, width)
+    return np.lib.stride_tricks.sliding_window_view(rows, length, axis=0).transpose(0, 2, 1)[np.asarray(at, int) - length + 1] if len(at) else np.empty((0, length, width), np.float32)
+
+
+def read_windows(shards: DataFrame, keys: list[str], n_features: int, n_targets: int, split: str | None = None, length: int = SEQUENCE_LENGTH, batch: int = 256) -> DataFrame:
+    """(keys, ts, split, X, y): the shards' windows, X row by row as one array of float32, in batches of `batch`."""
+    wanted = split
+
+    def cut(batches):
+        for shards in batches:
+            for i in range(shards.num_rows):
+                row = {c: shards.column(c)[i].as_py() for c in ("first", "x", "at", "split", "y")}
+                y = np.frombuffer(row["y"], np.float32).reshape(-1, n_targets)
+                picked = [k for k, s in enumerate(row["split"]) if wanted in (None, s)]
+                for k in range(0, len(picked), batch):
+                    some = picked[k : k + batch]
+                    at = [row["at"][j] for j in some]
+                    flat = windows_of(row["x"], at, n_features, length).reshape(len(some), -1)
+                    lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(a.ravel()))
+                    hours = pa.array((row["first"] + np.array(at)) * 3_600_000_000, pa.int64()).cast(pa.timestamp("us"))
+                    yield pa.RecordBatch.from_arrays([*[pa.repeat(shards.column(c)[i], len(some)) for c in keys], hours, pa.array([row["split"][j] for j in some]), lists(flat), lists(y[some])], names=[*keys, "ts", "split", "X", "y"])
+
+    schema = T.StructType([*[shards.schema[k] for k in keys], *T._parse_datatype_string("ts timestamp_ntz, split string, X array<float>, y array<float>").fields])
+    return shards.select(*keys, "first", "x", "at", "split", "y").mapInArrow(cut, schema)
+
+
 def split_summary(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first_t"), F.max(ts).alias("last_t"))
 

@@ -1,4 +1,4 @@
-"""Forecasts: the persistence baseline, error measures, one boosted-tree model for each horizon, and forecasts for one hour."""
+"""Forecasts: the persistence baseline, error measures, one model of boosted trees for each horizon, and forecasts for one hour."""
 
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
+from . import boosting
+from .boosting import BoostedTrees, LeafWise
+from .ingest import to_local
 
 
 def persistence(scaled: Column, mean: Column | float, std: Column | float) -> Column:
@@ -41,7 +44,7 @@ def accuracy(df: DataFrame, actual: str, predicted: str, tolerance: float) -> fl
 
 @dataclass(frozen=True)
 class Boosting:
-    """Trees as the forecast wants them; depth 5 stands for at most 31 leaves."""
+    """MLlib's trees, grown level by level, in place of LeafWise; depth 5 stands for at most 31 leaves."""
 
     trees: int = 300
     rate: float = 0.05
@@ -93,42 +96,58 @@ def fit_horizon(train: DataFrame, validation: DataFrame, features: list[str], ta
     return PipelineModel(stages=[assembler, model])
 
 
-def score(model: PipelineModel, rows: DataFrame, target: str | None = None) -> DataFrame:
+def score(model: PipelineModel | BoostedTrees, rows: DataFrame, target: str | None = None) -> DataFrame:
     """Adds prediction, and abs_error where the target is known."""
     out = model.transform(rows).drop("features")
     return out.withColumn("abs_error", F.abs(F.col(f"`{target}`") - F.col("prediction"))) if target else out
 
 
-def train_horizons(rows: DataFrame, inputs: list[str], targets: dict[int, str], baseline: Column, config: Boosting = Boosting(), split: str = "split", tolerances: tuple = (1.0, 2.0), folder: str | None = None) -> DataFrame:
+def train_horizons(rows: DataFrame, inputs: list[str], targets: dict[int, str], baseline: Column, config: LeafWise | Boosting = LeafWise(), split: str = "split", tolerances: tuple = (1.0, 2.0), folder: str | None = None) -> DataFrame:
     """One record for each horizon and split: the trees kept, then n, mae, rmse and within_<tol>_pct of its model and of the baseline.
 
     `targets` maps each horizon to its column. Every horizon has a model of its own, fitted on all rows of split train and
-    cut back on those of val; rows of split none take no part. Without train rows the models' figures are null.
-    Models are saved in folder, if one is given, for load_horizon().
+    cut back on those of val; rows of split none take no part. Without train rows the models' figures are null. LeafWise
+    fits all horizons in the same rounds over the rows, Boosting each by itself.
+    Models are saved in folder, if one is given, for load_model().
     """
     spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        # Each tree adds to the lineage of the residuals, which MLlib cuts only where it can checkpoint.
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     kept = rows.where(F.col(split) != "none").select(split, *[f"`{c}`" for c in [*inputs, *targets.values()]], baseline.alias("_baseline")).persist()
-    fitted = not kept.where(F.col(split) == "train").isEmpty()
+    part = lambda name: kept.where(F.col(split) == name)
+
+    def by_levels(target: str) -> PipelineModel:
+        mine = lambda name: part(name).withColumn("_target", F.col(f"`{target}`"))
+        return fit_horizon(mine("train"), mine("val"), inputs, "_target", config)
 
     def one(item: tuple[int, str]) -> list:
         horizon, target = item
         mine, trees = kept.withColumn("_target", F.col(f"`{target}`")), 0
         scored = mine.withColumn("prediction", F.lit(None).cast("double"))
-        if fitted:
-            model = fit_horizon(mine.where(F.col(split) == "train"), mine.where(F.col(split) == "val"), inputs, "_target", config)
-            scored, trees = score(model, mine, "_target"), model.stages[-1].getNumTrees
-            if folder is not None:
+        if horizon in models:
+            model = models[horizon]
+            scored = score(model, mine, "_target")
+            trees = len(model.trees) if isinstance(model, BoostedTrees) else model.stages[-1].getNumTrees
+            if folder is not None and isinstance(model, BoostedTrees):
+                model.save(spark, horizon_path(folder, horizon))
+            elif folder is not None:
                 model.write().overwrite().save(horizon_path(folder, horizon))
         base = errors(scored, "_target", "_baseline", [split], tolerances)
         base = base.select(split, *[F.col(c).alias(c if c == "n" else f"persistence_{c}") for c in base.columns if c != split])
         own = errors(scored, "_target", "prediction", [split], tolerances).drop("n")
         return base.join(own, split, "left").select(F.lit(horizon).alias("horizon"), split, F.lit(trees).alias("trees"), "n", *[c for c in own.columns if c != split], *[c for c in base.columns if c.startswith("persistence_")]).collect()
 
+    models: dict[int, PipelineModel | BoostedTrees] = {}
     try:
         with ThreadPool(len(targets)) as pool:
+            if part("train").isEmpty():
+                pass
+            elif isinstance(config, LeafWise):
+                fitted = boosting.fit(kept.where(F.col(split).isin("train", "val")), inputs, list(targets.values()), F.col(split) == "train", config)
+                models = dict(zip(targets, fitted, strict=True))
+            else:
+                if spark.sparkContext.getCheckpointDir() is None:
+                    # Each tree adds to the lineage of the residuals, which MLlib cuts only where it can checkpoint.
+                    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+                models = dict(zip(targets, pool.map(by_levels, targets.values()), strict=True))
             records = [r for part in pool.map(one, targets.items()) for r in part]
     finally:
         kept.unpersist()
@@ -149,7 +168,7 @@ def horizon_records(scores: DataFrame, targets: dict[int, str], folder: str | No
     ).select("horizon", name.alias("target"), *["trees", "validation_mae", "validation_rmse", "test_mae", "test_rmse", "persistence_test_mae", "persistence_test_rmse", "test_within_1_pct", "test_within_2_pct"], path.alias("model")).drop(*([] if folder else ["model"]))
 
 
-def write_report(records: DataFrame, folder: str, config: Boosting = Boosting()) -> None:
+def write_report(records: DataFrame, folder: str, config: LeafWise | Boosting = LeafWise()) -> None:
     """The records as one CSV file with six decimals and, with the settings, as one JSON line. Records are one row for each horizon."""
     rows = records.orderBy("horizon").coalesce(1)
     texts = [F.format_string("%.6f", F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in rows.dtypes]
@@ -162,20 +181,18 @@ def horizon_path(folder: str, horizon: int) -> str:
     return f"{folder.rstrip('/')}/horizon-{horizon}"
 
 
-def load_model(path: str) -> PipelineModel:
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-
-    try:
-        return PipelineModel.load(path)
-    except (AnalysisException, Py4JJavaError) as e:
-        raise FileNotFoundError(f"no model at {path}") from e
+def load_model(path: str) -> PipelineModel | BoostedTrees:
+    spark = SparkSession.active()
+    exists = lambda p: (t := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(t)
+    if not exists(path):
+        raise FileNotFoundError(f"no model at {path}")
+    return PipelineModel.load(path) if exists(f"{path}/metadata") else BoostedTrees.load(spark, path)
 
 
 def local_time(text: str, zone: str = "Asia/Ho_Chi_Minh") -> Column:
     """A local TIMESTAMP_NTZ from ISO text: without an offset it is local already, with one it is converted."""
     if re.search(r"(?:Z|[+-]\d{2}:?\d{2})$", text):
-        return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_utc_timestamp(F.lit(text).cast("timestamp"), F.current_timezone()).cast("timestamp_ntz"))
+        return to_local(F.lit(text).cast("timestamp"), zone)
     return F.lit(text).cast("timestamp_ntz")
 
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .axis import by_time, chunked, gap_lengths, hours_between
+from .axis import PIECE, by_time, chunked, hours_between
 
 
 def _neighbours(column: Column, keys: list[str], ts: str, most: int) -> tuple[Column, Column]:
@@ -60,14 +59,26 @@ def interpolate_direction(df: DataFrame, column: str, keys: list[str], ts: str =
     return fill(df, [], [column], keys, ts, most)
 
 
-def carry_forward(df: DataFrame, columns: list[str], keys: list[str], ts: str = "ts", most: int = 2) -> DataFrame:
-    """Fills gaps of at most `most` hours with the last value before them, using nothing later. Adds filled_<column>."""
-    w = by_time(keys, ts).rowsBetween(W.unboundedPreceding, -1)
-    for c in columns:
-        df = gap_lengths(df, c, keys, ts, "_gap").withColumn("_last", F.last(c, ignorenulls=True).over(w))
-        df = df.withColumn(f"filled_{c}", (F.col("_gap") > 0) & (F.col("_gap") <= most) & F.col("_last").isNotNull())
-        df = df.withColumn(c, F.when(F.col(f"filled_{c}"), F.col("_last")).otherwise(F.col(c))).drop("_gap", "_last")
-    return df
+def carry_forward(df: DataFrame, columns: list[str], keys: list[str], ts: str = "ts", most: int = 2, hours: int = PIECE) -> DataFrame:
+    """Fills gaps of at most `most` hours of a dense axis with the last value before them. Adds filled_<column>.
+
+    The whole gap counts, up to the end of the series. A gap that is filled has its last value and its end within `most`
+    rows, so frames reach no further, all columns share one window and a long series goes to several tasks.
+    """
+
+    def carried(df: DataFrame, keys: list[str]) -> DataFrame:
+        rows_after = F.count(F.lit(1)).over(by_time(keys, ts).rowsBetween(1, most))
+        df = df.withColumns({"_after": rows_after, **{n: side for c in columns for n, side in zip((f"_b_{c}", f"_a_{c}"), _neighbours(F.col(c), keys, ts, most), strict=True)}})
+        done = {}
+        for c in columns:
+            gone, left = hours_between(F.col(ts), F.col(f"_b_{c}.t")), hours_between(F.col(f"_a_{c}.t"), F.col(ts)) - 1
+            # Without a value ahead the gap ends with the series, if that ends within reach.
+            left = F.coalesce(left, F.when(F.col("_after") < most, F.col("_after")))
+            fits = F.coalesce(F.col(c).isNull() & (gone + left <= most), F.lit(False))
+            done[f"filled_{c}"], done[c] = fits, F.when(fits, F.col(f"_b_{c}.v")).otherwise(F.col(c))
+        return df.withColumns(done).drop("_after", *[f"_{side}_{c}" for c in columns for side in "ba"])
+
+    return chunked(df, carried, keys, most, most, hours, ts)
 
 
 def joined_names(flags: dict[str, Column], empty: str = "none") -> Column:

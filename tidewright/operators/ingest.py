@@ -92,7 +92,7 @@ def time_faults(text: Column) -> dict[str, Column]:
     return {
         "without_offset": F.count_if(bare),
         "unparseable": F.count_if(~bare & parsed.isNull()),
-        "off_hour": F.count_if(parsed != F.date_trunc("HOUR", parsed)),
+        "off_hour": F.count_if(F.unix_micros(parsed) % 3_600_000_000 != 0),
     }
 
 
@@ -110,7 +110,9 @@ def parse_times(df: DataFrame, column: str = "timestamp", zone: str = "Asia/Ho_C
 
 def to_local(instant: Column, zone: str) -> Column:
     """Wall-clock time in a zone, as TIMESTAMP_NTZ."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")))
+    # Counted from 1970 in UTC: as the session's wall-clock time an instant may be one of two.
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_micros(instant).cast("decimal(20, 0)") / F.lit(1_000_000).cast("decimal(7, 0)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def typed(df: DataFrame, variables: tuple[Variable, ...] = WEATHER, fills: tuple = FILL_VALUES) -> DataFrame:

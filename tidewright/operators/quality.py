@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .axis import by_time, islands, join_on
-from .ranks import cumulated
+from .axis import by_time, islands, join_on, scanned, within
+from .ranks import cumulated, group_quantiles
 
 #: Fixed value: scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 1.4826
@@ -37,16 +37,19 @@ def seasonal(long: DataFrame, keys: list[str], season: dict[str, Column]) -> tup
     return long, [*keys, "variable", *season]
 
 
+def _quantile(df: DataFrame, group: list[str], value: Column, q: float, name: str) -> DataFrame:
+    """(group, name): one exact quantile of each group."""
+    return group_quantiles(df, group, value, (q,)).select(*group, F.col("q")[0].alias(name))
+
+
 def robust_z(long: DataFrame, keys: list[str], season: dict[str, Column]) -> DataFrame:
     """Adds median, mad and robust_z = |x - median| / (1.4826 mad) within each season; null where mad is 0.
 
     Statistics are a grouped table joined back, so a season's rows are never held together.
     """
     long, group = seasonal(long, keys, season)
-    median = long.groupBy(*group).agg(F.percentile("value", F.lit(0.5)).alias("median"))
-    with_median = join_on(long, median, group)
-    mad = with_median.groupBy(*group).agg(F.percentile(F.abs(F.col("value") - F.col("median")), F.lit(0.5)).alias("mad"))
-    out = join_on(with_median, mad, group)
+    with_median = join_on(long, _quantile(long, group, F.col("value"), 0.5, "median"), group)
+    out = join_on(with_median, _quantile(with_median, group, F.abs(F.col("value") - F.col("median")), 0.5, "mad"), group)
     return out.withColumn("robust_z", F.abs(F.col("value") - F.col("median")) / F.when(F.col("mad") != 0, F.col("mad") * MAD_SCALE))
 
 
@@ -58,7 +61,7 @@ def flag_robust_z(long: DataFrame, keys: list[str], season: dict[str, Column], l
 def flag_iqr(long: DataFrame, keys: list[str], season: dict[str, Column], ts: str = "ts") -> DataFrame:
     """Outside 1.5 interquartile ranges of its season; the score is the distance beyond in ranges."""
     long, group = seasonal(long, keys, season)
-    q = long.groupBy(*group).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = group_quantiles(long, group, F.col("value"), (0.25, 0.75)).drop("n")
     rows = join_on(long, q, group).withColumn("iqr", F.col("q")[1] - F.col("q")[0]).where("iqr > 0")
     beyond = F.greatest(F.col("q")[0] - F.col("value"), F.col("value") - F.col("q")[1])
     return _flags(rows.where(beyond > 1.5 * F.col("iqr")), keys, ts, beyond / F.col("iqr"), 1, "seasonal_hour_IQR")
@@ -72,7 +75,7 @@ def flag_mad(long: DataFrame, keys: list[str], season: dict[str, Column], limit:
 
 def flag_wet(long: DataFrame, keys: list[str], wet: float = 0.1, q: float = 0.999, ts: str = "ts") -> DataFrame:
     """Values above the quantile of the wet ones; the rule's name holds the limit."""
-    limits = long.groupBy(*keys, "variable").agg(F.percentile(F.when(F.col("value") > wet, F.col("value")), F.lit(q)).alias("limit"))
+    limits = _quantile(long, [*keys, "variable"], F.when(F.col("value") > wet, F.col("value")), q, "limit")
     hit = join_on(long, limits, [*keys, "variable"]).where("value > limit")
     return _flags(hit, keys, ts, F.col("value") / F.col("limit"), 1, F.format_string(f"wet_hour_q{q * 100:g}>%.2f", "limit"))
 
@@ -80,7 +83,7 @@ def flag_wet(long: DataFrame, keys: list[str], wet: float = 0.1, q: float = 0.99
 def flag_wet_by(long: DataFrame, keys: list[str], by: dict[str, Column], wet: float = 0.1, q: float = 0.995, ts: str = "ts") -> DataFrame:
     """Wet values above the quantile of the wet values of their group."""
     rows = long.where(F.col("value") > wet).withColumns(by)
-    limits = rows.groupBy(*keys, "variable", *by).agg(F.percentile("value", F.lit(q)).alias("limit"))
+    limits = _quantile(rows, [*keys, "variable", *by], F.col("value"), q, "limit")
     hit = join_on(rows, limits, [*keys, "variable", *by]).where("value > limit")
     return _flags(hit, keys, ts, F.col("value") / F.col("limit"), 1, "wet_hour_month_q995")
 
@@ -103,7 +106,7 @@ def jumps(long: DataFrame, keys: list[str], season: dict[str, Column], floors: d
     before = F.lag("value").over(w)
     step = F.when(F.col("variable").isin(*circular), circular_difference(F.col("value"), before)).otherwise(F.col("value") - before) if circular else F.col("value") - before
     long, group = seasonal(long.withColumn("step", step), keys, season)
-    limit = long.groupBy(*group).agg(F.percentile(F.abs("step"), F.lit(q)).alias("q"))
+    limit = _quantile(long, group, F.abs("step"), q, "q")
     floor = F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("variable")]
     rows = join_on(long, limit, group).withColumn("limit", F.greatest("q", floor))
     return rows.withColumn("large", F.coalesce(F.abs("step") > F.col("limit"), F.lit(False)))
@@ -123,12 +126,16 @@ def flag_spike(long: DataFrame, keys: list[str], season: dict[str, Column], floo
 
 def flag_flat(long: DataFrame, keys: list[str], least: int = 12, ts: str = "ts") -> DataFrame:
     """Stretches of at least `least` equal values; a null ends a stretch."""
+    rows = scanned(long, F.col("value"), lambda a, b: a == b, [*keys, "variable"], ts, "_run", "_rows").where("value is not null")
+    return _flags(rows.where(F.col("_rows") >= least), keys, ts, F.col("_rows") / least, 2, f"constant_run_ge{least}h")
+
+
+def flat_runs(long: DataFrame, keys: list[str], least: int = 12, ts: str = "ts") -> DataFrame:
+    """(keys, variable, start, end, hours) of the stretches that flag_flat() marks."""
     group = [*keys, "variable"]
-    w = by_time(group, ts)
-    new = F.when(F.col("value") == F.lag("value").over(w), 0).otherwise(1)
-    rows = long.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).where("value is not null")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*group, "_run")))
-    return _flags(rows.where(F.col("_n") >= least), keys, ts, F.col("_n") / least, 2, f"constant_run_ge{least}h")
+    rows = scanned(long, F.col("value"), lambda a, b: a == b, group, ts, "_run").where("value is not null")
+    out = rows.groupBy(*group, "_run").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("hours"))
+    return out.where(F.col("hours") >= least).drop("_run")
 
 
 def flag_night(long: DataFrame, keys: list[str], limit: float = 5.0, ts: str = "ts") -> DataFrame:
@@ -140,14 +147,13 @@ def flag_night(long: DataFrame, keys: list[str], limit: float = 5.0, ts: str = "
 def level_shifts(long: DataFrame, keys: list[str], season: dict[str, Column], floors: dict[str, float], days: int = 7, least_hours: int = 20, q: float = 0.995, ts: str = "ts") -> DataFrame:
     """(keys, variable, date, level_shift, limit): days whose median residual over the next `days` differs from the `days` before by more than the limit."""
     long, group = seasonal(long, keys, season)
-    median = long.groupBy(*group).agg(F.percentile("value", F.lit(0.5)).alias("median"))
-    residual = join_on(long, median, group).withColumn("residual", F.col("value") - F.col("median"))
+    residual = join_on(long, _quantile(long, group, F.col("value"), 0.5, "median"), group).withColumn("residual", F.col("value") - F.col("median"))
     daily = residual.groupBy(*keys, "variable", F.to_date(ts).alias("date")).agg(F.percentile("residual", F.lit(0.5)).alias("r"), F.count("residual").alias("n"))
     daily = daily.withColumn("r", F.when(F.col("n") >= least_hours, F.col("r")))
     w = W.partitionBy(*keys, "variable").orderBy("date")
     part = lambda a, b: F.when(F.count("r").over(w.rowsBetween(a, b)) == days, F.percentile("r", F.lit(0.5)).over(w.rowsBetween(a, b)))
     shifted = daily.withColumn("level_shift", part(0, days - 1) - part(-days, -1))
-    limit = shifted.groupBy(*keys, "variable").agg(F.percentile(F.abs("level_shift"), F.lit(q)).alias("q"))
+    limit = _quantile(shifted, [*keys, "variable"], F.abs("level_shift"), q, "q")
     floor = F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("variable")]
     rows = join_on(shifted, limit, [*keys, "variable"]).withColumn("limit", F.greatest("q", floor))
     return rows.where(F.abs("level_shift") > F.col("limit")).select(*keys, "variable", "date", "level_shift", "limit")
@@ -190,7 +196,5 @@ def review_pick(ranked: DataFrame, top: int = 3) -> DataFrame:
 
 
 def flags_within(flags: DataFrame, found: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """The flags that lie within an event of their variable, by an equi-join on the event's hours rather than a range join."""
-    hours = found.select(*keys, "variable", "event_id", F.explode(F.expr("sequence(start, end, interval 1 hour)")).alias(ts))
-    return join_on(flags, hours, [*keys, "variable", ts])
-
+    """The flags that lie within an event of their variable, with its event_id."""
+    return within(flags, found.select(*keys, "variable", "start", "end", "event_id"), [*keys, "variable"], ts).drop("start", "end")

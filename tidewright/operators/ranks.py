@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -27,20 +29,44 @@ def cumulated(df: DataFrame, order: list, weight: Column, name: str = "before")
     return ranges.withColumn("_within", within).join(F.broadcast(first), "_range").withColumn(name, F.col("_first") + F.col("_within")).drop("_range", "_weight", "_first", "_within")
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], quantiles: tuple) -> DataFrame:
-    """(variable, q): each column's exact quantiles, between ranks in a line; null without values.
+#: Value ranges for each doubling of a value, and a number above any range's.
+PER_OCTAVE, NO_RANGE = 256, 1_000_000
+
+
+def value_range(x: Column) -> Column:
+    """The number of the range a double lies in, which never falls as the value rises: the logarithm is monotone in floating point too."""
+    size = F.floor(F.ln(F.abs(x)) * (PER_OCTAVE / math.log(2))) + 1100 * PER_OCTAVE
+    size = F.when(F.abs(x) == float("inf"), NO_RANGE - 1).otherwise(size)
+    return F.when(x.isNull(), -NO_RANGE).when(F.isnan(x), NO_RANGE).when(x > 0, size).when(x < 0, -size).otherwise(0)
+
+
+def group_quantiles(df: DataFrame, group: list[str], value: Column, quantiles: tuple, name: str = "q", size: str = "n") -> DataFrame:
+    """(group, n, q): for each group, null agreeing with null, the number of its values and their exact quantiles, between ranks in a line; null without values.
 
-    Equal values are counted first, so a value that most rows have is one row; the distinct ones are ranked by ranges.
+    Equal values of a group are counted first. Counts by value range say in which ranges the wanted ranks lie, and only
+    the values of those ranges are put in order, each range by itself; so memory doesn't grow with a group, and a large group
+    is several tasks. The counted values are shuffled once and read by both steps.
     """
-    spark = df.sparkSession
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns]))).where("value is not null")
-    counted = cumulated(long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")), ["variable", "value"], F.col("n"))
-    sizes = counted.groupBy("variable").agg(F.sum("n").alias("total"), F.min("before").alias("start"))
-    wanted = sizes.select("variable", F.posexplode(F.array(*map(F.lit, quantiles))).alias("i", "p"), "total", "start")
-    spot = (F.col("total") - 1) * F.col("p")
-    wanted = wanted.select("variable", "i", spot.alias("spot"), F.explode(F.array_distinct(F.array(F.floor(spot), F.ceil(spot)))).alias("rank"), "start")
-    values = counted.withColumnRenamed("variable", "_v").join(F.broadcast(wanted), (F.col("_v") == F.col("variable")) & (F.col("before") <= F.col("rank") + F.col("start")) & (F.col("rank") + F.col("start") < F.col("before") + F.col("n")))
-    low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
-    found = values.groupBy("variable", "i").agg((low + (high - low) * (F.first("spot") - F.floor(F.first("spot")))).alias("x"))
-    listed = found.groupBy("variable").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
-    return join_on(spark.createDataFrame([(c,) for c in columns], "variable string"), listed, ["variable"], "left")
+    key = F.struct(*[F.col(f"`{g}`") for g in group]) if group else F.struct(F.lit(0).alias("_none"))
+    counted = df.select(key.alias("_g"), value.cast("double").alias("_x")).groupBy("_g", "_x").agg(F.count("_x").alias("_n")).withColumn("_r", value_range(F.col("_x")))
+    ranges = counted.groupBy("_g", "_r").agg(F.sum("_n").alias("_rn"))
+    w = W.partitionBy("_g")
+    ranges = ranges.withColumns({"_before": F.sum("_rn").over(w.orderBy("_r")) - F.col("_rn"), "_total": F.sum("_rn").over(w)})
+    spots = [(F.col("_total") - 1) * p for p in quantiles]
+    ranks = [f(spot) for spot in spots for f in (F.floor, F.ceil)]
+    holds = lambda first, n: reduce(lambda a, b: a | b, [(first <= k) & (k < first + n) for k in ranks])
+    # The range of nulls stays for the groups that have nothing else.
+    wanted = ranges.where(holds(F.col("_before"), F.col("_rn")) | (F.col("_r") == -NO_RANGE)).select("_g", "_r", "_before", "_total")
+    placed = counted.join(wanted, ["_g", "_r"]).withColumn("_at", F.col("_before") + F.sum("_n").over(W.partitionBy("_g", "_r").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
+    at = lambda k: F.max(F.when((F.col("_at") <= k) & (k < F.col("_at") + F.col("_n")), F.col("_x")))
+    found = placed.groupBy("_g", "_total").agg(*[f(spot).alias(f"_{side}{i}") for i, spot in enumerate(spots) for side, f in (("a", lambda x: at(F.floor(x))), ("b", lambda x: at(F.ceil(x))))])
+    # Equal ends are taken as they are: infinite ones have no difference.
+    line = [F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}")).otherwise(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (spot - F.floor(spot))) for i, spot in enumerate(spots)]
+    return found.select("_g.*", F.col("_total").alias(size), F.array(*line).alias(name)).drop("_none")
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], quantiles: tuple) -> DataFrame:
+    """(variable, q): each column's exact quantiles, by group_quantiles()."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])))
+    found = group_quantiles(long, ["variable"], F.col("value"), quantiles).select("variable", F.when(F.col("n") > 0, F.col("q")).alias("q"))
+    return join_on(df.sparkSession.createDataFrame([(c,) for c in columns], "variable string"), found, ["variable"], "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cyclic, dewpoint, uuid5, wind_uv
 from ..operators import analytics, axis, features, forecast, impute, ingest, quality, ranks
 from ..sources import payload
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from . import pipeline
 
 FLAGSHIP = "rolling_24h"
@@ -166,7 +166,7 @@ SELECT series, ts, CASE WHEN t2m IS NULL THEN count(*) OVER (PARTITION BY series
 _RUNS = """, hit AS (SELECT series, ts, ts - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY series ORDER BY ts) AS grp FROM dense WHERE t2m IS NULL)
 SELECT series, min(ts) AS start, max(ts) AS "end", count(*) AS hours FROM hit GROUP BY series, grp"""
 add("runs", _RUNS)(lambda s, d: axis.runs(dense(s, d), F.col("t2m").isNull(), KEYS))
-add("runs_in_pieces", _RUNS)(lambda s, d: axis.runs_in_pieces(dense(s, d), F.col("t2m").isNull(), KEYS, hours=100))
+add("runs_in_pieces", _RUNS)(lambda s, d: axis.runs(dense(s, d), F.col("t2m").isNull(), KEYS, hours=100))
 add("topk_gaps", _RUNS + " ORDER BY hours DESC, series, start LIMIT 20")(lambda s, d: axis.runs(dense(s, d), F.col("t2m").isNull(), KEYS).orderBy(F.desc("hours"), "series", "start").limit(20))
 add("continuity_check", """, st AS (SELECT series, date_diff('hour', lag(ts) OVER (PARTITION BY series ORDER BY ts), ts) AS step FROM observed)
 SELECT series, count(*) AS rows, count(*) FILTER (WHERE step <> 1) AS breaks, max(step) AS longest_step FROM st GROUP BY series""")(lambda s, d: axis.continuity(observed(s, d), KEYS))
@@ -425,15 +425,24 @@ add("attach_flags", _ALL + "SELECT d.series, d.ts, coalesce(f.names, 'none') AS
     lambda s, d: quality.attach_flags(dense(s, d), _flags(s, d), KEYS).select("series", "ts", "outlier_flags"))
 add("flag_events", _ALL + "SELECT series, variable, start, \"end\", hours, severity, score, reasons FROM named")(lambda s, d: quality.events(_flags(s, d), KEYS))
 add("events_ranked", _ALL + "SELECT * FROM named")(_ranked)
-add("review_pick", _ALL + ", a AS (SELECT * FROM named ORDER BY event_id LIMIT 3), b AS (SELECT * FROM named WHERE severity = 1 ORDER BY event_id LIMIT 3) SELECT *, 'pending' AS decision, '' AS evidence, '' AS reviewer FROM (SELECT * FROM a UNION SELECT * FROM b)")(lambda s, d: quality.review_pick(_ranked(s, d)))
+add("review_pick", _ALL + ", a AS (SELECT * FROM named ORDER BY CAST(substr(event_id, 2) AS BIGINT) LIMIT 3), b AS (SELECT * FROM named WHERE severity = 1 ORDER BY CAST(substr(event_id, 2) AS BIGINT) LIMIT 3) SELECT *, 'pending' AS decision, '' AS evidence, '' AS reviewer FROM (SELECT * FROM a UNION SELECT * FROM b)")(lambda s, d: quality.review_pick(_ranked(s, d)))
 add("flags_in_event", _ALL + "SELECT f.*, n.event_id FROM flags f JOIN named n ON f.series = n.series AND f.variable = n.variable AND f.ts BETWEEN n.start AND n.\"end\"")(lambda s, d: quality.flags_within(_flags(s, d), _ranked(s, d), KEYS))
 
 # Sources: request months and hour keys, payloads, text files, audits of the axis.
-_MONTH_SQL = "SELECT greatest(DATE '2024-01-31', m::DATE) AS first, least(DATE '2024-03-01', last_day(m::DATE)) AS last FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', INTERVAL 1 MONTH)) AS m)"
-add("month_ranges", f"SELECT strftime(first, '%Y-%m-%d') AS first, strftime(last, '%Y-%m-%d') AS last FROM ({_MONTH_SQL})", "")(
-    lambda s, d: payload.month_ranges(s, "2024-01-31", "2024-03-01").select(F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last")))
-add("hour_keys", f"SELECT strftime(unnest(generate_series(first::TIMESTAMP, last::TIMESTAMP + INTERVAL 23 HOUR, INTERVAL 1 HOUR)), '%Y%m%d%H') AS key FROM ({_MONTH_SQL})", "")(
-    lambda s, d: payload.hour_keys(payload.month_ranges(s, "2024-01-31", "2024-03-01")).select("key"))
+_MONTH_SQL = """SELECT status, greatest(a, m::DATE) AS first, least(b, last_day(m::DATE)) AS last
+FROM (SELECT status, a, b, unnest(generate_series(date_trunc('month', a)::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM (SELECT o_orderstatus AS status, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY 1))"""
+
+
+def _order_months(spark, sf_dir):
+    """The request months of the days that each status of orders spans."""
+    spans = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.min("o_orderdate").alias("start"), F.max("o_orderdate").alias("end"))
+    return payload.months_of(spans)
+
+
+add("month_ranges", f"SELECT status, strftime(first, '%Y-%m-%d') AS first, strftime(last, '%Y-%m-%d') AS last FROM ({_MONTH_SQL})", "")(
+    lambda s, d: _order_months(s, d).select("status", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last")))
+add("hour_keys", f"SELECT status, strftime(unnest(generate_series(first::TIMESTAMP, last::TIMESTAMP + INTERVAL 23 HOUR, INTERVAL 1 HOUR)), '%Y%m%d%H') AS key FROM ({_MONTH_SQL})", "")(
+    lambda s, d: payload.hour_keys(_order_months(s, d)).select("status", "key"))
 
 
 def _payloads(spark, sf_dir):
@@ -530,8 +539,8 @@ _FIT_TRAIN = f", fit AS (SELECT {_FIT} FROM parted WHERE split = 'train')"
 add("model_ready", _FIT_TRAIN + " SELECT series, ts, split, " + ", ".join(f"{r(f'({chr(34)}{c}{chr(34)} - {chr(34)}mean_{c}{chr(34)}) / {chr(34)}std_{c}{chr(34)}')} AS \"{c}\"" for c in _SCALED) + f", {r(chr(34) + 't2m_t+24h' + chr(34))} AS \"t2m_t+24h\" FROM parted, fit", FEATURED)(
     lambda s, d: pipeline.model_ready(filled(s, d), KEYS, SPLITS, VARS, NAMES)[0].select("series", "ts", "split", *_SCALED, "`t2m_t+24h`"))
 
-# Rules at their usual settings, on three generated years of two series: both sides make the same hours from whole numbers.
-_HOURS = 26304
+# Rules at their usual settings, on the hours that orders span: one series for even and one for odd keys, an order's hour being
+# its key's. Both sides make the values from the hour's number and the orders of that hour.
 _MADE = {
     "t2m": "CASE WHEN k % 97 = 5 THEN NULL ELSE CAST(hour(ts) * 37 % 24 AS DOUBLE) / 4 + month(ts) * 2 + CAST(k % 41 AS DOUBLE) / 10 + CASE WHEN k = 13 THEN 25 ELSE 0 END + CAST(n * n % 9973 AS DOUBLE) / 100000 END",
     "rain": "CASE WHEN k % 5 = 0 THEN CAST(k * k % 997 AS DOUBLE) / 50 ELSE CAST(0 AS DOUBLE) END",
@@ -541,10 +550,12 @@ _MADE = {
     "wd": "CAST(k * 13 % 360 AS DOUBLE)",
     "rad": "CASE WHEN hour(ts) BETWEEN 6 AND 18 THEN CAST(k * 17 % 900 AS DOUBLE) WHEN k = 500 THEN CAST(9 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END",
 }
-_K = "(n * 7919 + (n {div} 24) * 104729 + m * 31) % 1009"
+_K = "(n * 7919 + (n {div} 24) * 104729 + m * 31 + top) % 1009"
 _MADE_SQL = {v: x.replace("{div}", "//") for v, x in _MADE.items()}
 YEARS = f"""
-WITH numbered AS (SELECT m, n, {_K.replace('{div}', '//')} AS k, CASE m WHEN 0 THEN 'a' ELSE 'b' END AS series, TIMESTAMP '2019-01-01' + INTERVAL 1 HOUR * n AS ts FROM range({_HOURS}) t(n), range(2) u(m)),
+WITH ordered AS (SELECT o_orderkey % 2 AS m, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS ts, max(o_orderkey % 1009) AS top FROM orders GROUP BY 1, 2),
+cal AS (SELECT m, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts, a FROM (SELECT min(ts) AS a, max(ts) AS b FROM ordered), range(2) u(m)),
+numbered AS (SELECT m, ts, n, {_K.replace('{div}', '//')} AS k, CASE m WHEN 0 THEN 'a' ELSE 'b' END AS series FROM (SELECT c.m, c.ts, date_diff('hour', a, c.ts) AS n, coalesce(top, 0) AS top FROM cal c LEFT JOIN ordered o ON c.m = o.m AND c.ts = o.ts)),
 dense AS (SELECT series, ts, {', '.join(f'{x} AS {v}' for v, x in _MADE_SQL.items())} FROM numbered
 ), long AS (
   SELECT series, ts, month(ts) * 100 + hour(ts) AS season, variable, value FROM (SELECT series, ts, t2m, rh, ps, ws, rad FROM dense) UNPIVOT INCLUDE NULLS (value FOR variable IN (t2m, rh, ps, ws, rad))
@@ -552,60 +563,76 @@ dense AS (SELECT series, ts, {', '.join(f'{x} AS {v}' for v, x in _MADE_SQL.item
 """
 
 
-def years(spark: SparkSession, hours: int = _HOURS, series: int = 2) -> DataFrame:
-    rows = spark.range(hours * series).selectExpr(f"id div {hours} AS m", f"id % {hours} AS n").selectExpr("m", "n", _K.replace("{div}", "div") + " AS k")
-    rows = rows.selectExpr("*", "chr(cast(97 + m AS int)) AS series", "timestamp_ntz'2019-01-01' + make_interval(0, 0, 0, 0, cast(n AS int)) AS ts")
+def _valued(numbered: DataFrame) -> DataFrame:
+    """(series, ts, variables) from (m, n, ts, top)."""
+    rows = numbered.selectExpr("*", _K.replace("{div}", "div") + " AS k", "chr(cast(97 + m AS int)) AS series")
     return rows.selectExpr("series", "ts", *[f"{x.replace('{div}', 'div')} AS {v}" for v, x in _MADE.items()])
 
 
-def _long_years(spark, variables=("t2m", "rh", "ps", "ws", "rad")):
-    return quality.unpivot(years(spark), KEYS, list(variables))
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hour that orders span, for even and odd order keys."""
+    hour = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
+    ordered = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 2).alias("m"), hour.alias("ts")).agg(F.max(F.col("o_orderkey") % 1009).alias("top"))
+    span = ordered.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    hours = span.select("a", F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("ts"), F.lit([0, 1]).cast("array<long>").alias("ms"))
+    hours = hours.select("ts", axis.hours_between(F.col("ts"), F.col("a")).alias("n"), F.explode("ms").alias("m"))
+    return _valued(hours.join(ordered, ["m", "ts"], "left").withColumn("top", F.coalesce("top", F.lit(0))))
+
+
+def generated(spark: SparkSession, hours: int, series: int) -> DataFrame:
+    """As many hours as a bench wants, of values made the same way."""
+    rows = spark.range(hours * series).selectExpr(f"id div {hours} AS m", f"id % {hours} AS n", "0L AS top")
+    return _valued(rows.selectExpr("*", "timestamp_ntz'2019-01-01' + make_interval(0, 0, 0, 0, cast(n AS int)) AS ts"))
 
 
-add("robust_z_month_hour", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('z')} AS score, 1 AS severity, 'seasonal_robust_z>5' AS rule FROM dev WHERE z > 5", YEARS)(lambda s, d: quality.flag_robust_z(_long_years(s), KEYS, quality.season_keys()))
-add("flag_mad_month_hour", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('0.6745 * abs(value - median) / mad')} AS score, 1 AS severity, 'seasonal_hour_MAD' AS rule FROM dev WHERE mad > 0 AND 0.6745 * abs(value - median) / mad > 3.5", YEARS)(lambda s, d: quality.flag_mad(_long_years(s), KEYS, quality.season_keys()))
-add("flag_iqr_month_hour", _DEV + _IQR, YEARS)(lambda s, d: quality.flag_iqr(_long_years(s), KEYS, quality.season_keys()))
+def _long_years(spark, sf_dir, variables=("t2m", "rh", "ps", "ws", "rad")):
+    return quality.unpivot(years(spark, sf_dir), KEYS, list(variables))
+
+
+add("robust_z_month_hour", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('z')} AS score, 1 AS severity, 'seasonal_robust_z>5' AS rule FROM dev WHERE z > 5", YEARS)(lambda s, d: quality.flag_robust_z(_long_years(s, d), KEYS, quality.season_keys()))
+add("flag_mad_month_hour", _DEV + f"SELECT series, ts, variable, {r('value')} AS value, {r('0.6745 * abs(value - median) / mad')} AS score, 1 AS severity, 'seasonal_hour_MAD' AS rule FROM dev WHERE mad > 0 AND 0.6745 * abs(value - median) / mad > 3.5", YEARS)(lambda s, d: quality.flag_mad(_long_years(s, d), KEYS, quality.season_keys()))
+add("flag_iqr_month_hour", _DEV + _IQR, YEARS)(lambda s, d: quality.flag_iqr(_long_years(s, d), KEYS, quality.season_keys()))
 add("seasonal_thresholds_month_hour", _Q + f"SELECT series, variable, (season // 100)::INT AS month, (season % 100)::INT AS hour, n, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3, {r('mad')} AS mad FROM q", YEARS)(
-    lambda s, d: analytics.group_thresholds(years(s), KEYS, ["t2m", "rh", "ps", "ws", "rad"], {"month": F.month("ts"), "hour": F.hour("ts")}))
+    lambda s, d: analytics.group_thresholds(years(s, d), KEYS, ["t2m", "rh", "ps", "ws", "rad"], {"month": F.month("ts"), "hour": F.hour("ts")}))
 add("wet_hour_q999", f""", lim AS (SELECT series, quantile_cont(rain, 0.999) FILTER (WHERE rain > 0.1) AS lim FROM dense GROUP BY 1)
-SELECT d.series, d.ts, 'rain' AS variable, {r('rain')} AS value, {r('rain / lim')} AS score, 1 AS severity, 'wet_hour_q99.9>' || printf('%.2f', lim) AS rule FROM dense d JOIN lim l ON d.series = l.series WHERE rain > lim""", YEARS)(lambda s, d: quality.flag_wet(_long_years(s, ["rain"]), KEYS))
-add("flag_jump_month_hour", _JUMP + f"SELECT series, ts, variable, {r('value')} AS value, {r('abs(step) / lim')} AS score, 2 AS severity, 'large_hourly_jump' AS rule FROM n WHERE large", YEARS)(lambda s, d: quality.flag_jump(_long_years(s, _FLOORS), KEYS, quality.season_keys(), _FLOORS))
+SELECT d.series, d.ts, 'rain' AS variable, {r('rain')} AS value, {r('rain / lim')} AS score, 1 AS severity, 'wet_hour_q99.9>' || printf('%.2f', lim) AS rule FROM dense d JOIN lim l ON d.series = l.series WHERE rain > lim""", YEARS)(lambda s, d: quality.flag_wet(_long_years(s, d, ["rain"]), KEYS))
+add("flag_jump_month_hour", _JUMP + f"SELECT series, ts, variable, {r('value')} AS value, {r('abs(step) / lim')} AS score, 2 AS severity, 'large_hourly_jump' AS rule FROM n WHERE large", YEARS)(lambda s, d: quality.flag_jump(_long_years(s, d, _FLOORS), KEYS, quality.season_keys(), _FLOORS))
 add("flag_flat_12h", f""", nw AS (SELECT series, ts, rh AS value, CASE WHEN rh = lag(rh) OVER {_W} THEN 0 ELSE 1 END AS new FROM dense), rn AS (SELECT *, sum(new) OVER {_W} AS run FROM nw),
 sz AS (SELECT *, count(*) OVER (PARTITION BY series, run) AS n FROM rn WHERE value IS NOT NULL) SELECT series, ts, 'rh' AS variable, {r('value')} AS value, {r('n / 12.0::DOUBLE')} AS score, 2 AS severity, 'constant_run_ge12h' AS rule FROM sz WHERE n >= 12""", YEARS)(
-    lambda s, d: quality.flag_flat(_long_years(s, ["rh"]), KEYS))
+    lambda s, d: quality.flag_flat(_long_years(s, d, ["rh"]), KEYS))
 add("level_shift_7d", f""", med AS (SELECT series, variable, season, median(value) AS median FROM long GROUP BY 1, 2, 3), res AS (SELECT l.series, l.variable, CAST(ts AS DATE) AS date, value - median AS residual FROM long l JOIN med USING (series, variable, season)),
 da AS (SELECT series, variable, date, CASE WHEN count(residual) >= 20 THEN median(residual) END AS r FROM res GROUP BY 1, 2, 3),
 sh AS (SELECT *, CASE WHEN count(r) OVER a = 7 THEN quantile_cont(r, 0.5) OVER a END - CASE WHEN count(r) OVER b = 7 THEN quantile_cont(r, 0.5) OVER b END AS shift FROM da
   WINDOW a AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING), b AS (PARTITION BY series, variable ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
 lim AS (SELECT series, variable, greatest(quantile_cont(abs(shift), 0.995), 0.1) AS lim FROM sh GROUP BY 1, 2)
 SELECT series, variable, strftime(date, '%Y-%m-%d') AS date, {r('shift')} AS level_shift, {r('lim')} AS "limit" FROM sh JOIN lim USING (series, variable) WHERE abs(shift) > lim""", YEARS)(
-    lambda s, d: quality.level_shifts(_long_years(s), KEYS, quality.season_keys(), dict.fromkeys(("t2m", "rh", "ps", "ws", "rad"), 0.1)).withColumn("date", F.col("date").cast("string")))
+    lambda s, d: quality.level_shifts(_long_years(s, d), KEYS, quality.season_keys(), dict.fromkeys(("t2m", "rh", "ps", "ws", "rad"), 0.1)).withColumn("date", F.col("date").cast("string")))
 _SEASON_SQL = "CASE " + " ".join(f"WHEN month(ts) IN {months} THEN '{name}'" for name, months in analytics.SEASONS.items()) + " END"
-add("diurnal_curves", f"SELECT series, {_SEASON_SQL} AS season, hour(ts)::INT AS hour, {r('avg(t2m)')} AS mean, count(t2m) AS n FROM dense GROUP BY 1, 2, 3", YEARS)(lambda s, d: analytics.diurnal_curves(years(s), "t2m", KEYS))
-add("month_hour_matrix", "SELECT month(ts)::INT AS row, " + ", ".join(f"{r(f'avg(t2m) FILTER (WHERE hour(ts) = {h})')} AS h{h}" for h in range(24)) + " FROM dense GROUP BY 1", YEARS)(lambda s, d: analytics.hour_matrix(years(s), "t2m", F.month("ts")))
+add("diurnal_curves", f"SELECT series, {_SEASON_SQL} AS season, hour(ts)::INT AS hour, {r('avg(t2m)')} AS mean, count(t2m) AS n FROM dense GROUP BY 1, 2, 3", YEARS)(lambda s, d: analytics.diurnal_curves(years(s, d), "t2m", KEYS))
+add("month_hour_matrix", "SELECT month(ts)::INT AS row, " + ", ".join(f"{r(f'avg(t2m) FILTER (WHERE hour(ts) = {h})')} AS h{h}" for h in range(24)) + " FROM dense GROUP BY 1", YEARS)(lambda s, d: analytics.hour_matrix(years(s, d), "t2m", F.month("ts")))
 add("wind_rose_seasons", f""", w AS (SELECT series, {_SEASON_SQL} AS season, floor(CASE WHEN wd + 11.25 >= 360 THEN wd + 11.25 - 360 ELSE wd + 11.25 END / 22.5)::INT AS sector, count(*) AS n FROM dense WHERE ws >= 0.5 AND wd IS NOT NULL GROUP BY 1, 2, 3)
 SELECT series, season, sector, n, {r('n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY series, season)')} AS share_pct, row_number() OVER (PARTITION BY series, season ORDER BY n DESC, sector) = 1 AS is_peak FROM w""", YEARS)(
-    lambda s, d: analytics.wind_rose(years(s), "ws", "wd", {"series": F.col("series"), "season": analytics.season_of()}))
+    lambda s, d: analytics.wind_rose(years(s, d), "ws", "wd", {"series": F.col("series"), "season": analytics.season_of()}))
 _WINTER = f"month(ts) IN {analytics.SEASONS['winter']}"
 add("global_iqr_winter", " UNION ALL ".join(f"""SELECT '{c}' AS variable, count(*) FILTER (WHERE NOT {c} BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) AS outside,
 {r(f'count(*) FILTER (WHERE {_WINTER} AND NOT {c} BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE NOT {c} BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)), 0)')} AS cold_share_pct
-FROM dense, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM dense)""" for c in ("t2m", "rain")), YEARS)(lambda s, d: analytics.global_outliers(years(s), ["t2m", "rain"], F.month("ts").isin(*analytics.SEASONS["winter"])))
+FROM dense, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM dense)""" for c in ("t2m", "rain")), YEARS)(lambda s, d: analytics.global_outliers(years(s, d), ["t2m", "rain"], F.month("ts").isin(*analytics.SEASONS["winter"])))
 _BOX = f"""{r('any_value(q1)')} AS q1, {r('any_value(median)')} AS median, {r('any_value(q3)')} AS q3, {r('min(x) FILTER (WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))')} AS whisker_low,
 {r('max(x) FILTER (WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))')} AS whisker_high, count(*) FILTER (WHERE NOT x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS fliers"""
-add("box_stats_scaled", f""", z AS (SELECT 'before' AS stage, ps AS x FROM dense WHERE year(ts) < 2021 UNION ALL SELECT 'after', (ps - m) / s FROM dense, (SELECT avg(ps) AS m, stddev_pop(ps) AS s FROM dense WHERE year(ts) < 2021) WHERE year(ts) < 2021),
-q AS (SELECT stage, quantile_cont(x, 0.25) AS q1, median(x) AS median, quantile_cont(x, 0.75) AS q3 FROM z GROUP BY 1) SELECT z.stage, {_BOX} FROM z JOIN q ON z.stage = q.stage GROUP BY 1""", YEARS)(lambda s, d: _boxes(s))
+add("box_stats_scaled", f""", z AS (SELECT 'before' AS stage, ps AS x FROM dense WHERE year(ts) < 2001 UNION ALL SELECT 'after', (ps - m) / s FROM dense, (SELECT avg(ps) AS m, stddev_pop(ps) AS s FROM dense WHERE year(ts) < 2001) WHERE year(ts) < 2001),
+q AS (SELECT stage, quantile_cont(x, 0.25) AS q1, median(x) AS median, quantile_cont(x, 0.75) AS q3 FROM z GROUP BY 1) SELECT z.stage, {_BOX} FROM z JOIN q ON z.stage = q.stage GROUP BY 1""", YEARS)(lambda s, d: _boxes(s, d))
 
 
-def _boxes(spark):
+def _boxes(spark, sf_dir):
     """Box figures of a variable's train rows (all years but the last) before and after scaling."""
-    rows = years(spark).where(F.year("ts") < 2021).withColumn("split", F.lit("train"))
+    rows = years(spark, sf_dir).where(F.year("ts") < 2001).withColumn("split", F.lit("train"))
     scaled = features.apply_scaler(rows, features.fit_scaler(rows, ["ps"], "ps", F.lit(True)), ["ps"])
     both = rows.select(F.lit("before").alias("stage"), "ps").unionByName(scaled.select(F.lit("after").alias("stage"), "ps"))
     return analytics.box_stats(both, "ps", {"stage": F.col("stage")})
 
 
 add("exact_quantiles", " UNION ALL ".join(f"SELECT '{c}' AS variable, {', '.join(f'{r(f'quantile_cont({c}, {q})')} AS q{i}' for i, q in enumerate((0.01, 0.5, 0.995)))} FROM dense" for c in ("t2m", "rain")), YEARS)(
-    lambda s, d: ranks.exact_quantiles(years(s), ["t2m", "rain"], (0.01, 0.5, 0.995)).select("variable", *[F.col("q")[i].alias(f"q{i}") for i in range(3)]))
+    lambda s, d: ranks.exact_quantiles(years(s, d), ["t2m", "rain"], (0.01, 0.5, 0.995)).select("variable", *[F.col("q")[i].alias(f"q{i}") for i in range(3)]))
 add("metadata_drift", "SELECT 't2m' AS parameter, 2::BIGINT AS versions WHERE (SELECT count(DISTINCT day(ts) = 3) FROM observed) > 1")(lambda s, d: _drift(s, d))
 
 
@@ -616,6 +643,58 @@ def _drift(spark, sf_dir):
     return payload.metadata_drift(bodies.withColumn("payload", F.col("payload").withField("parameters", units)))
 
 
+# What goes with the pipeline: counts of its steps, windows cut from shards, rows with every column, rounding, band joins, values as VARIANT.
+_PER = lambda step, table, cond: [f"SELECT '{step}', '{n}', count(*) FILTER (WHERE {cond(v)}) FROM {table}" for n, v in NAMES.items()]
+add("clean_steps", "SELECT 'before' AS step, 'rows' AS variable, count(*) AS n FROM measured UNION ALL " + " UNION ALL ".join([
+    *_PER("blank", "measured", lambda v: f"{v} IS NULL"), *_PER("invalid_to_null", "observed", lambda v: f"{v} IS NULL"), *_PER("missing_before_fill", "dense", lambda v: f"{v} IS NULL"),
+    *_PER("filled", "filled", lambda v: f"filled_{v}"), *_PER("missing_after_fill", "filled", lambda v: f"{v} IS NULL"), "SELECT 'folded_360_to_0', 'WD2M', count(*) FILTER (WHERE wd = 360) FROM observed",
+    "SELECT 'exact_duplicates_removed', 'rows', 0", "SELECT 'inserted_hours', 'rows', count(*) FILTER (WHERE is_inserted_hour = 1) FROM dense", "SELECT 'imputed', 'rows', count(*) FILTER (WHERE is_imputed = 1) FROM filled", "SELECT 'after', 'rows', count(*) FROM filled"]), CLEANED)(
+    lambda s, d: pipeline.step_counts(s, _cleaned(s, d)).where("step <> 'flags_kept'"))
+_SEQ, _TARGETS = features.feature_names(NAMES)["sequence"], features.feature_names(NAMES)["targets"]
+_ROWS_48 = "list([" + ", ".join(f'"{c}"' for c in _SEQ) + "]) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)"
+add("sequence_windows_full", f""", fit AS (SELECT avg(t2m) AS m, stddev_pop(t2m) AS s FROM parted WHERE split = 'train'),
+windowed AS (SELECT series, ts, split, {_ROWS_48} AS x, [{', '.join(f'"{c}"' for c in _TARGETS)}] AS y FROM parted)
+SELECT series, ts, split, 48 * {len(_SEQ)} AS n, {_WHOLE('flatten(x)')} AS x, {_WHOLE('list_transform(list_transform(y, lambda v: CAST(v AS FLOAT)), lambda v: (v - CAST(m AS FLOAT)) / CAST(s AS FLOAT))')} AS y FROM windowed, fit WHERE split <> 'none'""", FEATURED)(
+    lambda s, d: _windows(s, d))
+
+
+def _windows(spark, sf_dir):
+    """Every window of every split with all features, targets scaled by the train rows' mean and deviation, as digests of all values to three decimals."""
+    rows = written(split_rows(spark, sf_dir), "split_rows")
+    scale = features.fit_scaler(rows, [], "t2m", F.col("split") == "train").first()
+    shards = written(features.window_shards(rows, _SEQ, _TARGETS, KEYS, target_scale=(scale["target_mean"] or 0.0, scale["target_std"] or 1.0)), "window_shards")
+    features.check_shards(shards, KEYS)
+    whole = lambda x: F.md5(F.array_join(F.transform(x, lambda v: F.round(v.cast("double") * 1000).cast("long").cast("string")), ",").cast("binary"))
+    return features.read_windows(shards, KEYS, len(_SEQ), len(_TARGETS)).select("series", "ts", "split", F.size("X").alias("n"), whole("X").alias("x"), whole("y").alias("y"))
+
+
+_TABULAR = features.feature_names(NAMES)["tabular"]
+_READY = lambda c: r(f'("{c}" - "mean_{c}") / "std_{c}"') if c in _ALL_SCALED else r(f'"{c}"')
+add("model_ready_full", f", fit AS (SELECT {_FIT_ALL} FROM parted WHERE split = 'train') SELECT series, ts, split, " + ", ".join(f'{_READY(c)} AS "{c}"' for c in [*_TABULAR, *_TARGETS]) + " FROM parted, fit", FEATURED)(
+    lambda s, d: pipeline.model_ready(filled(s, d), KEYS, SPLITS, VARS, NAMES)[0])
+add("half_even", "SELECT series, ts, round_even(t2m, 1) + 0.0 AS t2m FROM dense")(lambda s, d: dense(s, d).select("series", "ts", F.bround("t2m", 1).alias("t2m")))
+add("events_in_gaps", _RUNS.replace("SELECT series, min(ts) AS start", ", r AS (SELECT series, min(ts) AS start", 1) + ") SELECT e.event_id, r.series, r.hours FROM events e JOIN r ON e.event_type = r.series AND e.ts BETWEEN r.start AND r.\"end\" + INTERVAL 59 MINUTE")(
+    lambda s, d: axis.within(
+        table(s, d, "events").select("event_id", F.col("event_type").alias("series"), "ts"),
+        axis.runs(dense(s, d), F.col("t2m").isNull(), KEYS).withColumn("end", F.col("end") + F.expr("interval 59 minutes")), KEYS).select("event_id", "series", "hours"))
+add("payload_value_faults", "SELECT event_id, 'v' AS parameter, strftime(ts, '%Y%m%d%H') AS key, CASE event_id % 6 WHEN 1 THEN '\"7\"' WHEN 2 THEN 'true' ELSE '{\"a\":1}' END AS value FROM events WHERE event_id % 6 IN (1, 2, 4)", "")(lambda s, d: _value_faults(s, d))
+
+
+def _value_faults(spark, sf_dir):
+    """Each event as a payload of one hour whose value is a number, a text, a boolean, null or nested, by its id."""
+    cell = F.col("value").cast("string")
+    for i, text in ((1, '"7"'), (2, "true"), (3, "null"), (4, '{"a":1}'), (5, "1e2")):
+        cell = F.when(F.col("event_id") % 6 == i, text).otherwise(cell)
+    body = F.concat(F.lit('{"properties":{"parameter":{"v":{"'), F.date_format("ts", "yyyyMMddHH"), F.lit('":'), cell, F.lit("}}}}"))
+    return payload.value_faults(table(spark, sf_dir, "events").select("event_id", body.alias("json")), ["event_id"])
+
+
+add("cold_flag_share", f""", q AS (SELECT series, variable, season, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY 1, 2, 3),
+f AS (SELECT l.variable, month(ts) IN (12, 1, 2) AS cold FROM long l JOIN q USING (series, variable, season) WHERE q3 > q1 AND greatest(q1 - value, value - q3) > 1.5 * (q3 - q1))
+SELECT variable, count(*) AS flags, {r('count(*) FILTER (WHERE cold) * 100.0::DOUBLE / count(*)')} AS cold_share_pct FROM f GROUP BY 1""", YEARS)(
+    lambda s, d: analytics.cold_share(quality.flag_iqr(_long_years(s, d), KEYS, quality.season_keys()).unionByName(quality.flag_step(_long_years(s, d, ["t2m"]), KEYS)), "seasonal", F.month("ts").isin(*analytics.SEASONS["winter"])))
+
+
 # Forecasts.
 add("persistence_forecast", f", fit AS (SELECT avg(t2m) AS m, stddev_pop(t2m) AS s FROM parted WHERE split = 'train') SELECT series, ts, {r('t2m')} AS predicted FROM parted, fit WHERE split <> 'none'", FEATURED)(
     lambda s, d: _scaler(s, d)[0].where("split <> 'none'").crossJoin(F.broadcast(_scaler(s, d)[1])).select("series", "ts", forecast.persistence((F.col("t2m") - F.col("target_mean")) / F.col("target_std"), F.col("target_mean"), F.col("target_std")).alias("predicted")))

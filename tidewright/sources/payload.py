@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.axis import join_on
+
 PAYLOAD = (
     "header struct<time_standard: string, fill_value: double>, geometry struct<coordinates: array<double>>, "
     "parameters map<string, struct<units: string, longname: string>>, properties struct<parameter: map<string, map<string, double>>>"
@@ -18,11 +22,16 @@ def read_text_table(spark: SparkSession, path: str, columns: list[str]) -> DataF
     return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).csv(path)
 
 
+def months_of(spans: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """The other columns of spans and (first, last): the inclusive days of a request for each month that a span of days touches."""
+    a, b = F.col(start).cast("date"), F.col(end).cast("date")
+    months = spans.withColumn("_month", F.explode(F.sequence(F.trunc(a, "MM"), b, F.expr("interval 1 month"))))
+    return months.withColumns({"first": F.greatest(a, F.col("_month")), "last": F.least(b, F.last_day("_month"))}).drop(start, end, "_month")
+
+
 def month_ranges(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """(first, last): the inclusive days of a request for each month of a range."""
-    span = spark.sql("SELECT date(:a) AS a, date(:b) AS b", {"a": start, "b": end})
-    months = span.select("a", "b", F.explode(F.expr("sequence(trunc(a, 'MM'), b, interval 1 month)")).alias("m"))
-    return months.select(F.greatest("a", "m").alias("first"), F.least("b", F.last_day("m")).alias("last"))
+    """(first, last) of months_of() for one span."""
+    return months_of(spark.createDataFrame([(start, end)], "start string, end string"))
 
 
 def hour_keys(days: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
@@ -98,7 +107,7 @@ def key_difference(values: DataFrame, expected: DataFrame, keys: list[str]) -> D
     names = values.select(*keys, "parameter").distinct()
     want = names.join(expected.select(*[k for k in keys if k in expected.columns], "key"), [k for k in keys if k in expected.columns]) if any(k in expected.columns for k in keys) else names.crossJoin(F.broadcast(expected.select("key")))
     on = [*keys, "parameter", "key"]
-    both = want.withColumn("_w", F.lit(1)).join(values.select(*on).withColumn("_v", F.lit(1)), on, "full")
+    both = join_on(want.withColumn("_w", F.lit(1)), values.select(*on).withColumn("_v", F.lit(1)), on, "full")
     return both.groupBy(*keys, "parameter").agg(F.count_if(F.col("_v").isNull()).alias("missing"), F.count_if(F.col("_w").isNull()).alias("unexpected"))
 
 
@@ -118,17 +127,26 @@ def payload_faults(latitude: float, longitude: float, parameters: list[str], tol
 
 
 def value_faults(raw: DataFrame, keys: list[str], column: str = "json") -> DataFrame:
-    """(keys, parameter, key, value): the hours whose value is neither null nor a finite number, as the payload words it.
+    """(keys, parameter, key, value): the hours whose value is neither null nor a finite number, as JSON.
 
-    Values are read as text, as a cast to double would take "1" or hide what is no number. JSON has no word for what isn't
-    finite, so a bare NaN or Infinity, which some writers emit, makes the payload malformed and is a fault of payload_faults().
+    Values are read as VARIANT, which keeps each one's own type, so "1", true and nested values are faults where a cast to
+    double would take or hide them. A parameter that isn't a map of hours is one fault without key. A text that isn't JSON, that names a
+    key twice or holds a bare NaN is no VARIANT: one row of nulls. A text without parameters has none here; that is a
+    fault of payload_faults().
     """
-    words = F.from_json(F.get_json_object(column, "$.properties.parameter"), "map<string, string>", {"mode": "PERMISSIVE"})
-    by_name = raw.select(*keys, F.explode(words).alias("parameter", "hours"))
-    cells = by_name.select(*keys, "parameter", F.explode(F.expr("regexp_extract_all(hours, '\"([^\"]*)\"\\\\s*:\\\\s*(\"[^\"]*\"|[^,}\\\\s]+)', 0)")).alias("pair"))
-    cells = cells.select(*keys, "parameter", F.regexp_extract("pair", r'^"([^"]*)"', 1).alias("key"), F.regexp_extract("pair", r":\s*(.*)$", 1).alias("value"))
-    is_number = F.col("value").rlike(r"^-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & (F.abs(F.col("value").try_cast("double")) < float("inf"))
-    return cells.where((F.col("value") != "null") & ~F.coalesce(is_number, F.lit(False)))
+    kind = lambda v: F.schema_of_variant(v)
+    as_map = lambda v: F.expr(f"try_variant_get({v}, '$', 'map<string, variant>')")
+    read = raw.select(*keys, F.try_parse_json(column).alias("_v"), F.col(column).isNotNull().alias("_told"))
+    broken = read.where("_v is null and _told").select(*keys, *[F.lit(None).cast("string").alias(c) for c in ("parameter", "key", "value")])
+    by_name = read.select(*keys, F.explode(F.expr("try_variant_get(_v, '$.properties.parameter', 'map<string, variant>')")).alias("parameter", "_hours"))
+    by_name = by_name.withColumn("_map", F.when(kind(F.col("_hours")).startswith("OBJECT"), as_map("_hours")))
+    flat = by_name.where("_map is null").select(*keys, "parameter", F.lit(None).cast("string").alias("key"), F.to_json("_hours").alias("value"))
+    cells = by_name.where("_map is not null").select(*keys, "parameter", F.explode("_map").alias("key", "_value"))
+    number = F.expr("try_variant_get(_value, '$', 'double')")
+    numeric = kind(F.col("_value")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & (F.abs(number) < float("inf"))
+    sound = F.expr("is_variant_null(_value)") | F.coalesce(numeric, F.lit(False))
+    bad = cells.where(~sound).select(*keys, "parameter", "key", F.to_json("_value").alias("value"))
+    return bad.unionByName(flat).unionByName(broken)
 
 
 def metadata_drift(parsed: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -160,28 +178,90 @@ def snapshot_path(folder: str, stamp: str) -> str:
 
 
 def cached(spark: SparkSession, folder: str, months: DataFrame, load) -> DataFrame:
-    """The payloads of the months (first, last), as (first, json): those that folder holds are read, the others come from load(months) and are added.
+    """The payloads of the months (first, last), as (first, last, json): those that folder holds are read, the others come from load(months) and are added.
 
-    load gets the months that are missing and returns (first, json). A month is a folder by its first day, so a month is asked
-    for once and an earlier month is never written again.
+    load gets the months that are missing and returns (first, json), more columns or not. A month is a folder by its first and last day, so a
+    month is asked for once, one that was asked for in part is another, and an earlier month is never written again.
     """
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    schema = "json string, first date"
+    schema = "json string, first date, last date"
     there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
     held = spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
-    missing = months.join(held.select("first").distinct(), "first", "left_anti")
+    on = ["first", "last"]
+    missing = months.join(held.select(*on).distinct(), on, "left_anti")
     if not missing.isEmpty():
-        load(missing).select("json", "first").write.mode("append").partitionBy("first").parquet(folder)
-    return spark.read.schema(schema).parquet(folder).join(months.select("first"), "first", "left_semi").select("first", "json")
+        load(missing).select("first", "json").join(missing, "first").select("json", *on).write.mode("append").partitionBy(*on).parquet(folder)
+    return spark.read.schema(schema).parquet(folder).join(months.select(*on), on, "left_semi").select(*on, "json")
+
+
+#: Seconds after which a claim without its table counts as left by a writer that died, and between two looks.
+STALE, LOOK = 3600.0, 0.5
+
 
+def write_once(df: DataFrame, path: str, form: str = "parquet", stale: float = STALE, wait: float = 60.0, **options) -> bool:
+    """Writes to a new place. Writing the same rows again does nothing and returns False; other rows raise FileExistsError.
 
-def write_once(df: DataFrame, path: str, form: str = "parquet", **options) -> bool:
-    """Writes to a new place. Writing the same rows again does nothing and returns False; other rows raise FileExistsError."""
+    A writer first makes a claim file beside the place, which only one can, writes to a folder of its own and renames that at the
+    end; so readers never see a part, and of several writers one wins. The others look for its table for `wait` seconds, then
+    compare theirs or raise TimeoutError. A claim older than `stale` seconds, by the store's clock, is taken over and what its
+    writer left is removed, so a write that was killed can be done again.
+    """
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        if same_rows(spark.read.format(form).options(**options).schema(df.schema).load(path), df):
+    fs, at = _store(spark, path)
+    claim, mine = f"{path.rstrip('/')}.claim", f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    until = time.monotonic() + wait
+    while not fs.exists(at(path)):
+        if _claimed(fs, at, claim, mine):
+            try:
+                df.write.format(form).options(**options).mode("errorifexists").save(mine)
+                if fs.exists(at(path)) or not fs.rename(at(mine), at(path)):
+                    break
+                return True
+            finally:
+                fs.delete(at(mine), True)
+                fs.delete(at(claim), False)
+        if not _given_up(fs, at, claim, stale):
+            if time.monotonic() > until:
+                raise TimeoutError(f"another writer holds {path}")
+            time.sleep(LOOK)
+    if same_rows(spark.read.format(form).options(**options).schema(df.schema).load(path), df):
+        return False
+    raise FileExistsError(f"{path} holds other rows")
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _claimed(fs, at, claim: str, part: str) -> bool:
+    """Makes the claim, which names where its writer writes; False if there is one. Making a file that mustn't exist is atomic in the store."""
+    try:
+        stream = fs.create(at(claim), False)
+    except Py4JJavaError as e:
+        if fs.exists(at(claim)) or "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    stream.write(bytearray(part.encode()))
+    stream.close()
+    return True
+
+
+def _given_up(fs, at, claim: str, stale: float) -> bool:
+    """Removes a claim that is older than `stale` seconds, with what its writer left; True if the claim is gone. Renaming it first lets one only do so."""
+    try:
+        if time.time() * 1000 - fs.getFileStatus(at(claim)).getModificationTime() < stale * 1000:
+            return False
+        old = f"{claim}-{uuid.uuid4().hex}"
+        if not fs.rename(at(claim), at(old)):
             return False
-        raise FileExistsError(f"{path} holds other rows")
-    df.write.format(form).options(**options).mode("errorifexists").save(path)
+        stream = fs.open(at(old))
+        left = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        if left:
+            fs.delete(at(left), True)
+        fs.delete(at(old), False)
+    except Py4JJavaError as e:
+        if "FileNotFound" not in str(e.java_exception):
+            raise
     return True
