@@ -142,6 +142,11 @@ def test_group_quantiles(spark):
         if g != "mixed":
             np.testing.assert_allclose(got[g]["q"], np.quantile(vs, shares), rtol=1e-12)
     assert got["mixed"]["q"][3] == 0.0 and got["mixed"]["q"][-1] == np.inf
+    few = {r["g"]: r for r in ranks.group_quantiles(df, ["g"], F.col("v"), shares, most=ranks.largest_group(df, ["g"])).collect()}
+    assert set(few) == set(got) and all(few[g]["n"] == got[g]["n"] for g in got)
+    for g in groups:
+        if g != "mixed":
+            np.testing.assert_allclose(few[g]["q"], got[g]["q"], rtol=1e-12)
     whole = ranks.group_quantiles(df.where("g = 'a'"), [], F.col("v"), (0.5,)).collect()
     assert len(whole) == 1 and whole[0]["q"][0] == pytest.approx(np.median(groups["a"]))
     assert ranks.group_quantiles(df.limit(0), ["g"], F.col("v"), (0.5,)).count() == 0

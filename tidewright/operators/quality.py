@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .axis import by_time, islands, join_on, scanned, within
-from .ranks import cumulated, group_quantiles
+from .ranks import cumulated, group_quantiles, largest_group
 
 #: Fixed value: scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 1.4826
@@ -37,9 +37,9 @@ def seasonal(long: DataFrame, keys: list[str], season: dict[str, Column]) -> tup
     return long, [*keys, "variable", *season]
 
 
-def _quantile(df: DataFrame, group: list[str], value: Column, q: float, name: str) -> DataFrame:
+def _quantile(df: DataFrame, group: list[str], value: Column, q: float, name: str, most: int | None = None) -> DataFrame:
     """(group, name): one exact quantile of each group."""
-    return group_quantiles(df, group, value, (q,)).select(*group, F.col("q")[0].alias(name))
+    return group_quantiles(df, group, value, (q,), most=most).select(*group, F.col("q")[0].alias(name))
 
 
 def robust_z(long: DataFrame, keys: list[str], season: dict[str, Column]) -> DataFrame:
@@ -48,8 +48,9 @@ def robust_z(long: DataFrame, keys: list[str], season: dict[str, Column]) -> Dat
     Statistics are a grouped table joined back, so a season's rows are never held together.
     """
     long, group = seasonal(long, keys, season)
-    with_median = join_on(long, _quantile(long, group, F.col("value"), 0.5, "median"), group)
-    out = join_on(with_median, _quantile(with_median, group, F.abs(F.col("value") - F.col("median")), 0.5, "mad"), group)
+    most = largest_group(long, group)
+    with_median = join_on(long, _quantile(long, group, F.col("value"), 0.5, "median", most), group)
+    out = join_on(with_median, _quantile(with_median, group, F.abs(F.col("value") - F.col("median")), 0.5, "mad", most), group)
     return out.withColumn("robust_z", F.abs(F.col("value") - F.col("median")) / F.when(F.col("mad") != 0, F.col("mad") * MAD_SCALE))
 
 
@@ -61,7 +62,7 @@ def flag_robust_z(long: DataFrame, keys: list[str], season: dict[str, Column], l
 def flag_iqr(long: DataFrame, keys: list[str], season: dict[str, Column], ts: str = "ts") -> DataFrame:
     """Outside 1.5 interquartile ranges of its season; the score is the distance beyond in ranges."""
     long, group = seasonal(long, keys, season)
-    q = group_quantiles(long, group, F.col("value"), (0.25, 0.75)).drop("n")
+    q = group_quantiles(long, group, F.col("value"), (0.25, 0.75), most=largest_group(long, group)).drop("n")
     rows = join_on(long, q, group).withColumn("iqr", F.col("q")[1] - F.col("q")[0]).where("iqr > 0")
     beyond = F.greatest(F.col("q")[0] - F.col("value"), F.col("value") - F.col("q")[1])
     return _flags(rows.where(beyond > 1.5 * F.col("iqr")), keys, ts, beyond / F.col("iqr"), 1, "seasonal_hour_IQR")
@@ -147,7 +148,7 @@ def flag_night(long: DataFrame, keys: list[str], limit: float = 5.0, ts: str = "
 def level_shifts(long: DataFrame, keys: list[str], season: dict[str, Column], floors: dict[str, float], days: int = 7, least_hours: int = 20, q: float = 0.995, ts: str = "ts") -> DataFrame:
     """(keys, variable, date, level_shift, limit): days whose median residual over the next `days` differs from the `days` before by more than the limit."""
     long, group = seasonal(long, keys, season)
-    residual = join_on(long, _quantile(long, group, F.col("value"), 0.5, "median"), group).withColumn("residual", F.col("value") - F.col("median"))
+    residual = join_on(long, _quantile(long, group, F.col("value"), 0.5, "median", largest_group(long, group)), group).withColumn("residual", F.col("value") - F.col("median"))
     daily = residual.groupBy(*keys, "variable", F.to_date(ts).alias("date")).agg(F.percentile("residual", F.lit(0.5)).alias("r"), F.count("residual").alias("n"))
     daily = daily.withColumn("r", F.when(F.col("n") >= least_hours, F.col("r")))
     w = W.partitionBy(*keys, "variable").orderBy("date")
