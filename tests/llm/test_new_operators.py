@@ -57,7 +57,7 @@ def lang_docs(spark, rows):
     return spark.createDataFrame([(t, lang, i) for i, (lang, t) in enumerate(rows)], "text string, lang string, id long").repartition(3)
 
 
-@pytest.mark.parametrize("options", [{}, {"most_sent": 4, "most_bytes": 8}, {"range_size": 60, "top": 7}, {"most_sent": 0, "range_size": 100}])
+@pytest.mark.parametrize("options", [{}, {"most_sent": 4, "most_bytes": 8, "range_size": 60, "top": 7}])
 def test_phrases_against_brute_force(spark, monkeypatch, options):
     """With all words sent, with most of them joined, and with keys dealt to many ranges: the same."""
     monkeypatch.setattr(collocations, "BLOCK", 300)
