@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from ..sources.shared import remove, written
 
 BLOCK = 65_536
+#: Rows that are worth a task of their own.
+TASK = 16_384
 #: Trees between two times that predictions are written.
 WRITE_EVERY = 20
 
@@ -317,7 +319,8 @@ def fit(rows: DataFrame, inputs: list[str], targets: list[str], train: Column, c
         raise ValueError(f"{facts['nulls']} nulls in {facts['n']} rows to train on")
     cuts = bin_cuts(marked.where("train"), inputs, config.bins)
     start = [facts[f"m{k}"] for k in range(len(targets))]
-    blocks = written(packed(marked, inputs, targets, cuts, start), "binned_rows")
+    tasks = max(1, -(-(facts["n"] + facts["others"]) // TASK))
+    blocks = written(packed(marked.coalesce(tasks), inputs, targets, cuts, start), "binned_rows")
     kept: list[list[Tree]] = [[] for _ in targets]
     newest: list[list[Tree]] = [[] for _ in targets]
     best = [(np.inf, 0)] * len(targets)
