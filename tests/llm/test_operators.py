@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -226,6 +227,43 @@ def test_mutated_files_never_raise(spark):
     assert len(list(tiff.iter_pages(one(*base.items())))) == 1
 
 
+def lists_file(parts, code=1, size=(8, 8), directories=1, fill=b"", share=True):
+    """Directories whose strips of 8 rows name the given places; the lists lie after the fill, once or once for each."""
+    body, out = b"II*\0" + bytes(4) + fill, bytearray()
+    lists = b"".join(struct.pack(f"<{len(parts)}I", *column) for column in zip(*parts, strict=True))
+    for d in range(directories):
+        at = len(body) + (0 if share else d * len(lists))
+        fields = [(256, 1, size[0]), (257, 1, size[1]), (258, 1, 8), (259, 1, code), (273, len(parts), at), (277, 1, 1), (278, 1, 8), (279, len(parts), at + 4 * len(parts))]
+        if len(parts) == 1:
+            fields[4], fields[7] = (273, 1, parts[0][0]), (279, 1, parts[0][1])
+        first = len(body) + len(lists) * (1 if share else directories) + len(out)
+        follows = first + 2 + 12 * len(fields) + 4 if d < directories - 1 else 0
+        out += struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", t, 4, n, v) for t, n, v in fields) + struct.pack("<I", follows)
+    start = len(body) + len(lists) * (1 if share else directories)
+    return body[:4] + struct.pack("<I", start) + body[8:] + lists * (1 if share else directories) + bytes(out)
+
+
+def test_files_that_name_their_bytes_over_and_over():
+    """Work is bounded by the file's size, whatever overlaps; equal parts are read once, as blank tiles are in sound files."""
+    mega = bytes(1 << 20)
+    # 20,000 strips that are the same megabyte: read once. Places that differ by a byte: refused.
+    began = time.monotonic()
+    same = lists_file([(8, 1 << 20)] * 20_000, size=(8, 160_000), fill=mega)
+    assert next(tiff.iter_pages(same))["pixels"] == bytes(8 * 160_000)
+    with pytest.raises(ValueError, match="parts beyond"):
+        list(tiff.iter_pages(lists_file([(8 + k, 1 << 20) for k in range(20_000)], size=(8, 160_000), fill=mega)))
+    # Many pages over one list of strips: those come that the bytes allow, and then the reason.
+    many, got = lists_file([(8, 1 << 16)] * 5_000, size=(8, 40_000), directories=2_000, fill=bytes(1 << 16)), []
+    with pytest.raises(ValueError, match="beyond"):
+        for page in tiff.iter_pages(many):
+            got.append(len(page["pixels"]))
+    assert 0 < sum(got) <= tiff.REUSE * len(many) + tiff.MOST_PAGE
+    assert time.monotonic() - began < 5
+    # A sound file in which two pages and all their strips are the same.
+    twice = lists_file([(8, 64)] * 3, size=(8, 24), directories=2, fill=bytes(range(64)))
+    assert [p["pixels"] for p in tiff.iter_pages(twice)] == [bytes(range(64)) * 3] * 2
+
+
 def test_tokens_equal_the_library(spark):
     sp = token_counts.load(None)
     rng = random.Random(2)

@@ -2,7 +2,8 @@
 
 The reader takes either byte order, strips or tiles, chunky samples of 8 or 16 bits, and uncompressed, PackBits, LZW or
 deflate data with or without horizontal differencing. Files are not trusted: no size a file names is believed beyond
-what its compressed bytes could hold, and whatever can't be read ends in a row with the reason.
+what its compressed bytes could hold, what a file names twice is read once, work on a file is bounded by its bytes, and
+whatever can't be read ends in a row with the reason.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .common import arrow_batch, nullable, without
 # Fixed values of the file format: tags, field types' sizes and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+READ = {WIDTH, HEIGHT, BITS, COMPRESSION, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS}
 TYPE_SIZE = {1: 1, 3: 2, 4: 4, 13: 4}
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 13: "I"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -31,6 +33,8 @@ SINGLE = {bytes((i,)): i for i in range(256)}
 #: Bytes that one compressed byte can stand for at most, and the most bytes of a page that the reader makes.
 EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032}
 MOST_PAGE = 1 << 28
+#: Directories, tags and parts of sound files lie apart, so together they name the file's bytes at most once; files may name them so many times.
+REUSE = 2
 #: Bytes after which a task hands on what it has read or written.
 FLUSH = 4 << 20
 RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
@@ -225,30 +229,45 @@ def write_pages(pages: list[dict]) -> bytes:
     return bytes(out)
 
 
+class Allowance:
+    """Bytes that may still be taken: overlapping directories, tags and parts would otherwise be read over and over."""
+
+    def __init__(self, most: int):
+        self.left = most
+
+    def take(self, n: int, what: str) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise ValueError(f"TIFF with {what} beyond what its bytes allow")
+
+
 def iter_pages(data: bytes) -> Iterator[dict]:
     """The pages of a file in the order of its directories: width, height, bits, samples, compression, predictor, pixels (bytes, rows top down)."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
     if order is None:
         raise ValueError("not a TIFF")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
+    named, made = Allowance(REUSE * len(data)), Allowance(REUSE * len(data) + MOST_PAGE)
     while at:
         if at in seen:
             raise ValueError("image directories form a loop")
         seen.add(at)
         n = struct.unpack_from(order + "H", data, at)[0]
+        named.take(2 + 12 * n, "directories")
         tags = {}
         for k in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            if kind in TYPE_CODE:
+            if tag in READ and kind in TYPE_CODE:
                 where = at + 10 + 12 * k
                 if TYPE_SIZE[kind] * count > 4:
                     where = struct.unpack_from(order + "I", data, where)[0]
+                    named.take(TYPE_SIZE[kind] * count, "tags")
                 tags[tag] = struct.unpack_from(f"{order}{count}{TYPE_CODE[kind]}", data, where)
-        yield _page(data, tags, order)
+        yield _page(data, tags, order, named, made)
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def _page(data: bytes, tags: dict, order: str) -> dict:
+def _page(data: bytes, tags: dict, order: str, named: Allowance, made: Allowance) -> dict:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1)
     bits, code, predictor = tags.get(BITS, (8,)), one(COMPRESSION, NONE), one(PREDICTOR, 1)
@@ -271,14 +290,22 @@ def _page(data: bytes, tags: dict, order: str) -> dict:
     needed = (across * w * down * h if tiled else width * height) * samples * kind.itemsize
     if needed > min(MOST_PAGE, there * EXPANSION[code]):
         raise ValueError(f"TIFF page of {needed} bytes from {there}")
-    pixels = np.zeros((height, width, samples), kind)
+    # Parts may share their bytes, as blank tiles often do: these are named once and decoded once.
+    distinct = set(zip(offsets, counts, strict=True))
+    named.take(sum(max(0, min(count, len(data) - offset)) for offset, count in distinct), "parts")
+    made.take(needed // EXPANSION[code], "pixels")
+    pixels, decoded = np.zeros((height, width, samples), kind), {}
     for i, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
         y, x = i // across * h, i % across * w
         rows = h if tiled else min(h, height - y)
         n = rows * w * samples
-        part = np.frombuffer(DECODE[code](data[offset : offset + count], n * kind.itemsize), kind, n).reshape(rows, w, samples)
-        if predictor == 2:
-            part = undifference(part)
+        part = decoded.get((offset, count, rows))
+        if part is None:
+            part = np.frombuffer(DECODE[code](data[offset : offset + count], n * kind.itemsize), kind, n).reshape(rows, w, samples)
+            if predictor == 2:
+                part = undifference(part)
+            if len(distinct) < len(offsets):
+                decoded[offset, count, rows] = part
         pixels[y : y + rows, x : x + w] = part[: height - y, : width - x]
     return {"width": width, "height": height, "bits": bits[0], "samples": samples, "compression": code, "predictor": predictor, "pixels": pixels.tobytes()}
 
@@ -292,7 +319,8 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
     Adds page (from 0), width, height, bits, samples, compression, predictor, pixels and error. A null, empty or
     unreadable file gives one row with page null and the reason in error (null for null). Where a later page can't be read,
     those before it stay, and its row has no pixels but the reason. A page of more than MOST_PAGE bytes is such a fault, as are planes apart, bits in
-    reverse and sizes that the file's bytes can't hold. Repeated rows are read each by itself, null ids pass as any other,
+    reverse, sizes that the file's bytes can't hold, and directories, tags and parts that overlap so that
+    they name more than REUSE times the file (equal parts of a page count once). Repeated rows are read each by itself, null ids pass as any other,
     and an empty table gives an empty one. Columns of df named as an added one or with a leading underscore are dropped first.
     """
     parts = PAGE_SCHEMA.split(", ")
