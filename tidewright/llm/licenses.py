@@ -39,7 +39,7 @@ TEMPLATES = {
         "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort "
         "or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
 }
-#: Distinct words of all templates at most: they are part of the plan.
+#: Distinct words, of all templates or of their prefixes, that may be part of the plan; more are joined as a table, with the same result.
 MOST_WORDS = 50_000
 
 
@@ -70,16 +70,26 @@ def ranked_templates(templates: DataFrame, spots: DataFrame, threshold: float) -
     return ranked.select("tid", "label", "size", F.transform("r", lambda x: x["word"]).alias("words"), F.ceil(F.size("r") * threshold - 1e-9).cast("int").alias("least"))
 
 
-def met_templates(rows: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+def few_words(rows: DataFrame, most: int) -> list[str] | None:
+    """The distinct words of a table (word), or None if there are more than `most`."""
+    found = [r["word"] for r in rows.select("word").distinct().limit(most + 1).collect()]
+    return found if len(found) <= most else None
+
+
+def met_templates(rows: DataFrame, templates: DataFrame, threshold: float, most_words: int = MOST_WORDS) -> DataFrame:
     """(_rid, _more, _best): the labels of the templates that some block of a row meets, and the highest containment. rows has _rid and _spots."""
     ranked = written(ranked_templates(templates, rows.select(F.explode("_spots").alias("s")).select("s.word"), threshold), "ranked_templates")
     n_words = ranked.agg(F.sum(F.size("words") * F.size("words"))).first()[0] or 0
     # Templates go to every task only if their prefixes, each with its template's words, are a few million words at most.
     sent = F.broadcast if n_words <= 4_000_000 else lambda df: df
     prefixes = ranked.select("*", F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("least") + 1)).alias("i", "word"))
-    rare = [r["word"] for r in prefixes.select("word").distinct().collect()]
+    rare = few_words(prefixes, most_words)
     held = rows.where(F.size("_spots") > 0).withColumn("_held", F.array_distinct(F.transform("_spots", lambda s: s["word"])))
-    places = held.select("_rid", "_spots", "_held", F.explode(F.filter("_held", lambda w: w.isin(rare))).alias("word"))
+    if rare is not None:
+        places = held.select("_rid", "_spots", "_held", F.explode(F.filter("_held", lambda w: w.isin(rare))).alias("word"))
+    else:
+        # Only ids and words meet the prefixes; a row's arrays join what is left of them.
+        places = held.select("_rid", F.explode("_held").alias("word")).join(sent(prefixes.select("word").distinct()), "word", "left_semi").join(held.select("_rid", "_spots", "_held"), "_rid")
     pairs = places.join(sent(prefixes), "word")
     # The first of the template's words that the text holds stands for the pair, so a pair comes up once.
     shared = F.array_intersect("words", "_held")
@@ -93,14 +103,15 @@ def met_templates(rows: DataFrame, templates: DataFrame, threshold: float) -> Da
     return met.groupBy("_rid").agg(F.collect_set("label").alias("_more"), F.max(F.col("n") / F.size("words")).alias("_best"))
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, threshold: float = 0.8, most_words: int = MOST_WORDS) -> DataFrame:
     """The columns of docs without text, and n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Base labels are those of PHRASES. labels adds those of the templates (label, text; of any length, by default
     TEMPLATES) that some block meets. score is 1 where a phrase stands, else the highest containment met, else 0. Null and
     empty texts have no words and no labels; very long ones are scanned as a whole. Rows that repeat a doc_id are judged
     each by its own text; a null doc_id is scanned as any other; an empty table gives an empty one. Templates without
-    label or words are left out, repeated ones count once; more than MOST_WORDS distinct words of all of them are refused.
+    label or words are left out, repeated ones count once; whether their distinct words are in the plan (up to most_words)
+    or joined as a table changes no result.
     Columns beside doc_id and text pass unchanged, but those named as an added one or with a leading underscore are dropped first.
     """
     spark = docs.sparkSession
@@ -109,18 +120,18 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, threshold
     given = default_templates(spark) if templates is None else templates
     given = given.where("label is not null").select("label", alnum_words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).distinct()
     given = written(given.withColumn("tid", F.monotonically_increasing_id()), "license_templates")
-    known = [r["word"] for r in given.select(F.explode("tokens").alias("word")).distinct().limit(MOST_WORDS + 1).collect()]
-    if len(known) > MOST_WORDS:
-        raise ValueError(f"templates of more than {MOST_WORDS} distinct words")
+    known = few_words(given.select(F.explode("tokens").alias("word")), most_words)
     rows = docs.withColumn("_words", alnum_words(F.col("text")))
     places = base_places(F.col("_words"))
     labels = F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for label, n, _, _ in places]))
-    spots = F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(known), F.struct(i.alias("pos"), w.alias("word")))))
+    place = lambda w, i: F.struct(i.alias("pos"), w.alias("word"))
+    # Of so many template words any word of a text may be one: all are kept, and the joins tell.
+    spots = F.transform("_words", place) if known is None else F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(known), place(w, i))))
     rows = written(rows.select(
         *names, F.size("_words").cast("long").alias("n_words"), sum((n for _, n, _, _ in places), F.lit(0).cast("long")).alias("n_base"),
         F.least(*[first for _, _, first, _ in places]).alias("first_word"), F.greatest(*[last for _, _, _, last in places]).alias("last_word"),
         labels.alias("_base"), spots.alias("_spots"), F.monotonically_increasing_id().alias("_rid")), "license_words")
-    found = met_templates(rows.select("_rid", "_spots"), given, threshold)
+    found = met_templates(rows.select("_rid", "_spots"), given, threshold, most_words)
     rows = rows.drop("_spots").join(found, "_rid", "left")
     return rows.select(
         *names, "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("_base"), ",").alias("base_labels"),
