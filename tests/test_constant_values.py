@@ -23,3 +23,8 @@ def test_correlations_take_pairs_that_exist(spark):
     df = spark.sql("SELECT * FROM VALUES (1.0D, 2.0D), (2.0D, 1.0D), (4.0D, 7.0D), (NULL, 100.0D), (-50.0D, NULL) AS t(a, b)")
     want = df.dropna().selectExpr("corr(a, b)").first()[0]
     assert analytics.correlations(df, ["a"], ["b"]).first()["r"] == pytest.approx(want, rel=1e-12)
+
+
+def test_horizon_difficulty_of_a_constant(spark, hours):
+    got = {r["horizon"]: (r["r"], r["mean_abs_change"]) for r in analytics.horizon_difficulty(hours, "same", (1, 7, 8), ["k"]).collect()}
+    assert math.isnan(got[1][0]) and math.isnan(got[7][0]) and got[1][1] == got[7][1] == 0.0 and got[8] == (None, None)
