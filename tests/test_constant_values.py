@@ -28,3 +28,8 @@ def test_correlations_take_pairs_that_exist(spark):
 def test_horizon_difficulty_of_a_constant(spark, hours):
     got = {r["horizon"]: (r["r"], r["mean_abs_change"]) for r in analytics.horizon_difficulty(hours, "same", (1, 7, 8), ["k"]).collect()}
     assert math.isnan(got[1][0]) and math.isnan(got[7][0]) and got[1][1] == got[7][1] == 0.0 and got[8] == (None, None)
+
+
+def test_histogram_of_a_constant_is_its_last_bin(spark, hours):
+    got = sorted(tuple(r) for r in analytics.histogram(hours, ["same", "none", "one"], 60).collect())
+    assert got == [("one", 59, 1), ("same", 59, 8)]
