@@ -12,6 +12,7 @@ mean of its n-grams' numbers. Only that table of one number for each n-gram buck
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,8 @@ WINDOW, STEP = 8, 4
 WORD, GAP = re.compile(r"\w+"), re.compile(r"\W")
 #: A very long text is read in pieces of about so many characters, and scores are computed over about so many words at once. Neither changes a score.
 PIECE, BLOCK = 1 << 20, 1 << 16
+#: Words whose n-grams are found, and rows that are added up, at once in training. Neither changes a number.
+WORDS_AT_ONCE, ROWS_AT_ONCE = 1 << 14, 1 << 17
 #: Bounds of the training sample: documents of each label, and characters of a document, in excerpts of so many.
 SAMPLE, SAMPLE_CHARS, EXCERPT = 1500, 16000, 1000
 THRESHOLD = 0.5
@@ -61,6 +64,12 @@ def ngram_buckets(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
     return np.concatenate(ids)[order].astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
+def all_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """ngram_buckets() of many words, block by block, as numbers of 32 bits."""
+    parts = [ngram_buckets(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
+    return tuple(np.concatenate([p[i].astype(np.int32) for p in parts]) for i in (0, 1))
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text, one for each run of equal words."""
     return runs_once(WORD.findall(text.lower()))
@@ -85,26 +94,30 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 10, steps: int = 2
     """
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    tokens, doc_of, spans, base = [], [], [], 0
+    tokens, doc_of, spans, base = array("i"), [], [], 0
     frequency: Counter = Counter()
     for d, text in enumerate(texts):
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
         if not ids:
             continue
         starts, ends = windows(len(ids))
-        tokens += ids
+        tokens.extend(ids)
         frequency.update(set(ids))
         spans.append(np.stack([starts, ends], axis=1) + base)
         doc_of.append(np.full(len(starts), d))
         base += len(ids)
     if not spans:
         return np.zeros(BUCKETS, np.float32), 0.0
-    tokens, spans, doc_of = np.array(tokens), np.concatenate(spans), np.concatenate(doc_of)
+    tokens, spans, doc_of = np.frombuffer(tokens, np.int32), np.concatenate(spans).astype(np.int32), np.concatenate(doc_of).astype(np.int32)
     common = np.fromiter((frequency[i] > 1 for i in range(len(vocabulary))), bool, len(vocabulary))
-    grams, n_grams = ngram_buckets(list(vocabulary))
+    grams, n_grams = all_buckets(list(vocabulary))
     gram_starts = np.cumsum(n_grams) - n_grams
-    E = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    E[np.bincount(grams, minlength=BUCKETS) == 0] = 0
+    E = np.empty((BUCKETS, DIM), np.float32)
+    for k in range(0, BUCKETS, ROWS_AT_ONCE):
+        E[k : k + ROWS_AT_ONCE] = rng.normal(0, 0.1, E[k : k + ROWS_AT_ONCE].shape)
+    seen = np.zeros(BUCKETS, bool)
+    seen[grams] = True
+    E[~seen] = 0
     W, b = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     y = labels[doc_of]
 
@@ -122,33 +135,35 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 10, steps: int = 2
         else:
             chosen = np.flatnonzero((spans[:, 0] - spans[np.searchsorted(doc_of, doc_of), 0]) % WINDOW == 0)
         lengths = spans[chosen, 1] - spans[chosen, 0]
-        owner = np.repeat(np.arange(len(chosen)), lengths)
-        word = tokens[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(spans[chosen, 0], lengths)]
+        owner = np.repeat(np.arange(len(chosen), dtype=np.int32), lengths)
+        word = tokens[_stretches(spans[chosen, 0], lengths)]
         if not r:
             owner, word = owner[common[word]], word[common[word]]
         # Windows as sparse rows of (window, word, share), words as sparse rows of n-grams.
-        cell, count = np.unique(owner * len(vocabulary) + word, return_counts=True)
-        win, word = cell // len(vocabulary), cell % len(vocabulary)
-        there, word = np.unique(word, return_inverse=True)
+        cell, count = np.unique(owner * np.int64(len(vocabulary)) + word, return_counts=True)
+        win, word = (cell // len(vocabulary)).astype(np.int32), (cell % len(vocabulary)).astype(np.int32)
         share = (count / WINDOW).astype(np.float32)[:, None]
+        del owner, cell, count
+        there, word = _numbered(word, len(vocabulary))
         n = n_grams[there]
-        mine = grams[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(gram_starts[there], n)]
-        used, mine = np.unique(mine, return_inverse=True)
+        used, mine = _numbered(grams[_stretches(gram_starts[there], n)], BUCKETS)
         part = (1 / n).astype(np.float32)[:, None]
-        in_window, in_word = _sums(win, len(chosen)), _sums(np.repeat(np.arange(len(there)), n), len(there))
-        to_word, to_gram = _sums(word, len(there)), _sums(mine, len(used))
+        gram_word = np.repeat(np.arange(len(there), dtype=np.int32), n)
+        in_window, in_word = _sums(win, len(chosen), word, share), _sums(gram_word, len(there), mine)
+        to_word, to_gram = _sums(word, len(there), win, share), _sums(mine, len(used), gram_word)
+        del win, word, mine, gram_word, share
         target = np.eye(2, dtype=np.float32)[y[chosen]]
         weight = (0.5 / np.maximum(1, np.bincount(y[chosen], minlength=2)))[y[chosen]].astype(np.float32)[:, None]
         params = [E[used], W, b]
         moments = [[np.zeros_like(v), np.zeros_like(v)] for v in params]
         for step in range(1, steps + 1):
-            mean = in_window((in_word(params[0][mine]) * part)[word] * share) * GAIN
+            mean = in_window(in_word(params[0]) * part) * GAIN
             out = mean @ params[1] + params[2]
             p = np.exp(out - out.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             d_out = (p - target) * weight
-            d_word = to_word((d_out @ params[1].T)[win] * share) * part * GAIN
-            grads = to_gram(np.repeat(d_word, n, axis=0)) + DECAY / len(used) * params[0], mean.T @ d_out, d_out.sum(axis=0)
+            d_word = to_word(d_out @ params[1].T) * part * GAIN
+            grads = to_gram(d_word) + DECAY / len(used) * params[0], mean.T @ d_out, d_out.sum(axis=0)
             for k, (g, (m, v)) in enumerate(zip(grads, moments, strict=True)):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -169,15 +184,35 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 10, steps: int = 2
     return table, float(-(best.min() + best.max()) / 2)
 
 
-def _sums(index: np.ndarray, n: int) -> Callable:
-    """A function that adds up rows by index, to n rows."""
-    order = None if (np.diff(index) >= 0).all() else np.argsort(index, kind="stable")
-    there, first = np.unique(index if order is None else index[order], return_index=True)
+def _stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of stretches one behind the other."""
+    shift = (starts - (np.cumsum(lengths) - lengths)).astype(np.int32)
+    return np.arange(lengths.sum(), dtype=np.int32) + np.repeat(shift, lengths)
+
+
+def _numbered(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, all below `most`, in order, and the number of each value among them."""
+    seen = np.zeros(most, bool)
+    seen[values] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[values]
+
+
+def _sums(index: np.ndarray, n: int, source: np.ndarray | None = None, times: np.ndarray | None = None) -> Callable:
+    """A function that adds up, by index, to n rows, the rows that `source` names (all in turn without it), times a number each; a block of them at once."""
+    if (index[1:] < index[:-1]).any():
+        order = np.argsort(index, kind="stable").astype(np.int32)
+        index, source, times = index[order], order if source is None else source[order], None if times is None else times[order]
+    first = np.flatnonzero(np.concatenate([[len(index) > 0], index[1:] != index[:-1]])[: len(index)])
+    there = index[first]
+    # Blocks end where a sum does, so they change none.
+    blocks = np.unique(np.searchsorted(first, np.arange(0, len(index), ROWS_AT_ONCE))).tolist() if len(first) else []
+    spans = [(i, j, int(first[i]), int(first[j]) if j < len(first) else len(index)) for i, j in zip(blocks, [*blocks, len(first)][1:], strict=True) if i < j]
 
     def add(rows: np.ndarray) -> np.ndarray:
         out = np.zeros((n, rows.shape[1]), np.float32)
-        if len(first):
-            out[there] = np.add.reduceat(rows if order is None else rows[order], first)
+        for i, j, a, b in spans:
+            some = rows[a:b] if source is None else rows[source[a:b]]
+            out[there[i:j]] = np.add.reduceat(some if times is None else some * times[a:b], first[i:j] - a)
         return out
 
     return add
