@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ KINDS = bytes(97 if 97 <= c <= 122 else 46 if c in b".," else 32 if c in b" \n"
 LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 #: A stop at the end of a stretch behind a character beyond ASCII that is no such letter.
 BOUND_STOP = re.compile(rb"(?<=[\x80-\xff])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,](?=[ \n])")
-#: A word and at most one stop behind it, which are two pre-tokens of the model.
-WORD_AND_STOP = re.compile(rb"(" + LETTER + rb"+)([.,;:!?]?)")
+#: A word and the marks behind it, at most two pre-tokens of the model. An apostrophe may start one of its own.
+WORD_AND_STOP = re.compile(rb"(" + LETTER + rb"+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def default_model() -> str:
@@ -57,6 +58,17 @@ def free_stops(text: bytes) -> bool:
     return not (b"x. " in kinds or b".. " in kinds or b" . " in kinds or kinds.startswith(b". ") or (b"h. " in kinds and BOUND_STOP.search(text)))
 
 
+#: Words that tell whether a model alone gives a word's ids.
+PROBES = ("a", "i", "hello", "zzyzxq", "\u00fc", "na\u00efvet\u00e9", "stra\u00dfe", "\u00e0\u00ff\u00f8\u00e6\u00fe", "donaudampfschifffahrt")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level model."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     """The ids of texts as the library gives them without special tokens added.
 
@@ -75,27 +87,32 @@ class Encoder:
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.kind = np.dtype(self.code).newbyteorder("<")
         self.end = np.array([END], self.kind).tobytes()
-        # The last id of each pre-token ends a word.
-        self.ends = np.zeros(self.size, bool)
-        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        # What a word's bytes stand for in the model, and whether the model alone gives a word's ids.
+        self.letters = dict(zip(range(256), byte_letters(), strict=True))
+        self.tokenize = self.library.model.tokenize
+        self.direct = all(self.library.encode(w, add_special_tokens=False).ids == self.word_ids(w.encode()) for w in PROBES)
         self.known: dict[bytes, bytes] = {}
         #: What was known before the last time that memory was full; words met again come back from here.
         self.old: dict[bytes, bytes] = {}
 
+    def word_ids(self, word: bytes) -> list[int]:
+        """The ids of a word of letters, which is one pre-token in its normal form: the library's model gives them by itself."""
+        return [t.id for t in self.tokenize(word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters))]
+
     def encode_words(self, words: list[bytes]) -> None:
-        """Learns words of letters, each of which is one pre-token, by one call for all of them."""
-        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
-        at = np.flatnonzero(self.ends[ids]) + 1
-        if len(at) != len(words):
+        """Learns words of letters, each of which is one pre-token and in lower case."""
+        if not self.direct:
             return self.encode_stretches(words)
-        flat, width, start = ids.tobytes(), self.kind.itemsize, 0
-        for w, stop in zip(words, (at * width).tolist(), strict=True):
-            self.known[w] = flat[start:stop]
-            start = stop
+        known, code, tokenize, letters = self.known, self.code, self.tokenize, self.letters
+        for w in words:
+            # As word_ids(), without a call for each.
+            ids = [t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(letters))]
+            known[w] = pack(f"<{len(ids)}{code}", *ids)
 
     def encode_stretches(self, parts: list[bytes]) -> None:
         for p, got in zip(parts, self.library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(got.ids, self.kind).tobytes()
+            ids = got.ids
+            self.known[p] = pack(f"<{len(ids)}{self.code}", *ids)
 
     def learn(self, stretches: set[bytes]) -> None:
         known, words, others, joined = self.known, set(), [], []
@@ -127,10 +144,9 @@ class Encoder:
             text = text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")
         stretches, known = text.split(), self.known
         ids = list(map(known.get, stretches))
-        if None in ids:
-            at = [i for i, found in enumerate(ids) if found is None]
+        if at := [i for i, found in enumerate(ids) if found is None]:
             new = {stretches[i] for i in at}
-            for w in [w for w in new if w in self.old]:
+            for w in new & self.old.keys() if self.old else ():
                 known[w] = self.old[w]
                 new.remove(w)
             if new:
